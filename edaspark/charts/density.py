@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, join_group_stats, materialise, nan_to_null, require_columns, small_frame
+from ..common import aggregate_once, column, join_group_stats, materialise, nan_to_null, require_columns, small_frame, spread
 from .facts import COLUMN, VALUE, group_facts, integer_columns, melted
 from .histogram import with_bins
 
@@ -40,7 +40,7 @@ def curves(
         ((F.col("hi") - F.col("lo") + 2 * extend * F.col("h")) / (points - 1)).alias("step"),
     )
     rows, distinct = facts.agg(F.sum("n"), F.sum("distinct")).first()
-    values = long.select(*keys, F.col(value).alias("v"))
+    values = spread(long.select(*keys, F.col(value).alias("v")), rows or 0)
     if rows and distinct * REPEATS <= rows:
         values = values.groupBy(*keys, "v").agg(F.count("*").alias("w"))
     else:
@@ -97,6 +97,7 @@ def kde2d(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
         pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("w"))
     else:
         pairs = pairs.withColumn("w", F.lit(1).cast("bigint"))
+    pairs = spread(pairs, s["n"])
     step_x, step_y = (s["x1"] - s["x0"]) / (points - 1), (s["y1"] - s["y0"]) / (points - 1)
 
     def reach(value, start, step, spread):

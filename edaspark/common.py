@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Expressions per aggregate job; beyond this the generated code stops being compiled well.
-AGG_CHUNK = 200
+# Expressions per aggregate job; the JVM leaves the code of much larger ones unoptimised.
+AGG_CHUNK = 64
 # Rows a table of per-group statistics may have and still be broadcast.
 BROADCAST_ROWS = 100_000
 # A group is hot when it holds more than one row in this many (so at most this many are hot).
 HOT_SHARE = 1000
+# Rows up to which a frame is spread over all slots before heavy work.
+SPREAD_ROWS = 5_000_000
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -63,16 +65,18 @@ def reject_nested(df: DataFrame) -> None:
         raise ValueError(f"Nested columns are not supported here: {', '.join(nested)}")
 
 
+def names_of(df: DataFrame) -> list[str]:
+    """All columns, quoted, for ``select``."""
+    return [quoted(c) for c in df.columns]
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Floating NaN becomes NULL, so that missing means one thing in every operator."""
     floats = set(fields_of(df, FLOAT_TYPES))
     if not floats:
         return df
-    return df.select(
-        *[
-            F.when(~F.isnan(column(c)), column(c)).alias(c) if c in floats else column(c)
-            for c in df.columns
-        ]
+    return df.selectExpr(
+        *[f"if(isnan({quoted(c)}), null, {quoted(c)}) as {quoted(c)}" if c in floats else quoted(c) for c in df.columns]
     )
 
 
@@ -80,12 +84,16 @@ def as_double(name: str) -> Column:
     return column(name).cast("double")
 
 
-def aggregate_once(df: DataFrame, exprs: Mapping[object, Column]) -> dict:
+def aggregate_once(df: DataFrame, exprs: Mapping[object, Column | str]) -> dict:
     """Evaluate global aggregates in as few jobs as AGG_CHUNK allows; keys are free-form."""
     keys, out = list(exprs), {}
     for start in range(0, len(keys), AGG_CHUNK):
         part = keys[start : start + AGG_CHUNK]
-        row = df.agg(*[exprs[k].alias(f"a{i}") for i, k in enumerate(part)]).first()
+        values = [exprs[k] for k in part]
+        if all(isinstance(v, str) for v in values):
+            row = df.selectExpr(*[f"{v} as a{i}" for i, v in enumerate(values)]).first()
+        else:
+            row = df.agg(*[v.alias(f"a{i}") for i, v in enumerate(values)]).first()
         out.update(zip(part, row))
     return out
 
@@ -121,19 +129,40 @@ def materialise_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
-    """Inner-join rows with a materialised one-row-per-group table.
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Give every task slot a share of a small frame before work that is heavy per row.
+
+    Beyond SPREAD_ROWS a scan has splits enough, and the frame stays as it is.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
+
+
+def group_sizes(stats: DataFrame, size: str = "n") -> tuple[int, int, int]:
+    """Groups, rows in all and rows of the largest, of a one-row-per-group table."""
+    groups, total, largest = stats.agg(F.count("*"), F.sum(size), F.max(size)).first()
+    return groups, total or 0, largest or 0
+
+
+def join_group_stats(
+    rows: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    size: str,
+    sizes: tuple[int, int, int] | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Join rows with a materialised one-row-per-group table.
 
     A table of checked size is broadcast. A larger one is shuffled, except that the rows
     of hot groups (each above 1/HOT_SHARE of all rows, hence fewer than HOT_SHARE groups)
     meet a broadcast of just those groups, so no task receives a whole hot group.
     """
-    groups, total = stats.agg(F.count("*"), F.sum(size)).first()
+    groups, total, _ = sizes or group_sizes(stats, size)
     keys = list(keys)
     if groups <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(stats), keys)
+        return rows.join(F.broadcast(stats), keys, how)
     hot = stats.filter(F.col(size) > total / HOT_SHARE)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(stats, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(stats, keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 

@@ -25,8 +25,8 @@ FLOAT_TOLERANCE = 5e-4
 
 def trim_strings(df: DataFrame) -> DataFrame:
     """P2. Strip white space of every kind from text columns; a null stays null."""
-    texts = set(fields_of(df, (T.StringType,)))
-    return df.select(*[strip(column(c)).alias(c) if c in texts else column(c) for c in df.columns])
+    texts = fields_of(df, (T.StringType,))
+    return df.withColumns({c: strip(column(c)) for c in texts}) if texts else df
 
 
 def cast_columns(df: DataFrame, schema: Mapping[str, str | T.DataType]) -> DataFrame:

@@ -56,21 +56,22 @@ def numeric_detail(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         exprs |= {(c, f.__name__): f(x) for f in basic}
         exprs |= {(c, "zeros"): F.count_if(x == 0), (c, "negatives"): F.count_if(x < 0)}
     found = aggregate_once(df, exprs)
-    quantiles = column_quantiles(df, values, PERCENTS)
+    rows = max((found[c, "count"] for c in names), default=0)
+    quantiles = column_quantiles(df, values, PERCENTS, rows)
     distances = {c: F.abs(x - F.lit(quantiles[c][2])) for c, x in values.items() if quantiles[c][2] is not None}
-    deviations = column_quantiles(df, distances, [0.5])
-    rows = []
+    deviations = column_quantiles(df, distances, [0.5], rows)
+    out = []
     for c in names:
         n, mean, std, var, total, lo, hi, skew, kurt = (found[c, f.__name__] for f in basic)
         q = quantiles[c]
-        rows.append(
+        out.append(
             (c, n, mean, std, var, std / mean if std is not None and mean else None, total, lo, *q, hi,
              hi - lo if n else None, q[3] - q[1] if n else None, deviations.get(c, [None])[0], skew, kurt,
              found[c, "zeros"], found[c, "negatives"])
         )
     doubles = "mean std variance cv sum min q05 q25 q50 q75 q95 max range iqr mad skewness kurtosis".split()
     schema = "column string, n bigint, " + ", ".join(f"{d} double" for d in doubles) + ", zeros bigint, negatives bigint"
-    return small_frame(df.sparkSession, rows, schema)
+    return small_frame(df.sparkSession, out, schema)
 
 
 def common_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:

@@ -9,20 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, column, fields_of, materialise, nan_to_null
+from ..common import FLOAT_TYPES, column, fields_of, materialise, names_of, nan_to_null, quoted, small_frame
+from .moments import gap_masks
 
-# Repeated hashes (eight bytes each) that may be broadcast.
+# Repeated hashes (eight bytes each) that the driver collects, and that may be broadcast.
+COLLECTED_HASHES = 50_000
 BROADCAST_HASHES = 1_000_000
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    floats = set(fields_of(df, FLOAT_TYPES))
-    # Adding zero makes -0.0 and 0.0 hash alike; the null flags keep (1, null) from (null, 1).
-    values = [column(c) + F.lit(0.0) if c in floats else column(c) for c in df.columns]
-    gaps = F.array(*[column(c).isNull() for c in df.columns])
-    return df.withColumn(_hash_name(df), F.xxhash64(*values, gaps))
-
-
 def _hash_name(df: DataFrame) -> str:
     name = "row_hash"
     while name in df.columns:
@@ -30,9 +24,20 @@ def _hash_name(df: DataFrame) -> str:
     return name
 
 
-def _repeated_hashes(df: DataFrame) -> tuple[DataFrame, int]:
+def _hashed(df: DataFrame) -> DataFrame:
+    floats = set(fields_of(df, FLOAT_TYPES))
+    # Adding zero makes -0.0 and 0.0 hash alike; the null flags keep (1, null) from (null, 1).
+    values = [f"{quoted(c)} + 0" if c in floats else quoted(c) for c in df.columns]
+    return df.selectExpr(*names_of(df), f"xxhash64({', '.join(values + gap_masks(df.columns))}) as {_hash_name(df)}")
+
+
+def _repeated_hashes(df: DataFrame) -> tuple[DataFrame | None, int]:
+    """Hashes that occur more than once, and how many."""
     name = _hash_name(df)
     hashes = _hashed(df).groupBy(name).count().filter("count > 1").select(name)
+    few = hashes.limit(COLLECTED_HASHES + 1).collect()
+    if len(few) <= COLLECTED_HASHES:
+        return small_frame(df.sparkSession, few, f"{name} bigint"), len(few)
     hashes = materialise(hashes)
     return hashes, hashes.count()
 
@@ -44,20 +49,27 @@ def _suspects(df: DataFrame) -> DataFrame | None:
         return None
     if n > BROADCAST_HASHES:
         return df
-    return _hashed(df).join(F.broadcast(hashes), _hash_name(df), "left_semi").select(*[column(c) for c in df.columns])
+    return _hashed(df).join(F.broadcast(hashes), _hash_name(df), "left_semi").select(*names_of(df))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every row value that occurs more than once, with ``copies``."""
     df = nan_to_null(df)
     suspects = _suspects(df)
-    rows = df.filter(F.lit(False)) if suspects is None else suspects
-    return rows.groupBy(*[column(c) for c in df.columns]).agg(F.count("*").alias("copies")).filter("copies > 1")
+    return _repeated(df.filter(F.lit(False)) if suspects is None else suspects)
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    return df.groupBy(*names_of(df)).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
 def duplicate_count(df: DataFrame) -> int:
     """V3. Rows equal to an earlier row on all columns; a null equals a null."""
-    return duplicate_groups(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    df = nan_to_null(df)
+    suspects = _suspects(df)
+    if suspects is None:
+        return 0
+    return _repeated(suspects).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
 
 
 def top_duplicates(df: DataFrame, k: int = 10) -> DataFrame:
@@ -78,7 +90,7 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
         return df
     if n > BROADCAST_HASHES:
         return df.distinct()
-    name, names = _hash_name(df), [column(c) for c in df.columns]
+    name, names = _hash_name(df), names_of(df)
     hashed = _hashed(df)
     alone = hashed.join(F.broadcast(hashes), name, "left_anti").select(*names)
     copied = hashed.join(F.broadcast(hashes), name, "left_semi").select(*names)

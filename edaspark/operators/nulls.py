@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..common import aggregate_once, as_double, column, nan_to_null, numeric_columns, small_frame
 from .frequencies import modes
+from .moments import gap_masks, gaps_of
 from .quantiles import column_quantiles
 from .validate import count_missing
 
@@ -22,7 +23,6 @@ DROP_THRESHOLD = 0.4
 ROW_DROP_BELOW = 0.05
 # Combinations of gaps the driver folds over; beyond, one count per row-dropping column.
 MAX_PATTERNS = 100_000
-FLAGS_PER_MASK = 62
 
 DROP_COLUMN, DROP_ROWS, FILL_MEDIAN, FILL_MODE = "drop_column", "drop_rows", "fill_median", "fill_mode"
 
@@ -48,20 +48,22 @@ class NullPlan:
 
     steps: tuple[NullStep, ...]
     rows: int
+    missing: dict[str, int]
 
     @classmethod
     def fit(cls, df: DataFrame, threshold: float = DROP_THRESHOLD, max_patterns: int = MAX_PATTERNS) -> NullPlan:
         df = nan_to_null(df)
-        rows, counts = count_missing(df)
-        gappy = [c for c in df.columns if counts[c] > 0]
-        if not gappy:
-            return cls((), rows)
-        patterns = _gap_patterns(df, gappy, max_patterns)
+        names = [f.name for f in df.schema.fields if f.nullable]
+        patterns = _gap_patterns(df, names, max_patterns)
         if patterns is None:
-            decided = _walk_by_jobs(df, gappy, threshold)
+            rows, missing = count_missing(df)
+            decided = _walk_by_jobs(df, [c for c in names if missing[c]], threshold)
         else:
-            decided = _walk_patterns(patterns, gappy, threshold)
-        return cls(_with_fills(df, decided), rows)
+            rows = sum(n for _, n in patterns)
+            counts = {c: sum(n for flags, n in patterns if flags[i]) for i, c in enumerate(names)}
+            missing = {c: counts.get(c, 0) for c in df.columns}
+            decided = _walk_patterns(patterns, names, threshold)
+        return cls(_with_fills(df, decided, rows), rows, missing)
 
     def columns(self, action: str) -> list[str]:
         return [s.column for s in self.steps if s.action == action]
@@ -100,19 +102,14 @@ def handle_nulls(df: DataFrame, threshold: float = DROP_THRESHOLD) -> DataFrame:
     return NullPlan.fit(df, threshold).apply(df)
 
 
-def _gap_patterns(df, gappy, max_patterns):
+def _gap_patterns(df, names, max_patterns):
     """How often each combination of gaps occurs: ``[(flags, rows)]``, or None if too many."""
-    masks = []
-    for start in range(0, len(gappy), FLAGS_PER_MASK):
-        bits = [F.when(column(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                for i, c in enumerate(gappy[start : start + FLAGS_PER_MASK])]
-        masks.append(sum(bits[1:], bits[0]).alias(f"m{start}"))
-    found = df.groupBy(*masks).agg(F.count("*").alias("rows")).limit(max_patterns + 1).collect()
+    masks = gap_masks(names)
+    flagged = df.selectExpr(*[f"{m} as m{i}" for i, m in enumerate(masks)] or ["0L as m0"])
+    found = flagged.groupBy(*flagged.columns).agg(F.count("*").alias("rows")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         return None
-    return [
-        ([bool(r[i // FLAGS_PER_MASK] >> (i % FLAGS_PER_MASK) & 1) for i in range(len(gappy))], r["rows"]) for r in found
-    ]
+    return [(gaps_of(r[:-1], len(names)), r["rows"]) for r in found]
 
 
 def _action(nulls, rows, threshold):
@@ -158,7 +155,7 @@ def _walk_by_jobs(df, gappy, threshold):
     return decided
 
 
-def _with_fills(df, decided):
+def _with_fills(df, decided, rows):
     """Medians and modes over the rows alive at each step."""
     types = {f.name: f.dataType for f in df.schema.fields}
     medians, most = {}, {}
@@ -172,17 +169,17 @@ def _with_fills(df, decided):
                 alive = alive & column(b).isNotNull()
             value = F.when(alive, value)
         (medians if isinstance(types[c], (T.LongType, T.DoubleType)) else most)[c] = value
-    found_medians = column_quantiles(df, medians, [0.5])
+    found_medians = column_quantiles(df, medians, [0.5], rows)
     found_modes = modes(df, most)
     ordinals = {c: i for i, c in enumerate(df.columns)}
     steps = []
-    for c, nulls, rows, action, _before in decided:
+    for c, nulls, before, action, _drops in decided:
         number = text = None
         if c in medians:
             action, number = FILL_MEDIAN, found_medians[c][0]
         elif c in most:
             action, text = FILL_MODE, found_modes[c]
-        steps.append(NullStep(ordinals[c], c, nulls, rows, action, number, text))
+        steps.append(NullStep(ordinals[c], c, nulls, before, action, number, text))
     return tuple(steps)
 
 

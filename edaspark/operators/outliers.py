@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, as_double, column, nan_to_null, numeric_columns, small_frame
+from ..common import aggregate_once, as_double, column, nan_to_null, numeric_columns, quoted, small_frame
+from .moments import Facts, column_facts
 from .quantiles import column_quantiles
 
 IQR, ZSCORE = "iqr", "zscore"
@@ -43,11 +44,14 @@ class Bounds:
     bounds: tuple[Bound, ...]
 
     @classmethod
-    def fit(cls, df: DataFrame, method: str = IQR, exclude: Sequence[str] = ()) -> Bounds:
+    def fit(
+        cls, df: DataFrame, method: str = IQR, exclude: Sequence[str] = (), facts: Facts | None = None
+    ) -> Bounds:
+        """``facts`` spares a pass where the table's moments are known already."""
         _check(method)
         df = nan_to_null(df)
         names = [c for c in numeric_columns(df) if c not in exclude]
-        return cls(method, tuple(_fit(df, names, method)))
+        return cls(method, tuple(_fit(df, names, method, facts)))
 
     def cap(self, df: DataFrame) -> DataFrame:
         """O4. Values beyond a fence move to it; nulls stay null; capped columns are double."""
@@ -55,30 +59,28 @@ class Bounds:
         found = {b.column: b for b in self.bounds}
 
         def capped(name):
-            b = found.get(name)
+            b, c = found.get(name), quoted(name)
             if b is None:
-                return column(name)
-            c = as_double(name)
+                return c
             if b.lower is None:
-                return c.alias(name)
-            return F.when(c < b.lower, b.lower).when(c > b.upper, b.upper).otherwise(c).alias(name)
+                return f"double({c}) as {c}"
+            low, high = f"{b.lower!r}D", f"{b.upper!r}D"
+            return f"case when {c} < {low} then {low} when {c} > {high} then {high} else double({c}) end as {c}"
 
-        return df.select(*[capped(c) for c in df.columns])
+        return df.selectExpr(*[capped(c) for c in df.columns])
 
     def outside(self, b: Bound):
-        """Condition for an outlier; null for a missing value, None where there can be none."""
+        """SQL condition for an outlier; null for a missing value, None where there can be none."""
         if b.lower is None:
             return None
-        c = as_double(b.column)
+        c = f"double({quoted(b.column)})"
         if self.method == IQR:
-            return (c < b.lower) | (c > b.upper)
-        return F.abs((c - b.mean) / b.std) > Z_LIMIT
+            return f"{c} < {b.lower!r}D or {c} > {b.upper!r}D"
+        return f"abs(({c} - ({b.mean!r}D)) / {b.std!r}D) > {Z_LIMIT}"
 
     def counts(self, df: DataFrame) -> dict[str, int]:
         """O1, O2. Outliers of every numeric column, zeros included, in one pass."""
-        conditions = {b.column: self.outside(b) for b in self.bounds}
-        found = aggregate_once(nan_to_null(df), {c: F.count_if(x) for c, x in conditions.items() if x is not None})
-        return {c: found.get(c, 0) for c in conditions}
+        return count_outliers(df, [self])[0]
 
     def table(self, df: DataFrame) -> DataFrame:
         """O5. Fences, the statistics behind them and the number of outliers."""
@@ -93,28 +95,29 @@ class Bounds:
         return small_frame(df.sparkSession, rows, schema)
 
 
-def _fit(df: DataFrame, names: Sequence[str], method: str) -> list[Bound]:
-    exprs: dict = {}
-    for c in names:
-        x = as_double(c)
-        exprs |= {(c, "n"): F.count(x), (c, "mean"): F.avg(x), (c, "std"): F.stddev_samp(x)}
-        exprs |= {(c, "lo"): F.min(x), (c, "hi"): F.max(x)}
-    found = aggregate_once(df, exprs)
+def count_outliers(df: DataFrame, fitted: Sequence[Bounds]) -> list[dict[str, int]]:
+    """Outliers per column under several fits, all in one pass."""
+    conditions = {(i, b.column): f.outside(b) for i, f in enumerate(fitted) for b in f.bounds}
+    found = aggregate_once(nan_to_null(df), {k: f"count_if({x})" for k, x in conditions.items() if x is not None})
+    return [{b.column: found.get((i, b.column), 0) for b in f.bounds} for i, f in enumerate(fitted)]
+
+
+def _fit(df: DataFrame, names: Sequence[str], method: str, facts: Facts | None = None) -> list[Bound]:
+    facts = facts or column_facts(df, names)
     quartiles: Mapping[str, list] = {}
     if method == IQR:
-        quartiles = column_quantiles(df, {c: column(c) for c in names}, [0.25, 0.75])
+        quartiles = column_quantiles(df, {c: column(c) for c in names}, [0.25, 0.75], facts.rows)
     out = []
     for c in names:
-        n, mean, std = found[c, "n"], found[c, "mean"], found[c, "std"]
+        m = facts.moments[c]
+        std = 0.0 if m.constant and m.n > 1 else m.std  # however the mean of a constant was rounded
         q1 = q3 = lower = upper = None
-        if n and found[c, "lo"] == found[c, "hi"] and std is not None:
-            std = 0.0  # a constant column, however its mean was rounded
-        if method == IQR and n:
+        if method == IQR and m.n:
             q1, q3 = quartiles[c]
             lower, upper = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)
         if method == ZSCORE and std:
-            lower, upper = mean - Z_LIMIT * std, mean + Z_LIMIT * std
-        out.append(Bound(c, n, q1, q3, mean, std, lower, upper))
+            lower, upper = m.mean - Z_LIMIT * std, m.mean + Z_LIMIT * std
+        out.append(Bound(c, m.n, q1, q3, m.mean, std, lower, upper))
     return out
 
 
@@ -162,7 +165,7 @@ def _remove_at_once(df, names, method):
         if b.lower is None:
             continue
         if method == IQR:
-            beyond = fitted.outside(b)
+            beyond = F.expr(fitted.outside(b))
         else:
             spread = b.std * ((b.n - 1) / b.n) ** 0.5
             beyond = F.abs((as_double(b.column) - b.mean) / spread) >= Z_LIMIT

@@ -9,12 +9,13 @@ its rank is found out by those counts and widened.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, join_group_stats, materialise
+from ..common import aggregate_once, column, group_sizes, join_group_stats, materialise
 
 # Up to this many rows the built-in function's buffer is small whatever the values are.
 SMALL_ROWS = 50_000
@@ -24,25 +25,161 @@ MARGIN = 0.0025
 # Rows that may lie inside one group's brackets before the brackets are narrowed again.
 BRACKET_ROWS = 2_000_000
 MAX_NARROWINGS = 6
+# Columns per pass; their brackets are compiled into it.
+COLUMNS_AT_ONCE = 32
 LOWEST, HIGHEST = float("-inf"), float("inf")
 
 
 def column_quantiles(
     df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], rows: int | None = None
 ) -> dict[str, list[float]]:
-    """Quantiles of named expressions over one frame, all columns in the same passes."""
+    """Quantiles of named expressions over one frame, all columns in the same two passes.
+
+    What is known of a column on the way (counts, brackets) is bounded by the schema, so
+    it goes through the driver and back into the plan as literals.
+    """
     probs, order = sorted(probs), list(values)
+    if len(order) > COLUMNS_AT_ONCE:
+        parts = [order[i : i + COLUMNS_AT_ONCE] for i in range(0, len(order), COLUMNS_AT_ONCE)]
+        return {c: q for part in parts for c, q in column_quantiles(df, {c: values[c] for c in part}, probs, rows).items()}
     if not order:
         return {}
-    doubles = [values[c].cast("double").alias(f"v{i}") for i, c in enumerate(order)]
-    wide = df.select(*doubles)
-    if (wide.count() if rows is None else rows) <= SMALL_ROWS:
-        found = aggregate_once(wide, {c: F.percentile(f"v{i}", probs) for i, c in enumerate(order)})
-        return {c: list(found[c] or [None] * len(probs)) for c in order}
-    names = [f"v{i}" for i in range(len(order))]
-    long = wide.unpivot([], names, "column", "value")
-    found = {r["column"]: list(r["q"]) for r in _sketched(long, ["column"], "value", probs).collect()}
-    return {c: found.get(f"v{i}", [None] * len(probs)) for i, c in enumerate(order)}
+    wide = df.select(*[values[c].cast("double").alias(f"v{i}") for i, c in enumerate(order)])
+    out: dict[int, list] = {i: [None] * len(probs) for i in range(len(order))}
+    if rows is None or rows > SMALL_ROWS:
+        counts, brackets = _sketch_columns(wide, list(out), probs, MARGIN)
+        rows = max(counts.values())
+    if rows <= SMALL_ROWS:
+        out |= {k: q for k, q in aggregate_once(wide, {i: F.percentile(f"v{i}", probs) for i in out}).items() if q}
+    else:
+        out |= _exact_columns(wide, counts, brackets, probs, MARGIN, BRACKET_ROWS)
+    return {c: list(out[i]) for i, c in enumerate(order)}
+
+
+def _ranks(n, p):
+    """Zero-based ranks on either side of the wanted position, and the share between them."""
+    position = (n - 1) * p
+    return math.floor(position), math.ceil(position), position - math.floor(position)
+
+
+def _sketch_columns(wide, columns, probs, margin):
+    """Non-null counts, and per column a list of (lo, hi) brackets, one per probability."""
+    ranks = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+    asked = _array(x for pair in ranks for x in pair)
+    exprs = {}
+    for i in columns:
+        exprs["n", i] = f"count(v{i})"
+        exprs["at", i] = f"kll_sketch_get_quantile_double(kll_sketch_agg_double(v{i}, {SKETCH_SIZE}), {asked})"
+    found = aggregate_once(wide, exprs)
+    counts, brackets = {}, {}
+    for i in columns:
+        counts[i] = found["n", i]
+        at = found["at", i] or [None] * 2 * len(probs)
+        brackets[i] = [
+            (LOWEST if low == 0 else at[2 * j], HIGHEST if high == 1 else at[2 * j + 1])
+            for j, (low, high) in enumerate(ranks)
+        ]
+    return counts, brackets
+
+
+def _exact_columns(wide, counts, brackets, probs, margin, bracket_rows):
+    out, todo = {}, [i for i, n in counts.items() if n]
+    while todo:
+        brackets = _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows)
+        picked = _pick_columns(wide, counts, brackets, todo, probs)
+        out |= {i: q for i, q in picked.items() if None not in q}
+        todo = [i for i in todo if i not in out]
+        if todo:
+            margin *= 8
+            brackets = brackets | _sketch_columns(wide, todo, probs, margin)[1]
+    return out
+
+
+def _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows):
+    """Sketch again inside the brackets of columns where too many rows lie inside them."""
+    inside = {i: counts[i] * 2 * margin * len(probs) for i in todo}
+    steps = round(1 / min(margin, 0.5))
+    grid = _array(s / steps for s in range(steps + 1))
+    for _ in range(MAX_NARROWINGS):
+        wide_ones = [i for i in todo if inside[i] > bracket_rows]
+        if not wide_ones:
+            break
+        exprs = {}
+        for i in wide_ones:
+            for j, (lo, hi) in enumerate(brackets[i]):
+                inner = f"v{i} >= {_literal(lo)} and v{i} <= {_literal(hi)}"
+                kept = f"if({inner}, v{i}, null)"
+                exprs["below", i, j], exprs["in", i, j] = f"count_if(v{i} < {_literal(lo)})", f"count_if({inner})"
+                sketch = f"kll_sketch_agg_double({kept}, {SKETCH_SIZE})"
+                exprs["at", i, j] = f"kll_sketch_get_quantile_double({sketch}, {grid})"
+        found = aggregate_once(wide, exprs)
+        brackets = dict(brackets)
+        for i in wide_ones:
+            fresh = []
+            for j, p in enumerate(probs):
+                first, last, _share = _ranks(counts[i], p)
+                below, n, at = found["below", i, j], found["in", i, j], found["at", i, j]
+                lo, hi = brackets[i][j]
+                if not below <= first <= last < below + n:
+                    fresh.append((LOWEST, HIGHEST))
+                    continue
+                left = math.floor((first - below) / max(n - 1, 1) * steps) - 1
+                right = math.ceil((last - below) / max(n - 1, 1) * steps) + 1
+                fresh.append((lo if left < 0 else at[left], hi if right > steps else at[right]))
+            brackets[i] = fresh
+            inside[i] = sum(found["in", i, j] for j in range(len(probs))) * 3 * margin
+    return brackets
+
+
+def _pick_columns(wide, counts, brackets, todo, probs):
+    """Exact ranks from distinct values inside brackets and row counts between them.
+
+    A value inside a bracket stands for itself, any other for the bracket end just below it.
+    """
+    pairs = ", ".join(f"{k}, v{i}" for k, i in enumerate(todo))
+    long = wide.selectExpr(f"stack({len(todo)}, {pairs}) as (k, v)").filter("v is not null")
+    # Brackets are looked up in literal arrays: spelled out per column, the compiled code
+    # grows past what the JVM optimises.
+    long = long.selectExpr(
+        "k",
+        "v",
+        *[
+            f"get({_array(brackets[i][j][e] for i in todo)}, k) as {name}{j}"
+            for j in range(len(probs))
+            for e, name in enumerate(("lo", "hi"))
+        ],
+    )
+    within = " or ".join(f"(v >= lo{j} and v <= hi{j})" for j in range(len(probs)))
+    below = ", ".join(f"if(v > hi{j}, hi{j}, double('-inf'))" for j in range(len(probs)))
+    counted = (
+        long.selectExpr("k", f"not ({within}) as gap", "v", f"greatest(double('-inf'), {below}) as below")
+        .selectExpr("k", "gap", "if(gap, below, v) as at")
+        .groupBy("k", "at", "gap")
+        .agg(F.count("*").alias("rows"))
+    )
+    running = Window.partitionBy("k").orderBy("at", "gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("upto", F.sum("rows").over(running)).filter("not gap")
+    picks = []
+    for p in probs:
+        for end in (0, 1):
+            rank = f"get(array({', '.join(f'{_ranks(counts[i], p)[end]}L' for i in todo)}), k)"
+            picks.append(F.expr(f"max(if(upto - rows <= {rank} and {rank} < upto, at, null))"))
+    out = {}
+    for row in ranked.groupBy("k").agg(*picks).collect():
+        i, ends = todo[row["k"]], row[1:]
+        out[i] = [
+            None if None in (a, b) else a if a == b else a + (b - a) * _ranks(counts[i], p)[2]
+            for p, a, b in zip(probs, ends[::2], ends[1::2])
+        ]
+    return out
+
+
+def _literal(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _array(values) -> str:
+    return f"array({', '.join(map(_literal, values))})"
 
 
 def grouped_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -59,6 +196,7 @@ def grouped_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: S
 
 
 def _sketched(rows, keys, value, probs, margin=MARGIN, bracket_rows=BRACKET_ROWS) -> DataFrame:
+    """The same in passes over groups of any number: what is known of them stays a frame."""
     names = [f"k{i}" for i in range(len(keys))]
     rows = rows.select(
         *[column(k).alias(n) for k, n in zip(keys, names)], column(value).cast("double").alias("v")
@@ -66,8 +204,10 @@ def _sketched(rows, keys, value, probs, margin=MARGIN, bracket_rows=BRACKET_ROWS
     found = None
     while True:
         brackets = _first_brackets(rows, names, probs, margin)
-        brackets = _narrowed(rows, names, probs, brackets, margin, bracket_rows)
-        picked = materialise(_picked(rows, names, probs, brackets))
+        sizes = group_sizes(brackets)
+        if sizes[2] * 2 * margin * len(probs) > bracket_rows:
+            brackets = _narrowed(rows, names, probs, brackets, margin, bracket_rows)
+        picked = materialise(_picked(rows, names, probs, brackets, sizes))
         complete = ~F.exists("q", lambda x: x.isNull())
         done = picked.filter(complete)
         found = done if found is None else found.unionByName(done)
@@ -140,13 +280,13 @@ def _narrowed(rows, names, probs, brackets, margin, bracket_rows):
     return brackets.drop(inside)
 
 
-def _picked(rows, names, probs, brackets):
+def _picked(rows, names, probs, brackets, sizes):
     """Exact ranks from distinct values inside brackets and row counts between them."""
     ends = range(len(probs))
     within = " or ".join(f"(v >= lo{i} and v <= hi{i})" for i in ends)
     passed = " + ".join(f"int(v > hi{i})" for i in ends)
     counted = (
-        join_group_stats(rows, brackets, names, "n")
+        join_group_stats(rows, brackets, names, "n", sizes)
         .selectExpr(*names, "n", "v", f"{within} as within", f"{passed} as passed")
         .groupBy(*names, "n", F.expr("if(within, v, null)").alias("kept"), F.expr("if(within, null, passed)").alias("gap"))
         .agg(F.count("*").alias("rows"), F.min("v").alias("first"))

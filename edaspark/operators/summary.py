@@ -22,30 +22,30 @@ from ..common import (
 )
 from .duplicates import duplicate_count
 from .frequencies import top_values, value_counts
+from .moments import Facts, column_facts
 from .quantiles import column_quantiles
-from .validate import count_missing
 
 QUARTILES = [0.25, 0.5, 0.75]
 STRONG = 0.8
+TILE = 8
 DESCRIBE_SCHEMA = (
     "ordinal int, column string, count bigint, mean double, std double, min double, "
     "q25 double, q50 double, q75 double, max double"
 )
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe_numeric(
+    df: DataFrame, columns: Sequence[str] | None = None, facts: Facts | None = None
+) -> DataFrame:
     """R1. One row per numeric column; quartiles are exact and interpolated."""
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
-    exprs, values = {}, {c: column(c).cast("double") for c in names}
-    for c, x in values.items():
-        exprs |= {(c, f.__name__): f(x) for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)}
-    found = aggregate_once(df, exprs)
-    quartiles = column_quantiles(df, values, QUARTILES)
-    rows = [
-        (i, c, found[c, "count"], found[c, "avg"], found[c, "stddev_samp"], found[c, "min"], *quartiles[c], found[c, "max"])
-        for i, c in enumerate(names)
-    ]
+    facts = facts or column_facts(df, names)
+    quartiles = column_quantiles(df, {c: column(c) for c in names}, QUARTILES, facts.rows)
+    rows = []
+    for i, c in enumerate(names):
+        m = facts.moments[c]
+        rows.append((i, c, m.n, m.mean, m.std, m.low, *quartiles[c], m.high))
     return small_frame(df.sparkSession, rows, DESCRIBE_SCHEMA)
 
 
@@ -96,13 +96,16 @@ def describe_category(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     )
 
 
-def describe(df: DataFrame) -> DataFrame:
+def describe(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """R1. Numeric columns if there are any, else categories."""
-    return describe_numeric(df) if numeric_columns(df) else describe_category(df)
+    return describe_numeric(df, facts=facts) if numeric_columns(df) else describe_category(df)
 
 
 def correlations(
-    df: DataFrame, columns: Sequence[str] | None = None, expressions: Mapping[str, Column] | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    expressions: Mapping[str, Column] | None = None,
+    facts: Facts | None = None,
 ) -> dict[tuple[str, str], float | None]:
     """R2. Pearson r of every pair over the rows where both are present; None if one is constant.
 
@@ -113,41 +116,43 @@ def correlations(
     if expressions is None:
         names = list(columns) if columns is not None else fields_of(df, NUMERIC_TYPES + (T.BooleanType,))
         expressions = {c: column(c).cast("double") for c in names}
-    names = list(expressions)
+    else:
+        names, facts = list(expressions), None
     wide = df.select(*[expressions[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    first: dict = {None: F.count("*")}
-    for i, _ in enumerate(names):
-        first |= {(i, f.__name__): f(f"x{i}") for f in (F.count, F.avg, F.min, F.max)}
-    known = aggregate_once(wide, first)
-    gaps = {i for i in range(len(names)) if known[i, "count"] < known[None]}
+    if facts is None:
+        facts = column_facts(wide)
+        known = [facts.moments[f"x{i}"] for i in range(len(names))]
+    else:
+        known = [facts.moments[c] for c in names]
+    gaps = {i for i, m in enumerate(known) if m.n < facts.rows}
 
     def key(i, j):
         """Statistics of i over rows where j is present: i's own when j has no gaps."""
         return (i, j) if j in gaps and i != j else (i, i)
 
     def shifted(i):
-        return F.col(f"x{i}") - F.lit(known[i, "avg"])
+        return f"(x{i} - ({known[i].mean!r}D))" if known[i].n else f"x{i}"
 
-    exprs = {}
+    exprs: dict = {}
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    for i, j in pairs:
-        exprs["p", i, j] = F.sum(shifted(i) * shifted(j))
+    # Pairs go by tiles, so that a pass over part of them reads few columns.
+    for i, j in sorted(pairs, key=lambda p: (p[0] // TILE, p[1] // TILE, p)):
+        exprs["p", i, j] = f"sum({shifted(i)} * {shifted(j)})"
         for a, b in {key(i, j), key(j, i)}:
-            present = F.col(f"x{b}").isNotNull()
-            value = shifted(a) if a == b else F.when(present, shifted(a))
-            exprs["s", a, b] = F.sum(value)
-            if a != b:
-                exprs["p", (a, b)] = F.sum(value * shifted(a))
-                raw = F.when(present, F.col(f"x{a}"))
-                exprs["n", a, b] = F.count(raw)
-                exprs["lo", a, b], exprs["hi", a, b] = F.min(raw), F.max(raw)
+            if a == b:
+                exprs["s", a, a] = f"sum({shifted(a)})"
+                continue
+            raw = f"if(x{b} is null, null, x{a})"
+            exprs["s", a, b] = f"sum(if(x{b} is null, null, {shifted(a)}))"
+            exprs["p", (a, b)] = f"sum(if(x{b} is null, null, {shifted(a)} * {shifted(a)}))"
+            exprs["n", a, b], exprs["lo", a, b], exprs["hi", a, b] = f"count({raw})", f"min({raw})", f"max({raw})"
     found = aggregate_once(wide, exprs)
 
     def stat(kind, a, b):
         if a != b:
             return found["p", (a, b)] if kind == "p" else found[kind, a, b]
-        own = {"n": "count", "lo": "min", "hi": "max"}
-        return known[a, own[kind]] if kind in own else found[kind, a, a] if kind == "p" else found["s", a, a]
+        own = {"n": known[a].n, "lo": known[a].low, "hi": known[a].high}
+        return own[kind] if kind in own else found[kind, a, a]
 
     out = {}
     for i, j in pairs:
@@ -179,8 +184,12 @@ class Report:
         self.spark = df.sparkSession
 
     @cached_property
+    def facts(self) -> Facts:
+        return column_facts(self.df)
+
+    @property
     def missing_facts(self) -> tuple[int, dict[str, int]]:
-        return count_missing(self.df)
+        return self.facts.rows, self.facts.missing
 
     @cached_property
     def duplicates(self) -> int:
@@ -188,14 +197,14 @@ class Report:
 
     @cached_property
     def correlation_facts(self) -> dict:
-        return correlations(self.df)
+        return correlations(self.df, facts=self.facts)
 
     def percents(self) -> dict[str, float | None]:
         rows, counts = self.missing_facts
         return {c: 100.0 * n / rows if rows else None for c, n in counts.items()}
 
     def summary(self) -> DataFrame:
-        return describe(self.df)
+        return describe(self.df, self.facts)
 
     def correlation(self) -> DataFrame:
         facts = [(a, b, r) for (a, b), r in self.correlation_facts.items()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, aggregate_once, column, fields_of, small_frame
+from ..common import FLOAT_TYPES, aggregate_once, column, fields_of, quoted, small_frame
 from .duplicates import duplicate_count
 
 
@@ -18,10 +18,10 @@ def missing_flag(df: DataFrame, name: str):
 def count_missing(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Row count and missing values of every column, in one pass."""
     floats = set(fields_of(df, FLOAT_TYPES))
-    exprs = {None: F.count("*")}
+    exprs = {None: "count(*)"}
     for c in df.columns:
-        gap = column(c).isNull() | F.isnan(column(c)) if c in floats else column(c).isNull()
-        exprs["c", c] = F.count_if(gap)
+        gap = f"{quoted(c)} is null"
+        exprs["c", c] = f"count_if({gap} or isnan({quoted(c)}))" if c in floats else f"count_if({gap})"
     found = aggregate_once(df, exprs)
     return found[None], {c: found["c", c] for c in df.columns}
 
@@ -41,7 +41,11 @@ def column_types(df: DataFrame) -> DataFrame:
 
 def issues(df: DataFrame) -> DataFrame:
     """V4. Missing values, types and duplicates as one long table."""
-    _, counts = count_missing(df)
+    return issue_table(df, count_missing(df)[1])
+
+
+def issue_table(df: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """V4 where the missing values are counted already."""
     rows = [("missing_values", c, str(n)) for c, n in counts.items() if n > 0]
     rows += [("data_types", c, t) for c, t in df.dtypes]
     rows += [("duplicates", None, str(duplicate_count(df)))]

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import materialise_table, nan_to_null, reject_nested, require_rows, small_frame
+from ..common import materialise_table, nan_to_null, reject_nested, small_frame
 from ..operators.convert import DatePlan, NarrowPlan, cast_columns, trim_strings
 from ..operators.duplicates import remove_duplicates
+from ..operators.moments import column_facts
 from ..operators.nulls import DROP_THRESHOLD, NullPlan
-from ..operators.outliers import IQR, ZSCORE, Bounds
+from ..operators.outliers import IQR, ZSCORE, Bounds, count_outliers
 from ..operators.summary import Report
-from ..operators.validate import issues
+from ..operators.validate import issue_table
 from ..sources.scan import load
 
 
@@ -34,20 +35,20 @@ class Tidied:
 
     frame: DataFrame
     null_plan: NullPlan
-    rows: int
 
 
 def tidy(df: DataFrame, threshold: float = DROP_THRESHOLD, schema: dict[str, str] | None = None) -> Tidied:
     """Null policy, trimming, casts, dates, duplicates. Numbers stay as wide as they came."""
     reject_nested(df)
-    df = require_rows(nan_to_null(df))
+    df = nan_to_null(df)
     plan = NullPlan.fit(df, threshold)
+    if plan.rows == 0:
+        raise ValueError("Empty dataset.")
     filled = trim_strings(plan.apply(df))
     if schema:
         filled = cast_columns(filled, schema)
     dated = DatePlan.fit(filled).apply(filled)
-    frame = materialise_table(remove_duplicates(dated))
-    return Tidied(frame, plan, frame.count())
+    return Tidied(materialise_table(remove_duplicates(dated)), plan)
 
 
 def clean(df: DataFrame, threshold: float = DROP_THRESHOLD, exclude: Sequence[str] = ()) -> DataFrame:
@@ -68,33 +69,29 @@ def run(
     ``narrowing`` stores the clean table in the narrowest types that hold it; the
     statistics before it are all taken in full width.
     """
-    found = issues(df)
     tidied = tidy(df, threshold, schema)
     frame = tidied.frame
-    fences = Bounds.fit(frame, IQR, exclude)
+    facts = column_facts(frame)
+    fences = Bounds.fit(frame, IQR, exclude, facts)
+    scores = Bounds.fit(frame, ZSCORE, exclude, facts)
+    by_fence, by_score = count_outliers(frame, [fences, scores])
     capped = fences.cap(frame)
-    if narrowing:
-        capped = NarrowPlan.fit(capped).apply(capped)
     stages = [
         ("loaded", tidied.null_plan.rows, len(df.columns)),
-        ("cleaned", tidied.rows, len(frame.columns)),
+        ("cleaned", facts.rows, len(frame.columns)),
     ]
-    spark = df.sparkSession
+    spark, outliers = df.sparkSession, "column string, outliers bigint"
     return PipelineResult(
-        clean=capped,
-        issues=found,
+        clean=NarrowPlan.fit(capped).apply(capped) if narrowing else capped,
+        issues=issue_table(df, tidied.null_plan.missing),
         null_plan=tidied.null_plan.table(df),
-        iqr_outliers=_counted(spark, fences, frame),
-        zscore_outliers=_counted(spark, Bounds.fit(frame, ZSCORE, exclude), frame),
+        iqr_outliers=small_frame(spark, list(by_fence.items()), outliers),
+        zscore_outliers=small_frame(spark, list(by_score.items()), outliers),
         report=Report(capped).basic(),
         stages=small_frame(spark, stages, "stage string, rows bigint, cols int"),
     )
 
 
-def _counted(spark: SparkSession, bounds: Bounds, frame: DataFrame) -> DataFrame:
-    return small_frame(spark, list(bounds.counts(frame).items()), "column string, outliers bigint")
-
-
 def run_path(spark: SparkSession, path: str, **options) -> PipelineResult:
     """E1 on a file or table by name."""
     return run(load(spark, path), **options)

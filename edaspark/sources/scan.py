@@ -20,7 +20,7 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None, mul
         if name.endswith(".csv"):
             return load_csv(spark, path, schema, multiline)
         if name.endswith(".parquet"):
-            return spread(nan_to_null(spark.read.parquet(path)))
+            return nan_to_null(spark.read.parquet(path))
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError("File not found") from e
@@ -34,12 +34,6 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None, mul
     raise ValueError("Unsupported file format")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all task slots on a scan with fewer splits than slots; larger scans stay as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def load_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
 ) -> DataFrame:
