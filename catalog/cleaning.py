@@ -104,9 +104,25 @@ def column_listing(spark, folder):
     return roles.listing(table(spark, folder, "customer"))
 
 
-@query("chart_candidates")
+INFERRED_ROLES = (
+    ("id", "num"), ("padded", "num"), ("gaps", "num"), ("price", "num"), ("flag", "num"), ("flag_gaps", "cat"),
+    ("mixed", "cat"), ("suffixed", "cat"), ("nothing", "num"),
+)
+
+
+@query(
+    "chart_candidates",
+    " union all ".join(
+        f"select '{chart}' as chart, '{slot}' as slot, '{c}' as \"column\""
+        for chart, slot, kind in roles.CHART_SLOTS
+        for c, role in INFERRED_ROLES
+        if kind in ("all", role)
+    ),
+)
 def chart_candidates(spark, folder):
-    return roles.chart_candidates(table(spark, folder, "events"))
+    """Roles follow from the types that all values of a table of texts support."""
+    texts = scan.normalise_na(table(spark, folder, "orders", *TEXT_COLUMNS))
+    return roles.chart_candidates(scan.infer_types(texts))
 
 
 @query("preview", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer order by c_custkey limit 5")
@@ -127,9 +143,15 @@ def null_counts(spark, folder):
     return validate.null_counts(dirty(spark, folder))
 
 
-@query("column_types")
+@query(
+    "column_types",
+    """select ordinal, "column", type from (values (0, 'o_orderkey', 'bigint'), (1, 'iso', 'timestamp_ntz'),
+      (2, 'month_first', 'timestamp_ntz'), (3, 'day_first', 'timestamp_ntz'), (4, 'stamped', 'timestamp_ntz'),
+      (5, 'mixed', 'string'), (6, 'year', 'timestamp_ntz'), (7, 'digit', 'string')) as t(ordinal, "column", type)""",
+)
 def column_types(spark, folder):
-    return validate.column_types(table(spark, folder, "lineitem"))
+    """Types after dates have been looked for in every text."""
+    return validate.column_types(convert.detect_dates(table(spark, folder, "orders", *DAY_COLUMNS)))
 
 
 @query("duplicate_count", f"{DIRTY} select {COPIES} as duplicates")

@@ -90,9 +90,21 @@ def value_counts(spark, folder):
     return categories.bars(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("dashboard")
+PANELS = (("event_id", "num"), ("user_id", "num"), ("value", "num"), ("ts", "cat"), ("event_type", "cat"))
+DASH_LONG = "ev as (" + " union all ".join(f"select '{c}' as col, {c}::double as v from events" for c, k in PANELS if k == "num") + ")"
+
+
+@query(
+    "dashboard",
+    f"""with {DASH_LONG}, sized as ({_sized(f"({_facts('ev', 'v', 'col')})", "col in ('event_id', 'user_id')")}),
+    series as (select col, 'histogram' as series, bin::bigint as position, null as label, "left" as x, count::double as y from ({_hist('ev', 'sized', ['col'])})
+      union all select col, 'kde', point::bigint, null, x, density * area from ({_curve('ev', 'sized', ['col'], 200, 0)})
+      union all select "column", 'bar', rank::bigint, value, null, n::double from ({top_sql('events', ('ts', 'event_type'), 10, percent=False)})),
+    panels as (select * from (values {', '.join(f"({i}, {i // 3}, {i % 3}, '{c}', '{k}')" for i, (c, k) in enumerate(PANELS))}) as t(panel, grid_row, grid_col, col, role))
+    select panel, grid_row, grid_col, col as "column", role, series, position, label, {r('x', 4)} as x, {r('y', 4)} as y from panels join series using (col)""",
+)
 def dashboard_tables(spark, folder):
-    return dashboard.dashboard(table(spark, folder, "events").drop("props"))
+    return rounded(dashboard.dashboard(table(spark, folder, "events").drop("props")), 4)
 
 
 @query(

@@ -31,14 +31,17 @@ def group_facts(long: DataFrame, keys: Sequence[str], value: str = VALUE) -> Dat
     """Per group: n, lo, hi, std, mean, q1, q2, q3 and roughly how many distinct values."""
     v = column(value)
     spread = long.groupBy(*keys).agg(
+        F.count(v).alias("rows"),
         F.min(v).alias("lo"),
         F.max(v).alias("hi"),
         F.stddev_samp(v).alias("std"),
         F.avg(v).alias("mean"),
         F.approx_count_distinct(v).alias("distinct"),
     )
-    quartiles = grouped_quantiles(long, keys, value, [0.25, 0.5, 0.75])
-    joined = spread.join(quartiles, list(keys))
+    spread = materialise(spread)
+    total = spread.agg(F.sum("rows")).first()[0] or 0
+    quartiles = grouped_quantiles(long, keys, value, [0.25, 0.5, 0.75], total)
+    joined = spread.drop("rows").join(quartiles, list(keys))
     quarter = [F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)]
     return materialise(joined.select(*keys, "n", "lo", "hi", "std", "mean", "distinct", *quarter))
 

@@ -69,7 +69,7 @@ def _sketch_columns(wide, columns, probs, margin):
     exprs = {}
     for i in columns:
         exprs["n", i] = f"count(v{i})"
-        exprs["at", i] = f"kll_sketch_get_quantile_double(kll_sketch_agg_double(v{i}, {SKETCH_SIZE}), {asked})"
+        exprs["at", i] = _sketched_quantiles(f"v{i}", asked)
     found = aggregate_once(wide, exprs)
     counts, brackets = {}, {}
     for i in columns:
@@ -110,8 +110,7 @@ def _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows):
                 inner = f"v{i} >= {_literal(lo)} and v{i} <= {_literal(hi)}"
                 kept = f"if({inner}, v{i}, null)"
                 exprs["below", i, j], exprs["in", i, j] = f"count_if(v{i} < {_literal(lo)})", f"count_if({inner})"
-                sketch = f"kll_sketch_agg_double({kept}, {SKETCH_SIZE})"
-                exprs["at", i, j] = f"kll_sketch_get_quantile_double({sketch}, {grid})"
+                exprs["at", i, j] = _sketched_quantiles(kept, grid)
         found = aggregate_once(wide, exprs)
         brackets = dict(brackets)
         for i in wide_ones:
@@ -174,6 +173,12 @@ def _pick_columns(wide, counts, brackets, todo, probs):
     return out
 
 
+def _sketched_quantiles(value: str, ranks: str) -> str:
+    """Aggregate expression; null without values, of which the sketch alone would make an error."""
+    sketch = f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
+    return f"if(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {ranks}), null)"
+
+
 def _literal(x: float) -> str:
     return f"double('{x!r}')"
 
@@ -182,10 +187,12 @@ def _array(values) -> str:
     return f"array({', '.join(map(_literal, values))})"
 
 
-def grouped_quantiles(rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def grouped_quantiles(
+    rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], total: int | None = None
+) -> DataFrame:
     """One row per group: the keys, ``n`` non-null values, ``q`` array of quantiles."""
     probs = sorted(probs)
-    if rows.count() <= SMALL_ROWS:
+    if (rows.count() if total is None else total) <= SMALL_ROWS:
         v = column(value).cast("double")
         return (
             rows.groupBy(*[column(k) for k in keys])
@@ -243,8 +250,8 @@ def _narrowed(rows, names, probs, brackets, margin, bracket_rows):
     """Sketch again inside the brackets of groups where too many rows lie inside them."""
     inside = "inside"
     brackets = brackets.withColumn(inside, F.col("n") * (2.0 * margin * len(probs)))
-    steps = round(1 / margin)
-    grid = F.array(*[F.lit(s / steps) for s in range(steps + 1)])
+    steps = round(1 / min(margin, 0.5))
+    grid = _array(s / steps for s in range(steps + 1))
     bounds = [f"{end}{i}" for i in range(len(probs)) for end in ("lo", "hi")]
     for _ in range(MAX_NARROWINGS):
         wide = brackets.filter(F.col(inside) > bracket_rows)
@@ -253,11 +260,11 @@ def _narrowed(rows, names, probs, brackets, margin, bracket_rows):
         joined = join_group_stats(rows, wide, names, "n")
         aggs = []
         for i in range(len(probs)):
-            kept = F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), F.col("v"))
+            kept = f"if(v >= lo{i} and v <= hi{i}, v, null)"
             aggs += [
-                F.count_if(F.col("v") < F.col(f"lo{i}")).alias(f"below{i}"),
-                F.count(kept).alias(f"in{i}"),
-                F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(kept, F.lit(SKETCH_SIZE)), grid).alias(f"at{i}"),
+                F.expr(f"count_if(v < lo{i}) as below{i}"),
+                F.expr(f"count({kept}) as in{i}"),
+                F.expr(f"{_sketched_quantiles(kept, grid)} as at{i}"),
             ]
         sketched = joined.groupBy(*names, "n", *bounds).agg(*aggs)
         fresh = []

@@ -17,6 +17,7 @@ from ..common import (
     column,
     join_group_stats,
     materialise,
+    materialise_table,
     nan_to_null,
     numeric_columns,
     small_frame,
@@ -95,7 +96,7 @@ def _with_rank(rows: DataFrame, ranks: DataFrame, value: str, rank: str) -> Data
         return rows.join(F.broadcast(ranks.drop("n")), value, "left").drop(value)
     joined = join_group_stats(rows.filter(F.col(value).isNotNull()), ranks, [value], "n").drop("n", value)
     gaps = rows.filter(F.col(value).isNull()).drop(value).withColumn(rank, F.lit(None).cast("double"))
-    return materialise(joined.unionByName(gaps))
+    return materialise_table(joined.unionByName(gaps))
 
 
 def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
