@@ -362,7 +362,7 @@ def _bounds(source, columns, method):
         spread = f"stddev_samp({c})"
         if method == "iqr":
             outside = f"count(*) filter ({c} < {low} or {c} > {high})"
-            quarters = f"{r(f'quantile_cont({c}, 0.25)')} as q1, {r(f'quantile_cont({c}, 0.75)')} as q3"
+            quarters = f"{r(f'quantile_cont({c}, 0.25)', 4)} as q1, {r(f'quantile_cont({c}, 0.75)', 4)} as q3"
         else:
             low, high = f"avg({c}) - 3 * {spread}", f"avg({c}) + 3 * {spread}"
             mean = f"(select avg({c}) from {source})"
@@ -380,10 +380,10 @@ LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quant
 
 
 def _bounds_table(df, method):
-    return rounded(rounded(outliers.Bounds.fit(df, method).table(df)), 4)
+    return rounded(outliers.Bounds.fit(df, method).table(df), 4)
 
 
-@query("bounds", f"select \"column\", method, {r('q1', 4)} as q1, {r('q3', 4)} as q3, mean, std, lower, upper, n_outliers from ({_bounds('lineitem', LINE_NUMBERS, 'iqr')})")
+@query("bounds", _bounds("lineitem", LINE_NUMBERS, "iqr"))
 def bounds(spark, folder):
     return _bounds_table(table(spark, folder, "lineitem"), "iqr")
 
