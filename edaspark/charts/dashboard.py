@@ -11,7 +11,7 @@ from ..common import small_frame
 from ..sources.roles import CAT, NUM, columns_with_role
 from .categories import bars
 from .density import CURVE_POINTS, curves, scaled
-from .facts import COLUMN, group_facts, integer_columns, melted
+from .facts import COLUMN, column_group_facts, integer_columns, melted
 from .histogram import bin_counts, with_bins
 
 PANELS_PER_ROW = 3
@@ -27,7 +27,7 @@ def dashboard(df: DataFrame, overrides: Mapping[str, str] | None = None) -> Data
     parts = []
     if numeric:
         long = melted(df, numeric)
-        facts = group_facts(long, [COLUMN])
+        facts = column_group_facts(df, numeric)
         sized = with_bins(facts, None, F.col(COLUMN).isin(*integer_columns(df, numeric)))
         counts = bin_counts(long, [COLUMN], sized)
         curve = scaled(curves(long, [COLUMN], facts, CURVE_POINTS), [COLUMN], sized)

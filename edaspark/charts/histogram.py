@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import join_group_stats, materialise, require_columns
-from .facts import COLUMN, VALUE, group_facts, integer_columns, melted
+from .facts import COLUMN, VALUE, column_group_facts, integer_columns, melted
 
 
 def with_bins(facts: DataFrame, bins: int | None = None, whole: Column | None = None) -> DataFrame:
@@ -58,5 +58,5 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int | None = None) ->
     """C1, D3. Histogram of each numeric column; automatic bins unless a number is given."""
     require_columns(df, columns)
     long = melted(df, columns)
-    facts = group_facts(long, [COLUMN])
+    facts = column_group_facts(df, columns)
     return bin_counts(long, [COLUMN], with_bins(facts, bins, F.col(COLUMN).isin(*integer_columns(df, columns))))

@@ -20,30 +20,43 @@ FLOAT_PATTERN = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|in
 # All Unicode white space plus the four ASCII separators, at either end.
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
+_YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
+_CLOCK = "([01]?[0-9]|2[0-3]):[0-5][0-9]"
+_SECONDS = f"{_CLOCK}:[0-5][0-9]"
+
 # Date layouts with the shape of text each fits; month-first stands before day-first.
-DATE_LAYOUTS = (
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", ("yyyy-M-d",)),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$", ("yyyy-M-d H:mm",)),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", ("yyyy-M-d H:mm:ss",)),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}\.[0-9]{1,6}$", ("yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]",)),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}$", ("yyyy-M-d'T'H:mm",)),
-    (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{2}:[0-9]{2}$", ("yyyy-M-d'T'H:mm:ss",)),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", ("yyyy/M/d",)),
-    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", ("yyyy/M/d H:mm:ss",)),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ("M/d/yyyy", "d/M/yyyy")),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", ("M/d/yyyy H:mm", "d/M/yyyy H:mm")),
-    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", ("M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss")),
-    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", ("M-d-yyyy", "d-M-yyyy")),
-    (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", ("M.d.yyyy", "d.M.yyyy")),
-    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", ("d MMM yyyy",)),
-    (r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", ("d-MMM-yyyy",)),
-    (r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$", ("MMM d, yyyy",)),
-    (r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$", ("d MMMM yyyy",)),
-    (r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}$", ("MMMM d, yyyy",)),
-    (r"^[0-9]{8}$", ("yyyyMMdd",)),
-    (r"^[0-9]{4}-[0-9]{2}$", ("yyyy-MM",)),
-    (r"^[0-9]{4}$", ("yyyy",)),
-)
+# The shapes leave little to fail in parsing, where a failure costs an exception.
+DATE_LAYOUTS = tuple(
+    (f"^{shape}$", layout)
+    for shape, layout in (
+        (f"{_YEAR}-{_MONTH}-{_DAY}", "yyyy-M-d"),
+        (f"{_YEAR}-{_MONTH}-{_DAY} {_CLOCK}", "yyyy-M-d H:mm"),
+        (f"{_YEAR}-{_MONTH}-{_DAY} {_SECONDS}", "yyyy-M-d H:mm:ss"),
+        (rf"{_YEAR}-{_MONTH}-{_DAY} {_SECONDS}\.[0-9]{{1,6}}", "yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+        (f"{_YEAR}-{_MONTH}-{_DAY}T{_CLOCK}", "yyyy-M-d'T'H:mm"),
+        (f"{_YEAR}-{_MONTH}-{_DAY}T{_SECONDS}", "yyyy-M-d'T'H:mm:ss"),
+        (f"{_YEAR}/{_MONTH}/{_DAY}", "yyyy/M/d"),
+        (f"{_YEAR}/{_MONTH}/{_DAY} {_SECONDS}", "yyyy/M/d H:mm:ss"),
+        (f"{_MONTH}/{_DAY}/{_YEAR}", "M/d/yyyy"),
+        (f"{_DAY}/{_MONTH}/{_YEAR}", "d/M/yyyy"),
+        (f"{_MONTH}/{_DAY}/{_YEAR} {_CLOCK}", "M/d/yyyy H:mm"),
+        (f"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}", "d/M/yyyy H:mm"),
+        (f"{_MONTH}/{_DAY}/{_YEAR} {_SECONDS}", "M/d/yyyy H:mm:ss"),
+        (f"{_DAY}/{_MONTH}/{_YEAR} {_SECONDS}", "d/M/yyyy H:mm:ss"),
+        (f"{_MONTH}-{_DAY}-{_YEAR}", "M-d-yyyy"),
+        (f"{_DAY}-{_MONTH}-{_YEAR}", "d-M-yyyy"),
+        (rf"{_MONTH}\.{_DAY}\.{_YEAR}", "M.d.yyyy"),
+        (rf"{_DAY}\.{_MONTH}\.{_YEAR}", "d.M.yyyy"),
+        (f"{_DAY} [A-Za-z]{{3}} {_YEAR}", "d MMM yyyy"),
+        (f"{_DAY}-[A-Za-z]{{3}}-{_YEAR}", "d-MMM-yyyy"),
+        (f"[A-Za-z]{{3}} {_DAY}, {_YEAR}", "MMM d, yyyy"),
+        (f"{_DAY} [A-Za-z]{{3,9}} {_YEAR}", "d MMMM yyyy"),
+        (f"[A-Za-z]{{3,9}} {_DAY}, {_YEAR}", "MMMM d, yyyy"),
+        (f"{_YEAR}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])", "yyyyMMdd"),
+        (f"{_YEAR}-(0[1-9]|1[0-2])", "yyyy-MM"),
+        (_YEAR, "yyyy"),
+    )
+)
 
 
 def na_to_null(c: Column) -> Column:

@@ -56,24 +56,22 @@ class DatePlan:
         texts = fields_of(df, (T.StringType,))
         if not texts:
             return cls(())
-        # Any one value settles the shape, so only columns that can pass are tested in full.
-        shapes = {}
+        # A layout must fit any one value, so only columns that can pass are tested in full.
+        layouts = {}
         for c, sample in _one_value_each(df, texts).items():
-            for shape, layouts in DATE_LAYOUTS:
-                if sample is not None and re.match(shape, sample):
-                    shapes[c] = shape, layouts
-                    break
+            fitting = [(shape, x) for shape, x in DATE_LAYOUTS if sample is not None and re.match(shape, sample)]
+            if fitting:
+                layouts[c] = fitting
         exprs = {}
-        for c, (shape, layouts) in shapes.items():
+        for c, fitting in layouts.items():
             exprs[c, None] = F.count(column(c))
-            for layout in layouts:
+            for shape, layout in fitting:
                 exprs[c, layout] = F.count(parsed_time(column(c), shape, layout))
         counts = aggregate_once(df, exprs)
         found = []
-        for c, (shape, layouts) in shapes.items():
-            fitting = [x for x in layouts if counts[c, x] == counts[c, None] > 0]
-            if fitting:
-                found.append((c, shape, fitting[0]))
+        for c, fitting in layouts.items():
+            full = [(c, shape, x) for shape, x in fitting if counts[c, x] == counts[c, None] > 0]
+            found += full[:1]
         return cls(tuple(found))
 
     def apply(self, df: DataFrame) -> DataFrame:

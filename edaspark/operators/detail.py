@@ -19,8 +19,9 @@ from ..common import (
     numeric_columns,
     reject_nested,
     small_frame,
+    spread,
 )
-from .frequencies import top_values, value_counts
+from .frequencies import distinct_counts, top_values, value_counts
 from .quantiles import column_quantiles
 from .summary import Report, correlations, micros
 from .validate import missing_flag
@@ -125,7 +126,8 @@ def text_detail(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def word_counts(df: DataFrame, name: str) -> DataFrame:
     """D5. How often each word (run of letters and digits, lower case) occurs in whole texts."""
     words = F.explode(F.split(F.lower(column(name)), r"[^\p{L}\p{N}]+")).alias("word")
-    return df.select(words).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    texts = spread(df.select(column(name)), df.count())
+    return texts.select(words).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def time_detail(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -172,9 +174,7 @@ class Detail(Report):
     @cached_property
     def distinct_facts(self) -> dict[str, tuple[int, int]]:
         """Distinct values, and values seen once, of every column."""
-        stats = value_counts(self.df, self.df.columns).groupBy("column").agg(F.count("*"), F.count_if(F.col("n") == 1))
-        found = {r[0]: (r[1], r[2]) for r in stats.collect()}
-        return {c: found.get(c, (0, 0)) for c in self.df.columns}
+        return distinct_counts(self.df)
 
     def variables(self) -> DataFrame:
         """D1. Kind, missing, distinct and unique values of every column."""

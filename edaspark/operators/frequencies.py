@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, column
+from ..common import FLOAT_TYPES, INTEGER_TYPES, column, quoted
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -27,6 +27,30 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("slot", "value").agg(F.count("*").alias("n")).select(label.alias("column"), "value", "n")
 
 
+def distinct_counts(df: DataFrame) -> dict[str, tuple[int, int]]:
+    """Distinct non-null values, and how many of them occur once, for every column.
+
+    Whole numbers, fractions and everything else are counted apart, each in their own type.
+    """
+    kinds: dict[str, list[tuple[str, str]]] = {}
+    for field in df.schema.fields:
+        q = quoted(field.name)
+        if isinstance(field.dataType, INTEGER_TYPES):
+            kinds.setdefault("whole", []).append((field.name, f"bigint({q})"))
+        elif isinstance(field.dataType, FLOAT_TYPES):
+            kinds.setdefault("fraction", []).append((field.name, f"double({q}) + 0"))
+        else:
+            kinds.setdefault("text", []).append((field.name, f"string({q})"))
+    out = {c: (0, 0) for c in df.columns}
+    for named in kinds.values():
+        pairs = ", ".join(f"{i}, {expression}" for i, (_, expression) in enumerate(named))
+        long = df.selectExpr(f"stack({len(named)}, {pairs}) as (k, v)").filter("v is not null")
+        counts = long.groupBy("k", "v").agg(F.count("*").alias("n"))
+        for k, distinct, once in counts.groupBy("k").agg(F.count("*"), F.count_if(F.col("n") == 1)).collect():
+            out[named[k][0]] = (distinct, once)
+    return out
+
+
 def top_values(counts: DataFrame, k: int, keys: Sequence[str] = ("column",)) -> DataFrame:
     """Top k by count, ties by value. The rank limit is applied before the shuffle too."""
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), F.asc("value"))

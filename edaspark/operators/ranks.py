@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import (
-    BROADCAST_ROWS,
     column,
     join_group_stats,
     materialise,
@@ -22,25 +21,27 @@ from ..common import (
     numeric_columns,
     small_frame,
 )
+from .moments import Facts, Moments
 from .summary import correlations
 
 # Values per slice aimed at, and the most slices one column is cut into.
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 4096
+# Ranks (two numbers each) that may be broadcast.
+BROADCAST_RANKS = 1_000_000
 
 
 def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``(value, n, rank)`` for each distinct non-null value; equal values share their mean rank."""
     value = column(name).cast("double") + F.lit(0.0)
     present = df.select(value.alias("value")).filter("value is not null")
-    counts = present.groupBy("value").agg(F.count("*").alias("n"))
-    rows = present.count()
+    counts = materialise(present.groupBy("value").agg(F.count("*").alias("n")))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
     slices = min(MAX_SLICES, -(-rows // slice_rows))
     if slices > 1:
-        counts = materialise(counts)
         shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
         cuts = present.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value", F.lit(4096)), shares)).first()[0]
-        counts = counts.withColumn("slice", _slice_of(counts, sorted(set(cuts))))
+        counts = counts.withColumn("slice", _slice_of(sorted(set(cuts))))
     else:
         counts = counts.withColumn("slice", F.lit(0))
     within = Window.partitionBy("slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -57,7 +58,7 @@ def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS) -> Dat
     return ranked.select("value", "n", mean_rank.alias("rank"))
 
 
-def _slice_of(counts: DataFrame, cuts: Sequence[float]):
+def _slice_of(cuts: Sequence[float]):
     """Index of the slice a value falls in, by halving the list of cuts."""
     bounds = F.array(*map(F.lit, cuts))
     lo, hi = F.lit(0), F.lit(len(cuts))
@@ -80,22 +81,31 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D7. Rank correlation ``(x, y, r)`` of every pair; ranks are over each column's values."""
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
-    ranked = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
-    for i in range(len(names)):
-        ranks = materialise(average_ranks(ranked, f"x{i}")).select(
-            F.col("value").alias(f"x{i}"), F.col("n"), F.col("rank").alias(f"r{i}")
+    values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    ranked, budget, moments = values, BROADCAST_RANKS, {}
+    for i, c in enumerate(names):
+        ranks = materialise(average_ranks(values, f"x{i}")).select(
+            F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(f"r{i}")
         )
-        ranked = _with_rank(ranked, ranks, f"x{i}", f"r{i}")
-    found = correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)})
+        stats = [F.count("*"), F.sum("n"), F.max("n"), F.min(f"r{i}"), F.max(f"r{i}")]
+        distinct, n, most, low, high = ranks.agg(*stats).first()
+        moments[c] = Moments(n or 0, ((n or 0) + 1) / 2, None, low, high)
+        if distinct <= budget:
+            budget -= distinct
+            ranked = ranked.join(F.broadcast(ranks.drop("n")), f"x{i}", "left").drop(f"x{i}")
+        else:
+            ranked, budget = _joined(ranked, ranks, i, (distinct, n, most)), BROADCAST_RANKS
+    rows = df.count()
+    facts = Facts(rows, {c: rows - m.n for c, m in moments.items()}, moments)
+    found = correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)}, facts=facts)
     return small_frame(df.sparkSession, [(a, b, r) for (a, b), r in found.items()], "x string, y string, r double")
 
 
-def _with_rank(rows: DataFrame, ranks: DataFrame, value: str, rank: str) -> DataFrame:
-    """Replace a value by its rank; a small rank table is broadcast, a large one meets hot values apart."""
-    if ranks.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(ranks.drop("n")), value, "left").drop(value)
-    joined = join_group_stats(rows.filter(F.col(value).isNotNull()), ranks, [value], "n").drop("n", value)
-    gaps = rows.filter(F.col(value).isNull()).drop(value).withColumn(rank, F.lit(None).cast("double"))
+def _joined(rows: DataFrame, ranks: DataFrame, i: int, sizes: tuple[int, int, int]) -> DataFrame:
+    """Ranks too many to broadcast: rows meet them by a shuffle, those of hot values apart."""
+    present = rows.filter(F.col(f"x{i}").isNotNull())
+    joined = join_group_stats(present, ranks, [f"x{i}"], "n", sizes).drop("n", f"x{i}")
+    gaps = rows.filter(F.col(f"x{i}").isNull()).drop(f"x{i}").withColumn(f"r{i}", F.lit(None).cast("double"))
     return materialise_table(joined.unionByName(gaps))
 
 

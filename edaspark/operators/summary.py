@@ -109,6 +109,8 @@ def correlations(
 ) -> dict[tuple[str, str], float | None]:
     """R2. Pearson r of every pair over the rows where both are present; None if one is constant.
 
+    ``facts`` spares a pass where the moments of the columns (or expressions) are known.
+
     Columns are shifted by their means first, so that sums of products, which compile to
     tight loops, lose no precision. Columns without gaps share their sums between pairs.
     """
@@ -117,7 +119,7 @@ def correlations(
         names = list(columns) if columns is not None else fields_of(df, NUMERIC_TYPES + (T.BooleanType,))
         expressions = {c: column(c).cast("double") for c in names}
     else:
-        names, facts = list(expressions), None
+        names = list(expressions)
     wide = df.select(*[expressions[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     if facts is None:
         facts = column_facts(wide)

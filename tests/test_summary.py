@@ -131,7 +131,7 @@ def test_nested_columns_are_refused(spark):
 def test_rank_correlation_like_pandas(monkeypatch, spark, broadcast, slice_rows):
     from edaspark import common
 
-    monkeypatch.setattr(ranks, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(ranks, "BROADCAST_RANKS", broadcast)
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(common, "HOT_SHARE", 4)
     monkeypatch.setattr(ranks.average_ranks, "__defaults__", (slice_rows,))
