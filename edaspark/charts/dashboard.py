@@ -11,8 +11,8 @@ from ..common import small_frame
 from ..sources.roles import CAT, NUM, columns_with_role
 from .categories import bars
 from .density import CURVE_POINTS, curves, scaled
-from .facts import COLUMN, column_group_facts, integer_columns, melted
-from .histogram import bin_counts, with_bins
+from .facts import COLUMN, column_group_facts, melted
+from .histogram import column_bin_counts, column_bins
 
 PANELS_PER_ROW = 3
 
@@ -27,9 +27,9 @@ def dashboard(df: DataFrame, overrides: Mapping[str, str] | None = None) -> Data
     parts = []
     if numeric:
         long = melted(df, numeric)
-        facts = column_group_facts(df, numeric)
-        sized = with_bins(facts, None, F.col(COLUMN).isin(*integer_columns(df, numeric)))
-        counts = bin_counts(long, [COLUMN], sized)
+        facts = column_group_facts(df, numeric, distinct=True)
+        sized = column_bins(df, facts)
+        counts = column_bin_counts(df, sized)
         curve = scaled(curves(long, [COLUMN], facts, CURVE_POINTS), [COLUMN], sized)
         parts.append(_series(counts, "histogram", "bin", none, "left", "count"))
         parts.append(_series(curve, "kde", "point", none, "x", "y"))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import aggregate_once, column, join_group_stats, materialise, nan_to_null, require_columns, small_frame, spread
-from .facts import COLUMN, VALUE, column_group_facts, integer_columns, melted
-from .histogram import with_bins
+from .facts import COLUMN, VALUE, column_group_facts, melted
+from .histogram import column_bins
 
 CURVE_POINTS = 200
 VIOLIN_POINTS = 100
@@ -64,8 +64,8 @@ def kde(df: DataFrame, columns: Sequence[str], points: int = CURVE_POINTS) -> Da
     """C2. Density curve of each numeric column, also scaled to the histogram's counts (``y``)."""
     require_columns(df, columns)
     long = melted(df, columns)
-    facts = column_group_facts(df, columns)
-    sized = with_bins(facts, None, F.col(COLUMN).isin(*integer_columns(df, columns)))
+    facts = column_group_facts(df, columns, distinct=True)
+    sized = column_bins(df, facts)
     return scaled(curves(long, [COLUMN], facts, points), [COLUMN], sized)
 
 

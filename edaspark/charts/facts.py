@@ -57,18 +57,19 @@ def group_facts(long: DataFrame, keys: Sequence[str], value: str = VALUE) -> Dat
     return materialise(joined.select(*keys, "n", "lo", "hi", "std", "mean", "distinct", *quarter))
 
 
-def column_group_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def column_group_facts(df: DataFrame, columns: Sequence[str], distinct: bool = False) -> DataFrame:
     """The same facts with one group per column, taken without melting the table."""
     df = nan_to_null(df)
     facts = column_facts(df, columns)
     values = {c: column(c).cast("double") for c in columns}
     quartiles = column_quantiles(df, values, [0.25, 0.5, 0.75], facts.rows)
-    distinct = aggregate_once(df, {c: f"approx_count_distinct(double({quoted(c)}))" for c in columns})
+    apart = {c: f"approx_count_distinct(double({quoted(c)}))" for c in columns}
+    apart = aggregate_once(df, apart) if distinct else {}
     rows = []
     for c in columns:
         m = facts.moments[c]
         if m.n:
-            rows.append((c, m.n, m.low, m.high, m.std, m.mean, distinct[c], *quartiles[c]))
+            rows.append((c, m.n, m.low, m.high, m.std, m.mean, apart.get(c), *quartiles[c]))
     schema = f"{COLUMN} string, n bigint, lo double, hi double, std double, mean double, distinct bigint, "
     return small_frame(df.sparkSession, rows, schema + "q1 double, q2 double, q3 double")
 

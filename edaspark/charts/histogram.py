@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import join_group_stats, materialise, require_columns
-from .facts import COLUMN, VALUE, column_group_facts, integer_columns, melted
+from ..common import join_group_stats, nan_to_null, quoted, require_columns, small_frame
+from .facts import COLUMN, VALUE, column_group_facts, integer_columns
 
 
 def with_bins(facts: DataFrame, bins: int | None = None, whole: Column | None = None) -> DataFrame:
@@ -47,7 +47,13 @@ def bin_counts(long: DataFrame, keys: Sequence[str], sized: DataFrame, value: st
         .groupBy(*keys, "bin")
         .agg(F.count("*").alias("count"))
     )
-    every = params.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return _with_edges(counted, keys, sized)
+
+
+def _with_edges(counted, keys, sized):
+    """Every bin with its edges; those that hold nothing count 0."""
+    bins = F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)
+    every = sized.select(*keys, "left", "width", F.explode(bins).alias("bin"))
     edge = F.col("left") + F.col("bin") * F.col("width")
     edges = every.select(*keys, "bin", edge.alias("left"), (edge + F.col("width")).alias("right"))
     full = edges.join(counted, [*keys, "bin"], "left")
@@ -57,6 +63,27 @@ def bin_counts(long: DataFrame, keys: Sequence[str], sized: DataFrame, value: st
 def histogram(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> DataFrame:
     """C1, D3. Histogram of each numeric column; automatic bins unless a number is given."""
     require_columns(df, columns)
-    long = melted(df, columns)
-    facts = column_group_facts(df, columns)
-    return bin_counts(long, [COLUMN], with_bins(facts, bins, F.col(COLUMN).isin(*integer_columns(df, columns))))
+    return column_bin_counts(df, column_bins(df, column_group_facts(df, columns), bins))
+
+
+def column_bins(df: DataFrame, facts: DataFrame, bins: int | None = None) -> DataFrame:
+    """Bins for facts with one group per column, whole numbers treated as such."""
+    whole = integer_columns(df, df.columns)
+    return with_bins(facts, bins, F.col(COLUMN).isin(*whole) if whole else None)
+
+
+def column_bin_counts(df: DataFrame, sized: DataFrame) -> DataFrame:
+    """``bin_counts`` with one group per column: the few parameters go into the plan as literals."""
+    groups = sized.select(COLUMN, "left", "width", "bins").collect()
+    if not groups:
+        return bin_counts(sized.select(COLUMN, F.lit(0.0).alias(VALUE)), [COLUMN], sized)
+    cells = ", ".join(f"{i}, double({quoted(g[COLUMN])})" for i, g in enumerate(groups))
+    long = nan_to_null(df).selectExpr(f"stack({len(groups)}, {cells}) as (k, v)").filter("v is not null")
+
+    def known(name):
+        return f"get(array({', '.join(f'{g[name]!r}D' if name != 'bins' else f'{g[name]}L' for g in groups)}), k)"
+
+    binned = long.selectExpr("k", f"least(floor((v - {known('left')}) / {known('width')}), {known('bins')} - 1) as bin")
+    counted = binned.groupBy("k", "bin").agg(F.count("*").alias("count"))
+    names = small_frame(df.sparkSession, [(i, g[COLUMN]) for i, g in enumerate(groups)], f"k int, {COLUMN} string")
+    return _with_edges(counted.join(F.broadcast(names), "k").drop("k"), [COLUMN], sized)

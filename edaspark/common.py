@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql import types as T
 
 # Expressions per aggregate job; the JVM leaves the code of much larger ones unoptimised.
 AGG_CHUNK = 64
-# Rows a table of per-group statistics may have and still be broadcast.
+# Rows, and bytes of text in its keys, a table of group statistics may have and still be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_KEY_BYTES = 32 << 20
 # A group is hot when it holds more than one row in this many (so at most this many are hot).
 HOT_SHARE = 1000
 # Rows up to which a frame is spread over all slots before heavy work.
@@ -137,32 +139,42 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
 
 
-def group_sizes(stats: DataFrame, size: str = "n") -> tuple[int, int, int]:
-    """Groups, rows in all and rows of the largest, of a one-row-per-group table."""
-    groups, total, largest = stats.agg(F.count("*"), F.sum(size), F.max(size)).first()
-    return groups, total or 0, largest or 0
+class GroupSizes(NamedTuple):
+    """Measures of a one-row-per-group table."""
+
+    groups: int
+    rows: int
+    largest: int
+    key_bytes: int
+
+    @property
+    def broadcast(self) -> bool:
+        return self.groups <= BROADCAST_ROWS and self.key_bytes <= BROADCAST_KEY_BYTES
+
+
+def group_sizes(stats: DataFrame, keys: Sequence[str], size: str = "n") -> GroupSizes:
+    texts = [k for k in fields_of(stats, (T.StringType,)) if k in keys]
+    key_bytes = " + ".join(["0"] + [f"coalesce(octet_length({quoted(k)}), 0)" for k in texts])
+    q = quoted(size)
+    row = stats.selectExpr("count(*)", f"coalesce(sum({q}), 0)", f"coalesce(max({q}), 0)", f"coalesce(sum(bigint({key_bytes})), 0)")
+    return GroupSizes(*row.first())
 
 
 def join_group_stats(
-    rows: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    size: str,
-    sizes: tuple[int, int, int] | None = None,
-    how: str = "inner",
+    rows: DataFrame, stats: DataFrame, keys: Sequence[str], size: str, sizes: GroupSizes | None = None
 ) -> DataFrame:
-    """Join rows with a materialised one-row-per-group table.
+    """Inner-join rows with a materialised one-row-per-group table.
 
     A table of checked size is broadcast. A larger one is shuffled, except that the rows
     of hot groups (each above 1/HOT_SHARE of all rows, hence fewer than HOT_SHARE groups)
     meet a broadcast of just those groups, so no task receives a whole hot group.
     """
-    groups, total, _ = sizes or group_sizes(stats, size)
     keys = list(keys)
-    if groups <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(stats), keys, how)
-    hot = stats.filter(F.col(size) > total / HOT_SHARE)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(stats, keys, how)
+    sizes = sizes or group_sizes(stats, keys, size)
+    if sizes.broadcast:
+        return rows.join(F.broadcast(stats), keys)
+    hot = stats.filter(F.col(size) > sizes.rows / HOT_SHARE)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(stats, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 

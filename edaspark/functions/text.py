@@ -18,7 +18,8 @@ INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 FLOAT_PATTERN = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity)\s*$"
 
 # All Unicode white space plus the four ASCII separators, at either end.
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The look-behind keeps long runs inside a text from being tried at each of their places.
+EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+$"
 
 _YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 _CLOCK = "([01]?[0-9]|2[0-3]):[0-5][0-9]"

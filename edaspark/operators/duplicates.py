@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, column, fields_of, materialise, names_of, nan_to_null, quoted, small_frame
+from ..common import FLOAT_TYPES, SPREAD_ROWS, column, fields_of, materialise, names_of, nan_to_null, quoted, small_frame
 from .moments import gap_masks
 
 # Repeated hashes (eight bytes each) that the driver collects, and that may be broadcast.
@@ -78,13 +78,15 @@ def top_duplicates(df: DataFrame, k: int = 10) -> DataFrame:
     return duplicate_groups(df).orderBy(*order).limit(k)
 
 
-def remove_duplicates(df: DataFrame) -> DataFrame:
+def remove_duplicates(df: DataFrame, rows: int | None = None) -> DataFrame:
     """P6. Keep one of each group of equal rows.
 
     Rows without a possible copy pass through; only the others are shuffled. Beyond
-    BROADCAST_HASHES repeated values all rows are compared.
+    BROADCAST_HASHES repeated values, or where ``rows`` is known to be few, all are compared.
     """
     df = nan_to_null(df)
+    if rows is not None and rows <= SPREAD_ROWS:
+        return df.distinct()
     hashes, n = _repeated_hashes(df)
     if n == 0:
         return df

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..common import FLOAT_TYPES, INTEGER_TYPES, column, quoted
 
 
+# Bytes beyond which a text is counted by its digest.
+LONG_TEXT = 64
+
+
 def as_text(df: DataFrame, name: str) -> Column:
     """Value as text, one text per distinct value."""
     c = column(name)
@@ -40,7 +44,9 @@ def distinct_counts(df: DataFrame) -> dict[str, tuple[int, int]]:
         elif isinstance(field.dataType, FLOAT_TYPES):
             kinds.setdefault("fraction", []).append((field.name, f"double({q}) + 0"))
         else:
-            kinds.setdefault("text", []).append((field.name, f"string({q})"))
+            # Long texts are told apart by their SHA-256, so that they need not be shuffled.
+            text = f"if(octet_length(string({q})) > {LONG_TEXT}, concat('#', sha2(string({q}), 256)), concat('=', string({q})))"
+            kinds.setdefault("text", []).append((field.name, text))
     out = {c: (0, 0) for c in df.columns}
     for named in kinds.values():
         pairs = ", ".join(f"{i}, {expression}" for i, (_, expression) in enumerate(named))

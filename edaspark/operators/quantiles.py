@@ -211,8 +211,8 @@ def _sketched(rows, keys, value, probs, margin=MARGIN, bracket_rows=BRACKET_ROWS
     found = None
     while True:
         brackets = _first_brackets(rows, names, probs, margin)
-        sizes = group_sizes(brackets)
-        if sizes[2] * 2 * margin * len(probs) > bracket_rows:
+        sizes = group_sizes(brackets, names)
+        if sizes.largest * 2 * margin * len(probs) > bracket_rows:
             brackets = _narrowed(rows, names, probs, brackets, margin, bracket_rows)
         picked = materialise(_picked(rows, names, probs, brackets, sizes))
         complete = ~F.exists("q", lambda x: x.isNull())

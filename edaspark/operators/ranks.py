@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import (
+    GroupSizes,
     column,
+    group_sizes,
     join_group_stats,
     materialise,
     materialise_table,
@@ -31,14 +33,14 @@ MAX_SLICES = 4096
 BROADCAST_RANKS = 1_000_000
 
 
-def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS, rows: int | None = None) -> DataFrame:
     """``(value, n, rank)`` for each distinct non-null value; equal values share their mean rank."""
     value = column(name).cast("double") + F.lit(0.0)
     present = df.select(value.alias("value")).filter("value is not null")
-    counts = materialise(present.groupBy("value").agg(F.count("*").alias("n")))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
-    slices = min(MAX_SLICES, -(-rows // slice_rows))
+    counts = present.groupBy("value").agg(F.count("*").alias("n"))
+    slices = min(MAX_SLICES, -(-(present.count() if rows is None else rows) // slice_rows))
     if slices > 1:
+        counts = materialise(counts)
         shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
         cuts = present.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value", F.lit(4096)), shares)).first()[0]
         counts = counts.withColumn("slice", _slice_of(sorted(set(cuts))))
@@ -82,26 +84,26 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
     values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    rows = df.count()
     ranked, budget, moments = values, BROADCAST_RANKS, {}
     for i, c in enumerate(names):
-        ranks = materialise(average_ranks(values, f"x{i}")).select(
+        ranks = materialise(average_ranks(values, f"x{i}", SLICE_ROWS, rows)).select(
             F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(f"r{i}")
         )
-        stats = [F.count("*"), F.sum("n"), F.max("n"), F.min(f"r{i}"), F.max(f"r{i}")]
-        distinct, n, most, low, high = ranks.agg(*stats).first()
-        moments[c] = Moments(n or 0, ((n or 0) + 1) / 2, None, low, high)
-        if distinct <= budget:
-            budget -= distinct
+        sizes = group_sizes(ranks, [f"x{i}"])
+        # One distinct value makes a constant column; otherwise only the mean matters.
+        moments[c] = Moments(sizes.rows, (sizes.rows + 1) / 2, None, 0.0, float(sizes.groups > 1))
+        if sizes.groups <= budget:
+            budget -= sizes.groups
             ranked = ranked.join(F.broadcast(ranks.drop("n")), f"x{i}", "left").drop(f"x{i}")
         else:
-            ranked, budget = _joined(ranked, ranks, i, (distinct, n, most)), BROADCAST_RANKS
-    rows = df.count()
+            ranked, budget = _joined(ranked, ranks, i, sizes), BROADCAST_RANKS
     facts = Facts(rows, {c: rows - m.n for c, m in moments.items()}, moments)
     found = correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)}, facts=facts)
     return small_frame(df.sparkSession, [(a, b, r) for (a, b), r in found.items()], "x string, y string, r double")
 
 
-def _joined(rows: DataFrame, ranks: DataFrame, i: int, sizes: tuple[int, int, int]) -> DataFrame:
+def _joined(rows: DataFrame, ranks: DataFrame, i: int, sizes: GroupSizes) -> DataFrame:
     """Ranks too many to broadcast: rows meet them by a shuffle, those of hot values apart."""
     present = rows.filter(F.col(f"x{i}").isNotNull())
     joined = join_group_stats(present, ranks, [f"x{i}"], "n", sizes).drop("n", f"x{i}")

@@ -48,7 +48,7 @@ def tidy(df: DataFrame, threshold: float = DROP_THRESHOLD, schema: dict[str, str
     if schema:
         filled = cast_columns(filled, schema)
     dated = DatePlan.fit(filled).apply(filled)
-    return Tidied(materialise_table(remove_duplicates(dated)), plan)
+    return Tidied(materialise_table(remove_duplicates(dated, plan.rows)), plan)
 
 
 def clean(df: DataFrame, threshold: float = DROP_THRESHOLD, exclude: Sequence[str] = ()) -> DataFrame:
@@ -93,5 +93,7 @@ def run(
 
 
 def run_path(spark: SparkSession, path: str, **options) -> PipelineResult:
-    """E1 on a file or table by name."""
-    return run(load(spark, path), **options)
+    """E1 on a file or table by name. Text is parsed once and kept as a table."""
+    df = load(spark, path)
+    columnar = path.rstrip("/").lower().endswith(".parquet") or "/" not in path
+    return run(df if columnar else materialise_table(df), **options)

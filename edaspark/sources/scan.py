@@ -20,7 +20,7 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None, mul
         if name.endswith(".csv"):
             return load_csv(spark, path, schema, multiline)
         if name.endswith(".parquet"):
-            return nan_to_null(spark.read.parquet(path))
+            return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise FileNotFoundError("File not found") from e

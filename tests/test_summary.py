@@ -134,14 +134,14 @@ def test_rank_correlation_like_pandas(monkeypatch, spark, broadcast, slice_rows)
     monkeypatch.setattr(ranks, "BROADCAST_RANKS", broadcast)
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(common, "HOT_SHARE", 4)
-    monkeypatch.setattr(ranks.average_ranks, "__defaults__", (slice_rows,))
+    monkeypatch.setattr(ranks, "SLICE_ROWS", slice_rows)
     random = np.random.default_rng(2)
     pdf = pd.DataFrame({"a": random.normal(size=400).round(2), "b": np.where(random.random(400) < 0.4, 0.0, random.pareto(1, 400))})
     pdf["c"] = pdf["a"] ** 3 + random.normal(size=400)
     found = {r[:2]: r[2] for r in rows(ranks.spearman(spark.createDataFrame(pdf)))}
     expected = pdf.corr(method="spearman")
     assert all(v == pytest.approx(expected.loc[k], abs=1e-9) for k, v in found.items())
-    ranked = {r[0]: r[2] for r in rows(ranks.average_ranks(spark.createDataFrame(pdf), "b"))}
+    ranked = {r[0]: r[2] for r in rows(ranks.average_ranks(spark.createDataFrame(pdf), "b", slice_rows))}
     assert ranked == dict(zip(pdf["b"], pdf["b"].rank()))
 
 
