@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..common import column, join_group_stats, materialise, nan_to_null, require_columns
 from ..operators.frequencies import top_values, value_counts
 from .density import CURVE_POINTS, VIOLIN_POINTS, curves, scaled
-from .facts import COLUMN, VALUE, group_facts, melted
+from .facts import VALUE, group_facts, melted
 from .histogram import bin_counts, with_bins
 
 TOP_BARS = 10

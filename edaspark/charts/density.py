@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, join_group_stats, materialise, nan_to_null, require_columns, small_frame, spread
+from ..common import aggregate_once, column, join_group_stats, literal, nan_to_null, require_columns, small_frame, spread
 from .facts import COLUMN, VALUE, column_group_facts, melted
 from .histogram import column_bins
 
@@ -101,15 +101,15 @@ def kde2d(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:
     step_x, step_y = (s["x1"] - s["x0"]) / (points - 1), (s["y1"] - s["y0"]) / (points - 1)
 
     def reach(value, start, step, spread):
-        low = f"int(greatest(0, ceil(({value} - {REACH * spread!r}D - ({start!r}D)) / {step!r}D)))"
-        high = f"int(least({points - 1}, floor(({value} + {REACH * spread!r}D - ({start!r}D)) / {step!r}D)))"
+        low = f"int(greatest(0, ceil(({value} - {literal(REACH * spread)} - {literal(start)}) / {literal(step)})))"
+        high = f"int(least({points - 1}, floor(({value} + {literal(REACH * spread)} - {literal(start)}) / {literal(step)})))"
         return f"explode(sequence({low}, {high}))"
 
     columns = pairs.selectExpr("w", "y", "x", f"{reach('x', s['x0'], step_x, sxx**0.5)} as ix")
-    columns = columns.selectExpr("w", "y", "ix", f"({s['x0']!r}D) + ix * {step_x!r}D - x as dx")
+    columns = columns.selectExpr("w", "y", "ix", f"{literal(s['x0'])} + ix * {literal(step_x)} - x as dx")
     cells = columns.selectExpr("w", "y", "ix", "dx", f"{reach('y', s['y0'], step_y, syy**0.5)} as iy")
-    cells = cells.selectExpr("w", "ix", "iy", "dx", f"({s['y0']!r}D) + iy * {step_y!r}D - y as dy")
-    form = f"({syy / det!r}D * dx * dx - 2D * ({sxy / det!r}D) * dx * dy + {sxx / det!r}D * dy * dy)"
+    cells = cells.selectExpr("w", "ix", "iy", "dx", f"{literal(s['y0'])} + iy * {literal(step_y)} - y as dy")
+    form = f"({literal(syy / det)} * dx * dx - 2D * {literal(sxy / det)} * dx * dy + {literal(sxx / det)} * dy * dy)"
     summed = cells.groupBy("ix", "iy").agg(F.expr(f"sum(w * exp(-0.5D * {form}))").alias("total"))
     side = F.sequence(F.lit(0), F.lit(points - 1))
     grid = df.sparkSession.range(1).select(F.explode(side).alias("ix")).select("ix", F.explode(side).alias("iy"))

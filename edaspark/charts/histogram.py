@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import join_group_stats, nan_to_null, quoted, require_columns, small_frame
+from ..common import join_group_stats, literal, nan_to_null, quoted, require_columns, small_frame
 from .facts import COLUMN, VALUE, column_group_facts, integer_columns
 
 
@@ -81,7 +81,7 @@ def column_bin_counts(df: DataFrame, sized: DataFrame) -> DataFrame:
     long = nan_to_null(df).selectExpr(f"stack({len(groups)}, {cells}) as (k, v)").filter("v is not null")
 
     def known(name):
-        return f"get(array({', '.join(f'{g[name]!r}D' if name != 'bins' else f'{g[name]}L' for g in groups)}), k)"
+        return f"get(array({', '.join(literal(g[name]) if name != 'bins' else f'{g[name]}L' for g in groups)}), k)"
 
     binned = long.selectExpr("k", f"least(floor((v - {known('left')}) / {known('width')}), {known('bins')} - 1) as bin")
     counted = binned.groupBy("k", "bin").agg(F.count("*").alias("count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, require_columns, small_frame
+from ..common import aggregate_once, column, require_columns
 from ..operators.validate import count_missing, missing_flag
 
 BLOCKS = 100

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, nan_to_null, require_columns, small_frame
+from ..common import aggregate_once, column, literal, nan_to_null, require_columns, small_frame
 from ..operators.quantiles import column_quantiles
 from ..operators.summary import correlation_table
 from ..sources.roles import NUM, columns_with_role
@@ -97,12 +97,12 @@ def hexbin(df: DataFrame, x: str, y: str) -> DataFrame:
         return low - pad, (high - low + 2 * pad) / cells
 
     (x0, sx), (y0, sy) = scale("x", nx), scale("y", ny)
-    placed = pairs.selectExpr(f"(x - ({x0!r}D)) / {sx!r}D as u", f"(y - ({y0!r}D)) / {sy!r}D as v")
+    placed = pairs.selectExpr(f"(x - {literal(x0)}) / {literal(sx)} as u", f"(y - {literal(y0)}) / {literal(sy)} as v")
     near = placed.selectExpr("u", "v", "rint(u) as u1", "rint(v) as v1", "floor(u) + 0.5D as u2", "floor(v) + 0.5D as v2")
     first = "(u - u1) * (u - u1) + 3D * (v - v1) * (v - v1) < (u - u2) * (u - u2) + 3D * (v - v2) * (v - v2)"
     cells = near.selectExpr(f"if({first}, u1, u2) as u", f"if({first}, v1, v2) as v")
     counted = cells.groupBy("u", "v").agg(F.count("*").alias("count"))
-    return counted.selectExpr(f"({x0!r}D) + u * {sx!r}D as cx", f"({y0!r}D) + v * {sy!r}D as cy", "count")
+    return counted.selectExpr(f"{literal(x0)} + u * {literal(sx)} as cx", f"{literal(y0)} + v * {literal(sy)} as cy", "count")
 
 
 def regression(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:

@@ -82,6 +82,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def literal(x: float) -> str:
+    """A double in SQL text, infinities and signs included, to the last bit."""
+    return f"double('{float(x)!r}')"
+
+
 def as_double(name: str) -> Column:
     return column(name).cast("double")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, as_double, column, nan_to_null, numeric_columns, quoted, small_frame
+from ..common import aggregate_once, as_double, column, literal, nan_to_null, numeric_columns, quoted, small_frame
 from .moments import Facts, column_facts
 from .quantiles import column_quantiles
 
@@ -64,7 +65,7 @@ class Bounds:
                 return c
             if b.lower is None:
                 return f"double({c}) as {c}"
-            low, high = f"{b.lower!r}D", f"{b.upper!r}D"
+            low, high = literal(b.lower), literal(b.upper)
             return f"case when {c} < {low} then {low} when {c} > {high} then {high} else double({c}) end as {c}"
 
         return df.selectExpr(*[capped(c) for c in df.columns])
@@ -75,8 +76,8 @@ class Bounds:
             return None
         c = f"double({quoted(b.column)})"
         if self.method == IQR:
-            return f"{c} < {b.lower!r}D or {c} > {b.upper!r}D"
-        return f"abs(({c} - ({b.mean!r}D)) / {b.std!r}D) > {Z_LIMIT}"
+            return f"{c} < {literal(b.lower)} or {c} > {literal(b.upper)}"
+        return f"abs(({c} - {literal(b.mean)}) / {literal(b.std)}) > {Z_LIMIT}"
 
     def counts(self, df: DataFrame) -> dict[str, int]:
         """O1, O2. Outliers of every numeric column, zeros included, in one pass."""
@@ -117,6 +118,8 @@ def _fit(df: DataFrame, names: Sequence[str], method: str, facts: Facts | None =
             lower, upper = q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1)
         if method == ZSCORE and std:
             lower, upper = m.mean - Z_LIMIT * std, m.mean + Z_LIMIT * std
+        if lower is not None and (math.isnan(lower) or math.isnan(upper)):
+            lower = upper = None  # infinite values leave no fence to compare with
         out.append(Bound(c, m.n, q1, q3, m.mean, std, lower, upper))
     return out
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import aggregate_once, column, group_sizes, join_group_stats, materialise
+from ..common import aggregate_once, column, group_sizes, join_group_stats, literal, materialise
 
 # Up to this many rows the built-in function's buffer is small whatever the values are.
 SMALL_ROWS = 50_000
@@ -44,7 +44,7 @@ def column_quantiles(
         return {c: q for part in parts for c, q in column_quantiles(df, {c: values[c] for c in part}, probs, rows).items()}
     if not order:
         return {}
-    wide = df.select(*[values[c].cast("double").alias(f"v{i}") for i, c in enumerate(order)])
+    wide = df.select(*[F.nanvl(values[c].cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(order)])
     out: dict[int, list] = {i: [None] * len(probs) for i in range(len(order))}
     if rows is None or rows > SMALL_ROWS:
         counts, brackets = _sketch_columns(wide, list(out), probs, MARGIN)
@@ -107,9 +107,9 @@ def _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows):
         exprs = {}
         for i in wide_ones:
             for j, (lo, hi) in enumerate(brackets[i]):
-                inner = f"v{i} >= {_literal(lo)} and v{i} <= {_literal(hi)}"
+                inner = f"v{i} >= {literal(lo)} and v{i} <= {literal(hi)}"
                 kept = f"if({inner}, v{i}, null)"
-                exprs["below", i, j], exprs["in", i, j] = f"count_if(v{i} < {_literal(lo)})", f"count_if({inner})"
+                exprs["below", i, j], exprs["in", i, j] = f"count_if(v{i} < {literal(lo)})", f"count_if({inner})"
                 exprs["at", i, j] = _sketched_quantiles(kept, grid)
         found = aggregate_once(wide, exprs)
         brackets = dict(brackets)
@@ -179,12 +179,8 @@ def _sketched_quantiles(value: str, ranks: str) -> str:
     return f"if(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {ranks}), null)"
 
 
-def _literal(x: float) -> str:
-    return f"double('{x!r}')"
-
-
 def _array(values) -> str:
-    return f"array({', '.join(map(_literal, values))})"
+    return f"array({', '.join(map(literal, values))})"
 
 
 def grouped_quantiles(
@@ -193,7 +189,7 @@ def grouped_quantiles(
     """One row per group: the keys, ``n`` non-null values, ``q`` array of quantiles."""
     probs = sorted(probs)
     if (rows.count() if total is None else total) <= SMALL_ROWS:
-        v = column(value).cast("double")
+        v = F.nanvl(column(value).cast("double"), F.lit(None))
         return (
             rows.groupBy(*[column(k) for k in keys])
             .agg(F.count(v).alias("n"), F.percentile(v, probs).alias("q"))
@@ -207,7 +203,7 @@ def _sketched(rows, keys, value, probs, margin=MARGIN, bracket_rows=BRACKET_ROWS
     names = [f"k{i}" for i in range(len(keys))]
     rows = rows.select(
         *[column(k).alias(n) for k, n in zip(keys, names)], column(value).cast("double").alias("v")
-    ).filter("v is not null")
+    ).filter("v is not null and not isnan(v)")
     found = None
     while True:
         brackets = _first_brackets(rows, names, probs, margin)

@@ -16,12 +16,13 @@ from ..common import (
     aggregate_once,
     column,
     fields_of,
+    literal,
     nan_to_null,
     numeric_columns,
     small_frame,
 )
 from .duplicates import duplicate_count
-from .frequencies import top_values, value_counts
+from .frequencies import value_counts
 from .moments import Facts, column_facts
 from .quantiles import column_quantiles
 
@@ -133,7 +134,7 @@ def correlations(
         return (i, j) if j in gaps and i != j else (i, i)
 
     def shifted(i):
-        return f"(x{i} - ({known[i].mean!r}D))" if known[i].n else f"x{i}"
+        return f"(x{i} - {literal(known[i].mean)})" if known[i].n else f"x{i}"
 
     exprs: dict = {}
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]

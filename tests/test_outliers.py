@@ -93,3 +93,11 @@ def test_removal_filters_reach_the_scan(spark, tmp_path):
     plan = remove_outliers(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("]")[0]
     assert all(f"GreaterThanOrEqual({c}" in pushed and f"LessThanOrEqual({c}" in pushed for c in "abc")
+
+
+def test_infinite_values(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(20)] + [(float("inf"),)], "x double")
+    assert rows(outlier_counts(df)) == [("x", 1)]
+    assert max(r[0] for r in rows(cap_outliers(df))) == 30.0
+    assert rows(outlier_counts(df, "zscore")) == [("x", 0)]
+    assert cap_outliers(df, "zscore").count() == 21

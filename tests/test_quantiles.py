@@ -80,3 +80,17 @@ def test_more_columns_than_one_pass_takes(monkeypatch, spark):
     df = spark.range(101).selectExpr(*[f"double(id) * {k} as c{k}" for k in range(1, 6)])
     found = q.column_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25])
     assert found == {f"c{k}": [25.0 * k] for k in range(1, 6)}
+
+
+@pytest.mark.parametrize("small", [50_000, 0])
+def test_infinite_values_and_nan(monkeypatch, spark, small):
+    monkeypatch.setattr(q, "SMALL_ROWS", small)
+    data = [float("inf")] * 10 + [float("-inf")] * 5 + [float("nan")] * 9 + [float(i) for i in range(300)]
+    df = spark.createDataFrame([(v,) for v in data], "x double")
+    values = np.sort([v for v in data if not np.isnan(v)])
+    n = len(values)
+    probs = [0.0, 50 / (n - 1), 0.5, 1.0]
+    expected = [values[0], values[50], np.median(values), values[-1]]
+    assert q.column_quantiles(df, {"x": F.col("x")}, probs)["x"] == pytest.approx(expected)
+    grouped = q.grouped_quantiles(df.withColumn("g", F.lit("a")), ["g"], "x", probs).first()
+    assert (grouped["n"], list(grouped["q"])) == (n, pytest.approx(expected))
