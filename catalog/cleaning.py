@@ -7,7 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from edaspark.common import _shared_folder, small_frame
+from edaspark.common import shared_folder, small_frame
 from edaspark.functions.text import NA_TOKENS
 from edaspark.operators import convert, duplicates, nulls, outliers, validate
 from edaspark.sources import roles, scan
@@ -76,7 +76,7 @@ def csv_scan(spark, folder):
         "o_orderkey",
     )
     lines = table(spark, folder, "orders").selectExpr(f"concat_ws(',', {', '.join(cells)}) as value")
-    path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
     lines.mapInPandas(_with_header, "value string").write.text(path)
     return scan.load(spark, path)
 

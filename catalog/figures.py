@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from edaspark.charts import categories, dashboard, density, histogram, missing, pairs
-from edaspark.common import _shared_folder
+from edaspark.common import shared_folder
 from edaspark.plans import pipeline, report, sinks
 
 from .cleaning import HANDLED
@@ -343,7 +343,7 @@ def pipeline_report(spark, folder):
 @query("report_written")
 def report_written(spark, folder):
     """Write the detailed report and a chart, and list what was written."""
-    target = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     events = table(spark, folder, "events").drop("props")
     paths = sinks.write_report(report.profile(events, "detailed"), target)
     paths.append(sinks.write_chart(categories.bars(events, ["event_type"]), target, "value_counts", columns="event_type"))

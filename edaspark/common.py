@@ -54,13 +54,6 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
             raise ValueError(f"Column '{name}' not found in dataset.")
 
 
-def require_rows(df: DataFrame) -> DataFrame:
-    """S11. Refuse an empty input."""
-    if not df.columns or df.isEmpty():
-        raise ValueError("Empty dataset.")
-    return df
-
-
 def reject_nested(df: DataFrame) -> None:
     nested = fields_of(df, NESTED_TYPES)
     if nested:
@@ -105,7 +98,7 @@ def aggregate_once(df: DataFrame, exprs: Mapping[object, Column | str]) -> dict:
     return out
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str | None:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     One of our own is set only in local mode; elsewhere, without a setting, there is none.
@@ -123,12 +116,12 @@ def _shared_folder(spark: SparkSession) -> str | None:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Checkpoint a small intermediate frame; without a shared folder its lineage is kept."""
-    return df if _shared_folder(df.sparkSession) is None else df.checkpoint(eager=True)
+    return df if shared_folder(df.sparkSession) is None else df.checkpoint(eager=True)
 
 
 def materialise_table(df: DataFrame) -> DataFrame:
     """Write a table-sized frame to the shared folder as Parquet, so later scans read few columns."""
-    folder = _shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
     if folder is None:
         return df
     path = f"{folder}/table-{uuid.uuid4().hex}"
