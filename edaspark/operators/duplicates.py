@@ -60,7 +60,16 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    return df.groupBy(*names_of(df)).agg(F.count("*").alias("copies")).filter("copies > 1")
+    name = copies_name(df)
+    return df.groupBy(*names_of(df)).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
+
+
+def copies_name(df: DataFrame) -> str:
+    """``copies``, or that with underscores where the table has such a column."""
+    name = "copies"
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def duplicate_count(df: DataFrame) -> int:
@@ -69,12 +78,12 @@ def duplicate_count(df: DataFrame) -> int:
     suspects = _suspects(df)
     if suspects is None:
         return 0
-    return _repeated(suspects).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()[0]
+    return _repeated(suspects).agg(F.coalesce(F.sum(F.col(copies_name(df)) - 1), F.lit(0))).first()[0]
 
 
 def top_duplicates(df: DataFrame, k: int = 10) -> DataFrame:
     """D9. The k most repeated rows."""
-    order = [F.desc("copies")] + [column(c).asc() for c in df.columns]
+    order = [F.desc(copies_name(df))] + [column(c).asc() for c in df.columns]
     return duplicate_groups(df).orderBy(*order).limit(k)
 
 

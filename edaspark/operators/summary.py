@@ -29,6 +29,8 @@ from .quantiles import column_quantiles
 QUARTILES = [0.25, 0.5, 0.75]
 STRONG = 0.8
 TILE = 8
+# Columns without gaps beyond which one matrix pass replaces passes over pairs.
+WIDE = 24
 DESCRIBE_SCHEMA = (
     "ordinal int, column string, count bigint, mean double, std double, min double, "
     "q25 double, q50 double, q75 double, max double"
@@ -137,7 +139,9 @@ def correlations(
         return f"(x{i} - {literal(known[i].mean)})" if known[i].n else f"x{i}"
 
     exprs: dict = {}
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    whole = [i for i, m in enumerate(known) if i not in gaps and not m.constant and m.n >= 2]
+    matrix = _gramian(wide, whole, shifted) if len(whole) > WIDE else {}
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1) if (i, j) not in matrix]
     # Pairs go by tiles, so that a pass over part of them reads few columns.
     for i, j in sorted(pairs, key=lambda p: (p[0] // TILE, p[1] // TILE, p)):
         exprs["p", i, j] = f"sum({shifted(i)} * {shifted(j)})"
@@ -158,7 +162,10 @@ def correlations(
         return own[kind] if kind in own else found[kind, a, a]
 
     out = {}
-    for i, j in pairs:
+    for i, j in [(i, j) for i in range(len(names)) for j in range(i + 1)]:
+        if (i, j) in matrix:
+            out[names[i], names[j]] = out[names[j], names[i]] = matrix[i, j]
+            continue
         ki, kj = key(i, j), key(j, i)
         n = stat("n", *(ki if ki != (i, i) else kj))
         r = None
@@ -173,6 +180,21 @@ def correlations(
     return out
 
 
+def _gramian(wide: DataFrame, whole: Sequence[int], shifted) -> dict[tuple[int, int], float]:
+    """Correlations of many columns without gaps from one pass, as a product of their matrix with itself."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    rows = wide.selectExpr(*[f"{shifted(i)} as x{i}" for i in whole])
+    vectors = VectorAssembler(inputCols=rows.columns, outputCol="features").transform(rows).select("features")
+    found = Correlation.corr(vectors, "features").first()[0].toArray()
+    return {
+        (i, j): 1.0 if i == j else max(-1.0, min(1.0, float(found[a][b])))
+        for a, i in enumerate(whole)
+        for b, j in enumerate(whole[: a + 1])
+    }
+
+
 def correlation_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """R2, C5. Long form ``(x, y, r)`` with every ordered pair; NULL r where undefined."""
     found = correlations(df, columns)

@@ -42,3 +42,9 @@ def test_issue_tables(df):
     assert rows(null_counts(df)) == [(0, "a", 1), (1, "b", 2), (2, "x", 2)]
     assert ("duplicates", None, "2") in rows(issues(df))
     assert ("data_types", "x", "double") in rows(issues(df))
+
+
+def test_a_column_of_that_name(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2)], "copies int, count int")
+    assert d.duplicate_count(df) == 1
+    assert d.top_duplicates(df).columns == ["copies", "count", "copies_"]

@@ -149,3 +149,25 @@ def test_top_values_limit_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("string(id % 97) as s", "id % 13 as n")
     plan = detail.common_values(df)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_wide_table_like_pandas(spark):
+    random = np.random.default_rng(6)
+    pdf = pd.DataFrame(random.normal(size=(200, 40)) + 1e5, columns=[f"c.{i}" for i in range(40)])
+    pdf["c.1"] = pdf["c.0"] * 2
+    pdf["c.3"] = 7.0
+    pdf["c.5"] = pdf["c.5"].mask(random.random(200) < 0.3)
+    found, expected = summary.correlations(spark.createDataFrame(pdf)), pdf.corr()
+    assert len(found) == 1600 and list(found)[:2] == [("c.0", "c.0"), ("c.1", "c.0")]
+    for (a, b), value in found.items():
+        if "c.3" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(expected.loc[a, b], abs=1e-8)
+
+
+def test_report_of_a_wide_table(spark):
+    df = spark.range(300).selectExpr(*[f"if((id + {k}) % 50 = 0, null, (id * {k}) % 101 + 0.5D) as c{k}" for k in range(1, 71)])
+    report = detail.Detail(df)
+    assert report.variables().count() == 70
+    assert report.scalars().first()["total_missing"] == 420
