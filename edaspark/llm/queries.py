@@ -11,10 +11,15 @@ import corpus_pipeline
 
 from .common import fold_of
 from .decontaminate import contaminated_spans, hit_words
+from .license_scan import NOTICES, find_notices
 from .line_runs import drop_repeated_lines
+from .lm_scoring import score_documents
 from .piece_dropout import decode, encode
 from .quadratic_quality import fit_quality, score_quality
+from .quality_rules import count_ngrams, judge, log_ratios
+from .repeat_spans import remove_repeats
 from .simhash_anchors import near_duplicates
+from .url_automaton import Rule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,11 +40,59 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query("op1_ppm_scoring")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_documents(_table(spark, folder, "documents"), fold_of(F.col("_id"), 7) != 2)
+    held_out = (fold_of(F.col("doc_id"), 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op2_ngram_ratio")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    judged = judge(docs, log_ratios(*count_ngrams(docs, _table(spark, folder, "labels"))))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+
+
 @_query("op3_simhash_near_dedup")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+# All windows by exact containment, without the bands; notices as listed.
+NOTICES_SQL = (
+    r"""
+with notice(license, text) as (values """
+    + ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
+    + r"""),
+template as (
+  select license, len(w) - 4 as m, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) as shingles
+  from (select license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from notice)),
+doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+shingle as (
+  select doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') as s from (select *, unnest(range(0, len(w) - 4)) as i from doc)),
+hit as (
+  select distinct doc_id, i, s, license, m, len(shingles) as n
+  from shingle join (select *, unnest(shingles) as s from template) using (s)),
+placed as (
+  select doc_id, license, n, s, unnest(range(
+    greatest(0, cast(ceil((i + 1 - m - greatest(1, m // 2)) / greatest(1, m // 2)) as bigint)) * greatest(1, m // 2), i + 1, greatest(1, m // 2))) as a
+  from hit),
+contained as (
+  select doc_id, license, a, count(distinct s) / any_value(n) as share from placed group by all having count(distinct s) / any_value(n) >= 0.8)
+select doc_id, license, max(share) as containment, arg_min(a, (-share, a)) as first_word, count(*) as n_windows
+from contained group by doc_id, license"""
+)
+
+
+@_query("op4_license_scan", NOTICES_SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return find_notices(_table(spark, folder, "documents"), spark.createDataFrame(NOTICES, "license string, text string"))
+
+
 LINES_SQL = r"""
 with lines as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
@@ -98,6 +151,41 @@ select doc.doc_id, len(w) as n_words, coalesce(a.n, 0) as n_hit, coalesce(b.n, 0
 from doc left join hit_words a on doc.doc_id = a.doc_id left join hit_items b on doc.doc_id = b.doc_id"""
 
 
+RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+URLS_SQL = """
+with parts as (
+  select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+rules(verdict, rule_host, rule_path) as (values
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(verdict, length(rule_host || rule_path)) as verdict
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by page_id)
+select p.page_id, host, path, rule, coalesce(verdict,
+  case when host like '%spam-%' or host like '%cheap-%' or host like '%-pills%' or host like '%casino%' then 'block' else 'allow' end) as verdict
+from parts p left join best b on p.page_id = b.page_id"""
+
+
+@_query("op7_repeated_bytes")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeats(_table(spark, folder, "documents"))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return kept.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@_query("op8_url_automaton", URLS_SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"), RULES)
+
+
 @_query("op9_decontamination", SPANS_SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     spans = contaminated_spans(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
