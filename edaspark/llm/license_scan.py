@@ -64,13 +64,15 @@ def _literal(values: Iterable[int]) -> str:
 
 
 def templates_of(notices: DataFrame, id_column: str = "license", text_column: str = "text", bands: int = BANDS) -> DataFrame:
-    """(license, m, shingles, bands, smallest: the shingle behind each band) of templates with a shingle."""
+    """(license, m, shingles, bands: (band, value, smallest: the shingle behind it)) of templates with a shingle."""
     words = notices.select(F.col(id_column).alias("license"), words_of(F.col(text_column).cast("string")).alias("w"))
-    made = words.filter(f"size(w) >= {SHINGLE}").selectExpr(
-        "license", f"array_distinct({_shingle_words('w')}) as shingles", f"array_distinct({_shingle_hashes('w')}) as h", f"size(w) - {SHINGLE - 1} as m"
+    cut = f"explode(if(size(w) >= {SHINGLE}, transform(sequence(1, size(w) - {SHINGLE - 1}), i -> slice(w, i, {SHINGLE})), cast(array() as array<array<string>>)))"
+    rows = words.selectExpr("license", f"size(w) - {SHINGLE - 1} as m", f"{cut} as s").selectExpr("license", "m", "array_join(s, ' ') as shingle", "xxhash64(s) as h")
+    rows = rows.distinct().selectExpr("*", f"explode(sequence(0, {bands - 1})) as band").selectExpr("*", "struct(xxhash64(h, band) as value, h as smallest) as b")
+    best = rows.groupBy("license", "m", "band").agg(F.min("b").alias("b"), F.collect_set("shingle").alias("shingles"))
+    return best.groupBy("license", "m").agg(
+        F.first("shingles").alias("shingles"), F.collect_list(F.struct("band", "b.value", "b.smallest")).alias("bands")
     )
-    smallest = ", ".join(f"array_min(transform(h, x -> struct(xxhash64(x, {j}) as v, x as x))).x" for j in range(bands))
-    return made.selectExpr("license", "m", "shingles", f"{_bands('h', bands)} as bands", f"array({smallest}) as smallest")
 
 
 def find_notices(
@@ -82,24 +84,26 @@ def find_notices(
         raise ValueError(f"More than {MAX_TEMPLATES} license templates")
     spark = docs.sparkSession
     held = spark.createDataFrame(
-        [(t.license, t.m, t.shingles, j, v) for t in found for j, v in enumerate(t.bands)],
+        [(t.license, t.m, t.shingles, b.band, b.value) for t in found for b in t.bands],
         "license string, m int, shingles array<string>, band int, value long",
     )
     texts = identified(docs, id_column, text_column).select("_row", "_id", words_of(F.col("_text")).alias("_w"))
     texts = texts.withColumn("_h", F.expr(_shingle_hashes("_w")))
-    texts = texts.filter(f"arrays_overlap(_h, {_literal(x for t in found for x in t.smallest)})")
     windows = []
     for m in sorted({t.m for t in found}):
         step = max(1, m // 2)
-        smallest = _literal(x for t in found if t.m == m for x in t.smallest)
+        smallest = _literal(b.smallest for t in found if t.m == m for b in t.bands)
         cut = f"transform(sequence(0, greatest(0, size(_h) - 1), {step}), a -> struct(a as a, {m} as m, slice(_h, a + 1, {m + step}) as h))"
         windows.append(f"filter({cut}, x -> arrays_overlap(x.h, {smallest}))")
     none = "cast(array() as array<struct<a:int,m:int,h:array<bigint>>>)"
-    # What a window needs of the text is cut out before the rows part.
+    # What a window needs of the text is cut out before the rows part. The test of the whole text stands inside the
+    # expression: as a filter it would be moved below the hashes and make them anew for each shingle.
     width = "x.m + greatest(1, int(x.m / 2))"
     cut = f"transform(concat({', '.join([none, *windows])}), x -> struct(x.a as a, x.m as m, x.h as h, slice(_w, x.a + 1, {width} + {SHINGLE - 1}) as w))"
-    rows = texts.selectExpr("_row", "_id", f"explode({cut}) as x").selectExpr("_row", "_id", "x.a", "x.m", "x.w", f"{_bands('x.h', bands)} as b")
-    rows = rows.select("_row", "_id", "a", "m", "w", F.posexplode("b").alias("band", "value"))
+    holds = f"arrays_overlap(_h, {_literal(b.smallest for t in found for b in t.bands)})"
+    empty = "cast(array() as array<struct<a:int,m:int,h:array<bigint>,w:array<string>>>)"
+    rows = texts.selectExpr("_row", "_id", f"explode(if({holds}, {cut}, {empty})) as x")
+    rows = rows.selectExpr("_row", "_id", "x.a", "x.m", "x.w", f"posexplode({_bands('x.h', bands)}) as (band, value)")
     met = rows.join(F.broadcast(held), ["m", "band", "value"])
     share: Column = F.size(F.array_intersect(F.expr(_shingle_words("w")), F.col("shingles"))) / F.size("shingles")
     met = met.withColumn("share", share).filter(F.col("share") >= containment)
