@@ -16,7 +16,7 @@ from .histogram import bin_counts, with_bins
 TOP_BARS = 10
 MAX_FACETS = 6
 MAX_FACET_COLUMNS = 6
-# Columns a wide cross-tabulation may have.
+# Columns a wide cross-tabulation has at most unless told otherwise.
 MAX_PIVOT = 10_000
 WHISKER = 1.5
 VIOLIN_CUT = 2.0
@@ -35,14 +35,36 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str) -> DataFrame:
-    """C10. One row per value of a, one column per value of b in order, 0 where none occurs."""
+def crosstab_wide(df: DataFrame, a: str, b: str, max_columns: int = MAX_PIVOT) -> DataFrame:
+    """C10. One row per value of a, one column per value of b in order, 0 where none occurs.
+
+    Over ``max_columns`` values of b raise, as a table has no more columns; ``crosstab`` has no limit. The
+    row labels stand in column ``a``, or if b has such a value, under a's own name, or with
+    underscores added; so do values of b that differ from another in case only.
+    """
     cells = crosstab(df, a, b)
-    labels = [r[0] for r in cells.select("b").distinct().limit(MAX_PIVOT + 1).collect()]
-    if len(labels) > MAX_PIVOT:
-        raise ValueError(f"Column '{b}' has over {MAX_PIVOT} values; use the long form.")
-    wide = cells.groupBy("a").pivot("b", sorted(labels)).agg(F.sum("n"))
-    return wide.na.fill(0).orderBy("a")
+    labels = [r[0] for r in cells.select("b").distinct().limit(max_columns + 1).collect()]
+    if len(labels) > max_columns:
+        raise ValueError(f"Column '{b}' has over {max_columns} values; use the long form.")
+    labels = sorted(labels)
+    wide = cells.groupBy("a").pivot("b", labels).agg(F.sum("n")).na.fill(0).orderBy("a")
+    names = _apart(wide.columns[1:])
+    taken = {n.lower() for n in names}
+    head = next((n for n in ("a", a) if n.lower() not in taken), a)
+    while head.lower() in taken:
+        head += "_"
+    return wide.toDF(head, *names)
+
+
+def _apart(names: Sequence[str]) -> list[str]:
+    """The names, with underscores added to those that another one before equals but for case."""
+    out, taken = [], set()
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stacked(df: DataFrame, a: str, b: str, normalize: bool = False) -> DataFrame:
@@ -72,7 +94,7 @@ def violin_box(df: DataFrame, value: str, category: str) -> DataFrame:
 def violin_density(df: DataFrame, value: str, category: str, points: int = VIOLIN_POINTS) -> DataFrame:
     """C11b. Density per category over its range, two bandwidths further on either side."""
     long = _by_category(df, value, category)
-    return _violins(long, group_facts(long, ["category"]), points)
+    return _violins(long, group_facts(long, ["category"], quartiles=False), points)
 
 
 def _by_category(df, value, category):
@@ -106,18 +128,38 @@ def facet_categories(df: DataFrame, category: str, k: int = MAX_FACETS) -> list:
     return [r["c"] for r in counts.orderBy(F.desc("n"), F.asc("c")).limit(k).collect()]
 
 
-def facet_melt(df: DataFrame, columns: Sequence[str], category: str) -> DataFrame:
-    """C12a-c. Rows of the shown categories, the first six columns melted to (Variable, Value)."""
+def _facet_rows(df, columns, category, max_categories, max_columns, names):
     require_columns(df, [*columns, category])
-    shown = facet_categories(df, category)
+    shown = facet_categories(df, category, max_categories)
     kept = df.filter(column(category).isin(*shown)) if shown else df.filter(F.lit(False))
-    return melted(kept, list(columns)[:MAX_FACET_COLUMNS], [category], "Variable", "Value")
-
-
-def facet_grid(df: DataFrame, columns: Sequence[str], category: str, points: int = CURVE_POINTS) -> dict[str, DataFrame]:
+    return melted(kept, list(columns)[:max_columns], [category], *names[1:], key_names=names[:1])
+
+
+def facet_melt(
+    df: DataFrame,
+    columns: Sequence[str],
+    category: str,
+    max_categories: int = MAX_FACETS,
+    max_columns: int = MAX_FACET_COLUMNS,
+) -> DataFrame:
+    """C12a-c. Rows of the shown categories, the first columns melted to (Variable, Value).
+
+    Where the category's own name is one of these, it keeps it and they get underscores.
+    """
+    return _facet_rows(df, columns, category, max_categories, max_columns, _apart([category, "Variable", "Value"]))
+
+
+def facet_grid(
+    df: DataFrame,
+    columns: Sequence[str],
+    category: str,
+    points: int = CURVE_POINTS,
+    max_categories: int = MAX_FACETS,
+    max_columns: int = MAX_FACET_COLUMNS,
+) -> dict[str, DataFrame]:
     """C12d. Histogram and density of each (category, variable), with bins of their own."""
-    long = facet_melt(df, columns, category).withColumnRenamed(category, "category")
     keys = ["category", "Variable"]
+    long = _facet_rows(df, columns, category, max_categories, max_columns, [*keys, "Value"])
     facts = group_facts(long, keys, "Value")
     sized = with_bins(facts)
     density = scaled(curves(long, keys, facts, points, value="Value"), keys, sized)

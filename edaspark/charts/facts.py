@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,10 @@ from pyspark.sql import functions as F
 
 from ..common import (
     INTEGER_TYPES,
-    aggregate_once,
     column,
     fields_of,
     materialise,
     nan_to_null,
-    quoted,
     require_columns,
     small_frame,
 )
@@ -22,10 +21,18 @@ from ..operators.moments import column_facts
 from ..operators.quantiles import column_quantiles, grouped_quantiles
 
 COLUMN, VALUE = "column", "value"
+QUARTERS = [0.25, 0.5, 0.75]
 
 
-def melted(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name: str = COLUMN, value: str = VALUE) -> DataFrame:
-    """C12c. One row per non-null cell: keys, column name, value as double."""
+def melted(
+    df: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] = (),
+    name: str = COLUMN,
+    value: str = VALUE,
+    key_names: Sequence[str] | None = None,
+) -> DataFrame:
+    """C12c. One row per non-null cell: keys (as ``key_names``), column name, value as double."""
     require_columns(df, [*columns, *keys])
     df = nan_to_null(df)
     cells = df.select(
@@ -35,11 +42,11 @@ def melted(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), name
     ids = [F.col(f"k{i}") for i in range(len(keys))]
     long = cells.unpivot(ids, [f"v{i}" for i in range(len(columns))], "slot", VALUE).filter(f"{VALUE} is not null")
     label = F.element_at(F.array(*map(F.lit, columns)), F.substring("slot", 2, 9).cast("int") + 1)
-    return long.select(*[i.alias(k) for i, k in zip(ids, keys)], label.alias(name), F.col(VALUE).alias(value))
+    return long.select(*[i.alias(k) for i, k in zip(ids, key_names or keys)], label.alias(name), F.col(VALUE).alias(value))
 
 
-def group_facts(long: DataFrame, keys: Sequence[str], value: str = VALUE) -> DataFrame:
-    """Per group: n, lo, hi, std, mean, q1, q2, q3 and roughly how many distinct values."""
+def group_facts(long: DataFrame, keys: Sequence[str], value: str = VALUE, quartiles: bool = True) -> DataFrame:
+    """Per group: n, lo, hi, std and mean, and unless spared the exact q1, q2, q3."""
     v = column(value)
     spread = long.groupBy(*keys).agg(
         F.count(v).alias("rows"),
@@ -47,30 +54,35 @@ def group_facts(long: DataFrame, keys: Sequence[str], value: str = VALUE) -> Dat
         F.max(v).alias("hi"),
         F.stddev_samp(v).alias("std"),
         F.avg(v).alias("mean"),
-        F.approx_count_distinct(v).alias("distinct"),
     )
-    spread = materialise(spread)
-    total = spread.agg(F.sum("rows")).first()[0] or 0
-    quartiles = grouped_quantiles(long, keys, value, [0.25, 0.5, 0.75], total)
-    joined = spread.drop("rows").join(quartiles, list(keys))
+    spread = materialise(spread.withColumnRenamed("rows", "n"))
+    if not quartiles:
+        return spread
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    found = grouped_quantiles(long, keys, value, [0.25, 0.5, 0.75], total).drop("n")
     quarter = [F.get("q", F.lit(i)).alias(f"q{i + 1}") for i in range(3)]
-    return materialise(joined.select(*keys, "n", "lo", "hi", "std", "mean", "distinct", *quarter))
+    return materialise(spread.join(found, list(keys)).select(*keys, "n", "lo", "hi", "std", "mean", *quarter))
 
 
-def column_group_facts(df: DataFrame, columns: Sequence[str], distinct: bool = False) -> DataFrame:
-    """The same facts with one group per column, taken without melting the table."""
+def column_group_facts(df: DataFrame, columns: Sequence[str], quartiles: bool = True) -> DataFrame:
+    """The same facts with one group per column, taken without melting the table.
+
+    Infinite values leave no range to draw and raise.
+    """
     df = nan_to_null(df)
-    facts = column_facts(df, columns)
+    facts = column_facts(df, columns, QUARTERS if quartiles else ())
+    for c in columns:
+        m = facts.moments[c]
+        if m.n and (math.isinf(m.low) or math.isinf(m.high)):
+            raise ValueError(f"Column '{c}' has infinite values; leave them out before drawing it.")
     values = {c: column(c).cast("double") for c in columns}
-    quartiles = column_quantiles(df, values, [0.25, 0.5, 0.75], facts.rows)
-    apart = {c: f"approx_count_distinct(double({quoted(c)}))" for c in columns}
-    apart = aggregate_once(df, apart) if distinct else {}
+    found = column_quantiles(df, values, QUARTERS, facts=facts) if quartiles else {c: [None] * 3 for c in columns}
     rows = []
     for c in columns:
         m = facts.moments[c]
         if m.n:
-            rows.append((c, m.n, m.low, m.high, m.std, m.mean, apart.get(c), *quartiles[c]))
-    schema = f"{COLUMN} string, n bigint, lo double, hi double, std double, mean double, distinct bigint, "
+            rows.append((c, m.n, m.low, m.high, m.std, m.mean, *found[c]))
+    schema = f"{COLUMN} string, n bigint, lo double, hi double, std double, mean double, "
     return small_frame(df.sparkSession, rows, schema + "q1 double, q2 double, q3 double")
 
 

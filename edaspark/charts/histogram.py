@@ -21,10 +21,12 @@ def with_bins(facts: DataFrame, bins: int | None = None, whole: Column | None =
     """Facts plus ``left``, ``right``, ``bins`` and ``width`` of each group's histogram."""
     reach = F.col("hi") - F.col("lo")
     n = F.col("n").cast("double")
-    rule = F.least(
-        F.greatest(2 * (F.col("q3") - F.col("q1")) * F.pow(n, F.lit(-1 / 3)), reach / F.sqrt(n) / 2),
-        reach / (F.log2(n) + 1),
-    )
+    rule = F.lit(1.0)
+    if not bins:
+        rule = F.least(
+            F.greatest(2 * (F.col("q3") - F.col("q1")) * F.pow(n, F.lit(-1 / 3)), reach / F.sqrt(n) / 2),
+            reach / (F.log2(n) + 1),
+        )
     if whole is not None:
         rule = F.when(whole & (rule < 1) & (rule > 0), 1.0).otherwise(rule)
     flat = F.col("hi") == F.col("lo")
@@ -63,7 +65,7 @@ def _with_edges(counted, keys, sized):
 def histogram(df: DataFrame, columns: Sequence[str], bins: int | None = None) -> DataFrame:
     """C1, D3. Histogram of each numeric column; automatic bins unless a number is given."""
     require_columns(df, columns)
-    return column_bin_counts(df, column_bins(df, column_group_facts(df, columns), bins))
+    return column_bin_counts(df, column_bins(df, column_group_facts(df, columns, quartiles=not bins), bins))
 
 
 def column_bins(df: DataFrame, facts: DataFrame, bins: int | None = None) -> DataFrame:

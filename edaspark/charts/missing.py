@@ -28,15 +28,20 @@ def missing_matrix(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def missing_blocks(df: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame | None:
-    """C4 for tables too long to draw: share missing per column in equal ranges of a numeric key."""
+    """C4 for tables too long to draw: share missing per column in equal ranges of a numeric key.
+
+    Rows without a key stand in a block of their own, null.
+    """
     require_columns(df, [key])
     gappy = missing_columns(df)
     if not gappy:
         return None
     k = column(key).cast("double")
     s = aggregate_once(df, {"lo": F.min(k), "hi": F.max(k)})
+    s = {"lo": 0.0, "hi": 0.0} if s["lo"] is None else s
     width = (s["hi"] - s["lo"]) / blocks or 1.0
-    block = F.least(F.floor((k - F.lit(s["lo"])) / width), F.lit(blocks - 1)).cast("int").alias("block")
+    block = F.least(F.floor((k - F.lit(s["lo"])) / width), F.lit(blocks - 1))
+    block = F.when(k.isNotNull(), block).cast("int").alias("block")
     flags = [F.sum(missing_flag(df, c).cast("bigint")).alias(f"m{i}") for i, c in enumerate(gappy)]
     counted = df.groupBy(block).agg(F.count("*").alias("rows"), *flags)
     long = counted.unpivot(["block", "rows"], [f"m{i}" for i in range(len(gappy))], "slot", "missing")

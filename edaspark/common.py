@@ -98,10 +98,11 @@ def aggregate_once(df: DataFrame, exprs: Mapping[object, Column | str]) -> dict:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str | None:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    One of our own is set only in local mode; elsewhere, without a setting, there is none.
+    One of our own is set in local mode only; elsewhere a missing setting raises, because
+    without the folder every later pass would compute its input anew.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -109,26 +110,37 @@ def shared_folder(spark: SparkSession) -> str | None:
         if folder is None and context.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         if folder is None:
-            return None
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint a small intermediate frame; without a shared folder its lineage is kept."""
-    return df if shared_folder(df.sparkSession) is None else df.checkpoint(eager=True)
+    """Checkpoint a small intermediate frame."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def materialise_table(df: DataFrame) -> DataFrame:
-    """Write a table-sized frame to the shared folder as Parquet, so later scans read few columns."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+def table_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def materialise_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a table-sized frame to the shared folder as Parquet, so later scans read few columns.
+
+    Who gives a path of their own (see ``table_path``) can ``discard`` it when done.
+    """
+    path = path or table_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialise_table`` wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """Give every task slot a share of a small frame before work that is heavy per row.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,14 @@ EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]+$"
 _YEAR, _MONTH, _DAY = "[0-9]{4}", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
 _CLOCK = "([01]?[0-9]|2[0-3]):[0-5][0-9]"
 _SECONDS = f"{_CLOCK}:[0-5][0-9]"
+_FRACTION = r"\.[0-9]{1,6}"
+_DIGITS = ".[SSSSSS][SSSSS][SSSS][SSS][SS][S]"
+_HALF_DAY = "(0?[1-9]|1[0-2]):[0-5][0-9]"
+_HALF = "([AaPp][Mm])"
+_ZONE = "(Z|[+-][0-9]{2}:[0-9]{2})"
+_SHORT_YEAR = "[0-9]{2}"
+# Two-digit years from this one on are of the last century.
+FIRST_OF_LAST_CENTURY = 69
 
 # Date layouts with the shape of text each fits; month-first stands before day-first.
 # The shapes leave little to fail in parsing, where a failure costs an exception.
@@ -36,6 +46,11 @@ DATE_LAYOUTS = tuple(
         (rf"{_YEAR}-{_MONTH}-{_DAY} {_SECONDS}\.[0-9]{{1,6}}", "yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
         (f"{_YEAR}-{_MONTH}-{_DAY}T{_CLOCK}", "yyyy-M-d'T'H:mm"),
         (f"{_YEAR}-{_MONTH}-{_DAY}T{_SECONDS}", "yyyy-M-d'T'H:mm:ss"),
+        (f"{_YEAR}-{_MONTH}-{_DAY}T{_SECONDS}{_FRACTION}", f"yyyy-M-d'T'H:mm:ss{_DIGITS}"),
+        (f"{_YEAR}-{_MONTH}-{_DAY}[T ]{_SECONDS}{_ZONE}", "yyyy-M-d['T'][ ]H:mm:ssXXX"),
+        (f"{_YEAR}-{_MONTH}-{_DAY}[T ]{_SECONDS}{_FRACTION}{_ZONE}", f"yyyy-M-d['T'][ ]H:mm:ss{_DIGITS}XXX"),
+        (f"{_YEAR}-{_MONTH}-{_DAY} {_HALF_DAY} {_HALF}", "yyyy-M-d h:mm a"),
+        (f"{_YEAR}-{_MONTH}-{_DAY} {_HALF_DAY}:[0-5][0-9] {_HALF}", "yyyy-M-d h:mm:ss a"),
         (f"{_YEAR}/{_MONTH}/{_DAY}", "yyyy/M/d"),
         (f"{_YEAR}/{_MONTH}/{_DAY} {_SECONDS}", "yyyy/M/d H:mm:ss"),
         (f"{_MONTH}/{_DAY}/{_YEAR}", "M/d/yyyy"),
@@ -44,6 +59,14 @@ DATE_LAYOUTS = tuple(
         (f"{_DAY}/{_MONTH}/{_YEAR} {_CLOCK}", "d/M/yyyy H:mm"),
         (f"{_MONTH}/{_DAY}/{_YEAR} {_SECONDS}", "M/d/yyyy H:mm:ss"),
         (f"{_DAY}/{_MONTH}/{_YEAR} {_SECONDS}", "d/M/yyyy H:mm:ss"),
+        (f"{_MONTH}/{_DAY}/{_YEAR} {_HALF_DAY} {_HALF}", "M/d/yyyy h:mm a"),
+        (f"{_DAY}/{_MONTH}/{_YEAR} {_HALF_DAY} {_HALF}", "d/M/yyyy h:mm a"),
+        (f"{_MONTH}/{_DAY}/{_YEAR} {_HALF_DAY}:[0-5][0-9] {_HALF}", "M/d/yyyy h:mm:ss a"),
+        (f"{_DAY}/{_MONTH}/{_YEAR} {_HALF_DAY}:[0-5][0-9] {_HALF}", "d/M/yyyy h:mm:ss a"),
+        (f"{_MONTH}/{_DAY}/{_SHORT_YEAR}", "M/d/yy"),
+        (f"{_DAY}/{_MONTH}/{_SHORT_YEAR}", "d/M/yy"),
+        (f"{_MONTH}/{_DAY}/{_SHORT_YEAR} {_CLOCK}", "M/d/yy H:mm"),
+        (f"{_DAY}/{_MONTH}/{_SHORT_YEAR} {_CLOCK}", "d/M/yy H:mm"),
         (f"{_MONTH}-{_DAY}-{_YEAR}", "M-d-yyyy"),
         (f"{_DAY}-{_MONTH}-{_YEAR}", "d-M-yyyy"),
         (rf"{_MONTH}\.{_DAY}\.{_YEAR}", "M.d.yyyy"),
@@ -82,8 +105,16 @@ def looks_boolean(c: Column) -> Column:
 
 
 def parsed_time(c: Column, shape: str, layout: str) -> Column:
-    """Wall-clock time of a text in exactly this shape and layout, else NULL."""
-    return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(layout))).cast("timestamp_ntz")
+    """Wall-clock time of a text in exactly this shape and layout, else NULL; in UTC where the text names a zone."""
+    time = F.try_to_timestamp(c, F.lit(layout))
+    if layout.endswith("X"):
+        wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), time.cast("timestamp_ntz"))
+    else:
+        wall = time.cast("timestamp_ntz")
+    if re.search("(?<!y)yy(?!y)", layout):
+        late = F.year(wall) >= 2000 + FIRST_OF_LAST_CENTURY
+        wall = F.when(late, wall - F.make_ym_interval(F.lit(100))).otherwise(wall)
+    return F.when(c.rlike(shape), wall)
 
 
 def two_decimals(c: Column) -> Column:

@@ -30,7 +30,11 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def cast_columns(df: DataFrame, schema: Mapping[str, str | T.DataType]) -> DataFrame:
-    """P3. Cast the listed columns that exist. A value that does not fit raises."""
+    """P3. Cast the listed columns that exist. A value that does not fit raises.
+
+    As a boolean, a text is true unless it is empty, whatever it says.
+    """
+    texts = set(fields_of(df, (T.StringType,)))
 
     def cast(name):
         if name not in schema:
@@ -38,6 +42,8 @@ def cast_columns(df: DataFrame, schema: Mapping[str, str | T.DataType]) -> DataF
         wanted = schema[name]
         wanted = TYPE_NAMES.get(wanted, wanted) if isinstance(wanted, str) else wanted.simpleString()
         c = column(name)
+        if wanted == "boolean" and name in texts:
+            return (c != "").alias(name)
         bad = c.isNotNull() & c.try_cast(wanted).isNull()
         problem = F.concat(F.lit(f"Cannot convert column {name} to {wanted}: "), c.cast("string"))
         return F.when(bad, F.raise_error(problem).cast(wanted)).otherwise(c.try_cast(wanted)).alias(name)

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..common import (
+    INTEGER_TYPES,
     NUMERIC_TYPES,
     TIME_TYPES,
     aggregate_once,
     column,
     fields_of,
+    materialise,
     nan_to_null,
     numeric_columns,
+    quoted,
     reject_nested,
     small_frame,
     spread,
@@ -86,21 +91,51 @@ def common_values(df: DataFrame, columns: Sequence[str] | None = None, k: int =
 
 
 def extreme_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
-    """D4. The k smallest and k largest distinct values of each numeric column, with counts."""
+    """D4. The k smallest and k largest distinct values of each numeric column, with counts.
+
+    Each batch of rows names its own k of either end; only the values that are left are counted,
+    in a second pass. Whole numbers stay whole on the way; ``exact`` has every digit of a value.
+    """
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
-    wide = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(names)])
-    counts = wide.unpivot([], wide.columns, "slot", "value").filter("value is not null").groupBy("slot", "value").agg(
-        F.count("*").alias("n")
-    )
-    label = F.element_at(F.array(*map(F.lit, names)), F.substring("slot", 2, 9).cast("int") + 1)
-
-    def side(name, order):
+    types = {f.name: f.dataType for f in df.schema.fields}
+    whole = [c for c in names if isinstance(types[c], INTEGER_TYPES)]
+    parts = [_extremes(df, named, kind, k) for kind, named in (("long", whole), ("double", [c for c in names if c not in whole])) if named]
+    schema = "column string, side string, rank int, value double, n bigint, exact string"
+    if not parts:
+        return small_frame(df.sparkSession, [], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _extremes(df: DataFrame, names: Sequence[str], kind: str, k: int) -> DataFrame:
+    plus = " + 0D" if kind == "double" else ""
+    wide = df.selectExpr(*[f"cast({quoted(c)} as {kind}){plus} as v{i}" for i, c in enumerate(names)])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, values = [], []
+            for i, cells in enumerate(batch.columns):
+                found = np.unique(cells.drop_null().to_numpy(zero_copy_only=False))
+                found = found if len(found) <= 2 * k else np.concatenate((found[:k], found[-k:]))
+                slots += [i] * len(found)
+                values.append(found)
+            yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(np.concatenate(values))], names=["slot", "value"])
+
+    left = wide.mapInArrow(ends, f"slot int, value {kind}").distinct()
+
+    def ranked(order, side):
         rank = F.row_number().over(Window.partitionBy("slot").orderBy(order))
-        return counts.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("side", F.lit(name))
-
-    both = side("smallest", F.asc("value")).unionByName(side("largest", F.desc("value")))
-    return both.select(label.alias("column"), "side", "rank", "value", "n")
+        return left.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("side", F.lit(side))
+
+    both = materialise(ranked(F.asc("value"), "smallest").unionByName(ranked(F.desc("value"), "largest")))  # 2 k a column
+    pairs = ", ".join(f"{i}, v{i}" for i in range(len(names)))
+    long = wide.selectExpr(f"stack({len(names)}, {pairs}) as (slot, value)")
+    kept = long.join(F.broadcast(both.select("slot", "value").distinct()), ["slot", "value"], "left_semi")
+    counts = kept.groupBy("slot", "value").agg(F.count("*").alias("n"))
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("slot") + 1)
+    return both.join(F.broadcast(counts), ["slot", "value"]).select(
+        label.alias("column"), "side", "rank", F.col("value").cast("double").alias("value"), "n", F.col("value").cast("string").alias("exact")
+    )
 
 
 def text_detail(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

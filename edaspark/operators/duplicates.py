@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, SPREAD_ROWS, column, fields_of, materialise, names_of, nan_to_null, quoted, small_frame
+from ..common import FLOAT_TYPES, SPREAD_ROWS, column, fields_of, materialise, names_of, nan_to_null, quoted
 from .moments import gap_masks
 
-# Repeated hashes (eight bytes each) that the driver collects, and that may be broadcast.
-COLLECTED_HASHES = 50_000
+# Repeated hashes (eight bytes each) that may be broadcast.
 BROADCAST_HASHES = 1_000_000
 
 
@@ -34,22 +33,17 @@ def _hashed(df: DataFrame) -> DataFrame:
 def _repeated_hashes(df: DataFrame) -> tuple[DataFrame | None, int]:
     """Hashes that occur more than once, and how many."""
     name = _hash_name(df)
-    hashes = _hashed(df).groupBy(name).count().filter("count > 1").select(name)
-    few = hashes.limit(COLLECTED_HASHES + 1).collect()
-    if len(few) <= COLLECTED_HASHES:
-        return small_frame(df.sparkSession, few, f"{name} bigint"), len(few)
-    hashes = materialise(hashes)
+    hashes = materialise(_hashed(df).groupBy(name).count().filter("count > 1").select(name))
     return hashes, hashes.count()
 
 
 def _suspects(df: DataFrame) -> DataFrame | None:
-    """Rows that may have a copy: None when there are none, all rows when too many to tell."""
+    """Rows that may have a copy; None when there are none. Hashes too many to broadcast meet the rows by a shuffle."""
     hashes, n = _repeated_hashes(df)
     if n == 0:
         return None
-    if n > BROADCAST_HASHES:
-        return df
-    return _hashed(df).join(F.broadcast(hashes), _hash_name(df), "left_semi").select(*names_of(df))
+    few = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
+    return _hashed(df).join(few, _hash_name(df), "left_semi").select(*names_of(df))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -90,8 +84,8 @@ def top_duplicates(df: DataFrame, k: int = 10) -> DataFrame:
 def remove_duplicates(df: DataFrame, rows: int | None = None) -> DataFrame:
     """P6. Keep one of each group of equal rows.
 
-    Rows without a possible copy pass through; only the others are shuffled. Beyond
-    BROADCAST_HASHES repeated values, or where ``rows`` is known to be few, all are compared.
+    Rows without a possible copy pass through; only the others are shuffled. Beyond BROADCAST_HASHES repeated
+    values all rows are shuffled by their hash first; where ``rows`` is known to be few, all are compared at once.
     """
     df = nan_to_null(df)
     if rows is not None and rows <= SPREAD_ROWS:
@@ -99,10 +93,9 @@ def remove_duplicates(df: DataFrame, rows: int | None = None) -> DataFrame:
     hashes, n = _repeated_hashes(df)
     if n == 0:
         return df
-    if n > BROADCAST_HASHES:
-        return df.distinct()
     name, names = _hash_name(df), names_of(df)
     hashed = _hashed(df)
-    alone = hashed.join(F.broadcast(hashes), name, "left_anti").select(*names)
-    copied = hashed.join(F.broadcast(hashes), name, "left_semi").select(*names)
+    few = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
+    alone = hashed.join(few, name, "left_anti").select(*names)
+    copied = hashed.join(few, name, "left_semi").select(*names)
     return alone.unionByName(copied.distinct())

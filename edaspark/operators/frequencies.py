@@ -64,10 +64,18 @@ def top_values(counts: DataFrame, k: int, keys: Sequence[str] = ("column",)) ->
 
 
 def modes(df: DataFrame, values: Mapping[str, Column]) -> dict[str, str | None]:
-    """Most frequent non-null value of each expression as text, the smallest on ties."""
-    out = {}
-    for name, value in values.items():
-        counts = df.select(value.alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-        best = counts.agg(F.min_by("value", F.struct(-F.col("n"), "value")).cast("string"))
-        out[name] = best.first()[0]
+    """Most frequent non-null value of each expression as text, the smallest on ties; one job per type among them."""
+    names = list(values)
+    wide = df.select(*[values[c].alias(f"v{i}") for i, c in enumerate(names)])
+    kinds: dict[str, list[int]] = {}
+    for i, field in enumerate(wide.schema.fields):
+        whole, part = isinstance(field.dataType, INTEGER_TYPES), isinstance(field.dataType, FLOAT_TYPES)
+        kinds.setdefault("bigint" if whole else "double" if part else field.dataType.simpleString(), []).append(i)
+    out: dict[str, str | None] = dict.fromkeys(names)
+    for kind, members in kinds.items():
+        pairs = ", ".join(f"{i}, cast(v{i} as {kind})" for i in members)
+        long = wide.selectExpr(f"stack({len(members)}, {pairs}) as (k, v)").filter("v is not null")
+        counts = long.groupBy("k", "v").agg(F.count("*").alias("n"))
+        best = counts.groupBy("k").agg(F.min_by("v", F.struct(-F.col("n"), "v")).cast("string").alias("v"))
+        out |= {names[r["k"]]: r["v"] for r in best.collect()}
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import aggregate_once, as_double, column, nan_to_null, numeric_columns, small_frame
+from ..common import INTEGER_TYPES, aggregate_once, as_double, column, nan_to_null, numeric_columns, small_frame
 from .frequencies import modes
 from .moments import gap_masks, gaps_of
 from .quantiles import column_quantiles
@@ -24,6 +24,9 @@ ROW_DROP_BELOW = 0.05
 # Combinations of gaps the driver folds over; beyond, one count per row-dropping column.
 MAX_PATTERNS = 100_000
 
+# A whole-number column with gaps is double by the time the policy is asked, so every integer type takes the median.
+MEDIAN_TYPES = (*INTEGER_TYPES, T.DoubleType)
+
 DROP_COLUMN, DROP_ROWS, FILL_MEDIAN, FILL_MODE = "drop_column", "drop_rows", "fill_median", "fill_mode"
 
 
@@ -168,7 +171,7 @@ def _with_fills(df, decided, rows):
             for b in before:
                 alive = alive & column(b).isNotNull()
             value = F.when(alive, value)
-        (medians if isinstance(types[c], (T.LongType, T.DoubleType)) else most)[c] = value
+        (medians if isinstance(types[c], MEDIAN_TYPES) else most)[c] = value
     found_medians = column_quantiles(df, medians, [0.5], rows)
     found_modes = modes(df, most)
     ordinals = {c: i for i, c in enumerate(df.columns)}
@@ -195,7 +198,7 @@ def fill_nulls(df: DataFrame, strategy: str = "mean") -> DataFrame:
     elif strategy == "mode":
         fills = modes(df, {c: column(c) for c in df.columns})
     else:
-        raise ValueError("Invalid null handling strategy")
+        raise ValueError(f"Unknown strategy for missing values: {strategy!r}")
 
     def filled(field):
         c, fill = column(field.name), fills.get(field.name)

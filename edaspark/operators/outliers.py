@@ -20,7 +20,7 @@ Z_LIMIT = 3
 
 def _check(method: str) -> None:
     if method not in (IQR, ZSCORE):
-        raise ValueError("Invalid method. Choose 'iqr' or 'zscore'.")
+        raise ValueError(f"Unknown outlier method {method!r}: '{IQR}' and '{ZSCORE}' are known.")
 
 
 @dataclass(frozen=True)
@@ -104,10 +104,10 @@ def count_outliers(df: DataFrame, fitted: Sequence[Bounds]) -> list[dict[str, in
 
 
 def _fit(df: DataFrame, names: Sequence[str], method: str, facts: Facts | None = None) -> list[Bound]:
-    facts = facts or column_facts(df, names)
+    facts = facts or column_facts(df, names, [0.25, 0.75] if method == IQR else ())
     quartiles: Mapping[str, list] = {}
     if method == IQR:
-        quartiles = column_quantiles(df, {c: column(c) for c in names}, [0.25, 0.75], facts.rows)
+        quartiles = column_quantiles(df, {c: column(c) for c in names}, [0.25, 0.75], facts=facts)
     out = []
     for c in names:
         m = facts.moments[c]

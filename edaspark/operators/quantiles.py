@@ -5,6 +5,9 @@ buffer, so it serves only row counts checked to be small. Beyond, a bounded sket
 brackets each wanted rank. One more pass then keeps distinct values inside the brackets
 and merely counts the rows between them, so the ranks are exact. A bracket that missed
 its rank is found out by those counts and widened.
+
+Between two neighbouring values a and b the quantile is a + (b - a) share; next to an infinite value it
+is that infinity, between opposite ones NaN, and at a rank that falls on a value it is that value. Both ways follow this.
 """
 
 from __future__ import annotations
@@ -16,43 +19,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import aggregate_once, column, group_sizes, join_group_stats, literal, materialise
+from .moments import (
+    HIGHEST,
+    LOWEST,
+    MARGIN,
+    SKETCH_SIZE,
+    Facts,
+    Sketch,
+    literal_array,
+    sketch_expressions,
+    sketch_of,
+    sketched_quantiles,
+)
 
 # Up to this many rows the built-in function's buffer is small whatever the values are.
 SMALL_ROWS = 50_000
-SKETCH_SIZE = 4096
-# Half-width of a bracket in rank share; over twice the sketch's error at SKETCH_SIZE.
-MARGIN = 0.0025
-# Rows that may lie inside one group's brackets before the brackets are narrowed again.
+# Distinct values that may lie inside one group's brackets before the brackets are narrowed again.
 BRACKET_ROWS = 2_000_000
-MAX_NARROWINGS = 6
 # Columns per pass; their brackets are compiled into it.
 COLUMNS_AT_ONCE = 32
-LOWEST, HIGHEST = float("-inf"), float("inf")
 
 
 def column_quantiles(
-    df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], rows: int | None = None
+    df: DataFrame,
+    values: Mapping[str, Column],
+    probs: Sequence[float],
+    rows: int | None = None,
+    facts: Facts | None = None,
 ) -> dict[str, list[float]]:
     """Quantiles of named expressions over one frame, all columns in the same two passes.
 
     What is known of a column on the way (counts, brackets) is bounded by the schema, so
-    it goes through the driver and back into the plan as literals.
+    it goes through the driver and back into the plan as literals. ``facts`` with sketches
+    of the columns at the same probabilities spare the first pass.
     """
     probs, order = sorted(probs), list(values)
     if len(order) > COLUMNS_AT_ONCE:
         parts = [order[i : i + COLUMNS_AT_ONCE] for i in range(0, len(order), COLUMNS_AT_ONCE)]
-        return {c: q for part in parts for c, q in column_quantiles(df, {c: values[c] for c in part}, probs, rows).items()}
+        return {
+            c: q
+            for part in parts
+            for c, q in column_quantiles(df, {c: values[c] for c in part}, probs, rows, facts).items()
+        }
     if not order:
         return {}
+    rows = facts.rows if facts and rows is None else rows
     wide = df.select(*[F.nanvl(values[c].cast("double"), F.lit(None)).alias(f"v{i}") for i, c in enumerate(order)])
     out: dict[int, list] = {i: [None] * len(probs) for i in range(len(order))}
     if rows is None or rows > SMALL_ROWS:
-        counts, brackets = _sketch_columns(wide, list(out), probs, MARGIN)
+        if facts and all(c in facts.sketches and facts.sketches[c].covers(probs) for c in order):
+            counts = {i: facts.moments[c].n for i, c in enumerate(order)}
+            sketches = {i: facts.sketches[c].at(probs) for i, c in enumerate(order)}
+        else:
+            counts, sketches = _sketch_columns(wide, list(out), probs, MARGIN)
         rows = max(counts.values())
     if rows <= SMALL_ROWS:
         out |= {k: q for k, q in aggregate_once(wide, {i: F.percentile(f"v{i}", probs) for i in out}).items() if q}
     else:
-        out |= _exact_columns(wide, counts, brackets, probs, MARGIN, BRACKET_ROWS)
+        out |= _exact_columns(wide, counts, sketches, probs, MARGIN, BRACKET_ROWS)
     return {c: list(out[i]) for i, c in enumerate(order)}
 
 
@@ -62,57 +86,62 @@ def _ranks(n, p):
     return math.floor(position), math.ceil(position), position - math.floor(position)
 
 
+def _between(a, b, share):
+    if a == b or share == 0:
+        return a
+    return a * (1 - share) + b * share if math.isinf(a) or math.isinf(b) else a + (b - a) * share
+
+
 def _sketch_columns(wide, columns, probs, margin):
-    """Non-null counts, and per column a list of (lo, hi) brackets, one per probability."""
-    ranks = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
-    asked = _array(x for pair in ranks for x in pair)
+    """Non-null counts, and per column a Sketch."""
     exprs = {}
     for i in columns:
         exprs["n", i] = f"count(v{i})"
-        exprs["at", i] = _sketched_quantiles(f"v{i}", asked)
+        exprs |= {(k, i): e for k, e in sketch_expressions(f"v{i}", probs, margin).items()}
     found = aggregate_once(wide, exprs)
-    counts, brackets = {}, {}
-    for i in columns:
-        counts[i] = found["n", i]
-        at = found["at", i] or [None] * 2 * len(probs)
-        brackets[i] = [
-            (LOWEST if low == 0 else at[2 * j], HIGHEST if high == 1 else at[2 * j + 1])
-            for j, (low, high) in enumerate(ranks)
-        ]
-    return counts, brackets
+    sketches = {i: sketch_of(found["at", i], found["distinct", i], probs, margin) for i in columns}
+    return {i: found["n", i] for i in columns}, sketches
 
 
-def _exact_columns(wide, counts, brackets, probs, margin, bracket_rows):
+def _exact_columns(wide, counts, sketches: Mapping[int, Sketch], probs, margin, bracket_rows):
     out, todo = {}, [i for i, n in counts.items() if n]
     while todo:
-        brackets = _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows)
+        brackets = _narrow_columns(wide, counts, sketches, todo, probs, margin, bracket_rows)
         picked = _pick_columns(wide, counts, brackets, todo, probs)
         out |= {i: q for i, q in picked.items() if None not in q}
         todo = [i for i in todo if i not in out]
         if todo:
             margin *= 8
-            brackets = brackets | _sketch_columns(wide, todo, probs, margin)[1]
+            sketches = dict(sketches) | _sketch_columns(wide, todo, probs, margin)[1]
     return out
 
 
-def _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows):
-    """Sketch again inside the brackets of columns where too many rows lie inside them."""
-    inside = {i: counts[i] * 2 * margin * len(probs) for i in todo}
+def _narrow_columns(wide, counts, sketches, todo, probs, margin, bracket_rows):
+    """Sketch again inside the brackets of columns where too many distinct values lie inside them.
+
+    A bracket of one value holds one distinct value however many rows; a column of few values
+    never has too many. Narrowing goes on as long as it gets anywhere.
+    """
+    brackets = {i: list(sketches[i].brackets) for i in todo}
+
+    def share(i, rows):
+        open_ = [n for n, (lo, hi) in zip(rows, brackets[i]) if lo != hi]
+        return min(sum(open_), sketches[i].distinct)
+
+    inside = {i: share(i, [counts[i] * 2 * margin] * len(probs)) for i in todo}
     steps = round(1 / min(margin, 0.5))
-    grid = _array(s / steps for s in range(steps + 1))
-    for _ in range(MAX_NARROWINGS):
-        wide_ones = [i for i in todo if inside[i] > bracket_rows]
-        if not wide_ones:
-            break
+    grid = literal_array(s / steps for s in range(steps + 1))
+    wide_ones = [i for i in todo if inside[i] > bracket_rows]
+    while wide_ones:
         exprs = {}
         for i in wide_ones:
             for j, (lo, hi) in enumerate(brackets[i]):
                 inner = f"v{i} >= {literal(lo)} and v{i} <= {literal(hi)}"
                 kept = f"if({inner}, v{i}, null)"
                 exprs["below", i, j], exprs["in", i, j] = f"count_if(v{i} < {literal(lo)})", f"count_if({inner})"
-                exprs["at", i, j] = _sketched_quantiles(kept, grid)
+                exprs["at", i, j] = sketched_quantiles(kept, grid)
         found = aggregate_once(wide, exprs)
-        brackets = dict(brackets)
+        before = dict(inside)
         for i in wide_ones:
             fresh = []
             for j, p in enumerate(probs):
@@ -126,7 +155,8 @@ def _narrow_columns(wide, counts, brackets, todo, probs, margin, bracket_rows):
                 right = math.ceil((last - below) / max(n - 1, 1) * steps) + 1
                 fresh.append((lo if left < 0 else at[left], hi if right > steps else at[right]))
             brackets[i] = fresh
-            inside[i] = sum(found["in", i, j] for j in range(len(probs))) * 3 * margin
+            inside[i] = share(i, [found["in", i, j] * 3 * margin for j in range(len(probs))])
+        wide_ones = [i for i in wide_ones if bracket_rows < inside[i] < before[i]]
     return brackets
 
 
@@ -143,7 +173,7 @@ def _pick_columns(wide, counts, brackets, todo, probs):
         "k",
         "v",
         *[
-            f"get({_array(brackets[i][j][e] for i in todo)}, k) as {name}{j}"
+            f"get({literal_array(brackets[i][j][e] for i in todo)}, k) as {name}{j}"
             for j in range(len(probs))
             for e, name in enumerate(("lo", "hi"))
         ],
@@ -167,22 +197,12 @@ def _pick_columns(wide, counts, brackets, todo, probs):
     for row in ranked.groupBy("k").agg(*picks).collect():
         i, ends = todo[row["k"]], row[1:]
         out[i] = [
-            None if None in (a, b) else a if a == b else a + (b - a) * _ranks(counts[i], p)[2]
+            None if None in (a, b) else _between(a, b, _ranks(counts[i], p)[2])
             for p, a, b in zip(probs, ends[::2], ends[1::2])
         ]
     return out
 
 
-def _sketched_quantiles(value: str, ranks: str) -> str:
-    """Aggregate expression; null without values, of which the sketch alone would make an error."""
-    sketch = f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
-    return f"if(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {ranks}), null)"
-
-
-def _array(values) -> str:
-    return f"array({', '.join(map(literal, values))})"
-
-
 def grouped_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], total: int | None = None
 ) -> DataFrame:
@@ -206,10 +226,8 @@ def _sketched(rows, keys, value, probs, margin=MARGIN, bracket_rows=BRACKET_ROWS
     ).filter("v is not null and not isnan(v)")
     found = None
     while True:
-        brackets = _first_brackets(rows, names, probs, margin)
+        brackets = _narrowed(rows, names, probs, _first_brackets(rows, names, probs, margin), margin, bracket_rows)
         sizes = group_sizes(brackets, names)
-        if sizes.largest * 2 * margin * len(probs) > bracket_rows:
-            brackets = _narrowed(rows, names, probs, brackets, margin, bracket_rows)
         picked = materialise(_picked(rows, names, probs, brackets, sizes))
         complete = ~F.exists("q", lambda x: x.isNull())
         done = picked.filter(complete)
@@ -226,14 +244,18 @@ def _first_brackets(rows, names, probs, margin):
     asked = [r for r in ranks if 0 < r < 1] or [0.5]
     sketched = (
         rows.groupBy(*names)
-        .agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", F.lit(SKETCH_SIZE)).alias("sketch"))
+        .agg(
+            F.count("v").alias("n"),
+            F.approx_count_distinct("v").alias("distinct"),
+            F.kll_sketch_agg_double("v", F.lit(SKETCH_SIZE)).alias("sketch"),
+        )
         .withColumn("at", F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, asked))))
     )
     bounds = [
         F.lit(LOWEST) if r <= 0 else F.lit(HIGHEST) if r >= 1 else F.get("at", F.lit(asked.index(r))) for r in ranks
     ]
     names_of_bounds = [f"lo{i}" for i in range(len(probs))] + [f"hi{i}" for i in range(len(probs))]
-    return materialise(sketched.select(*names, "n", *[b.alias(a) for b, a in zip(bounds, names_of_bounds)]))
+    return materialise(sketched.select(*names, "n", "distinct", *[b.alias(a) for b, a in zip(bounds, names_of_bounds)]))
 
 
 def _around(p):
@@ -243,14 +265,20 @@ def _around(p):
 
 
 def _narrowed(rows, names, probs, brackets, margin, bracket_rows):
-    """Sketch again inside the brackets of groups where too many rows lie inside them."""
-    inside = "inside"
-    brackets = brackets.withColumn(inside, F.col("n") * (2.0 * margin * len(probs)))
+    """Sketch again inside the brackets of groups where too many distinct values lie inside them, while that gets anywhere."""
+    ends = range(len(probs))
     steps = round(1 / min(margin, 0.5))
-    grid = _array(s / steps for s in range(steps + 1))
-    bounds = [f"{end}{i}" for i in range(len(probs)) for end in ("lo", "hi")]
-    for _ in range(MAX_NARROWINGS):
-        wide = brackets.filter(F.col(inside) > bracket_rows)
+    grid = literal_array(s / steps for s in range(steps + 1))
+    bounds = [f"{end}{i}" for i in ends for end in ("lo", "hi")]
+
+    def held(rows_inside):
+        open_ = sum((F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), 0).otherwise(rows_inside(i)) for i in ends), F.lit(0.0))
+        return F.least(open_, F.col("distinct").cast("double"))
+
+    brackets = brackets.withColumn("inside", held(lambda i: F.col("n") * (2.0 * margin))).withColumn("before", F.lit(HIGHEST))
+    while True:
+        too_many = (F.col("inside") > bracket_rows) & (F.col("inside") < F.col("before"))
+        wide = brackets.filter(too_many)
         if wide.isEmpty():
             break
         joined = join_group_stats(rows, wide, names, "n")
@@ -260,27 +288,28 @@ def _narrowed(rows, names, probs, brackets, margin, bracket_rows):
             aggs += [
                 F.expr(f"count_if(v < lo{i}) as below{i}"),
                 F.expr(f"count({kept}) as in{i}"),
-                F.expr(f"{_sketched_quantiles(kept, grid)} as at{i}"),
+                F.expr(f"{sketched_quantiles(kept, grid)} as at{i}"),
             ]
-        sketched = joined.groupBy(*names, "n", *bounds).agg(*aggs)
+        sketched = joined.groupBy(*names, "n", "distinct", "inside", *bounds).agg(*aggs)
         fresh = []
         for i, p in enumerate(probs):
             first, last, _share = _around(p)
-            held = (F.col(f"below{i}") <= first) & (last < F.col(f"below{i}") + F.col(f"in{i}"))
+            hit = (F.col(f"below{i}") <= first) & (last < F.col(f"below{i}") + F.col(f"in{i}"))
             span = F.greatest(F.col(f"in{i}") - 1, F.lit(1))
             left = F.floor((first - F.col(f"below{i}")) / span * steps).cast("int") - 1
             right = F.ceil((last - F.col(f"below{i}")) / span * steps).cast("int") + 1
             fresh += [
-                F.when(~held, LOWEST).when(left < 0, F.col(f"lo{i}")).otherwise(F.get(f"at{i}", left)).alias(f"lo{i}"),
-                F.when(~held, HIGHEST)
+                F.when(~hit, LOWEST).when(left < 0, F.col(f"lo{i}")).otherwise(F.get(f"at{i}", left)).alias(f"lo{i}"),
+                F.when(~hit, HIGHEST)
                 .when(right > steps, F.col(f"hi{i}"))
                 .otherwise(F.get(f"at{i}", right))
                 .alias(f"hi{i}"),
             ]
-        left_over = sum((F.col(f"in{i}") for i in range(len(probs))), F.lit(0)) * (3.0 * margin)
-        sketched = sketched.select(*names, "n", *fresh, left_over.alias(inside))
-        brackets = materialise(brackets.filter(F.col(inside) <= bracket_rows).unionByName(sketched))
-    return brackets.drop(inside)
+        kept = [F.col(f"in{i}").alias(f"in{i}") for i in ends]
+        sketched = sketched.select(*names, "n", "distinct", F.col("inside").alias("before"), *fresh, *kept)
+        sketched = sketched.withColumn("inside", held(lambda i: F.col(f"in{i}") * (3.0 * margin))).drop(*[f"in{i}" for i in ends])
+        brackets = materialise(brackets.filter(~too_many).unionByName(sketched))
+    return brackets.select(*names, "n", *bounds)
 
 
 def _picked(rows, names, probs, brackets, sizes):
@@ -303,5 +332,9 @@ def _picked(rows, names, probs, brackets, sizes):
             picks.append(f"max(if(upto - rows <= {rank} and {rank} < upto, kept, null)) as {end}{i}")
     grouped = ranked.groupBy(*names, "n").agg(*[F.expr(x) for x in picks])
     share = [f"((n - 1) * {float(p)!r}D - floor((n - 1) * {float(p)!r}D))" for p in probs]
-    quantiles = ", ".join(f"if(a{i} = b{i}, a{i}, a{i} + (b{i} - a{i}) * {share[i]})" for i in ends)
+    far = "(abs(a{0}) = double('inf') or abs(b{0}) = double('inf'))"
+    quantiles = ", ".join(
+        f"case when a{i} = b{i} or {share[i]} = 0 then a{i} when {far.format(i)} then a{i} * (1 - {share[i]}) + b{i} * {share[i]} else a{i} + (b{i} - a{i}) * {share[i]} end"
+        for i in ends
+    )
     return grouped.selectExpr(*names, "n", f"array({quantiles}) as q")

@@ -1,7 +1,7 @@
 """Average ranks of whole columns, and the rank correlation built on them.
 
 Ranks need a running total over all values in order. Values are counted first, then cut
-into slices at sketched quantiles: totals run inside each slice, and the few slice totals
+into slices by a range exchange: totals run inside each slice, and the slice totals, one row each,
 are added on top. No task sees more than one slice.
 """
 
@@ -25,10 +25,10 @@ from ..common import (
 )
 from .moments import Facts, Moments
 from .summary import correlations
+from .validate import count_missing
 
-# Values per slice aimed at, and the most slices one column is cut into.
+# Values per slice aimed at.
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
 # Ranks (two numbers each) that may be broadcast.
 BROADCAST_RANKS = 1_000_000
 
@@ -38,53 +38,46 @@ def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS, rows:
     value = column(name).cast("double") + F.lit(0.0)
     present = df.select(value.alias("value")).filter("value is not null")
     counts = present.groupBy("value").agg(F.count("*").alias("n"))
-    slices = min(MAX_SLICES, -(-(present.count() if rows is None else rows) // slice_rows))
+    slices = max(1, -(-(present.count() if rows is None else rows) // slice_rows))
     if slices > 1:
-        counts = materialise(counts)
-        shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-        cuts = present.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value", F.lit(4096)), shares)).first()[0]
-        counts = counts.withColumn("slice", _slice_of(sorted(set(cuts))))
+        ranged = counts.repartitionByRange(slices, "value")
+        counts = materialise(ranged.withColumn("slice", F.spark_partition_id()))
     else:
         counts = counts.withColumn("slice", F.lit(0))
     within = Window.partitionBy("slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.sum("n").over(within))
     if slices > 1:
-        totals = [(r["slice"], r["n"]) for r in counts.groupBy("slice").agg(F.sum("n").alias("n")).collect()]
-        running, offsets = 0, []
-        for s, n in sorted(totals):
-            offsets.append((s, running))
-            running += n
-        offset = small_frame(df.sparkSession, offsets, "slice int, base bigint")
-        ranked = ranked.join(F.broadcast(offset), "slice").withColumn("upto", F.col("upto") + F.col("base"))
+        # One row a slice; their running total is the rows before each.
+        totals = counts.groupBy("slice").agg(F.sum("n").alias("total"))
+        before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        offset = totals.select("slice", (F.sum("total").over(before) - F.col("total")).alias("base"))
+        ranked = ranked.join(offset, "slice").withColumn("upto", F.col("upto") + F.col("base"))
     mean_rank = F.col("upto") - (F.col("n") - 1) / 2.0
     return ranked.select("value", "n", mean_rank.alias("rank"))
 
 
-def _slice_of(cuts: Sequence[float]):
-    """Index of the slice a value falls in, by halving the list of cuts."""
-    bounds = F.array(*map(F.lit, cuts))
-    lo, hi = F.lit(0), F.lit(len(cuts))
-    steps = len(cuts).bit_length()
-
-    def halve(state, _):
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        done = state["lo"] >= state["hi"]
-        right = F.get(bounds, middle) <= F.col("value")
-        return F.struct(
-            F.when(~done & right, middle + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(~done & ~right, middle).otherwise(state["hi"]).alias("hi"),
-        )
-
-    start = F.struct(lo.alias("lo"), hi.alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
-
-
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """D7. Rank correlation ``(x, y, r)`` of every pair; ranks are over each column's values."""
+    """D7. Rank correlation ``(x, y, r)`` of every pair; ranks are over the rows where both are present.
+
+    Columns without gaps share their ranks; a pair with a gap is ranked again over its own rows.
+    """
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
+    rows, missing = count_missing(df.select(*[column(c) for c in names]))
+    whole = [c for c in names if not missing[c]]
+    found = _rank_correlations(df, whole, rows) if whole else {}
+    for i, a in enumerate(names):
+        for b in names[: i + 1]:
+            if missing[a] or missing[b]:
+                both = df.filter(column(a).isNotNull() & column(b).isNotNull()).select(*[column(c) for c in dict.fromkeys((a, b))])
+                pair = _rank_correlations(both, both.columns, rows)
+                found[a, b] = found[b, a] = pair[a, b]
+    return small_frame(df.sparkSession, [(a, b, found[a, b]) for a in names for b in names], "x string, y string, r double")
+
+
+def _rank_correlations(df: DataFrame, names: Sequence[str], rows: int) -> dict[tuple[str, str], float | None]:
+    """Rank correlations of columns without gaps in at most ``rows`` rows."""
     values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
-    rows = df.count()
     ranked, budget, moments = values, BROADCAST_RANKS, {}
     for i, c in enumerate(names):
         ranks = materialise(average_ranks(values, f"x{i}", SLICE_ROWS, rows)).select(
@@ -99,8 +92,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         else:
             ranked, budget = _joined(ranked, ranks, i, sizes), BROADCAST_RANKS
     facts = Facts(rows, {c: rows - m.n for c, m in moments.items()}, moments)
-    found = correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)}, facts=facts)
-    return small_frame(df.sparkSession, [(a, b, r) for (a, b), r in found.items()], "x string, y string, r double")
+    return correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)}, facts=facts)
 
 
 def _joined(rows: DataFrame, ranks: DataFrame, i: int, sizes: GroupSizes) -> DataFrame:

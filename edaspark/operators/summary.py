@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,6 @@ from ..common import (
     aggregate_once,
     column,
     fields_of,
-    literal,
     nan_to_null,
     numeric_columns,
     small_frame,
@@ -28,9 +29,6 @@ from .quantiles import column_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 STRONG = 0.8
-TILE = 8
-# Columns without gaps beyond which one matrix pass replaces passes over pairs.
-WIDE = 24
 DESCRIBE_SCHEMA = (
     "ordinal int, column string, count bigint, mean double, std double, min double, "
     "q25 double, q50 double, q75 double, max double"
@@ -43,8 +41,8 @@ def describe_numeric(
     """R1. One row per numeric column; quartiles are exact and interpolated."""
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
-    facts = facts or column_facts(df, names)
-    quartiles = column_quantiles(df, {c: column(c) for c in names}, QUARTILES, facts.rows)
+    facts = facts or column_facts(df, names, QUARTILES)
+    quartiles = column_quantiles(df, {c: column(c) for c in names}, QUARTILES, facts=facts)
     rows = []
     for i, c in enumerate(names):
         m = facts.moments[c]
@@ -57,8 +55,11 @@ def micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def describe_time(df: DataFrame) -> DataFrame:
-    """R1 for date and time columns: the same statistics as times, no deviation."""
+def _time_rows(df: DataFrame) -> dict[str, tuple]:
+    """Count, then mean, min, quartiles and max in microseconds, of date and time columns.
+
+    Quartiles are taken of distances from the earliest time, which doubles hold exactly over 285 years.
+    """
     names = fields_of(df, TIME_TYPES)
     values = {c: micros(column(c)) for c in names}
     exprs = {}
@@ -66,19 +67,30 @@ def describe_time(df: DataFrame) -> DataFrame:
         exprs |= {(c, f.__name__): f(x) for f in (F.count, F.min, F.max)}
         exprs[c, "avg"] = F.avg(x.cast("decimal(20,0)"))
     found = aggregate_once(df, exprs)
-    quartiles = column_quantiles(df, values, QUARTILES)
+    since = {c: x - F.lit(found[c, "min"] or 0) for c, x in values.items()}
+    quartiles = column_quantiles(df, since, QUARTILES, max((found[c, "count"] for c in names), default=0))
 
-    def whole(x):
-        return None if x is None else math.floor(x)
+    def whole(x, start=0):
+        return None if x is None else start + math.floor(x)
 
-    rows = []
-    for i, c in enumerate(names):
-        times = [found[c, "avg"], found[c, "min"], *quartiles[c], found[c, "max"]]
-        rows.append((i, c, found[c, "count"], *map(whole, times)))
-    stats = ("mean", "min", "q25", "q50", "q75", "max")
-    schema = "ordinal int, column string, count bigint, " + ", ".join(f"{s} bigint" for s in stats)
+    return {
+        c: (
+            found[c, "count"], whole(found[c, "avg"]), found[c, "min"],
+            *[whole(q, found[c, "min"]) for q in quartiles[c]], found[c, "max"],
+        )
+        for c in names
+    }
+
+
+TIME_STATS = ("mean", "min", "q25", "q50", "q75", "max")
+
+
+def describe_time(df: DataFrame) -> DataFrame:
+    """R1 for date and time columns: the same statistics as times, no deviation."""
+    rows = [(i, c, *stats) for i, (c, stats) in enumerate(_time_rows(df).items())]
+    schema = "ordinal int, column string, count bigint, " + ", ".join(f"{s} bigint" for s in TIME_STATS)
     frame = small_frame(df.sparkSession, rows, schema)
-    return frame.select("ordinal", "column", "count", *[F.timestamp_micros(s).alias(s) for s in stats])
+    return frame.select("ordinal", "column", "count", *[F.timestamp_micros(s).alias(s) for s in TIME_STATS])
 
 
 def describe_category(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,8 +112,23 @@ def describe_category(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def describe(df: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """R1. Numeric columns if there are any, else categories."""
-    return describe_numeric(df, facts=facts) if numeric_columns(df) else describe_category(df)
+    """R1. Numeric and time columns if there are any, else categories.
+
+    A table with time columns has their statistics as times too, in ``time_mean`` to ``time_max``,
+    null for numeric columns, as the others are for time columns; rows go in column order.
+    """
+    numbers, times = numeric_columns(df), fields_of(df, TIME_TYPES)
+    if not times:
+        return describe_numeric(df, facts=facts) if numbers else describe_category(df)
+    numeric = describe_numeric(df, facts=facts).drop("ordinal")
+    named = [f"time_{s}" for s in TIME_STATS]
+    rows = [(c, *stats) for c, stats in _time_rows(df).items()]
+    schema = "column string, count bigint, " + ", ".join(f"{s} bigint" for s in named)
+    timed = small_frame(df.sparkSession, rows, schema).select("column", "count", *[F.timestamp_micros(s).alias(s) for s in named])
+    order = [(i, c) for i, c in enumerate(c for c in df.columns if c in (*numbers, *times))]
+    order = small_frame(df.sparkSession, order, "ordinal int, column string")
+    both = numeric.unionByName(timed, allowMissingColumns=True)
+    return F.broadcast(order).join(both, "column").select("ordinal", "column", *both.columns[1:])
 
 
 def correlations(
@@ -114,8 +141,10 @@ def correlations(
 
     ``facts`` spares a pass where the moments of the columns (or expressions) are known.
 
-    Columns are shifted by their means first, so that sums of products, which compile to
-    tight loops, lose no precision. Columns without gaps share their sums between pairs.
+    Columns are shifted by their means and scaled by their deviations first, so that sums of products lose no precision. With m
+    the flags of present values, x the shifted values (0 where missing) and s their squares, the products
+    of the matrices x with x, x with m, s with m and m with m hold n, both sums, both sums of squares and
+    the sum of products of every pair: one pass over the rows, whatever the number of pairs.
     """
     df = nan_to_null(df)
     if expressions is None:
@@ -129,70 +158,76 @@ def correlations(
         known = [facts.moments[f"x{i}"] for i in range(len(names))]
     else:
         known = [facts.moments[c] for c in names]
-    gaps = {i for i, m in enumerate(known) if m.n < facts.rows}
-
-    def key(i, j):
-        """Statistics of i over rows where j is present: i's own when j has no gaps."""
-        return (i, j) if j in gaps and i != j else (i, i)
-
-    def shifted(i):
-        return f"(x{i} - {literal(known[i].mean)})" if known[i].n else f"x{i}"
-
-    exprs: dict = {}
-    whole = [i for i, m in enumerate(known) if i not in gaps and not m.constant and m.n >= 2]
-    matrix = _gramian(wide, whole, shifted) if len(whole) > WIDE else {}
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1) if (i, j) not in matrix]
-    # Pairs go by tiles, so that a pass over part of them reads few columns.
-    for i, j in sorted(pairs, key=lambda p: (p[0] // TILE, p[1] // TILE, p)):
-        exprs["p", i, j] = f"sum({shifted(i)} * {shifted(j)})"
-        for a, b in {key(i, j), key(j, i)}:
-            if a == b:
-                exprs["s", a, a] = f"sum({shifted(a)})"
-                continue
-            raw = f"if(x{b} is null, null, x{a})"
-            exprs["s", a, b] = f"sum(if(x{b} is null, null, {shifted(a)}))"
-            exprs["p", (a, b)] = f"sum(if(x{b} is null, null, {shifted(a)} * {shifted(a)}))"
-            exprs["n", a, b], exprs["lo", a, b], exprs["hi", a, b] = f"count({raw})", f"min({raw})", f"max({raw})"
-    found = aggregate_once(wide, exprs)
-
-    def stat(kind, a, b):
-        if a != b:
-            return found["p", (a, b)] if kind == "p" else found[kind, a, b]
-        own = {"n": known[a].n, "lo": known[a].low, "hi": known[a].high}
-        return own[kind] if kind in own else found[kind, a, a]
-
+    usable = [i for i, m in enumerate(known) if m.n >= 2 and not m.constant and math.isfinite(m.mean)]
+    products = _products(wide, [(i, known[i].mean, known[i].std) for i in usable])
+    at = {i: k for k, i in enumerate(usable)}
     out = {}
     for i, j in [(i, j) for i in range(len(names)) for j in range(i + 1)]:
-        if (i, j) in matrix:
-            out[names[i], names[j]] = out[names[j], names[i]] = matrix[i, j]
-            continue
-        ki, kj = key(i, j), key(j, i)
-        n = stat("n", *(ki if ki != (i, i) else kj))
-        r = None
-        constant = any(stat("lo", *k) == stat("hi", *k) for k in (ki, kj))
-        if n >= 2 and not constant:
-            si, sj = stat("s", *ki), stat("s", *kj)
-            vi, vj = stat("p", *ki) - si * si / n, stat("p", *kj) - sj * sj / n
-            if vi > 0 and vj > 0:
-                r = (found["p", i, j] - si * sj / n) / (vi**0.5 * vj**0.5)
-                r = 1.0 if i == j else max(-1.0, min(1.0, r))
+        r = _pair_correlation(*(p[at[i], at[j]] for p in products), i == j) if i in at and j in at else None
         out[names[i], names[j]] = out[names[j], names[i]] = r
     return out
 
 
-def _gramian(wide: DataFrame, whole: Sequence[int], shifted) -> dict[tuple[int, int], float]:
-    """Correlations of many columns without gaps from one pass, as a product of their matrix with itself."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
+# Columns whose products one aggregation buffer holds; more go in blocks of pairs of such groups.
+BLOCK = 256
+# A variance this share of the one over all rows or less is a constant's rounding.
+FLAT = 1e-20
 
-    rows = wide.selectExpr(*[f"{shifted(i)} as x{i}" for i in whole])
-    vectors = VectorAssembler(inputCols=rows.columns, outputCol="features").transform(rows).select("features")
-    found = Correlation.corr(vectors, "features").first()[0].toArray()
-    return {
-        (i, j): 1.0 if i == j else max(-1.0, min(1.0, float(found[a][b])))
-        for a, i in enumerate(whole)
-        for b, j in enumerate(whole[: a + 1])
-    }
+
+def _pair_correlation(n, sx, sy, sxx, syy, sxy, same: bool) -> float | None:
+    if n < 2:
+        return None
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    if vx <= max(FLAT * n, 1e-14 * sxx) or vy <= max(FLAT * n, 1e-14 * syy):
+        return None
+    r = (sxy - sx * sy / n) / (vx**0.5 * vy**0.5)
+    return 1.0 if same else max(-1.0, min(1.0, float(r)))
+
+
+def _products(wide: DataFrame, columns: Sequence[tuple[int, float, float | None]]) -> list[np.ndarray]:
+    """Matrices by pair: n, sum of x, sum of y, of their squares, and of x y, over rows where both are present.
+
+    Each task adds up its own rows; what leaves it is as large as the matrices.
+    """
+    k = len(columns)
+    out = [np.zeros((k, k)) for _ in range(6)]
+    names = [f"x{i}" for i, _, _ in columns]
+    mean, std = (np.array([c[j] for c in columns], float) for j in (1, 2))
+    std = np.where(np.isfinite(std) & (std > 0), std, 1.0) if k else std
+    cuts = [range(a, min(a + BLOCK, k)) for a in range(0, k, BLOCK)]
+    for a in cuts:
+        for b in cuts:
+            if b.start > a.start:
+                continue
+            both = [*a] if a == b else [*a, *b]
+
+            def rows(batches: Iterator[pa.RecordBatch], both=both, a=a, b=b) -> Iterator[pa.RecordBatch]:
+                sums = [np.zeros((len(a), len(b))) for _ in range(6)]
+                shift, scale = mean[both], std[both]
+                for batch in batches:
+                    x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                    m = (~np.isnan(x)).astype(float)
+                    x = np.where(m > 0, (x - shift) / scale, 0.0)
+                    left, right = slice(0, len(a)), slice(0, len(b)) if a == b else slice(len(a), None)
+                    xa, xb, ma, mb = x[:, left], x[:, right], m[:, left], m[:, right]
+                    parts = ((ma, mb), (xa, mb), (ma, xb), (xa * xa, mb), (ma, xb * xb), (xa, xb))
+                    for s, (u, v) in zip(sums, parts):
+                        s += u.T @ v
+                place = np.arange(len(a) * len(b))
+                yield pa.record_batch([pa.array(place), *[pa.array(s.ravel()) for s in sums]], names=["at", *"abcdef"])
+
+            used = wide.select(*[names[i] for i in both])
+            found = used.mapInArrow(rows, "at long, a double, b double, c double, d double, e double, f double")
+            found = found.groupBy("at").agg(*[F.sum(c).alias(c) for c in "abcdef"]).toPandas().sort_values("at")
+            for o, c in zip(out, "abcdef"):
+                if len(found):
+                    o[np.ix_([*a], [*b])] = found[c].to_numpy().reshape(len(a), len(b))
+    # Blocks above the diagonal were left out: a pair's sums of x and of y change places there.
+    upper = np.triu_indices(k, 1)
+    n, sx, sy, sxx, syy, sxy = out
+    for p, q in ((n, n), (sx, sy), (sxx, syy), (sxy, sxy)):
+        p[upper], q[upper] = q.T[upper], p.T[upper]
+    return out
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -210,7 +245,7 @@ class Report:
 
     @cached_property
     def facts(self) -> Facts:
-        return column_facts(self.df)
+        return column_facts(self.df, probs=QUARTILES)
 
     @property
     def missing_facts(self) -> tuple[int, dict[str, int]]:

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import materialise_table, nan_to_null, reject_nested, small_frame
+from ..common import SPREAD_ROWS, discard, materialise_table, nan_to_null, reject_nested, small_frame, table_path
 from ..operators.convert import DatePlan, NarrowPlan, cast_columns, trim_strings
 from ..operators.duplicates import remove_duplicates
 from ..operators.moments import column_facts
 from ..operators.nulls import DROP_THRESHOLD, NullPlan
 from ..operators.outliers import IQR, ZSCORE, Bounds, count_outliers
-from ..operators.summary import Report
+from ..operators.summary import QUARTILES, Report
 from ..operators.validate import issue_table
 from ..sources.scan import load
 
@@ -48,13 +48,22 @@ def tidy(df: DataFrame, threshold: float = DROP_THRESHOLD, schema: dict[str, str
     if schema:
         filled = cast_columns(filled, schema)
     dated = DatePlan.fit(filled).apply(filled)
-    return Tidied(materialise_table(remove_duplicates(dated, plan.rows)), plan)
-
-
-def clean(df: DataFrame, threshold: float = DROP_THRESHOLD, exclude: Sequence[str] = ()) -> DataFrame:
-    """E2. The cleaning part alone: tidy, then cap at the quartile fences."""
+    if plan.rows <= SPREAD_ROWS:
+        return Tidied(materialise_table(remove_duplicates(dated, plan.rows)), plan)
+    # Looking for copies reads the table more than once; it is trimmed and dated only here.
+    path = table_path(df.sparkSession)
+    whole = materialise_table(remove_duplicates(materialise_table(dated, path)))
+    discard(df.sparkSession, path)
+    return Tidied(whole, plan)
+
+
+def clean(
+    df: DataFrame, threshold: float = DROP_THRESHOLD, exclude: Sequence[str] = (), narrowing: bool = True
+) -> DataFrame:
+    """E2. The cleaning part alone: tidy, cap at the quartile fences, store in the narrowest types."""
     tidied = tidy(df, threshold).frame
-    return Bounds.fit(tidied, IQR, exclude).cap(tidied)
+    capped = Bounds.fit(tidied, IQR, exclude).cap(tidied)
+    return NarrowPlan.fit(capped).apply(capped) if narrowing else capped
 
 
 def run(
@@ -62,7 +71,7 @@ def run(
     threshold: float = DROP_THRESHOLD,
     schema: dict[str, str] | None = None,
     exclude: Sequence[str] = (),
-    narrowing: bool = False,
+    narrowing: bool = True,
 ) -> PipelineResult:
     """E1. Validate, clean, count and cap outliers, report on the clean table.
 
@@ -71,7 +80,7 @@ def run(
     """
     tidied = tidy(df, threshold, schema)
     frame = tidied.frame
-    facts = column_facts(frame)
+    facts = column_facts(frame, probs=QUARTILES)
     fences = Bounds.fit(frame, IQR, exclude, facts)
     scores = Bounds.fit(frame, ZSCORE, exclude, facts)
     by_fence, by_score = count_outliers(frame, [fences, scores])

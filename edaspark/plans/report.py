@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..charts.histogram import histogram
+from ..charts.missing import missing_blocks, missing_matrix
 from ..common import TIME_TYPES, fields_of, numeric_columns
 from ..operators import detail as d
 from ..operators.duplicates import top_duplicates
@@ -16,7 +17,10 @@ DETAIL_BINS = 50
 
 
 def profile(df: DataFrame, mode: str = "basic") -> dict[str, DataFrame]:
-    """The report's tables by name. ``basic``: summary tables and insights; ``detailed``: all of it."""
+    """The report's tables by name. ``basic``: summary tables and insights; ``detailed``: all of it.
+
+    The detailed one holds the first rows by all columns, and where values are missing by ranges of the first numeric column.
+    """
     if mode == "basic":
         return Report(df).basic()
     if mode != "detailed":
@@ -38,6 +42,13 @@ def profile(df: DataFrame, mode: str = "basic") -> dict[str, DataFrame]:
             "extremes": d.extreme_values(df),
             "spearman": spearman(df),
         }
+    tables["sample"] = d.sample(df, df.columns)
+    blocks = missing_blocks(df, numbers[0]) if numbers else None
+    if blocks is not None:
+        tables["missing_blocks"] = blocks
+    matrix = missing_matrix(df, [])
+    if matrix is not None:
+        tables["missing_matrix"] = matrix
     if texts:
         tables["text_detail"] = d.text_detail(df)
         tables |= {f"words_{c}": d.word_counts(df, c) for c in texts}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,18 +38,22 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None, mul
 def load_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
 ) -> DataFrame:
-    """S1. Comma-separated text with a header row.
+    """S1. Comma-separated text with a header row in every file.
 
-    Quoted line breaks need ``multiline``, which makes a file unsplittable.
+    Files of one folder are matched by column name; different sets of names raise. A line
+    with more cells than its header raises, with the line; one with fewer ends in nulls.
+    Quoted line breaks need ``multiline``, which makes a file unsplittable; without it a line with an odd number of quotes raises.
     """
     try:
-        options = {"quote": '"', "escape": '"', "multiLine": multiline, "encoding": "UTF-8"}
-        reader = spark.read.options(**options)
-        header = reader.option("header", False).csv(path).first()
-        if header is None:
-            raise ValueError("No columns to parse from file")
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header_names(header)])
-        raw = reader.option("header", True).option("enforceSchema", True).schema(text).csv(path)
+        groups = _files_by_header(spark, path, multiline)
+        names = header_names(groups[0][0])
+        for header, files in groups[1:]:
+            if sorted(header_names(header)) != sorted(names):
+                raise ValueError(f"Files differ in their columns: {', '.join(names)} and {', '.join(header_names(header))} ({files[0]})")
+        parts = [_read_cells(spark, header, files, multiline) for header, files in groups]
+        raw = parts[0]
+        for part in parts[1:]:
+            raw = raw.unionByName(part)
         raw = normalise_na(raw)
         if schema is None:
             return infer_types(raw)
@@ -56,6 +61,48 @@ def load_csv(
         return raw.select(*[column(c).cast(wanted[c]).alias(c) if c in wanted else column(c) for c in raw.columns])
     except ValueError as e:
         raise ValueError(f"CSV Error: {e}") from e
+    except SparkRuntimeException as e:
+        if e.getCondition() != "USER_RAISED_EXCEPTION":
+            raise
+        raise ValueError(f"CSV Error: {e.getMessageParameters()['errorMessage']}") from e
+
+
+def _files_by_header(spark: SparkSession, path: str, multiline: bool) -> list[tuple[list[str], list[str]]]:
+    """Header cells and the files that have them, from one pass over the lines; one group per distinct header."""
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("at"),
+    )
+    odd = F.length("value") % 2 != F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2
+    checks = lines.groupBy("file").agg(
+        F.min_by("value", "at").alias("header"), F.min(F.when(odd, F.col("value"))).alias("open")
+    )
+    found = checks.groupBy("header").agg(F.collect_list("file").alias("files"), F.min("open").alias("open")).collect()
+    if not found:
+        raise ValueError("No columns to parse from file")
+    broken = min((r["open"] for r in found if r["open"] is not None), default=None)
+    if broken is not None and not multiline:
+        raise ValueError(f"Unbalanced quotes, pass multiline=True for line breaks inside quotes: {broken}")
+    groups = [(next(csv.reader([r["header"].lstrip("\ufeff")]), []), sorted(r["files"])) for r in found if r["header"]]
+    if not groups:
+        raise ValueError("No columns to parse from file")
+    return sorted(groups, key=lambda g: g[1])
+
+
+def _read_cells(spark: SparkSession, header: list[str], files: list[str], multiline: bool) -> DataFrame:
+    """All cells as text. A line with more cells than the header raises when it is read."""
+    names = header_names([cell or None for cell in header])
+    places = [f"c{i}" for i in range(len(names))]
+    spare = "line"
+    reader = spark.read.options(header=True, enforceSchema=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
+    cells = reader.option("columnNameOfCorruptRecord", spare).schema(", ".join(f"{c} string" for c in [*places, spare])).csv(files)
+    # Cells of a line that does not fit, counted by the commas outside its quotes.
+    bare = F.regexp_replace(spare, '"(?:[^"]|"")*"', "")
+    extra = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 > len(names)
+    problem = F.concat(F.lit(f"Expected {len(names)} cells: "), F.col(spare))
+    checked = F.when(extra, F.raise_error(problem).cast("string")).otherwise(F.col(places[0])) if places else None
+    return cells.select(*([checked, *places[1:]] if places else [])).toDF(*names)
 
 
 def header_names(cells: Sequence[str | None]) -> list[str]:

@@ -83,7 +83,7 @@ def test_flags_are_capped_unless_excluded_and_booleans_never(spark):
 def test_unknown_method(spark):
     df = spark.createDataFrame([(5.0,)], "x double")
     for call in (Bounds.fit, remove_outliers, cap_outliers, outlier_counts):
-        with pytest.raises(ValueError, match="Choose 'iqr' or 'zscore'"):
+        with pytest.raises(ValueError, match="'iqr' and 'zscore' are known"):
             call(df, "other")
 
 

@@ -37,7 +37,9 @@ def test_pipeline_on_a_file(spark, tmp_path):
     path.write_text("\n".join(lines + [lines[-1]]))
     result = pipeline.run_path(spark, str(path))
     assert rows(result.stages) == [("loaded", 61, 4), ("cleaned", 60, 4)]
-    assert dict(result.clean.dtypes) == {"Name": "string", "Age": "double", "Income($)": "double", "joined": "timestamp_ntz"}
+    assert dict(result.clean.dtypes) == {"Name": "string", "Age": "float", "Income($)": "float", "joined": "timestamp_ntz"}
+    wide = pipeline.run_path(spark, str(path), narrowing=False)
+    assert dict(wide.clean.dtypes) == {"Name": "string", "Age": "double", "Income($)": "double", "joined": "timestamp_ntz"}
     assert result.clean.filter("Name = 'n7'").count() == 1
 
 

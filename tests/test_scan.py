@@ -38,6 +38,34 @@ def test_csv_quoted_line_breaks_need_multiline(spark, tmp_path):
     assert sorted(rows(scan.load(spark, path, multiline=True))) == [(1, "x\ny"), (2, "z")]
 
 
+def test_csv_quoted_line_breaks_raise_without_multiline(spark, tmp_path):
+    for text in ('a,b\n1,"x\ny"\n2,z\n', 'a,b\n1,"x\n2,y"\n', 'a\n"x\ny"\n'):
+        with pytest.raises(ValueError, match="multiline=True"):
+            scan.load(spark, write(tmp_path / "t.csv", text))
+
+
+def test_csv_lines_with_extra_cells_raise(spark, tmp_path):
+    for line in ("3,4,99", "3,4,", '3,"4,5",6'):
+        path = write(tmp_path / "t.csv", f"x,y\n1,2\n{line}\n")
+        with pytest.raises(ValueError, match=f"Expected 2 cells: {line}"):
+            scan.load(spark, path)
+    path = write(tmp_path / "t.csv", 'x,y\n1,2\n3\n5,"a,b ""c"" "\n')
+    assert sorted(rows(scan.load(spark, path)), key=str) == [(1, "2"), (3, None), (5, 'a,b "c" ')]
+
+
+def test_csv_files_are_matched_by_name(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    write(folder / "1.csv", "x,y\n1,a\n")
+    write(folder / "2.csv", "y,x\nb,2\n")
+    write(folder / "3.csv", "x,y\n3,c\n")
+    df = scan.load(spark, str(folder))
+    assert df.columns == ["x", "y"] and sorted(rows(df)) == [(1, "a"), (2, "b"), (3, "c")]
+    write(folder / "4.csv", "x,z\n4,d\n")
+    with pytest.raises(ValueError, match="Files differ in their columns"):
+        scan.load(spark, str(folder))
+
+
 def test_number_shapes(spark):
     texts = ["1", " 2 ", "+3", "-4", "5.", ".5", "1e3", "Infinity", "inf"]
     df = spark.createDataFrame([(t,) for t in texts], "x string")
