@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from edaspark.common import shared_folder, small_frame
@@ -75,18 +74,26 @@ def csv_scan(spark, folder):
         "date_format(o_orderdate, 'yyyy-MM-dd')",
         "o_orderkey",
     )
-    lines = table(spark, folder, "orders").selectExpr(f"concat_ws(',', {', '.join(cells)}) as value")
+    header = "'id,status,price,status,day,'"
+    lines = table(spark, folder, "orders").selectExpr(f"concat_ws(',', {', '.join(cells)}) as line", "monotonically_increasing_id() as at")
+    # The first row of each task, hence of each file, brings the header along.
+    lines = lines.selectExpr(f"explode(if(at % {1 << 33} = 0, array({header}, line), array(line))) as value")
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
-    lines.mapInPandas(_with_header, "value string").write.text(path)
+    lines.write.text(path)
     return scan.load(spark, path)
 
 
-def _with_header(batches):
-    """Every file of the folder starts with the header line."""
-    for i, batch in enumerate(batches):
-        if i == 0:
-            yield pd.DataFrame({"value": ["id,status,price,status,day,"]})
-        yield batch
+@query(
+    "csv_folder_by_name",
+    "select o_orderkey as id, o_orderstatus as status, o_totalprice as price from orders",
+)
+def csv_folder_by_name(spark, folder):
+    """Files of one folder whose headers have the same names in another order."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    orders = table(spark, folder, "orders", "o_orderkey as id", "o_orderstatus as status", "o_totalprice as price")
+    orders.filter("id % 2 = 0").write.option("header", True).csv(path)
+    orders.filter("id % 2 = 1").select("price", "id", "status").write.mode("append").option("header", True).csv(path)
+    return scan.load(spark, path)
 
 
 @query("roles_select", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax from lineitem")
@@ -147,7 +154,9 @@ def null_counts(spark, folder):
     "column_types",
     """select ordinal, "column", type from (values (0, 'o_orderkey', 'bigint'), (1, 'iso', 'timestamp_ntz'),
       (2, 'month_first', 'timestamp_ntz'), (3, 'day_first', 'timestamp_ntz'), (4, 'stamped', 'timestamp_ntz'),
-      (5, 'mixed', 'string'), (6, 'year', 'timestamp_ntz'), (7, 'digit', 'string')) as t(ordinal, "column", type)""",
+      (5, 'mixed', 'string'), (6, 'year', 'timestamp_ntz'), (7, 'fraction', 'timestamp_ntz'), (8, 'offset', 'timestamp_ntz'),
+      (9, 'zulu', 'timestamp_ntz'), (10, 'half_day', 'timestamp_ntz'), (11, 'short_year', 'timestamp_ntz'),
+      (12, 'digit', 'string')) as t(ordinal, "column", type)""",
 )
 def column_types(spark, folder):
     """Types after dates have been looked for in every text."""
@@ -240,6 +249,11 @@ DAY_COLUMNS = (
     "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') as stamped",
     "date_format(o_orderdate, if(o_orderkey % 2 = 0, 'yyyy-MM-dd', 'dd/MM/yyyy')) as mixed",
     "date_format(o_orderdate, 'yyyy') as year",
+    "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") as fraction",
+    "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\") as offset",
+    "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as zulu",
+    "date_format(o_orderdate, 'MM/dd/yyyy hh:mm:ss a') as half_day",
+    "date_format(o_orderdate, 'MM/dd/yy') as short_year",
     "cast(o_orderkey % 7 as string) as digit",
 )
 
@@ -249,7 +263,8 @@ DAY_COLUMNS = (
     """with t as (select o_orderkey, o_orderdate as d, strftime(o_orderdate, '%Y-%m-%d 00:00:00') as s from orders)
     select o_orderkey, s as iso, s as month_first, s as day_first, s as stamped,
       case when o_orderkey % 2 = 0 then strftime(d, '%Y-%m-%d') else strftime(d, '%d/%m/%Y') end as mixed,
-      strftime(d, '%Y-01-01 00:00:00') as year, cast(o_orderkey % 7 as varchar) as digit from t""",
+      strftime(d, '%Y-01-01 00:00:00') as year, s as fraction, strftime(d - interval 2 hour, '%Y-%m-%d %H:%M:%S') as "offset",
+      s as zulu, s as half_day, s as short_year, cast(o_orderkey % 7 as varchar) as digit from t""",
 )
 def dates_detected(spark, folder):
     found = convert.detect_dates(table(spark, folder, "orders", *DAY_COLUMNS))
@@ -298,6 +313,17 @@ def _filled(fill):
     return f"{DIRTY} select cast(l_orderkey as double) as l_orderkey, cast(l_linenumber as double) as l_linenumber, {', '.join(parts)}, flag, l_discount from dirty"
 
 
+@query(
+    "types_of_fills",
+    f"""{DIRTY}, t as (select case when l_orderkey % 8 = 0 then null else l_linenumber end as whole from dirty)
+    select 'whole' as "column", 'fill_median' as action, quantile_cont(whole, 0.5)::double as fill_number from t""",
+)
+def types_of_fills(spark, folder):
+    """A whole-number column with gaps takes the median, whatever its width."""
+    df = dirty(spark, folder).selectExpr("if(l_orderkey % 8 = 0, null, l_linenumber) as whole")
+    return nulls.NullPlan.fit(df).table(df).select("column", "action", "fill_number")
+
+
 @query("fill_mean", _filled("(select avg({0}) from dirty)"))
 def fill_mean(spark, folder):
     return rounded(nulls.fill_nulls(dirty(spark, folder), "mean"))
@@ -393,6 +419,37 @@ def bounds_zscore(spark, folder):
     return _bounds_table(table(spark, folder, "lineitem"), "zscore")
 
 
+INFINITE = "case when event_id % 5 = 0 then {low} when event_id % 3 = 0 then {high} else value end"
+INFINITE_SQL = INFINITE.format(low="'-infinity'::double", high="'infinity'::double")
+
+
+def _ranked(p):
+    """Interpolated quantile by its definition; next to an infinity it is that infinity."""
+    low, high, share = (f"l[cast({f}((n - 1) * {p}) as bigint) + 1]" for f in ("floor", "ceil")), None, f"((n - 1) * {p} - floor((n - 1) * {p}))"
+    a, b = low
+    return f"case when {a} = {b} or {share} = 0 then {a} when isinf({a}) or isinf({b}) then {a} * (1 - {share}) + {b} * {share} else {a} + ({b} - {a}) * {share} end"
+
+
+@query(
+    "quantiles_infinite",
+    f"with s as (select list_sort(list({INFINITE_SQL})) as l, count(*) as n from events) "
+    + " union all ".join(f"select {p}::double as p, cast({_ranked(p)} as varchar) as low_rows, cast({_ranked(p)} as varchar) as many_rows from s" for p in (0.1, 0.25, 0.9))
+    + "",
+)
+def quantiles_infinite(spark, folder):
+    """The way for few rows and the way for many, over a column with infinite values."""
+    from edaspark.operators import quantiles
+
+    x = INFINITE.format(low="double('-infinity')", high="double('infinity')")
+    df, probs = table(spark, folder, "events", f"{x} as x"), [0.1, 0.25, 0.9]
+    few = quantiles.column_quantiles(df, {"x": F.col("x")}, probs)["x"]
+    wide = df.select(F.col("x").alias("v0"))
+    counts, sketches = quantiles._sketch_columns(wide, [0], probs, quantiles.MARGIN)
+    many = quantiles._exact_columns(wide, counts, sketches, probs, quantiles.MARGIN, 1000)[0]
+    said = {float("inf"): "inf", float("-inf"): "-inf"}
+    return small_frame(spark, [(p, said.get(a, repr(a)), said.get(b, repr(b))) for p, a, b in zip(probs, few, many)], "p double, low_rows string, many_rows string")
+
+
 @query("iqr_counts", f"select \"column\", n_outliers as outliers from ({_bounds('events', EVENT_NUMBERS, 'iqr')})")
 def iqr_counts(spark, folder):
     return outliers.outlier_counts(table(spark, folder, "events"), "iqr")

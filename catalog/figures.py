@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from edaspark.charts import categories, dashboard, density, histogram, missing, pairs
-from edaspark.common import shared_folder
+from edaspark.common import shared_folder, small_frame
 from edaspark.plans import pipeline, report, sinks
 
-from .cleaning import HANDLED
-from .profiles import corr_sql, top_sql
-from .registry import DIRTY, dirty, query, r, rounded, table
+from .cleaning import HANDLED, _fences
+from .profiles import _describe, corr_sql, top_sql
+from .registry import DIRTY, ORACLES, dirty, query, r, rounded, table
 
 
 def _facts(source, value, keys):
@@ -90,7 +90,7 @@ def value_counts(spark, folder):
     return categories.bars(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-PANELS = (("event_id", "num"), ("user_id", "num"), ("value", "num"), ("ts", "cat"), ("event_type", "cat"))
+PANELS = (("event_id", "num"), ("user_id", "num"), ("value", "num"), ("ts", "cat"), ("event_type", "cat"), ("props", "cat"))
 DASH_LONG = "ev as (" + " union all ".join(f"select '{c}' as col, {c}::double as v from events" for c, k in PANELS if k == "num") + ")"
 
 
@@ -99,12 +99,12 @@ DASH_LONG = "ev as (" + " union all ".join(f"select '{c}' as col, {c}::double as
     f"""with {DASH_LONG}, sized as ({_sized(f"({_facts('ev', 'v', 'col')})", "col in ('event_id', 'user_id')")}),
     series as (select col, 'histogram' as series, bin::bigint as position, null as label, "left" as x, count::double as y from ({_hist('ev', 'sized', ['col'])})
       union all select col, 'kde', point::bigint, null, x, density * area from ({_curve('ev', 'sized', ['col'], 200, 0)})
-      union all select "column", 'bar', rank::bigint, value, null, n::double from ({top_sql('events', ('ts', 'event_type'), 10, percent=False)})),
+      union all select "column", 'bar', rank::bigint, value, null, n::double from ({top_sql('events', ('ts', 'event_type', 'props'), 10, percent=False)})),
     panels as (select * from (values {', '.join(f"({i}, {i // 3}, {i % 3}, '{c}', '{k}')" for i, (c, k) in enumerate(PANELS))}) as t(panel, grid_row, grid_col, col, role))
     select panel, grid_row, grid_col, col as "column", role, series, position, label, {r('x', 4)} as x, {r('y', 4)} as y from panels join series using (col)""",
 )
 def dashboard_tables(spark, folder):
-    return rounded(dashboard.dashboard(table(spark, folder, "events").drop("props")), 4)
+    return rounded(dashboard.dashboard(table(spark, folder, "events")), 4)
 
 
 @query(
@@ -267,20 +267,24 @@ def violin_density(spark, folder):
     return found.select("category", "point", (F.round("x", 6) + F.lit(0.0)).alias("x"), F.round("density", 9).alias("density"))
 
 
-FACET_LONG = """with top as (select event_type from events where event_type is not null group by event_type order by count(*) desc, event_type limit 6),
-kept as (select * from events where event_type in (select event_type from top)),
-ln as (select event_type as category, 'value' as variable, value as v from kept union all select event_type, 'user_id', user_id::double from kept)"""
+# Seven categories and seven columns: one of each is over the limit of six.
+FACET_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_orderkey")
+FACET_TOP = "select l_linenumber from lineitem group by l_linenumber order by count(*) desc, l_linenumber limit 6"
+FACET_LONG = f"""with kept as (select * from lineitem where l_linenumber in ({FACET_TOP})),
+ln as ({' union all '.join(f"select l_linenumber as category, '{c}' as variable, {c}::double as v from kept" for c in FACET_COLUMNS[:6])})"""
+FACET_TWO = f"""with kept as (select * from lineitem where l_linenumber in ({FACET_TOP})),
+ln as ({' union all '.join(f"select l_linenumber as category, '{c}' as variable, {c}::double as v from kept" for c in FACET_COLUMNS[:2])})"""
 
 
-@query("facet_categories", "select event_type from events where event_type is not null group by event_type order by count(*) desc, event_type limit 6")
+@query("facet_categories", FACET_TOP)
 def facet_categories(spark, folder):
-    events = table(spark, folder, "events")
-    return events.filter(F.col("event_type").isin(*categories.facet_categories(events, "event_type"))).select("event_type").distinct()
+    lines = table(spark, folder, "lineitem")
+    return lines.filter(F.col("l_linenumber").isin(*categories.facet_categories(lines, "l_linenumber"))).select("l_linenumber").distinct()
 
 
-@query("facet_melt", f'{FACET_LONG} select category as event_type, variable as "Variable", v as "Value" from ln')
+@query("facet_melt", f'{FACET_LONG} select category as l_linenumber, variable as "Variable", v as "Value" from ln')
 def facet_melt(spark, folder):
-    return categories.facet_melt(table(spark, folder, "events"), ["value", "user_id"], "event_type")
+    return categories.facet_melt(table(spark, folder, "lineitem"), FACET_COLUMNS, "l_linenumber")
 
 
 FACET_SIZED = _sized(f"({_facts('ln', 'v', 'category, variable')})")
@@ -288,17 +292,17 @@ FACET_SIZED = _sized(f"({_facts('ln', 'v', 'category, variable')})")
 
 @query("facet_hist", f'{FACET_LONG}, sized as ({FACET_SIZED}) select category, variable as "Variable", * exclude (category, variable) from ({_hist("ln", "sized", ["category", "variable"])})')
 def facet_hist(spark, folder):
-    return rounded(categories.facet_grid(table(spark, folder, "events"), ["value", "user_id"], "event_type")["histogram"])
+    return rounded(categories.facet_grid(table(spark, folder, "lineitem"), FACET_COLUMNS, "l_linenumber")["histogram"])
 
 
 @query(
     "facet_density",
-    f"""{FACET_LONG}, sized as ({FACET_SIZED}) select category, variable as "Variable", point, {r('x')} as x, {r('density', 9)} as density, {r('density * area')} as y
+    f"""{FACET_TWO}, sized as ({FACET_SIZED}) select category, variable as "Variable", point, {r('x')} as x, {r('density', 9)} as density, {r('density * area', 4)} as y
     from ({_curve('ln', 'sized', ['category', 'variable'], 200, 0)})""",
 )
 def facet_density(spark, folder):
-    found = categories.facet_grid(table(spark, folder, "events"), ["value", "user_id"], "event_type")["density"]
-    return found.select("category", "Variable", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"), F.round("y", 6).alias("y"))
+    found = categories.facet_grid(table(spark, folder, "lineitem"), FACET_COLUMNS[:2], "l_linenumber")["density"]
+    return found.select("category", "Variable", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"), F.round("y", 4).alias("y"))
 
 
 @query(
@@ -322,7 +326,21 @@ def _cap(c):
 
 @query("pipeline_clean", f"{CLEAN} select {', '.join(_cap(c) for c in CLEAN_COLUMNS)}, flag from tidy")
 def pipeline_clean(spark, folder):
-    return rounded(pipeline.clean(dirty(spark, folder)))
+    return rounded(pipeline.clean(dirty(spark, folder), narrowing=False))
+
+
+@query(
+    "pipeline_narrowed",
+    f"""{CLEAN}, capped as (select {', '.join(_cap(c) for c in CLEAN_COLUMNS)}, flag from tidy) """
+    + " union all ".join(
+        f"""select '{c}' as "column", case when max(abs({c} - {c}::float::double)) <= 5e-4 then 'float' else 'double' end as type from capped"""
+        for c in CLEAN_COLUMNS
+    )
+    + " union all select 'flag', 'string'",
+)
+def pipeline_narrowed(spark, folder):
+    """Types in which the clean table is stored."""
+    return small_frame(spark, pipeline.clean(dirty(spark, folder)).dtypes, "column string, type string")
 
 
 @query(
@@ -334,18 +352,113 @@ def stage_counts(spark, folder):
     return pipeline.run(dirty(spark, folder)).stages
 
 
-@query("pipeline_report", f"{CLEAN}, capped as (select {', '.join(_cap(c) for c in CLEAN_COLUMNS)}, flag from tidy) {corr_sql('capped', CLEAN_COLUMNS)}")
+CAPPED = f"{CLEAN}, capped as (select {', '.join(_cap(c) for c in CLEAN_COLUMNS)}, flag from tidy)"
+FULL_COLUMNS = ("l_orderkey", "l_linenumber", "tax", "price", "flag", "l_discount")
+CAPPED_GAPS = " union all ".join(f"select {i} as ordinal, '{c}' as \"column\", count(*) - count({c}) as missing, count(*) as n from capped" for i, c in enumerate(FULL_COLUMNS))
+CAPPED_COPIES = "(select count(*) from capped) - (select count(*) from (select distinct * from capped))"
+
+
+@query("pipeline_report", f"{CAPPED} {corr_sql('capped', CLEAN_COLUMNS)}")
 def pipeline_report(spark, folder):
-    """E1's report on the clean table; its correlations stand for it here."""
+    """E1's correlations on the clean table."""
     return rounded(pipeline.run(dirty(spark, folder)).report["correlation"])
 
 
-@query("report_written")
+@query("pipeline_issues", ORACLES["issue_report"])
+def pipeline_issues(spark, folder):
+    return pipeline.run(dirty(spark, folder)).issues
+
+
+@query("pipeline_null_plan", ORACLES["null_plan"])
+def pipeline_null_plan(spark, folder):
+    return rounded(pipeline.run(dirty(spark, folder)).null_plan)
+
+
+@query("pipeline_iqr_outliers", f"{CLEAN} " + " union all ".join(f"select '{c}' as \"column\", count(*) filter ({c} < {_fences(c, 'tidy')[0]} or {c} > {_fences(c, 'tidy')[1]}) as outliers from tidy" for c in CLEAN_COLUMNS))
+def pipeline_iqr_outliers(spark, folder):
+    return pipeline.run(dirty(spark, folder)).iqr_outliers
+
+
+@query("pipeline_zscore_outliers", f"{CLEAN} " + " union all ".join(f"select '{c}' as \"column\", count(*) filter (abs(({c} - (select avg({c}) from tidy)) / (select stddev_samp({c}) from tidy)) > 3) as outliers from tidy" for c in CLEAN_COLUMNS))
+def pipeline_zscore_outliers(spark, folder):
+    return pipeline.run(dirty(spark, folder)).zscore_outliers
+
+
+@query("pipeline_summary", f"{CAPPED} {_describe('capped', CLEAN_COLUMNS)}")
+def pipeline_summary(spark, folder):
+    return rounded(pipeline.run(dirty(spark, folder)).report["summary"], 4)
+
+
+@query("pipeline_missing", f'{CAPPED} select ordinal, "column", missing, {r("100.0 * missing / n")} as percent from ({CAPPED_GAPS})')
+def pipeline_missing(spark, folder):
+    return rounded(pipeline.run(dirty(spark, folder)).report["missing"])
+
+
+@query(
+    "pipeline_scalars",
+    f"""{CAPPED}, m as ({CAPPED_GAPS}) select max(n) as rows, cast(count(*) as int) as cols, cast(sum(missing) as bigint) as total_missing,
+      {CAPPED_COPIES} as duplicates, (select "column" from m order by missing desc, ordinal limit 1) as top_missing,
+      {r('max(100.0 * missing / n)')} as top_missing_val from m""",
+)
+def pipeline_scalars(spark, folder):
+    return rounded(pipeline.run(dirty(spark, folder)).report["scalars"])
+
+
+@query(
+    "pipeline_insights",
+    f"""{CAPPED}, c as ({CAPPED_GAPS}), t as (
+    select 0 as kind_order, ordinal as sub, 'missing' as kind, printf('Column ''%s'' has %.2f%% missing values', "column", 100.0 * missing / n) as message from c where missing > 0
+    union all select 2, 0, 'duplicates', 'Dataset contains ' || n || ' duplicate rows' from (select {CAPPED_COPIES} as n) where n > 0)
+    select cast(row_number() over (order by kind_order, sub) - 1 as int) as ordinal, kind, message from t""",
+)
+def pipeline_insights(spark, folder):
+    return pipeline.run(dirty(spark, folder)).report["insights"]
+
+
+@query(
+    "stage_tables",
+    """select 'raw' as stage, true as found, (select count(*) from orders) as rows, false as found_after_drop
+    union all select 'clean', true, (select count(*) from orders where o_orderkey % 2 = 0), false""",
+)
+def stage_tables(spark, folder):
+    """Save, load and drop the tables of two stages."""
+    orders, rows = table(spark, folder, "orders"), []
+    for stage, df in (("raw", orders), ("clean", orders.filter("o_orderkey % 2 = 0"))):
+        name = f"stage_{stage}_{uuid.uuid4().hex}"
+        sinks.save_stage(df, name)
+        kept = sinks.load_stage(spark, name)
+        n = kept.count()
+        sinks.drop_stage(spark, name)
+        rows.append((stage, kept is not None, n, sinks.load_stage(spark, name) is not None))
+    return small_frame(spark, rows, "stage string, found boolean, rows bigint, found_after_drop boolean")
+
+
+@query(
+    "report_written",
+    f"""with sized as (select name, rows from (values ('scalars', 1), ('summary', 4), ('missing', 6), ('correlation', 9), ('variables', 6), ('nullity', 0),
+      ('duplicate_groups', 0), ('numeric_detail', 3), ('spearman', 9), ('time_detail', 1), ('text_detail', 2), ('cramers_v', 1), ('sample', 5),
+      ('histogram', 150)) as t(name, rows)
+    union all select 'insights', count(*) from (values ('event_id', 'user_id'), ('event_id', 'value'), ('user_id', 'value')) as p(a, b)
+      where abs(case when a = 'event_id' and b = 'user_id' then (select corr(event_id, user_id) from events)
+        when a = 'event_id' then (select corr(event_id, value) from events) else (select corr(user_id, value) from events) end) > 0.8
+    union all select 'common_values', sum(k) from ({' union all '.join(f"select least(10, count(distinct {c})) as k from events" for c in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props'))})
+    union all select 'extremes', sum(k) from ({' union all '.join(f"select 2 * least(5, count(distinct {c})) as k from events" for c in ('event_id', 'user_id', 'value'))})
+    union all select 'words_event_type', count(distinct w) from (select unnest(regexp_split_to_array(lower(event_type), '[^\\p{{L}}\\p{{N}}]+')) as w from events) where w <> ''
+    union all select 'words_props', count(distinct w) from (select unnest(regexp_split_to_array(lower(props), '[^\\p{{L}}\\p{{N}}]+')) as w from events) where w <> '')
+    select name, cast(rows as bigint) as rows from sized""",
+)
 def report_written(spark, folder):
-    """Write the detailed report and a chart, and list what was written."""
+    """Write the detailed report, and list what was written; alerts are checked by a query of their own."""
     target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    events = table(spark, folder, "events").drop("props")
-    paths = sinks.write_report(report.profile(events, "detailed"), target)
-    paths.append(sinks.write_chart(categories.bars(events, ["event_type"]), target, "value_counts", columns="event_type"))
+    tables = report.profile(table(spark, folder, "events"), "detailed")
+    paths = sinks.write_report({k: t for k, t in tables.items() if k != "alerts"}, target)
     sizes = [(p.rsplit("/", 1)[1], spark.read.parquet(p).count()) for p in paths]
     return spark.createDataFrame(sizes, "name string, rows bigint")
+
+
+@query("chart_written", top_sql("events", ("event_type",), 10, percent=False))
+def chart_written(spark, folder):
+    """E5: write a chart's table under its name and read it."""
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    bars = categories.bars(table(spark, folder, "events"), ["event_type"])
+    return spark.read.parquet(sinks.write_chart(bars, target, "value_counts", columns="event_type"))

@@ -54,6 +54,29 @@ def describe_time(spark, folder):
     return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in times})
 
 
+MIXED = ("event_id", "user_id", "ts", "value")
+
+
+@query(
+    "describe_mixed",
+    f"""with m as (select epoch_us(ts) as t from events), s as (select list_sort(list(t)) as l, count(*) as n from m),
+    a as (select n, l, cast(sum(t) as hugeint) as total, min(t) as lo, max(t) as hi from s, m group by n, l)
+    select * replace (cast(case "column" when 'event_id' then 0 when 'user_id' then 1 else 3 end as int) as ordinal),
+      null as time_mean, null as time_min, null as time_q25, null as time_q50, null as time_q75, null as time_max
+    from ({_describe('events', [c for c in MIXED if c != 'ts'])})
+    union all select 2, 'ts', n, null, null, null, null, null, null, null, {_time('total // n')}, {_time('lo')},
+      {', '.join(
+        _time(f'floor(l[cast(floor((n-1)*{p}) as int)+1] + (l[cast(ceil((n-1)*{p}) as int)+1] - l[cast(floor((n-1)*{p}) as int)+1]) * ((n-1)*{p} - floor((n-1)*{p})))')
+        for p in (0.25, 0.5, 0.75)
+      )}, {_time('hi')} from a""",
+)
+def describe_mixed(spark, folder):
+    """Numbers and times of one table, in column order."""
+    found = rounded(summary.describe(table(spark, folder, "events", *MIXED)), 4)
+    times = [f"time_{s}" for s in summary.TIME_STATS]
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in times})
+
+
 def _categories(source, columns):
     return " union all ".join(
         f"""select {i} as ordinal, '{c}' as "column", count({c}) as count, count(distinct {c}) as "unique",
@@ -92,6 +115,16 @@ def correlation_gaps(spark, folder):
     return rounded(summary.correlation_table(df))
 
 
+GAPS = tuple(f"x{k}" for k in range(32))
+GAPS_SQL = ", ".join(f"case when (l_orderkey + {k}) % {3 + k} = 0 then null else l_quantity * {k % 5} + l_partkey % {7 + k} end as x{k}" for k in range(32))
+
+
+@query("correlation_wide_gaps", f"with w as (select {GAPS_SQL} from lineitem) {corr_sql('w', GAPS)}")
+def correlation_wide_gaps(spark, folder):
+    """32 columns that each have gaps of their own: 528 pairs."""
+    return rounded(summary.correlation_table(table(spark, folder, "lineitem", *GAPS_SQL.split(", "))))
+
+
 @query("missing", f'{DIRTY} select ordinal, "column", missing, {r("100.0 * missing / n")} as percent from ({MISSING})')
 def missing(spark, folder):
     return rounded(summary.Report(dirty(spark, folder)).missing())
@@ -182,7 +215,7 @@ def top_values(spark, folder):
 @query(
     "extremes",
     " union all ".join(
-        f"""(select '{c}' as "column", '{side}' as side, cast(row_number() over (order by {c} {way}) as int) as rank, {c}::double as value, count(*) as n
+        f"""(select '{c}' as "column", '{side}' as side, cast(row_number() over (order by {c} {way}) as int) as rank, {c}::double as value, count(*) as n, cast({c} as varchar) as exact
         from events group by {c} order by {c} {way} limit 5)"""
         for c in EVENT_NUMBERS
         for side, way in (("smallest", "asc"), ("largest", "desc"))
@@ -233,6 +266,23 @@ def spearman(spark, folder):
     return rounded(ranks.spearman(table(spark, folder, "lineitem"), RANKED))
 
 
+SPARSE = ("l_quantity", "l_discount", "l_tax")
+SPARSE_SQL = "l_quantity, case when l_orderkey % 3 = 0 then null else l_discount end as l_discount, case when l_partkey % 4 = 0 then null else l_tax end as l_tax"
+
+
+def _rank_pair(a, b):
+    rank = "rank() over (order by {0}) + (count(*) over (partition by {0}) - 1) / 2.0::double"
+    return f"""select '{a}' as x, '{b}' as y, {r('corr(p, q)')} as r from (select {rank.format(a)} as p, {rank.format(b)} as q
+      from sparse where {a} is not null and {b} is not null)"""
+
+
+@query("spearman_gaps", f"with sparse as (select {SPARSE_SQL} from lineitem) " + " union all ".join(_rank_pair(a, b) for a in SPARSE for b in SPARSE))
+def spearman_gaps(spark, folder):
+    """Ranks of a pair are over the rows where both are present."""
+    df = table(spark, folder, "lineitem", "l_quantity", "if(l_orderkey % 3 = 0, null, l_discount) as l_discount", "if(l_partkey % 4 = 0, null, l_tax) as l_tax")
+    return rounded(ranks.spearman(df, SPARSE))
+
+
 @query(
     "average_ranks",
     "select l_extendedprice as value, count(*) as n, rank() over (order by l_extendedprice) * 0 + sum(count(*)) over (order by l_extendedprice) - (count(*) - 1) / 2.0::double as rank from lineitem group by l_extendedprice",
@@ -278,9 +328,10 @@ def top_duplicate_rows(spark, folder):
     return top_duplicates(dirty(spark, folder))
 
 
-@query("sample_last", "select * exclude (ts) from events order by event_id desc limit 5")
+@query("sample_last", "select * replace (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as ts) from events order by event_id desc limit 5")
 def sample_last(spark, folder):
-    return detail.sample(table(spark, folder, "events").drop("ts"), ["event_id"], last=True)
+    found = detail.sample(table(spark, folder, "events"), ["event_id"], last=True)
+    return found.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query(
@@ -295,3 +346,16 @@ def sample_last(spark, folder):
 )
 def alerts(spark, folder):
     return rounded(detail.Detail(dirty(spark, folder).withColumn("one", F.lit(1))).alerts())
+
+
+@query(
+    "alerts_keys",
+    f"""with a as (select o_orderkey, 2 * o_orderkey as twice, 'c' || o_custkey as customer from orders)
+    select c as "column", 'unique' as alert, count(*)::double as value from orders, (values ('o_orderkey'), ('twice')) as t(c) group by c
+    union all select 'customer', 'high_cardinality', count(distinct customer)::double from a
+    union all select c, 'high_correlation', {r('corr(o_orderkey, twice)')} from a, (values ('o_orderkey'), ('twice')) as t(c) group by c""",
+)
+def alerts_keys(spark, folder):
+    """The alerts that keys and copies of columns raise."""
+    orders = table(spark, folder, "orders", "o_orderkey", "2 * o_orderkey as twice", "concat('c', o_custkey) as customer")
+    return rounded(detail.Detail(orders).alerts())
