@@ -23,7 +23,7 @@ def _describe(source, columns):
 
 @query("describe_numeric", _describe("lineitem", LINE_NUMBERS))
 def describe_numeric(spark, folder):
-    return rounded(summary.describe(table(spark, folder, "lineitem")), 4)
+    return rounded(summary.describe_numeric(table(spark, folder, "lineitem")), 4)
 
 
 DIRTY_NUMBERS = [c for c in CHECKED if c != "flag"]
