@@ -406,13 +406,13 @@ def pipeline_scalars(spark, folder):
 
 @query(
     "pipeline_insights",
-    f"""{CAPPED}, c as ({CAPPED_GAPS}), t as (
-    select 0 as kind_order, ordinal as sub, 'missing' as kind, printf('Column ''%s'' has %.2f%% missing values', "column", 100.0 * missing / n) as message from c where missing > 0
-    union all select 2, 0, 'duplicates', 'Dataset contains ' || n || ' duplicate rows' from (select {CAPPED_COPIES} as n) where n > 0)
-    select cast(row_number() over (order by kind_order, sub) - 1 as int) as ordinal, kind, message from t""",
+    f"""{CLEAN} select 0 as ordinal, 'correlation' as kind, 'Strong correlation between ''doubled'' and ''l_orderkey''' as message
+    from tidy having abs(corr(l_orderkey * 2.0 + l_linenumber, l_orderkey)) > 0.8""",
 )
 def pipeline_insights(spark, folder):
-    return pipeline.run(dirty(spark, folder)).report["insights"]
+    """A table without gaps or copies is left with what correlates."""
+    df = dirty(spark, folder).withColumn("doubled", F.col("l_orderkey") * 2.0 + F.col("l_linenumber"))
+    return pipeline.run(df).report["insights"]
 
 
 @query(
