@@ -20,21 +20,36 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import cycle
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import at, sealed
+from .common import Table, at, sealed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # No piece has a space after another character, so chunks of spaces and what follows are apart from each other.
 CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
-# Remembered segmentations per variant and task, and the longest chunk that is remembered.
-REMEMBERED, REMEMBERED_LENGTH = 250_000, 48
-MASK = (1 << 64) - 1
+# Segmentations in a table of a variant and task, and the longest chunk that is remembered.
+REMEMBERED, REMEMBERED_LENGTH = 120_000, 32
+# Chunks segmented together.
+TOGETHER = 4096
+
+
+class Remembered:
+    """Segmentations met lately: two tables, of which the older gives way when the newer is full."""
+
+    def __init__(self) -> None:
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, chunk: str, ids: bytes) -> None:
+        if len(self.recent) >= REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        self.recent[chunk] = ids
 
 
 class Pieces:
@@ -59,69 +74,165 @@ class Pieces:
                     raise ValueError("a piece has a space after another character")
                 self.rank[piece] = (-known.get_score(i), i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
-        self.remembered: dict[tuple, list[dict[str, bytes]]] = {}
+        self.salt = [crc32(b"%d" % i) >> 2 for i in range(known.vocab_size())]
+        self.remembered: dict[tuple, list[Remembered]] = {}
+        # The same as arrays: pieces of one character by code point, and merges of two pieces by both ids.
+        self.none = known.vocab_size()
+        self.characters = np.full(0x110000, self.none, np.int64)
+        merges = []
+        for piece, (score, i) in self.rank.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = i
+            for cut in range(1, len(piece)):
+                left, right = self.rank.get(piece[:cut]), self.rank.get(piece[cut:])
+                if left and right:
+                    merges.append((left[1] * (self.none + 1) + right[1], score, i))
+        keys, scores, ids = (np.array(x) for x in zip(*sorted(merges)))
+        self.merges, self.merged = Table(keys), ids
+        self.order = np.unique(scores, return_inverse=True)[1].astype(np.int32)
+        self.salts = np.array(self.salt)
 
     def segment(self, chunk: str, key: int, threshold: int) -> list[int]:
-        """Ids of a chunk; spaces in it stand for SPACE, and a chunk that is SPACE itself becomes bytes."""
+        """Ids of a chunk; spaces in it stand for SPACE, and a chunk that is SPACE itself becomes bytes.
+
+        ``key`` and ``threshold`` are of 30 bits; a merge is skipped when its hash is below the threshold.
+        """
         if chunk == SPACE:
             return [self.byte_ids[b] for b in chunk.encode()]
-        rank = self.rank
+        rank, salt = self.rank, self.salt
         parts = list(chunk.replace(" ", SPACE))
         n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
-            found = rank.get(parts[i] + parts[i + 1])
-            if found:
-                agenda.append((found[0], i, i + 1, found[1], parts[i] + parts[i + 1]))
-        heapq.heapify(agenda)
+            text = parts[i] + parts[i + 1]
+            if text in rank:
+                score, piece = rank[text]
+                agenda.append((score, i, i + 1, piece, text))
+        if agenda:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heapq.heapify(agenda)
+        push, pop = heapq.heappush, heapq.heappop
         while agenda:
-            _, i, j, piece, text = heapq.heappop(agenda)
-            if not parts[i] or after[i] != j or j >= n or not parts[j] or len(parts[i]) + len(parts[j]) != len(text):
+            _, i, j, piece, text = pop(agenda)
+            left = parts[i]
+            if not left or after[i] != j or not parts[j] or len(left) + len(parts[j]) != len(text):
                 continue
-            if threshold and ((((key ^ i * 0x9E3779B97F4A7C15 ^ piece * 0xD6E8FEB86659FD93) & MASK) * 0xBF58476D1CE4E5B9 & MASK) >> 32) < threshold:
+            if threshold and ((key ^ salt[piece] ^ i * 0x27D4EB2F) & 0x3FFFFFFF) * 0x2C1B3C6D >> 11 & 0x3FFFFFFF < threshold:
                 continue
             parts[i], parts[j] = text, ""
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = rank.get(text + parts[k])
-                if found:
-                    heapq.heappush(agenda, (found[0], i, k, found[1], text + parts[k]))
+                longer = text + parts[k]
+                if longer in rank:
+                    score, piece = rank[longer]
+                    push(agenda, (score, i, k, piece, longer))
             h = before[i]
             if h >= 0:
-                found = rank.get(parts[h] + text)
-                if found:
-                    heapq.heappush(agenda, (found[0], h, i, found[1], parts[h] + text))
+                longer = parts[h] + text
+                if longer in rank:
+                    score, piece = rank[longer]
+                    push(agenda, (score, h, i, piece, longer))
         out = []
         for part in parts:
             if part:
-                found = rank.get(part)
-                out.extend([found[1]] if found else [self.byte_ids[b] for b in part.encode()])
+                if part in rank:
+                    out.append(rank[part][1])
+                else:
+                    out += [self.byte_ids[b] for b in part.encode()]
         return out
 
-    def encode(self, text: str, id_: object, seed: int, dropout: float, variants: int) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        threshold = int(dropout * (1 << 32))
+    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes."""
+        width = max(map(len, chunks))
+        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
+        points = np.where(points == ord(" "), ord(SPACE), points)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        places = np.arange(width + 1)
+        ids = np.full((len(chunks), width + 1), self.none)
+        ids[:, :-1] = np.where(places[:-1] < lengths[:, None], self.characters[points], self.none)
+        after, before = np.tile(places + 1, (len(chunks), 1)), np.tile(places - 1, (len(chunks), 1))
+        held = places[:-1] < lengths[:, None]
+        far = np.int32(len(self.order))
+
+        def pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at_ = self.merges.find(left * (self.none + 1) + right)
+            return np.where(at_ >= 0, self.order[at_], far), self.merged[at_]
+
+        best, piece = (x.reshape(len(chunks), width) for x in pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
+        rows = np.arange(len(chunks))
+        while len(rows):
+            own = best[rows]
+            i = own.argmin(1)
+            some = own[np.arange(len(rows)), i] < far
+            rows, i = rows[some], i[some]
+            now = piece[rows, i]
+            take = np.ones(len(rows), bool)
+            if threshold:
+                mixed = (keys[rows] ^ self.salts[now] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
+                take = (mixed * 0x2C1B3C6D >> 11 & 0x3FFFFFFF) >= threshold
+                best[rows[~take], i[~take]] = far
+            r, i, now = rows[take], i[take], now[take]
+            j = after[r, i]
+            k = after[r, j]
+            ids[r, i] = now
+            held[r, j] = False
+            best[r, j] = far
+            after[r, i], before[r, np.minimum(k, width)] = k, i
+            best[r, i], piece[r, i] = pairs(now, ids[r, np.minimum(k, width)])
+            h = before[r, i]
+            r, h, now = r[h >= 0], h[h >= 0], now[h >= 0]
+            best[r, h], piece[r, h] = pairs(ids[r, h], now)
+        flat = ids[:, :-1][held].astype("<i4").tobytes()
+        ends = np.cumsum(held.sum(1)).tolist()
+        out = [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends)]
+        for row in np.flatnonzero((held & (ids[:, :-1] == self.none)).any(1)).tolist():  # bytes for unknown characters
+            out[row] = np.array(self.segment(chunks[row], int(keys[row]), threshold), "<i4").tobytes()
+        return out
+
+    def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float, variants: int) -> list[bytes | None]:
+        """The texts' ids as little-endian 32-bit integers."""
+        threshold = int(dropout * (1 << 30))
         variants = variants if threshold else 1
-        known = self.remembered.setdefault((seed, dropout, variants), [{} for _ in range(variants)])
-        if max(map(len, known)) > REMEMBERED:
-            for table in known:
-                table.clear()
-        digest = hashlib.blake2b(str(id_).encode(), key=seed.to_bytes(8, "little", signed=True)).digest()
-        out = []
-        for chunk, pick in zip(CHUNK.findall(" " + text), cycle(digest)):
-            pick %= variants
-            ids = known[pick].get(chunk)
-            if ids is None:
-                key = int.from_bytes(hashlib.blake2b(chunk.encode(), digest_size=8, key=f"{seed}/{pick}".encode()).digest(), "little")
-                ids = np.array(self.segment(chunk, key, threshold), "<i4").tobytes()
-                if len(chunk) <= REMEMBERED_LENGTH:
-                    known[pick][chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        tables = self.remembered.get((seed, dropout, variants))
+        if tables is None:
+            tables = self.remembered[seed, dropout, variants] = [Remembered() for _ in range(variants)]
+        secret = seed.to_bytes(8, "little", signed=True)
+        recent, older = [t.recent for t in tables], [t.older for t in tables]
+        found: list[list[bytes | None] | None] = []
+        missing: list[dict[str, list]] = [{} for _ in tables]  # by variant and chunk: where it stands
+        for text, id_ in zip(texts, ids):
+            if not text:
+                found.append(None if text is None else [])
+                continue
+            digest = hashlib.blake2b(str(id_).encode(), key=secret).digest()
+            out: list[bytes | None] = []
+            for chunk, pick in zip(CHUNK.findall(" " + text), cycle([b % variants for b in digest])):
+                got = recent[pick].get(chunk) or older[pick].get(chunk)
+                if got is None:
+                    missing[pick].setdefault(chunk, []).append((out, len(out)))
+                out.append(got)
+            found.append(out)
+        for pick, chunks in enumerate(missing):
+            salt = crc32(secret + bytes([pick]))
+            short = sorted((c for c in chunks if len(c) <= REMEMBERED_LENGTH and c != SPACE), key=len)
+            got = {}
+            for a in range(0, len(short), TOGETHER):
+                part = short[a : a + TOGETHER]
+                keys = np.array([crc32(c.encode(), salt) >> 2 for c in part])
+                got |= zip(part, self.segment_many(part, keys, threshold))
+            for chunk, places in chunks.items():
+                some = got.get(chunk)
+                if some is None:
+                    some = np.array(self.segment(chunk, crc32(chunk.encode(), salt) >> 2, threshold), "<i4").tobytes()
+                else:
+                    tables[pick].keep(chunk, some)
+                for out, k in places:
+                    out[k] = some
+        return [None if out is None else b"".join(out) for out in found]
+
+    def encode(self, text: str, id_: object, seed: int, dropout: float, variants: int) -> bytes:
+        return self.encode_many([text], [id_], seed, dropout, variants)[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
@@ -165,7 +276,7 @@ def encode(
                 part = batch.slice(start, 1024)
                 texts = part.column(at_text).to_pylist()
                 keys = ["null" if i is None else i for i in part.column(at_id).to_pylist()]
-                ids = [None if t is None else pieces.encode(t, i, seed, dropout, variants) for t, i in zip(texts, keys)]
+                ids = pieces.encode_many(texts, keys, seed, dropout, variants)
                 ends = np.cumsum([0, *[0 if x is None else len(x) // 4 for x in ids]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in ids], pa.bool_()))
