@@ -34,7 +34,9 @@ SPACE = "▁"
 # No piece has a space after another character, so chunks of spaces and what follows are apart from each other.
 CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
 # Segmentations in a table of a variant and task, and the longest chunk that is remembered.
-REMEMBERED, REMEMBERED_LENGTH = 120_000, 32
+REMEMBERED, REMEMBERED_LENGTH = 60_000, 32
+# Rows encoded or decoded at a time.
+ROWS = 256
 # Chunks segmented together.
 TOGETHER = 4096
 
@@ -272,8 +274,8 @@ def encode(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 texts = part.column(at_text).to_pylist()
                 keys = ["null" if i is None else i for i in part.column(at_id).to_pylist()]
                 ids = pieces.encode_many(texts, keys, seed, dropout, variants)
@@ -296,10 +298,12 @@ def decode(tokens: DataFrame, ids_column: str = "ids", text_column: str = "decod
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.value)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at_ids):
-                values = ids.values
-                texts.append(None if values is None else pieces.decode(values.to_numpy(zero_copy_only=False).tolist()))
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                texts = []
+                for ids in part.column(at_ids):
+                    values = ids.values
+                    texts.append(None if values is None else pieces.decode(values.to_numpy(zero_copy_only=False).tolist()))
+                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return plain.mapInArrow(rows, schema).toDF(*names, text_column)
