@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..common import materialise_table
 from .common import LOWER, at, components, identified, sealed
+from .near_copies import SHINGLE, SIMILARITY, near_copies
 
 SEED = 42
 BLOCK = 31
@@ -218,11 +219,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return found.toDF(id_column, "fingerprint", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """All columns of one row of each component: of the smallest id, a null id only where there is no other."""
-    found = _grouped(docs, id_column, text_column, shingle)
-    winner = F.min(F.struct(F.col("_id").isNull().alias("x"), "_id", "_digest")).alias("w")
-    keep = found.groupBy("_root").agg(winner).select(F.col("w._id").alias("_id"), F.col("w._digest").alias("_digest"))
+def keep_one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """All columns of one row of each component of verified near copies: of the smallest id, a null id only where there is no other."""
+    keep = near_copies(docs, id_column, text_column, shingle, similarity)
     id_, digest = at(docs, id_column), F.xxhash64(at(docs, text_column).cast("string"))
     kept = sealed(docs).withColumn("_of", digest).join(keep, id_.eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")))
     return kept.drop("_id", "_digest").dropDuplicates([f"c{docs.columns.index(id_column)}", "_of"]).drop("_of").toDF(*docs.columns)
