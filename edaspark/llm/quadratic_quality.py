@@ -3,8 +3,10 @@
 Labelled documents of either class, at most ``per_class`` of each (the ids with the smallest
 hashes), give class means and covariances; a covariance is shrunk towards a multiple of the
 identity, and its Cholesky factor is kept. A text's score is the logistic of the difference of
-the two log densities (Mahalanobis distances through the factors) and of the log priors.
-Fitting touches a bounded number of documents; scoring is one pass without a shuffle.
+the two log densities (Mahalanobis distances through the factors) and of the log priors, which
+are those of all labelled ids, as are the classes' shares in centre and scale, so scores do not drift with
+the size of the table. Fitting reads a bounded number of documents, and counts all labels in
+one aggregate; scoring is one pass without a shuffle.
 
 Nulls: a null text counts as empty; a null id is never labelled. Ids with conflicting labels
 take the lower one. Repeated rows are scored each. Without labels of both classes every score
@@ -75,10 +77,14 @@ class Quadratic:
     reach: float = 8.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, good: np.ndarray, shrinkage: float = 0.1) -> Quadratic | None:
+    def fit(cls, x: np.ndarray, good: np.ndarray, shrinkage: float = 0.1, counts: tuple[int, int] | None = None) -> Quadratic | None:
+        """``counts`` are of all bad and all good, which the given rows are a sample of; by default they are all."""
         if good.all() or not good.any():
             return None
-        centre, scale = x.mean(0), x.std(0)
+        all_bad, all_good = counts or ((~good).sum(), good.sum())
+        weight = np.where(good, all_good / good.sum(), all_bad / (~good).sum())
+        centre = np.average(x, 0, weight)
+        scale = np.sqrt(np.average((x - centre) ** 2, 0, weight))
         scale = np.where(scale > 1e-9, scale, 1.0)
         z = np.clip((x - centre) / scale, -cls.reach, cls.reach)
         means, whiten, logdets = [], [], []
@@ -90,7 +96,7 @@ class Quadratic:
             means.append(mean)
             whiten.append(np.linalg.inv(factor))
             logdets.append(2 * float(np.log(np.diag(factor)).sum()))
-        prior = float(np.log(good.mean() / (1 - good.mean())))
+        prior = float(np.log(all_good / all_bad))
         return cls(centre, scale, tuple(means), tuple(whiten), tuple(logdets), prior)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -103,9 +109,10 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
     per_class: int = 8192, shrinkage: float = 0.1,
 ) -> Quadratic | None:
-    """The discriminant of labelled texts, of at most ``per_class`` labelled ids of each class."""
+    """The discriminant of labelled texts, of at most ``per_class`` labelled ids of each class; the prior counts all ids."""
     known = sealed(labels).select(at(labels, id_column).alias("_id"), at(labels, label_column).cast("int").alias("_label"))
     known = known.dropna().groupBy("_id").agg(F.min("_label").alias("_label"))
+    counts = known.agg(F.count_if(F.col("_label") == 0), F.count_if(F.col("_label") == 1)).first()
     chosen = [known.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)]
     texts = identified(docs, id_column, text_column).join(F.broadcast(chosen[0].unionAll(chosen[1])), "_id")
 
@@ -116,7 +123,7 @@ def fit_quality(
 
     found = texts.select("_label", "_text").mapInArrow(rows, "_label int, " + ", ".join(f"{c} double" for c in FEATURES)).toPandas()
     found = found.sort_values(list(found.columns))  # sums in one order, whatever order the tasks end in
-    return Quadratic.fit(found[list(FEATURES)].to_numpy(), found["_label"].to_numpy() == 1, shrinkage) if len(found) else None
+    return Quadratic.fit(found[list(FEATURES)].to_numpy(), found["_label"].to_numpy() == 1, shrinkage, tuple(counts)) if len(found) else None
 
 
 def score_quality(docs: DataFrame, model: Quadratic | None, text_column: str = "text", score_column: str = "score") -> DataFrame:

@@ -65,3 +65,13 @@ def test_without_labels(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert Q.fit_quality(docs, one) is None
     assert Q.score_quality(odd(spark, []), Q.fit_quality(odd(spark, []), one)).count() == 0
+
+
+def test_prior_of_all_labels(spark):
+    """A sample with as many of either class has the prior of all labels, and nearly the scores of the whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    n = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
+    whole, sample = Q.fit_quality(docs, labels), Q.fit_quality(docs, labels, per_class=min(n.values()))
+    assert sample.log_prior == whole.log_prior == float(np.log(n[1] / n[0]))
+    assert np.abs(sample.centre - whole.centre).max() < 0.1 * whole.scale.max()
