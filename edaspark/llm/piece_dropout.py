@@ -5,9 +5,10 @@ candidate merge taken from the agenda is skipped when its keyed hash falls below
 Without dropout this is the vocabulary's own segmentation. Characters outside the vocabulary, and
 a literal U+2581, become byte pieces, so decoding gives back every text.
 
-The key of a chunk is one of ``variants`` keys of the seed, picked by a keyed hash of the document's id and
-the chunk's place, so one word is segmented in different ways and a run can be repeated exactly. Tasks
-remember segmentations of short chunks, in tables of bounded size.
+The key of a chunk is a keyed hash of the seed, the document's id and the chunk's place, so every occurrence of
+a word draws its own merges, and a run can be repeated exactly. Tasks remember the merges and the ids of short
+chunks without dropout, in a table of bounded size; they serve occurrences that skip none of these merges. Every other
+occurrence is segmented for itself.
 
 A null text has null ids, an empty one none. A null id is keyed as the text "null". Repeated rows are alike.
 The vocabulary file is read once by the driver and sent to the executors: its size is that of a tokenizer.
@@ -19,7 +20,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import cycle
 from zlib import crc32
 
 import numpy as np
@@ -33,25 +33,51 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # No piece has a space after another character, so chunks of spaces and what follows are apart from each other.
 CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
-# Segmentations in a table of a variant and task, and the longest chunk that is remembered.
-REMEMBERED, REMEMBERED_LENGTH = 60_000, 32
+# Chunks that a task remembers, and the longest chunk that is remembered.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
 # Rows encoded or decoded at a time.
 ROWS = 256
-# Chunks segmented together.
-TOGETHER = 4096
+# Chunks segmented together, and texts whose chunks are.
+TOGETHER, TEXTS = 4096, 256
+
+
+def keys_of(seed: int, id_: object, n: int) -> np.ndarray:
+    """30-bit keys of a document's first n chunks."""
+    base = hashlib.blake2b(str(id_).encode(), key=seed.to_bytes(8, "little", signed=True), digest_size=8).digest()
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.frombuffer(base, "<u8")
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(34)).astype(np.int64)
+
+
+def skipped(keys: np.ndarray, codes: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether chunks of these keys skip the merges of these codes."""
+    return (((keys ^ codes) & 0x3FFFFFFF) * 0x2C1B3C6D >> 11 & 0x3FFFFFFF) < threshold
 
 
 class Remembered:
-    """Segmentations met lately: two tables, of which the older gives way when the newer is full."""
+    """Chunks with the codes of their merges and their ids, both without dropout."""
 
     def __init__(self) -> None:
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def keep(self, chunk: str, ids: bytes) -> None:
-        if len(self.recent) >= REMEMBERED:
-            self.older, self.recent = self.recent, {}
-        self.recent[chunk] = ids
+        self.places: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.codes, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, chunks: list[str], ids: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> None:
+        """New chunks; their codes stand one after another."""
+        self.places.update(zip(chunks, range(len(self.ids), len(self.ids) + len(chunks))))
+        self.ids += ids
+        self.codes = np.concatenate((self.codes, codes))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def whole(self, places: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
+        """Whether chunks of these keys skip none of their merges."""
+        sizes = self.ends[places + 1] - self.ends[places]
+        of = np.repeat(np.arange(len(places)), sizes)
+        at_ = np.arange(len(of)) + np.repeat(self.ends[places] - (np.cumsum(sizes) - sizes), sizes)
+        out = np.ones(len(places), bool)
+        out[of[skipped(keys[of], self.codes[at_], threshold)]] = False
+        return out
 
 
 class Pieces:
@@ -77,7 +103,7 @@ class Pieces:
                 self.rank[piece] = (-known.get_score(i), i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.salt = [crc32(b"%d" % i) >> 2 for i in range(known.vocab_size())]
-        self.remembered: dict[tuple, list[Remembered]] = {}
+        self.remembered = Remembered()
         # The same as arrays: pieces of one character by code point, and merges of two pieces by both ids.
         self.none = known.vocab_size()
         self.characters = np.full(0x110000, self.none, np.int64)
@@ -144,8 +170,11 @@ class Pieces:
                     out += [self.byte_ids[b] for b in part.encode()]
         return out
 
-    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes."""
+    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int, steps: list | None = None) -> list[bytes]:
+        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes.
+
+        ``steps`` is given (places of chunks, codes of their merges, whether taken) of each step.
+        """
         width = max(map(len, chunks))
         points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
         points = np.where(points == ord(" "), ord(SPACE), points)
@@ -169,11 +198,11 @@ class Pieces:
             some = own[np.arange(len(rows)), i] < far
             rows, i = rows[some], i[some]
             now = piece[rows, i]
-            take = np.ones(len(rows), bool)
-            if threshold:
-                mixed = (keys[rows] ^ self.salts[now] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
-                take = (mixed * 0x2C1B3C6D >> 11 & 0x3FFFFFFF) >= threshold
-                best[rows[~take], i[~take]] = far
+            codes = (self.salts[now] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
+            take = ~skipped(keys[rows], codes, threshold)
+            best[rows[~take], i[~take]] = far
+            if steps is not None:
+                steps.append((rows, codes, take))
             r, i, now = rows[take], i[take], now[take]
             j = after[r, i]
             k = after[r, j]
@@ -192,48 +221,52 @@ class Pieces:
             out[row] = np.array(self.segment(chunks[row], int(keys[row]), threshold), "<i4").tobytes()
         return out
 
-    def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float, variants: int) -> list[bytes | None]:
-        """The texts' ids as little-endian 32-bit integers."""
-        threshold = int(dropout * (1 << 30))
-        variants = variants if threshold else 1
-        tables = self.remembered.get((seed, dropout, variants))
-        if tables is None:
-            tables = self.remembered[seed, dropout, variants] = [Remembered() for _ in range(variants)]
-        secret = seed.to_bytes(8, "little", signed=True)
-        recent, older = [t.recent for t in tables], [t.older for t in tables]
-        found: list[list[bytes | None] | None] = []
-        missing: list[dict[str, list]] = [{} for _ in tables]  # by variant and chunk: where it stands
-        for text, id_ in zip(texts, ids):
-            if not text:
-                found.append(None if text is None else [])
-                continue
-            digest = hashlib.blake2b(str(id_).encode(), key=secret).digest()
-            out: list[bytes | None] = []
-            for chunk, pick in zip(CHUNK.findall(" " + text), cycle([b % variants for b in digest])):
-                got = recent[pick].get(chunk) or older[pick].get(chunk)
-                if got is None:
-                    missing[pick].setdefault(chunk, []).append((out, len(out)))
-                out.append(got)
-            found.append(out)
-        for pick, chunks in enumerate(missing):
-            salt = crc32(secret + bytes([pick]))
-            short = sorted((c for c in chunks if len(c) <= REMEMBERED_LENGTH and c != SPACE), key=len)
-            got = {}
-            for a in range(0, len(short), TOGETHER):
-                part = short[a : a + TOGETHER]
-                keys = np.array([crc32(c.encode(), salt) >> 2 for c in part])
-                got |= zip(part, self.segment_many(part, keys, threshold))
-            for chunk, places in chunks.items():
-                some = got.get(chunk)
-                if some is None:
-                    some = np.array(self.segment(chunk, crc32(chunk.encode(), salt) >> 2, threshold), "<i4").tobytes()
-                else:
-                    tables[pick].keep(chunk, some)
-                for out, k in places:
-                    out[k] = some
-        return [None if out is None else b"".join(out) for out in found]
+    def _remember(self, chunks: list[str]) -> None:
+        for start in range(0, len(chunks), TOGETHER):
+            part = chunks[start : start + TOGETHER]
+            steps: list = []
+            ids = self.segment_many(part, np.zeros(len(part), np.int64), 0, steps)
+            rows, codes = (np.concatenate([x[k] for x in steps]) for k in (0, 1))
+            self.remembered.add(part, ids, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(part)))
+
+    def _segmented(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """Ids of chunks as bytes."""
+        short = [k for k, c in enumerate(chunks) if len(c) <= REMEMBERED_LENGTH and c != SPACE]
+        out = [b""] * len(chunks)
+        if len(short) < len(chunks):
+            for k in sorted(set(range(len(chunks))).difference(short)):
+                out[k] = np.array(self.segment(chunks[k], int(keys[k]), threshold), "<i4").tobytes()
+        if len(self.remembered.ids) >= REMEMBERED:
+            self.remembered = Remembered()
+        known = self.remembered.places
+        self._remember(sorted({chunks[k] for k in short}.difference(known), key=lambda c: (len(c), c)))
+        places = np.fromiter((known[chunks[k]] for k in short), np.int64, len(short))
+        at_ = np.array(short, np.int64)
+        whole = self.remembered.whole(places, keys[at_], threshold)
+        ids = self.remembered.ids
+        for k, n in zip(at_[whole].tolist(), places[whole].tolist()):
+            out[k] = ids[n]
+        left = sorted(at_[~whole].tolist(), key=lambda k: len(chunks[k]))
+        for start in range(0, len(left), TOGETHER):
+            part = left[start : start + TOGETHER]
+            for k, some in zip(part, self.segment_many([chunks[k] for k in part], keys[part], threshold)):
+                out[k] = some
+        return out
 
-    def encode(self, text: str, id_: object, seed: int, dropout: float, variants: int) -> bytes:
+    def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float, variants: int = 0) -> list[bytes | None]:
+        """The texts' ids as little-endian 32-bit integers; ``variants`` is of no effect, every occurrence is drawn."""
+        threshold = int(dropout * (1 << 30))
+        found: list[bytes | None] = []
+        for start in range(0, len(texts), TEXTS):
+            some = texts[start : start + TEXTS]
+            cut = [CHUNK.findall(" " + t) if t else [] for t in some]
+            keys = [keys_of(seed, id_, len(c)) for id_, c in zip(ids[start : start + TEXTS], cut)]
+            out = self._segmented([c for x in cut for c in x], np.concatenate(keys), threshold)
+            ends = np.cumsum([0, *map(len, cut)]).tolist()
+            found += [None if t is None else b"".join(out[a:b]) for t, a, b in zip(some, ends, ends[1:])]
+        return found
+
+    def encode(self, text: str, id_: object, seed: int, dropout: float, variants: int = 0) -> bytes:
         return self.encode_many([text], [id_], seed, dropout, variants)[0]
 
     def decode(self, ids: list[int]) -> str:
@@ -262,7 +295,7 @@ def _broadcast(spark: SparkSession, path: str):
 
 def encode(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ids_column: str = "ids", seed: int = 13,
-    dropout: float = 0.1, variants: int = 4, vocabulary: str = VOCABULARY,
+    dropout: float = 0.1, vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """All columns and the ids of the text's pieces."""
     names = [c for c in docs.columns if c != ids_column]
@@ -278,7 +311,7 @@ def encode(
                 part = batch.slice(start, ROWS)
                 texts = part.column(at_text).to_pylist()
                 keys = ["null" if i is None else i for i in part.column(at_id).to_pylist()]
-                ids = pieces.encode_many(texts, keys, seed, dropout, variants)
+                ids = pieces.encode_many(texts, keys, seed, dropout)
                 ends = np.cumsum([0, *[0 if x is None else len(x) // 4 for x in ids]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([x is None for x in ids], pa.bool_()))

@@ -89,3 +89,17 @@ def test_query(spark, folder):
     found = QUERIES["op6_piece_dropout"](spark, folder)
     assert found.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
     assert found.filter("not lossless").count() == 0
+
+
+def test_every_occurrence_draws():
+    """One word many times in a text: far more than four segmentations, each that of its own key."""
+    word = " understanding"
+    texts = [word[1:] + word * 1999, None, ""]
+    pieces = P.Pieces(P.read_vocabulary())
+    threshold = int(0.3 * (1 << 30))
+    found = pieces.encode_many(texts, [7, 8, 9], 13, 0.3)
+    want = [tuple(pieces.segment(word, int(k), threshold)) for k in P.keys_of(13, 7, 2000)]
+    assert np.frombuffer(found[0], "<i4").tolist() == [i for x in want for i in x]
+    assert len(set(want)) > 20
+    assert found[1:] == [None, b""]
+    assert pieces.encode_many(texts, [7, 8, 9], 13, 0.3) == found
