@@ -123,9 +123,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked fingerprints (node, root) of whole groups of equal keys; keys are sorted, homes first."""
-    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+def _links(key: np.ndarray, part: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked fingerprints (node, root) of whole groups of equal (key, part); these are sorted, homes first."""
+    bounds = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True])))
     size = np.diff(bounds)
     homes = np.add.reduceat(home.astype(np.int64), bounds[:-1])
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -160,20 +160,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         key, part, fp, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        key = key * np.int64(31) + part  # equal for one (anchor, part) only, as neighbours in the order
         now = [np.concatenate(x) for x in zip(held, (key, part, fp, home))] if not empty(held) else [key, part, fp, home]
         if not len(now[0]):
             continue
         changes = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
         cut = int(changes[-1]) if len(changes) else 0
         if cut:
-            yield out(_links(now[0][:cut], now[2][:cut], now[3][:cut]))
+            yield out(_links(*(x[:cut] for x in now)))
         held = [x[cut:] for x in now]
         if len(held[0]) > HELD:
-            yield out(_links(held[0], held[2], held[3]))
+            yield out(_links(*held))
             held = [x[held[3]] for x in held]
     if not empty(held):
-        yield out(_links(held[0], held[2], held[3]))
+        yield out(_links(*held))
 
 
 def near_links(prints: DataFrame, homes: int = HOMES) -> DataFrame:

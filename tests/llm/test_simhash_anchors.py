@@ -97,3 +97,11 @@ def test_links_join_all_near(spark, monkeypatch, homes, held, pairs):
     want = slow_components(prints)
     pairs = {(a, b) for a, b in zip(mine, want)}
     assert len(pairs) == len(set(mine)) == len(set(want))
+
+
+def test_parts_of_neighbouring_anchors():
+    """Part 31 of an anchor and part 0 of the next are two groups."""
+    a, b = 0x0F0F, 0x7FFF0000FFFF
+    rows = {"key": [7, 7, 8, 8], "part": [31, 31, 0, 0], "fp": [a, ~a, b, b ^ 1], "home": [True, False, True, False]}
+    found = [x for batch in S._compare(iter([S.pa.record_batch(rows)])) for x in zip(*(c.to_pylist() for c in batch.columns))]
+    assert found == [(b, b ^ 1)]
