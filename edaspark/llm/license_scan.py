@@ -64,15 +64,15 @@ def _literal(values: Iterable[int]) -> str:
 
 
 def templates_of(notices: DataFrame, id_column: str = "license", text_column: str = "text", bands: int = BANDS) -> DataFrame:
-    """(license, m, shingles, bands: (band, value, smallest: the shingle behind it)) of templates with a shingle."""
+    """(license, m, shingles, bands: (band, value, smallest: the shingle behind it)) of templates with a shingle, one row per license and words."""
     words = notices.select(F.col(id_column).alias("license"), words_of(F.col(text_column).cast("string")).alias("w"))
     cut = f"explode(if(size(w) >= {SHINGLE}, transform(sequence(1, size(w) - {SHINGLE - 1}), i -> slice(w, i, {SHINGLE})), cast(array() as array<array<string>>)))"
-    rows = words.selectExpr("license", f"size(w) - {SHINGLE - 1} as m", f"{cut} as s").selectExpr("license", "m", "array_join(s, ' ') as shingle", "xxhash64(s) as h")
+    rows = words.selectExpr("license", "w", f"size(w) - {SHINGLE - 1} as m", f"{cut} as s").selectExpr("license", "w", "m", "array_join(s, ' ') as shingle", "xxhash64(s) as h")
     rows = rows.distinct().selectExpr("*", f"explode(sequence(0, {bands - 1})) as band").selectExpr("*", "struct(xxhash64(h, band) as value, h as smallest) as b")
-    best = rows.groupBy("license", "m", "band").agg(F.min("b").alias("b"), F.collect_set("shingle").alias("shingles"))
-    return best.groupBy("license", "m").agg(
+    best = rows.groupBy("license", "w", "m", "band").agg(F.min("b").alias("b"), F.collect_set("shingle").alias("shingles"))
+    return best.groupBy("license", "w", "m").agg(
         F.first("shingles").alias("shingles"), F.collect_list(F.struct("band", "b.value", "b.smallest")).alias("bands")
-    )
+    ).drop("w")
 
 
 def find_notices(

@@ -76,3 +76,11 @@ def test_query(spark, folder):
     names = [d[0] for d in db.execute(NOTICES_SQL).description]
     assert names == df.columns
     assert got == sorted(db.fetchall(), key=repr)
+
+
+def test_two_texts_of_a_license(spark):
+    """Texts of one license with as many words are two templates: a document that holds one whole is found."""
+    texts = [" ".join(f"{c}{k}" for k in range(16)) for c in "ab"]
+    notices = spark.createDataFrame([("X", t) for t in texts], "license string, text string")
+    found = S.find_notices(odd(spark, [(1, texts[0]), (2, texts[1])]), notices)
+    assert sorted((r.doc_id, r.license, r.containment) for r in found.collect()) == [(1, "X", 1.0), (2, "X", 1.0)]
