@@ -20,6 +20,7 @@ from .quality_rules import count_ngrams, judge, log_ratios
 from .repeat_spans import remove_repeats
 from .simhash_anchors import near_duplicates
 from .url_automaton import Rule, judge_urls
+from .word_runs import longest_run, periodic_runs, replayed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,6 +208,22 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@_query("op13_word_runs")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(replayed(_table(spark, folder, "documents").select("doc_id", "text"))).withColumn("best", longest_run())
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
