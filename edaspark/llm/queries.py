@@ -11,6 +11,7 @@ import corpus_pipeline
 
 from .common import fold_of
 from .decontaminate import contaminated_spans, hit_words
+from .harmonic_packing import pack
 from .license_scan import NOTICES, find_notices
 from .line_runs import drop_repeated_lines
 from .lm_scoring import score_documents
@@ -208,6 +209,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@_query("op12_harmonic_packing")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(_table(spark, folder, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 @_query("op13_word_runs")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs(replayed(_table(spark, folder, "documents").select("doc_id", "text"))).withColumn("best", longest_run())
