@@ -20,6 +20,7 @@ from .quadratic_quality import fit_quality, score_quality
 from .quality_rules import count_ngrams, judge, log_ratios
 from .repeat_spans import remove_repeats
 from .simhash_anchors import near_duplicates
+from .spelling_variants import spelling_groups, word_counts
 from .url_automaton import Rule, judge_urls
 from .word_runs import longest_run, periodic_runs, replayed
 
@@ -209,6 +210,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@_query("op11_spelling_variants")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(word_counts(_table(spark, folder, "documents"), misspell=97))
+
+
 @_query("op12_harmonic_packing")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack(_table(spark, folder, "documents").select("doc_id", "text"))
