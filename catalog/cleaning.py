@@ -83,6 +83,21 @@ def csv_scan(spark, folder):
     return scan.load(spark, path)
 
 
+@query(
+    "csv_line_breaks",
+    """select o_orderkey as id, o_orderstatus || chr(10) || case when o_orderkey % 3 = 0 then o_orderpriority || ', "' || chr(10) || '"' else '' end as note,
+      o_totalprice as price from orders""",
+)
+def csv_line_breaks(spark, folder):
+    """S1 on lines whose quoted cells hold line breaks, commas and quotes, read in splits."""
+    note = """concat('"', o_orderstatus, '\n', if(o_orderkey % 3 = 0, concat(o_orderpriority, ', ""\n""'), ''), '"')"""
+    lines = table(spark, folder, "orders").selectExpr(f"concat_ws(',', o_orderkey, {note}, o_totalprice) as line", "monotonically_increasing_id() as at")
+    lines = lines.selectExpr(f"explode(if(at % {1 << 33} = 0, array('id,note,price', line), array(line))) as value")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.csv"
+    lines.write.text(path)
+    return scan.load(spark, path)
+
+
 @query(
     "csv_folder_by_name",
     "select o_orderkey as id, o_orderstatus as status, o_totalprice as price from orders",

@@ -104,6 +104,17 @@ def looks_boolean(c: Column) -> Column:
     return c.isin(*TRUE_TOKENS, *FALSE_TOKENS)
 
 
+def date_form(c: Column) -> Column:
+    """What a text looks like: digits as 9, letters of three and more together as a, all else as it is; NULL where no date layout fits.
+
+    There are as many forms as the layouts have, whatever the texts.
+    """
+    any_layout = "|".join(shape for shape, _ in DATE_LAYOUTS)
+    letters = "(?<=[A-Za-z]{2})[A-Za-z]|(?<=[A-Za-z])[A-Za-z](?=[A-Za-z])|[A-Za-z](?=[A-Za-z]{2})"
+    form = F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), letters, "a")
+    return F.when((F.length(c) <= 40) & c.rlike(any_layout), form)
+
+
 def parsed_time(c: Column, shape: str, layout: str) -> Column:
     """Wall-clock time of a text in exactly this shape and layout, else NULL; in UTC where the text names a zone."""
     time = F.try_to_timestamp(c, F.lit(layout))

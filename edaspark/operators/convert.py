@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import aggregate_once, column, fields_of, nan_to_null
-from ..functions.text import DATE_LAYOUTS, parsed_time, strip
+from ..common import aggregate_once, column, fields_of, nan_to_null, quoted
+from ..functions.text import DATE_LAYOUTS, date_form, parsed_time, strip
 
 # Type names a user may give, besides Spark's own.
 TYPE_NAMES = {
@@ -51,6 +51,47 @@ def cast_columns(df: DataFrame, schema: Mapping[str, str | T.DataType]) -> DataF
     return df.select(*[cast(c) for c in df.columns])
 
 
+@dataclass(frozen=True)
+class TextForm:
+    """Texts of one form (see ``date_form``), with the least and greatest number at each place; None is the form of all that is no date."""
+
+    form: str | None
+    low: list[int]
+    high: list[int]
+
+    def fits(self, shape: str) -> bool:
+        """Whether all texts have the shape: numbers of a form are independent in it, and each must lie in an interval."""
+        return self.form is not None and all(re.match(shape, self._filled(side)) for side in (self.low, self.high))
+
+    def _filled(self, numbers: list[int]) -> str:
+        places = iter(numbers)
+        return re.sub("9+", lambda m: str(next(places)).zfill(len(m[0])), self.form)
+
+    def surely_valid(self, layout: str) -> bool:
+        """Whether fitting the layout's shape is enough: no names, no day beyond the 28th, no year zero."""
+        parts = re.findall(r"([A-Za-z])\1*", re.sub("'[^']*'", "", layout))
+        if "MMM" in layout or "X" in parts or len(set(parts) - {"a"}) != len(re.findall("9+", self.form or "")):
+            return False
+        numbers = [p for p in dict.fromkeys(parts) if p != "a"]
+        return ("d" not in numbers or self.high[numbers.index("d")] <= 28) and self.low[numbers.index("y")] > 0
+
+
+# Numbers a date layout has at most: six, a fraction and a zone of two.
+DATE_NUMBERS = 9
+
+
+def _text_forms(df: DataFrame, names: list[str]) -> DataFrame:
+    """(k: place of the column, form, low, high) of the non-null texts, counted together in one pass."""
+    pairs = ", ".join(f"{i}, {quoted(c)}" for i, c in enumerate(names))
+    long = df.selectExpr(f"stack({len(names)}, {pairs}) as (k, v)").filter("v is not null")
+    long = long.select("k", date_form(F.col("v")).alias("form"), F.regexp_extract_all("v", F.lit("([0-9]+)")).alias("w"))
+    numbers = [F.when(F.col("form").isNotNull(), F.get("w", F.lit(i)).try_cast("int")).alias(f"n{i}") for i in range(DATE_NUMBERS)]
+    found = long.select("k", "form", *numbers).groupBy("k", "form")
+    found = found.agg(*[f(f"n{i}").alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(DATE_NUMBERS)])
+    sides = [F.array_compact(F.array(*[f"{f}{i}" for i in range(DATE_NUMBERS)])).alias(x) for f, x in (("min", "low"), ("max", "high"))]
+    return found.select("k", "form", *sides)
+
+
 @dataclass(frozen=True)
 class DatePlan:
     """P5. Text columns whose every value is a date in one layout."""
@@ -62,23 +103,32 @@ class DatePlan:
         texts = fields_of(df, (T.StringType,))
         if not texts:
             return cls(())
-        # A layout must fit any one value, so only columns that can pass are tested in full.
-        layouts = {}
-        for c, sample in _one_value_each(df, texts).items():
-            fitting = [(shape, x) for shape, x in DATE_LAYOUTS if sample is not None and re.match(shape, sample)]
-            if fitting:
-                layouts[c] = fitting
+        # A layout must fit any one value, so only columns that can pass are looked at in full.
+        heads = _one_value_each(df, texts)
+        able = [c for c in texts if heads[c] is not None and any(re.match(shape, heads[c]) for shape, _ in DATE_LAYOUTS)]
+        if not able:
+            return cls(())
+        forms: dict[str, list[TextForm]] = {c: [] for c in able}
+        for row in _text_forms(df, able).collect():
+            forms[able[row["k"]]].append(TextForm(row["form"], row["low"], row["high"]))
+        found, doubtful = {}, {}
+        for c, own in forms.items():
+            fitting = [(shape, x) for shape, x in DATE_LAYOUTS if own and all(f.fits(shape) for f in own)]
+            if fitting and all(f.surely_valid(fitting[0][1]) for f in own):
+                found[c] = fitting[0]
+            elif fitting:
+                doubtful[c] = fitting
+        # Only names of months, and days that not every month has, are left to a parse.
         exprs = {}
-        for c, fitting in layouts.items():
-            exprs[c, None] = F.count(column(c))
+        for c, fitting in doubtful.items():
             for shape, layout in fitting:
-                exprs[c, layout] = F.count(parsed_time(column(c), shape, layout))
-        counts = aggregate_once(df, exprs)
-        found = []
-        for c, fitting in layouts.items():
-            full = [(c, shape, x) for shape, x in fitting if counts[c, x] == counts[c, None] > 0]
-            found += full[:1]
-        return cls(tuple(found))
+                exprs[c, layout] = F.count_if(column(c).isNotNull() & parsed_time(column(c), shape, layout).isNull())
+        failed = aggregate_once(df, exprs)
+        for c, fitting in doubtful.items():
+            full = [(shape, x) for shape, x in fitting if failed[c, x] == 0]
+            if full:
+                found[c] = full[0]
+        return cls(tuple((c, *found[c]) for c in able if c in found))
 
     def apply(self, df: DataFrame) -> DataFrame:
         found = {c: (shape, layout) for c, shape, layout in self.layouts}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException, SparkRuntimeException
@@ -12,14 +13,15 @@ from pyspark.sql import types as T
 
 from ..common import aggregate_once, column, fields_of, nan_to_null
 from ..functions.text import TRUE_TOKENS, looks_boolean, looks_float, looks_integer, na_to_null
+from .records import SAME, SHUT, csv_records, quoted_lines
 
 
-def load(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False) -> DataFrame:
+def load(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """S5. Read by suffix, in any case: csv, xlsx, parquet; a name without one is a table."""
     name = path.rstrip("/").lower()
     try:
         if name.endswith(".csv"):
-            return load_csv(spark, path, schema, multiline)
+            return load_csv(spark, path, schema)
         if name.endswith(".parquet"):
             return spark.read.parquet(path)
     except AnalysisException as e:
@@ -35,24 +37,25 @@ def load(spark: SparkSession, path: str, schema: T.StructType | None = None, mul
     raise ValueError("Unsupported file format")
 
 
-def load_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = False
-) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """S1. Comma-separated text with a header row in every file.
 
     Files of one folder are matched by column name; different sets of names raise. A line
     with more cells than its header raises, with the line; one with fewer ends in nulls.
-    Quoted line breaks need ``multiline``, which makes a file unsplittable; without it a line with an odd number of quotes raises.
+    Quoted cells may hold line breaks, and files are read in splits all the same (see ``csv_records``). A quote that
+    is still open at a file's end raises.
     """
     try:
-        groups = _files_by_header(spark, path, multiline)
+        plain, broken = _files_by_header(spark, path)
+        groups = [(h, _read_cells(spark, h, files)) for h, files in plain] + [(h, _parse_records(h, records)) for h, records in broken]
+        if not groups:
+            raise ValueError("No columns to parse from file")
         names = header_names(groups[0][0])
-        for header, files in groups[1:]:
+        for header, _ in groups[1:]:
             if sorted(header_names(header)) != sorted(names):
-                raise ValueError(f"Files differ in their columns: {', '.join(names)} and {', '.join(header_names(header))} ({files[0]})")
-        parts = [_read_cells(spark, header, files, multiline) for header, files in groups]
-        raw = parts[0]
-        for part in parts[1:]:
+                raise ValueError(f"Files differ in their columns: {', '.join(names)} and {', '.join(header_names(header))}")
+        raw = groups[0][1]
+        for _, part in groups[1:]:
             raw = raw.unionByName(part)
         raw = normalise_na(raw)
         if schema is None:
@@ -67,40 +70,62 @@ def load_csv(
         raise ValueError(f"CSV Error: {e.getMessageParameters()['errorMessage']}") from e
 
 
-def _files_by_header(spark: SparkSession, path: str, multiline: bool) -> list[tuple[list[str], list[str]]]:
-    """Header cells and the files that have them, from one pass over the lines; one group per distinct header."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("at"),
-    )
-    odd = F.length("value") % 2 != F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2
-    checks = lines.groupBy("file").agg(
-        F.min_by("value", "at").alias("header"), F.min(F.when(odd, F.col("value"))).alias("open")
+def _cells_of(header: str) -> list[str]:
+    return next(csv.reader(io.StringIO(header.lstrip("\ufeff"), newline="")), [])
+
+
+def _files_by_header(spark: SparkSession, path: str):
+    """Groups (header cells, files) of files without line breaks in quotes, and (header cells, records) of those with, from one pass over the lines."""
+    lines = quoted_lines(spark, path)
+    first = F.struct("block", "line")
+    files = lines.groupBy("file").agg(
+        F.min_by(F.struct("value", "turn"), first).alias("top"), F.bool_or(F.col("turn") != SAME).alias("broken")
     )
-    found = checks.groupBy("header").agg(F.collect_list("file").alias("files"), F.min("open").alias("open")).collect()
-    if not found:
-        raise ValueError("No columns to parse from file")
-    broken = min((r["open"] for r in found if r["open"] is not None), default=None)
-    if broken is not None and not multiline:
-        raise ValueError(f"Unbalanced quotes, pass multiline=True for line breaks inside quotes: {broken}")
-    groups = [(next(csv.reader([r["header"].lstrip("\ufeff")]), []), sorted(r["files"])) for r in found if r["header"]]
-    if not groups:
-        raise ValueError("No columns to parse from file")
-    return sorted(groups, key=lambda g: g[1])
-
-
-def _read_cells(spark: SparkSession, header: list[str], files: list[str], multiline: bool) -> DataFrame:
-    """All cells as text. A line with more cells than the header raises when it is read."""
+    top = F.when(F.col("top.turn").isin(SAME, SHUT), F.substring_index("top.value", "\r", 1)).alias("header")
+    found = files.select("file", top, "broken").groupBy("header", "broken").agg(F.collect_list("file").alias("files")).collect()
+    plain = [(_cells_of(r["header"]), sorted(r["files"])) for r in found if r["header"] and not r["broken"]]
+    whole = []
+    for r in found:
+        if r["header"] != "" and r["broken"]:
+            records = csv_records(spark, sorted(r["files"]))
+            if r["header"] is not None:
+                whole.append((_cells_of(r["header"]), records))
+                continue
+            # The header itself goes over several lines; such files are told apart by it once more.
+            for h in records.filter("first").groupBy("value").agg(F.collect_list("file").alias("files")).collect():
+                whole.append((_cells_of(h["value"].rstrip("\r")), records.filter(F.col("file").isin(h["files"]))))
+    return sorted(plain, key=lambda g: g[1]), whole
+
+
+def _places(header: list[str]) -> tuple[list[str], list[str], str]:
     names = header_names([cell or None for cell in header])
-    places = [f"c{i}" for i in range(len(names))]
-    spare = "line"
-    reader = spark.read.options(header=True, enforceSchema=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8")
-    cells = reader.option("columnNameOfCorruptRecord", spare).schema(", ".join(f"{c} string" for c in [*places, spare])).csv(files)
+    return names, [f"c{i}" for i in range(len(names))], ", ".join(f"{c} string" for c in [*(f"c{i}" for i in range(len(names))), SPARE])
+
+
+# Column that takes the text of a line that does not fit its header.
+SPARE = "line"
+CSV_OPTIONS = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": SPARE}
+
+
+def _read_cells(spark: SparkSession, header: list[str], files: list[str]) -> DataFrame:
+    """All cells as text. A line with more cells than the header raises when it is read."""
+    names, places, schema = _places(header)
+    reader = spark.read.options(header=True, enforceSchema=True, encoding="UTF-8", **CSV_OPTIONS)
+    return _fitting(reader.schema(schema).csv(files), names, places)
+
+
+def _parse_records(header: list[str], records: DataFrame) -> DataFrame:
+    """As ``_read_cells``, of records put together from lines."""
+    names, places, schema = _places(header)
+    rows = records.filter("not first").select(F.regexp_replace("value", "\r$", "").alias("value")).filter("trim(value) <> ''")
+    return _fitting(rows.select(F.from_csv("value", schema, CSV_OPTIONS).alias("cells")).select("cells.*"), names, places)
+
+
+def _fitting(cells: DataFrame, names: list[str], places: list[str]) -> DataFrame:
     # Cells of a line that does not fit, counted by the commas outside its quotes.
-    bare = F.regexp_replace(spare, '"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(SPARE, '"(?:[^"]++|"")*+"', "")
     extra = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 > len(names)
-    problem = F.concat(F.lit(f"Expected {len(names)} cells: "), F.col(spare))
+    problem = F.concat(F.lit(f"Expected {len(names)} cells: "), F.col(SPARE))
     checked = F.when(extra, F.raise_error(problem).cast("string")).otherwise(F.col(places[0])) if places else None
     return cells.select(*([checked, *places[1:]] if places else [])).toDF(*names)
 

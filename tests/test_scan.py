@@ -33,14 +33,17 @@ def test_csv_types_and_missing_values(spark, tmp_path):
     ]
 
 
-def test_csv_quoted_line_breaks_need_multiline(spark, tmp_path):
+def test_csv_quoted_line_breaks(spark, tmp_path):
     path = write(tmp_path / "t.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert sorted(rows(scan.load(spark, path, multiline=True))) == [(1, "x\ny"), (2, "z")]
+    assert sorted(rows(scan.load(spark, path))) == [(1, "x\ny"), (2, "z")]
+    path = write(tmp_path / "u.csv", '"a\nb",c\n1,2\n"3\n4",5\n')
+    found = scan.load(spark, path)
+    assert found.columns == ["a\nb", "c"] and sorted(rows(found)) == [("1", 2), ("3\n4", 5)]
 
 
-def test_csv_quoted_line_breaks_raise_without_multiline(spark, tmp_path):
-    for text in ('a,b\n1,"x\ny"\n2,z\n', 'a,b\n1,"x\n2,y"\n', 'a\n"x\ny"\n'):
-        with pytest.raises(ValueError, match="multiline=True"):
+def test_csv_open_quote_raises(spark, tmp_path):
+    for text in ('a,b\n1,"x\ny\n2,z\n', 'a,b\n"1,x\n2,y\n', 'a\n"x\n"y\n"z'):
+        with pytest.raises(ValueError, match="Unbalanced quotes"):
             scan.load(spark, write(tmp_path / "t.csv", text))
 
 
