@@ -283,6 +283,21 @@ def spearman_gaps(spark, folder):
     return rounded(ranks.spearman(df, SPARSE))
 
 
+# Twelve columns of orders, each with gaps of its own.
+MANY = {f"g{k}": (f"o_orderkey % {k + 2} = 0", ("o_custkey % 97", "o_totalprice", "o_orderkey % 1000", "o_totalprice - o_custkey")[k % 4]) for k in range(12)}
+MANY_SQL = ", ".join(f"case when {gap} then null else {value} end as {c}" for c, (gap, value) in MANY.items())
+MANY_PAIRS = " union all ".join(
+    _rank_pair(a, b).replace("from sparse", "from many") for a in MANY for b in MANY
+)
+
+
+@query("spearman_many_gaps", f"with many as (select {MANY_SQL} from orders) {MANY_PAIRS}")
+def spearman_many_gaps(spark, folder):
+    """All pairs of twelve columns with gaps, ranked together."""
+    df = table(spark, folder, "orders", *[f"if({gap}, null, {value}) as {c}" for c, (gap, value) in MANY.items()])
+    return rounded(ranks.spearman(df, list(MANY)))
+
+
 @query(
     "average_ranks",
     "select l_extendedprice as value, count(*) as n, rank() over (order by l_extendedprice) * 0 + sum(count(*)) over (order by l_extendedprice) - (count(*) - 1) / 2.0::double as rank from lineitem group by l_extendedprice",

@@ -8,8 +8,9 @@ are added on top. No task sees more than one slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import (
@@ -17,12 +18,12 @@ from ..common import (
     column,
     group_sizes,
     join_group_stats,
-    materialise,
     materialise_table,
     nan_to_null,
     numeric_columns,
     small_frame,
 )
+from .frequencies import as_text, distinct_counts
 from .moments import Facts, Moments
 from .summary import correlations
 from .validate import count_missing
@@ -36,89 +37,172 @@ BROADCAST_RANKS = 1_000_000
 def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS, rows: int | None = None) -> DataFrame:
     """``(value, n, rank)`` for each distinct non-null value; equal values share their mean rank."""
     value = column(name).cast("double") + F.lit(0.0)
-    present = df.select(value.alias("value")).filter("value is not null")
-    counts = present.groupBy("value").agg(F.count("*").alias("n"))
-    slices = max(1, -(-(present.count() if rows is None else rows) // slice_rows))
+    present = df.select(F.lit(0).alias("slot"), value.alias("value")).filter("value is not null")
+    counts = present.groupBy("slot", "value").agg(F.count("*").alias("n"))
+    return ranks_by_slot(counts, present.count() if rows is None else rows, slice_rows).select("value", "n", "rank")
+
+
+def ranks_by_slot(counts: DataFrame, rows: int, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """``(slot, value, n, rank, middle)`` of counted values of many slots at once; ``middle`` is the slot's mean rank.
+
+    One range exchange over (slot, value) cuts all slots into slices together. Totals run inside a slot's part of a slice, and
+    the parts' totals, at most one row per slot and slice, are added on top.
+    """
+    slices = max(1, -(-rows // slice_rows))
     if slices > 1:
-        ranged = counts.repartitionByRange(slices, "value")
-        counts = materialise(ranged.withColumn("slice", F.spark_partition_id()))
+        ranged = counts.repartitionByRange(slices, "slot", "value")
+        counts = materialise_table(ranged.withColumn("slice", F.spark_partition_id()))
     else:
         counts = counts.withColumn("slice", F.lit(0))
-    within = Window.partitionBy("slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("slot", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.sum("n").over(within))
-    if slices > 1:
-        # One row a slice; their running total is the rows before each.
-        totals = counts.groupBy("slice").agg(F.sum("n").alias("total"))
-        before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        offset = totals.select("slice", (F.sum("total").over(before) - F.col("total")).alias("base"))
-        ranked = ranked.join(offset, "slice").withColumn("upto", F.col("upto") + F.col("base"))
-    mean_rank = F.col("upto") - (F.col("n") - 1) / 2.0
-    return ranked.select("value", "n", mean_rank.alias("rank"))
+    totals = counts.groupBy("slot", "slice").agg(F.sum("n").alias("total"))
+    before = Window.partitionBy("slot").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = F.sum("total").over(Window.partitionBy("slot"))
+    offset = totals.select("slot", "slice", (F.sum("total").over(before) - F.col("total")).alias("base"), ((whole + 1) / 2.0).alias("middle"))
+    ranked = ranked.join(F.broadcast(offset), ["slot", "slice"])
+    mean_rank = F.col("upto") + F.col("base") - (F.col("n") - 1) / 2.0
+    return ranked.select("slot", "value", "n", mean_rank.alias("rank"), "middle")
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D7. Rank correlation ``(x, y, r)`` of every pair; ranks are over the rows where both are present.
 
-    Columns without gaps share their ranks; a pair with a gap is ranked again over its own rows.
+    Columns without gaps share their ranks. All pairs with a gap are ranked together, each over its own rows. Jobs depend
+    neither on the pairs nor, while ranks can be broadcast, on the columns.
     """
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
     rows, missing = count_missing(df.select(*[column(c) for c in names]))
     whole = [c for c in names if not missing[c]]
     found = _rank_correlations(df, whole, rows) if whole else {}
-    for i, a in enumerate(names):
-        for b in names[: i + 1]:
-            if missing[a] or missing[b]:
-                both = df.filter(column(a).isNotNull() & column(b).isNotNull()).select(*[column(c) for c in dict.fromkeys((a, b))])
-                pair = _rank_correlations(both, both.columns, rows)
-                found[a, b] = found[b, a] = pair[a, b]
+    gappy = [(a, b) for i, a in enumerate(names) for b in names[: i + 1] if missing[a] or missing[b]]
+    if gappy:
+        for (a, b), r in zip(gappy, _gappy_correlations(df, names, gappy, rows)):
+            found[a, b] = found[b, a] = r
     return small_frame(df.sparkSession, [(a, b, found[a, b]) for a in names for b in names], "x string, y string, r double")
 
 
+def _pair_cells(values: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(p, a, b, n)``: how often two values occur together in the rows where both are present, for all pairs in one count.
+
+    ``values`` holds one array column ``v`` with the values of the names.
+    """
+    index = {c: i for i, c in enumerate(names)}
+    sides = [F.array(*[F.lit(index[pair[k]]) for pair in pairs]) for k in (0, 1)]
+    both = F.arrays_zip(F.sequence(F.lit(0), F.lit(len(pairs) - 1)).alias("p"), sides[0].alias("i"), sides[1].alias("j"))
+    met = values.select("v", F.inline(both).alias("p", "i", "j"))
+    met = met.select("p", F.get("v", F.col("i")).alias("a"), F.get("v", F.col("j")).alias("b")).filter("a is not null and b is not null")
+    return materialise_table(met.groupBy("p", "a", "b").agg(F.count("*").alias("n")))
+
+
+def _side_counts(cells: DataFrame) -> DataFrame:
+    """``(slot, value, n, cells)``: the margins of all pairs; slots 2 p and 2 p + 1 are a pair's two sides."""
+    sides = F.array(F.struct((2 * F.col("p")).alias("slot"), F.col("a").alias("value")), F.struct((2 * F.col("p") + 1).alias("slot"), F.col("b").alias("value")))
+    long = cells.select(F.inline(sides).alias("slot", "value"), "n")
+    return long.groupBy("slot", "value").agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
+
+
+def _with_sides(cells: DataFrame, margins: DataFrame, measure: str) -> DataFrame:
+    """Cells with a measure of their two margins, as ``ma`` and ``mb``."""
+    margins = margins.select("slot", "value", "cells", measure)
+    sizes = group_sizes(margins, ["slot", "value"], "cells")
+    for k, side in enumerate("ab"):
+        keyed = cells.withColumns({"slot": 2 * F.col("p") + k, "value": F.col(side)})
+        cells = join_group_stats(keyed, margins, ["slot", "value"], "cells", sizes).withColumnRenamed(measure, f"m{side}").drop("slot", "value", "cells")
+    return cells
+
+
+def _gappy_correlations(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], rows: int) -> list[float | None]:
+    values = df.select(F.array(*[column(c).cast("double") + F.lit(0.0) for c in names]).alias("v"))
+    cells = _pair_cells(values, names, pairs)
+    margins = materialise_table(_side_counts(cells))
+    ranks = ranks_by_slot(margins.select("slot", "value", "n"), rows * len(pairs))
+    ranks = ranks.select("slot", "value", (F.col("rank") - F.col("middle")).alias("rank"), "n").join(margins.select("slot", "value", "cells"), ["slot", "value"])
+    ranks = materialise_table(ranks)
+    spread = {r["slot"]: (r["s"], r["d"]) for r in ranks.groupBy("slot").agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("s"), F.count("*").alias("d")).collect()}
+    together = _with_sides(cells, ranks.drop("n"), "rank").groupBy("p").agg(F.sum(F.col("n") * F.col("ma") * F.col("mb")).alias("s"))
+    products = dict(together.collect())
+    out = []
+    for p in range(len(pairs)):
+        (sa, da), (sb, db) = spread.get(2 * p, (0, 0)), spread.get(2 * p + 1, (0, 0))
+        # One distinct value makes a constant column.
+        out.append(products[p] / (sa * sb) ** 0.5 if da > 1 and db > 1 else None)
+    return out
+
+
 def _rank_correlations(df: DataFrame, names: Sequence[str], rows: int) -> dict[tuple[str, str], float | None]:
     """Rank correlations of columns without gaps in at most ``rows`` rows."""
     values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(names)])
+    stacked = ", ".join(f"{i}, x{i}" for i in range(len(names)))
+    counts = values.selectExpr(f"stack({len(names)}, {stacked}) as (slot, value)").groupBy("slot", "value").agg(F.count("*").alias("n"))
+    all_ranks = materialise_table(ranks_by_slot(counts, rows * len(names)).select("slot", "value", "n", "rank"))
+    distinct = dict(all_ranks.groupBy("slot").agg(F.count("*")).collect())
     ranked, budget, moments = values, BROADCAST_RANKS, {}
     for i, c in enumerate(names):
-        ranks = materialise(average_ranks(values, f"x{i}", SLICE_ROWS, rows)).select(
-            F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(f"r{i}")
-        )
-        sizes = group_sizes(ranks, [f"x{i}"])
+        ranks = all_ranks.filter(F.col("slot") == i).select(F.col("value").alias(f"x{i}"), "n", F.col("rank").alias(f"r{i}"))
+        groups = distinct.get(i, 0)
         # One distinct value makes a constant column; otherwise only the mean matters.
-        moments[c] = Moments(sizes.rows, (sizes.rows + 1) / 2, None, 0.0, float(sizes.groups > 1))
-        if sizes.groups <= budget:
-            budget -= sizes.groups
+        moments[c] = Moments(rows, (rows + 1) / 2, None, 0.0, float(groups > 1))
+        if groups <= budget:
+            budget -= groups
             ranked = ranked.join(F.broadcast(ranks.drop("n")), f"x{i}", "left").drop(f"x{i}")
         else:
-            ranked, budget = _joined(ranked, ranks, i, sizes), BROADCAST_RANKS
-    facts = Facts(rows, {c: rows - m.n for c, m in moments.items()}, moments)
+            ranked, budget = _joined(ranked, ranks, i, group_sizes(ranks, [f"x{i}"])), BROADCAST_RANKS
+    facts = Facts(rows, {c: 0 for c in names}, moments)
     return correlations(ranked, expressions={c: F.col(f"r{i}") for i, c in enumerate(names)}, facts=facts)
 
 
 def _joined(rows: DataFrame, ranks: DataFrame, i: int, sizes: GroupSizes) -> DataFrame:
     """Ranks too many to broadcast: rows meet them by a shuffle, those of hot values apart."""
-    present = rows.filter(F.col(f"x{i}").isNotNull())
-    joined = join_group_stats(present, ranks, [f"x{i}"], "n", sizes).drop("n", f"x{i}")
-    gaps = rows.filter(F.col(f"x{i}").isNull()).drop(f"x{i}").withColumn(f"r{i}", F.lit(None).cast("double"))
-    return materialise_table(joined.unionByName(gaps))
+    return materialise_table(join_group_stats(rows, ranks, [f"x{i}"], "n", sizes).drop("n", f"x{i}"))
+
+
+# Bytes beyond which a category is told apart by its digest.
+LONG_CATEGORY = 64
 
 
 def cramers_v(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """D7. Association ``(x, y, v)`` of categorical pairs, from the cells that occur."""
-    rows = []
-    for i, a in enumerate(columns):
-        for b in columns[:i]:
-            rows.append((a, b, _association(df, a, b)))
-    return small_frame(df.sparkSession, rows, "x string, y string, v double")
-
-
-def _association(df, a, b):
-    pairs = df.select(column(a).alias("a"), column(b).alias("b")).dropna()
-    cells = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
-    of_a = materialise(cells.groupBy("a").agg(F.sum("n").alias("na"), F.count("*").alias("ca")))
-    of_b = materialise(cells.groupBy("b").agg(F.sum("n").alias("nb"), F.count("*").alias("cb")))
-    joined = join_group_stats(join_group_stats(cells, of_a, ["a"], "ca"), of_b, ["b"], "cb")
-    share = F.sum(F.col("n") * F.col("n") / F.col("na") / F.col("nb"))
-    ratio = joined.agg(share).first()[0]
-    least = min(of_a.count(), of_b.count()) - 1
-    return max(0.0, (ratio - 1) / least) ** 0.5 if ratio is not None and least > 0 else None
+    """D7. Association ``(x, y, v)`` of categorical pairs, from the cells that occur.
+
+    The cells of all pairs are counted together, long texts by digest. A column without gaps and repeats needs no count: each of
+    its values decides the other's, so v is 1 (NULL beside a column of one value).
+    """
+    columns = list(columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
+    facts = _distinct(df, columns) if pairs else {}
+    found: dict[tuple[str, str], float | None] = {}
+    for a, b in pairs:
+        for one, other in ((a, b), (b, a)):
+            if facts[one].key:
+                found[a, b] = 1.0 if facts[other].distinct > 1 else None
+    counted = [p for p in pairs if p not in found]
+    if counted:
+        names = [c for c in columns if any(c in p for p in counted)]
+        cells = _pair_cells(df.select(F.array(*[_category(df, c) for c in names]).alias("v")), names, counted)
+        margins = materialise_table(_side_counts(cells).withColumnRenamed("n", "m"))
+        sizes = dict(margins.groupBy("slot").agg(F.count("*")).collect())
+        share = F.sum(F.col("n") * F.col("n") / F.col("ma") / F.col("mb"))
+        shares = dict(_with_sides(cells, margins, "m").groupBy("p").agg(share).collect())
+        for p, pair in enumerate(counted):
+            least = min(sizes.get(2 * p, 0), sizes.get(2 * p + 1, 0)) - 1
+            found[pair] = max(0.0, (shares[p] - 1) / least) ** 0.5 if p in shares and least > 0 else None
+    return small_frame(df.sparkSession, [(a, b, found[a, b]) for a, b in pairs], "x string, y string, v double")
+
+
+def _category(df: DataFrame, name: str) -> Column:
+    text = as_text(df, name)
+    return F.when(F.octet_length(text) > LONG_CATEGORY, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(F.concat(F.lit("="), text))
+
+
+class Distinct(NamedTuple):
+    distinct: int
+    # Whether every row has a value of its own.
+    key: bool
+
+
+def _distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, Distinct]:
+    wide = df.select(*[column(c) for c in columns])
+    rows, missing = count_missing(wide)
+    counts = distinct_counts(wide)
+    return {c: Distinct(counts[c][0], rows > 0 and not missing[c] and counts[c][0] == rows) for c in columns}
