@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, found by a frontier of states that walks down a distributed trie.
 
-The trie is a table with a row per node that several words share: its children, each with the number of words below, the
-symbols that follow it, and, where it has one word only, hashes of that word's rest. A state is (word, position, node, edits); a level
-joins the states at nodes of one depth with those nodes and writes the states of the next. Without an edit a state goes on
-to the child of its own symbol; an edit takes another child instead of the word's symbol, before it, or skips the symbol.
-After the edit only the word's own symbols lead on. A child that lacks the word's next symbol is no state, and
-one with a single word below is settled by its hashes at once, so few states outlive a level. At the end symbol the node's word is a neighbour.
+The trie is a table of the edges out of nodes that several words share, each with the number of words below its child, bits of the symbols
+that follow there, and, where a single word does, hashes of that word's rest. A state is (word, position, node, edits); a level
+joins the states at nodes of one depth with the edges out of those nodes and writes the states of the next. Without an edit a state goes on
+along its own symbol; an edit takes another edge instead of the word's symbol, or before it, or skips the symbol.
+After the edit only the word's own symbols lead on. An edge whose bits lack the word's next symbols is not taken, and
+one to a single word is settled by its hashes at once, so few states outlive a level. At the end symbol the node's word is a neighbour.
 
 Words go in forwards and backwards. Forwards an edit may stand behind the first half of the word only, backwards behind the other
 half, where nodes have few children. Of all places that give the same neighbour the first mismatch is taken, so each neighbour is found once.
@@ -28,7 +28,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import discard, materialise_table, table_path
@@ -87,90 +87,92 @@ def _hashes(rest: Column) -> tuple[Column, Column]:
     return F.xxhash64(rest), F.xxhash64(F.lit(1), rest)
 
 
-def _bit(symbol: Column) -> Column:
-    """The symbol's place in the masks: letters a to z, then U+00C0 to U+00FF, then the end."""
-    code = F.ascii(symbol)
-    return F.when(symbol == END, 90).when(code < 128, code - 97).otherwise(code - 166)
+def _at(text: str, place: Column | str) -> Column:
+    """The symbol at a place counted from 0; empty beyond the end."""
+    return F.substring(F.col(text), (F.col(place) if isinstance(place, str) else place) + 1, F.lit(1))
 
 
-def _shifted(one: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", one, by.cast("int"))
+def _rest(place: Column, n: int | None = None) -> Column:
+    """What a word has from a place on, whole or the first few symbols."""
+    return F.substring(F.col("t"), place + 1, F.lit(n) if n else F.char_length("t"))
 
 
-def _at(text: str, place: Column | str) -> Column:
-    """The symbol at a place counted from 0; empty beyond the end."""
-    return F.substring(F.col(text), (F.col(place) if isinstance(place, str) else place) + 1, F.lit(1))
+def _bit(place: Column, n: int) -> Column:
+    """One of 64 for the next symbols from a place on."""
+    return F.pmod(F.xxhash64(_rest(place, n)), F.lit(64))
+
+
+def _mask(place: Column, n: int) -> Column:
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(place, n).cast("int")))
 
 
 def _trie(words: DataFrame, depth: int) -> DataFrame:
-    """Rows (depth, node, parts, part, children) of all nodes from a depth on that two words or more share.
+    """Edges (depth, node, c, part, parts, words, n, r1, r2, two, four) from a depth on out of nodes that several words share.
 
-    A node is named by its prefix, which holds the mark of the direction.
+    A node is named by its prefix, which holds the mark of the direction. An edge tells of the words below its child: how many, the bits of
+    the two and of the four symbols that follow, and, of a single word, its count and hashes of its rest. parts is the node's.
     """
     spelt = words.select("t", "n", F.explode(F.sequence(F.lit(depth + 1), F.char_length("t") - 1)).alias("d"))
-    bit = _bit(_at("t", F.col("d") + 1))
-    one, two = _hashes(F.substring(F.col("t"), F.col("d") + 2, F.char_length("t")))
-    children = (
-        spelt.select(F.substring(F.col("t"), F.lit(1), F.col("d")).alias("node"), _at("t", "d").alias("c"), "n", bit.alias("bit"), one.alias("r1"), two.alias("r2"))
-        .groupBy("node", "c")
-        .agg(
-            F.count("*").alias("words"),
-            F.sum("n").alias("n"),
-            F.bit_xor("r1").alias("r1"),
-            F.bit_xor("r2").alias("r2"),
-            F.bit_or(F.when(F.col("bit") < 60, _shifted(F.lit(1).cast("long"), F.col("bit"))).otherwise(0)).alias("low"),
-            F.bit_or(F.when(F.col("bit") >= 60, _shifted(F.lit(1).cast("long"), F.col("bit") - 60)).otherwise(0)).alias("high"),
-        )
-    )
-    nodes = children.groupBy("node").agg(
-        F.sum("words").alias("words"), F.collect_list(F.struct("c", "words", "n", "r1", "r2", "low", "high")).alias("children")
-    )
-    nodes = nodes.filter("words > 1").withColumn("parts", F.ceil(F.col("words") / PART).cast("int")).drop("words")
-    return nodes.select(
-        F.char_length("node").alias("depth"), "node", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "children"
+    behind = F.col("d") + 1
+    one, other = _hashes(_rest(behind))
+    edges = spelt.groupBy(F.substring(F.col("t"), F.lit(1), F.col("d")).alias("node"), _at("t", "d").alias("c")).agg(
+        F.count("*").alias("words"),
+        F.sum("n").alias("n"),
+        F.bit_xor(one).alias("r1"),
+        F.bit_xor(other).alias("r2"),
+        _mask(behind, 2).alias("two"),
+        _mask(behind, 4).alias("four"),
     )
+    edges = edges.withColumn("total", F.sum("words").over(Window.partitionBy("node"))).filter("total > 1")
+    parts = F.ceil(F.col("total") / PART).cast("int")
+    edges = edges.withColumns({"depth": F.char_length("node"), "parts": parts}).drop("total")
+    return edges.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
 
+def _has(mask: str, bits: str, k: int) -> Column:
+    """Whether a mask has the k-th of the packed bits of a state."""
+    return F.expr(f"(shiftright({mask}, cast((shiftright({bits}, {6 * k}) & 63) as int)) & 1) = 1")
 
-def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Neighbours found, and states of the next depth, of the states at some nodes: (t, p, node, edits, parts, n: null unless found)."""
     states = states.withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")).drop("parts", "n")
-    met = states.join(nodes.select("node", "part", "children"), ["node", "part"])
-    met = met.select("t", "p", "node", "edits", _at("t", "p").alias("own"), _at("t", F.col("p") + 1).alias("next"), F.explode("children").alias("k"))
-    met = met.select("t", "p", "node", "edits", "own", "next", "k.*")
+    places = [F.col("p") + k for k in range(3)]
+    packed = sum((_bit(place, n) * F.lit(1 << (12 * k + 6 * (n == 4))) for k, place in enumerate(places) for n in (2, 4)), F.lit(0).cast("long"))
+    states = states.withColumn("bits", packed)
+    edges = edges.select("node", "part", "c", "words", "n", "r1", "r2", "two", "four")
+    alike = lambda k: _has("two", "bits", 2 * k) & _has("four", "bits", 2 * k + 1)
+
+    # After the edit the word's own symbol alone leads on.
+    after = states.filter("edits = 1").withColumn("c", _at("t", "p")).join(edges, ["node", "part", "c"])
+    after = after.withColumn("move", F.when(F.col("c") == END, -1).when(alike(1), 1)).filter("move is not null")
+
     # Half of a word, forwards rounded down, backwards up, counted behind the mark of direction; t ends in END.
     chars = F.char_length("t") - 2
     half = F.when(F.startswith("t", F.lit("<")), F.floor(chars / 2)).otherwise(F.ceil(chars / 2)) + 1
-    may = (F.col("edits") == 0) & (F.col("p") >= half)
-    same, other = F.col("c") == F.col("own"), (F.col("c") != F.col("own")) & may
-    inner, inside = F.col("c") != END, F.col("own") != END
-
-    def lead(ok: Column, moved: int) -> Column:
-        """The place after a step to the child, if what follows there can be the word's own rest."""
-        place = F.col("p") + moved
-        bit = _bit(_at("t", place))
-        mask = F.when(bit < 60, F.col("low").bitwiseAND(_shifted(F.lit(1).cast("long"), bit)))
-        mask = mask.otherwise(F.col("high").bitwiseAND(_shifted(F.lit(1).cast("long"), bit - 60)))
-        one, two = _hashes(F.substring(F.col("t"), place + 1, F.char_length("t")))
-        alive = (mask != 0) & ((F.col("words") > 1) | ((F.col("r1") == one) & (F.col("r2") == two)))
-        return F.when(ok & alive, place)
-
-    found_here = F.when(F.col("c") == END, F.when((F.col("edits") == 1) & same, F.col("p")).when(other & inside & (F.col("next") == END), F.col("p")))
-    steps = F.array(
-        F.struct(F.when((F.col("edits") == 0) & same & inner & (F.col("words") > 1), F.col("p") + 1).alias("p"), F.lit(0).alias("edits")),
-        F.struct(lead((F.col("edits") == 1) & same & inner, 1).alias("p"), F.lit(1).alias("edits")),
-        F.struct(lead(other & inner & inside, 1).alias("p"), F.lit(1).alias("edits")),
-        F.struct(lead(other & inner, 0).alias("p"), F.lit(1).alias("edits")),
-        F.struct(lead(other & inner & inside & (F.col("c") == F.col("next")), 2).alias("p"), F.lit(1).alias("edits")),
-        F.struct(found_here.alias("p"), F.lit(2).alias("edits")),
+    before = states.filter("edits = 0").withColumns({"own": _at("t", "p"), "next": _at("t", F.col("p") + 1), "may": F.col("p") >= half})
+    before = before.join(edges, ["node", "part"])
+    same, inner, inside = F.col("c") == F.col("own"), F.col("c") != END, F.col("own") != END
+    moves = F.array(
+        F.when(same & inner & (F.col("words") > 1), 3),  # no edit
+        F.when(~same & F.col("may") & inner & inside & alike(1), 1),  # another symbol instead
+        F.when(~same & F.col("may") & inner & alike(0), 0),  # one more symbol
+        F.when(~same & F.col("may") & inner & (F.col("c") == F.col("next")) & alike(2), 2),  # a symbol skipped
+        F.when(~same & F.col("may") & ~inner & inside & (F.col("next") == END), -1),  # the last symbol skipped
     )
-    steps = F.filter(steps, lambda s: s["p"].isNotNull())
-    met = met.filter(F.size(steps) > 0).select("t", "node", "c", "words", "n", F.explode(steps).alias("s"))
-    over = F.col("s.edits") == 2
-    single = (F.col("s.edits") == 1) & (F.col("words") == 1)
-    rest = F.substring(F.col("t"), F.col("s.p") + 1, F.char_length("t") - F.col("s.p") - 1)
-    reached = F.when(over, F.col("node")).when(single, F.concat("node", "c", rest)).otherwise(F.concat("node", "c"))
+    before = before.withColumn("move", F.explode(moves)).filter("move is not null")
+
+    keep = ["t", "p", "node", "c", "words", "n", "r1", "r2", "move"]
+    met = after.select(*keep).unionAll(before.select(*keep))
+    place = F.col("p") + F.when(F.col("move") == 3, 1).otherwise(F.col("move"))
+    single = (F.col("words") == 1) & F.col("move").between(0, 2)
+    one, other = _hashes(_rest(place))
+    met = met.filter(~single | ((F.col("r1") == one) & (F.col("r2") == other)))
+    over = F.col("move") == -1
+    child = F.concat("node", "c")
+    reached = F.when(over, F.col("node")).when(single, F.concat(child, F.substring(F.col("t"), place + 1, F.char_length("t") - place - 1)))
     return met.select(
-        "t", F.col("s.p").alias("p"), reached.alias("node"), F.col("s.edits").alias("edits"),
+        "t", place.alias("p"), reached.otherwise(child).alias("node"), F.when(F.col("move") == 3, 0).otherwise(1).alias("edits"),
         F.ceil(F.col("words") / PART).cast("int").alias("parts"), F.when(over | single, F.col("n")).alias("n"),
     )
 
@@ -241,16 +243,17 @@ def near_words(words: DataFrame, path: str | None = None) -> DataFrame:
     spelt = short.select(both, "n")
     paths = [table_path(spark)]
     _trie(spelt, entry).write.partitionBy("depth").parquet(paths[0])
-    nodes = spark.read.schema("node string, parts int, part int, children array<struct<c: string, words: long, n: long, r1: long, r2: long, low: long, high: long>>, depth int").parquet(paths[0])
+    kinds = "node string, c string, words long, n long, r1 long, r2 long, two long, four long, parts int, part int, depth int"
+    edges = spark.read.schema(kinds).parquet(paths[0])
     # All nodes of this depth: at most the alphabet's size to the power of ``entry``, which for words of five letters is 8,100, times two.
-    first = nodes.filter((F.col("depth") == entry + 1) & (F.col("part") == 0)).select("node", "parts")
+    first = edges.filter((F.col("depth") == entry + 1) & (F.col("part") == 0)).select("node", "parts").distinct()
     first = F.broadcast(first) if entry <= 2 else first
     states = spelt.withColumn("node", F.substring(F.col("t"), F.lit(1), F.lit(entry + 1))).join(first, "node")
     states = states.select("t", F.lit(entry + 1).alias("p"), "node", F.lit(0).alias("edits"), "parts", F.lit(None).cast("long").alias("n"))
     schema = "t string, p int, node string, edits int, parts int, n long"
     for depth in range(entry + 1, deepest + 2):
         paths.append(table_path(spark))
-        _step(states, nodes.filter(F.col("depth") == depth)).write.parquet(paths[-1])
+        _step(states, edges.filter(F.col("depth") == depth)).write.parquet(paths[-1])
         states = spark.read.schema(schema).parquet(paths[-1]).filter("n is null")
         if states.isEmpty():
             break
