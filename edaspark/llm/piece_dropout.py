@@ -6,9 +6,9 @@ Without dropout this is the vocabulary's own segmentation. Characters outside th
 a literal U+2581, become byte pieces, so decoding gives back every text.
 
 The key of a chunk is a keyed hash of the seed, the document's id and the chunk's place, so every occurrence of
-a word draws its own merges, and a run can be repeated exactly. Tasks remember the merges and the ids of short
-chunks without dropout, in a table of bounded size; they serve occurrences that skip none of these merges. Every other
-occurrence is segmented for itself.
+a word draws its own merges, and a run can be repeated exactly. What becomes of a chunk depends only on which of
+the merges that its letters allow are skipped: tasks list these merges once per short chunk, draw all of them in one step for
+every occurrence, and remember the ids by chunk and set of skipped merges, in a table of bounded size.
 
 A null text has null ids, an empty one none. A null id is keyed as the text "null". Repeated rows are alike.
 The vocabulary file is read once by the driver and sent to the executors: its size is that of a tokenizer.
@@ -33,8 +33,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # No piece has a space after another character, so chunks of spaces and what follows are apart from each other.
 CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
-# Chunks that a task remembers, and the longest chunk that is remembered.
+# Chunks that a task remembers (and twice as many results), and the longest chunk that is remembered.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
+# Merges that a remembered chunk's letters allow at most.
+MERGES = 44
 # Rows encoded or decoded at a time.
 ROWS = 256
 # Chunks segmented together, and texts whose chunks are.
@@ -56,28 +58,36 @@ def skipped(keys: np.ndarray, codes: np.ndarray, threshold: int) -> np.ndarray:
 
 
 class Remembered:
-    """Chunks with the codes of their merges and their ids, both without dropout."""
+    """Chunks with the codes of all merges that their letters allow, and ids by chunk and the set of those merges that is skipped."""
 
     def __init__(self) -> None:
         self.places: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.codes, self.ends = np.empty(0, np.int64), np.zeros(1, np.int64)
-
-    def add(self, chunks: list[str], ids: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> None:
-        """New chunks; their codes stand one after another."""
-        self.places.update(zip(chunks, range(len(self.ids), len(self.ids) + len(chunks))))
-        self.ids += ids
-        self.codes = np.concatenate((self.codes, codes))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
-
-    def whole(self, places: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
-        """Whether chunks of these keys skip none of their merges."""
+        self.ids: dict[int, bytes] = {}
+        self.codes, self.ends = np.empty(1 << 16, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, chunks: list[str], codes: list[list[int]]) -> None:
+        flat, first = np.array([c for own in codes for c in own], np.int64), len(self.places)
+        start = int(self.ends[first])
+        while start + len(flat) > len(self.codes):
+            self.codes = np.concatenate((self.codes, np.empty_like(self.codes)))
+        while first + len(chunks) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.empty_like(self.ends)))
+        self.codes[start : start + len(flat)] = flat
+        self.ends[first + 1 : first + 1 + len(chunks)] = start + np.cumsum([len(own) for own in codes])
+        self.places.update(zip(chunks, range(first, first + len(chunks))))
+
+    def drawn(self, places: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
+        """For chunks of these keys, their place and the set of merges skipped, as one number."""
         sizes = self.ends[places + 1] - self.ends[places]
         of = np.repeat(np.arange(len(places)), sizes)
-        at_ = np.arange(len(of)) + np.repeat(self.ends[places] - (np.cumsum(sizes) - sizes), sizes)
-        out = np.ones(len(places), bool)
-        out[of[skipped(keys[of], self.codes[at_], threshold)]] = False
-        return out
+        number = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = skipped(keys[of], self.codes[self.ends[places][of] + number], threshold)
+        of, number = of[out], number[out]
+        sets = np.zeros(len(places), np.int64)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(of):
+            sets[of[first]] = np.bitwise_or.reduceat(np.int64(1) << number, first)
+        return (places << MERGES) | sets
 
 
 class Pieces:
@@ -119,6 +129,9 @@ class Pieces:
         self.merges, self.merged = Table(keys), ids
         self.order = np.unique(scores, return_inverse=True)[1].astype(np.int32)
         self.salts = np.array(self.salt)
+        results = set(ids.tolist())
+        self.salt_of = {piece: self.salt[i] for piece, (_, i) in self.rank.items() if i in results}
+        self.longest = max(map(len, self.salt_of))
 
     def segment(self, chunk: str, key: int, threshold: int) -> list[int]:
         """Ids of a chunk; spaces in it stand for SPACE, and a chunk that is SPACE itself becomes bytes.
@@ -170,11 +183,8 @@ class Pieces:
                     out += [self.byte_ids[b] for b in part.encode()]
         return out
 
-    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int, steps: list | None = None) -> list[bytes]:
-        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes.
-
-        ``steps`` is given (places of chunks, codes of their merges, whether taken) of each step.
-        """
+    def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
+        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes."""
         width = max(map(len, chunks))
         points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
         points = np.where(points == ord(" "), ord(SPACE), points)
@@ -201,8 +211,6 @@ class Pieces:
             codes = (self.salts[now] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
             take = ~skipped(keys[rows], codes, threshold)
             best[rows[~take], i[~take]] = far
-            if steps is not None:
-                steps.append((rows, codes, take))
             r, i, now = rows[take], i[take], now[take]
             j = after[r, i]
             k = after[r, j]
@@ -221,40 +229,44 @@ class Pieces:
             out[row] = np.array(self.segment(chunks[row], int(keys[row]), threshold), "<i4").tobytes()
         return out
 
-    def _remember(self, chunks: list[str]) -> None:
-        for start in range(0, len(chunks), TOGETHER):
-            part = chunks[start : start + TOGETHER]
-            steps: list = []
-            ids = self.segment_many(part, np.zeros(len(part), np.int64), 0, steps)
-            rows, codes = (np.concatenate([x[k] for x in steps]) for k in (0, 1))
-            self.remembered.add(part, ids, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(part)))
+    def _merges_of(self, chunk: str) -> list[int]:
+        """Codes of every merge that some order of merging could reach."""
+        text, salt, longest = chunk.replace(" ", SPACE), self.salt_of, self.longest
+        n = len(text)
+        return [
+            (salt[text[i:j]] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
+            for i in range(n - 1)
+            for j in range(i + 2, min(n, i + longest) + 1)
+            if text[i:j] in salt
+        ]
 
     def _segmented(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """Ids of chunks as bytes."""
-        short = [k for k, c in enumerate(chunks) if len(c) <= REMEMBERED_LENGTH and c != SPACE]
+        """Ids of chunks as bytes. What a chunk becomes depends on its letters and the merges skipped alone, so each such pair is segmented once."""
         out = [b""] * len(chunks)
-        if len(short) < len(chunks):
-            for k in sorted(set(range(len(chunks))).difference(short)):
-                out[k] = np.array(self.segment(chunks[k], int(keys[k]), threshold), "<i4").tobytes()
-        if len(self.remembered.ids) >= REMEMBERED:
+        if max(len(self.remembered.places), len(self.remembered.ids) // 2) >= REMEMBERED:
             self.remembered = Remembered()
-        known = self.remembered.places
-        self._remember(sorted({chunks[k] for k in short}.difference(known), key=lambda c: (len(c), c)))
-        places = np.fromiter((known[chunks[k]] for k in short), np.int64, len(short))
-        at_ = np.array(short, np.int64)
-        whole = self.remembered.whole(places, keys[at_], threshold)
-        ids = self.remembered.ids
-        for k, n in zip(at_[whole].tolist(), places[whole].tolist()):
-            out[k] = ids[n]
-        left = sorted(at_[~whole].tolist(), key=lambda k: len(chunks[k]))
+        memory = self.remembered
+        unknown = {c for c in chunks if len(c) <= REMEMBERED_LENGTH and c != SPACE}.difference(memory.places)
+        new = [(c, codes) for c in sorted(unknown) if len(codes := self._merges_of(c)) <= MERGES]
+        memory.add([c for c, _ in new], [codes for _, codes in new])
+        places = np.fromiter((memory.places.get(c, -1) for c in chunks), np.int64, len(chunks))
+        for k in np.flatnonzero(places < 0).tolist():
+            out[k] = np.array(self.segment(chunks[k], int(keys[k]), threshold), "<i4").tobytes()
+        at_ = np.flatnonzero(places >= 0)
+        drawn, first, of = np.unique(memory.drawn(places[at_], keys[at_], threshold), return_index=True, return_inverse=True)
+        found = [memory.ids.get(d) for d in drawn.tolist()]
+        left = sorted((k for k, x in enumerate(found) if x is None), key=lambda k: len(chunks[at_[first[k]]]))
         for start in range(0, len(left), TOGETHER):
             part = left[start : start + TOGETHER]
-            for k, some in zip(part, self.segment_many([chunks[k] for k in part], keys[part], threshold)):
-                out[k] = some
+            own = at_[first[part]]
+            for k, ids in zip(part, self.segment_many([chunks[i] for i in own.tolist()], keys[own], threshold)):
+                found[k] = memory.ids[int(drawn[k])] = ids
+        for k, n in zip(at_.tolist(), of.tolist()):
+            out[k] = found[n]
         return out
 
-    def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float, variants: int = 0) -> list[bytes | None]:
-        """The texts' ids as little-endian 32-bit integers; ``variants`` is of no effect, every occurrence is drawn."""
+    def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float) -> list[bytes | None]:
+        """The texts' ids as little-endian 32-bit integers; every occurrence is drawn."""
         threshold = int(dropout * (1 << 30))
         found: list[bytes | None] = []
         for start in range(0, len(texts), TEXTS):
@@ -266,8 +278,8 @@ class Pieces:
             found += [None if t is None else b"".join(out[a:b]) for t, a, b in zip(some, ends, ends[1:])]
         return found
 
-    def encode(self, text: str, id_: object, seed: int, dropout: float, variants: int = 0) -> bytes:
-        return self.encode_many([text], [id_], seed, dropout, variants)[0]
+    def encode(self, text: str, id_: object, seed: int, dropout: float) -> bytes:
+        return self.encode_many([text], [id_], seed, dropout)[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]

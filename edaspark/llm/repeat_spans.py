@@ -42,8 +42,8 @@ PLACES = 1 << 19
 FIRST, SECOND = 6364136223846793005, 2862933555777941757  # odd multipliers
 MASK = (1 << 64) - 1
 
-ROWS = "k long, full long, id long, tie int, start int, end int, off int"
-JUDGED = "id long, tie int, start int, end int, off int, repeat boolean"
+ROWS = "k long, full long, id long, tie long, start int, end int, off int"
+JUDGED = "id long, tie long, start int, end int, off int, repeat boolean"
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -162,7 +162,7 @@ def _combined(ids: np.ndarray, ties: np.ndarray, found: tuple[np.ndarray, ...])
     none = np.zeros(len(owner), np.int64)
     own = mixed(ids[owner].view(np.uint64) ^ ties[owner].astype(np.int64).view(np.uint64)).view(np.int64)
     columns = [
-        np.concatenate((key[keep], own)), np.concatenate((full[keep], none)), ids[number], ties[number].astype(np.int32),
+        np.concatenate((key[keep], own)), np.concatenate((full[keep], none)), ids[number], ties[number],
         np.concatenate((start[keep], s)).astype(np.int32), np.concatenate((end[keep], e)).astype(np.int32),
         np.concatenate((off[keep], none - 1)).astype(np.int32),
     ]
@@ -288,7 +288,7 @@ def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, tie, text as bytes, given id)."""
     given, text = at(docs, id_column), F.coalesce(at(docs, text_column).cast("binary"), F.lit(b""))
     low: Column = F.coalesce(given.cast("long"), F.lit(-(1 << 63)))
-    tie = (F.crc32(text) - F.lit(1 << 31)).cast("int")
+    tie = F.xxhash64(text)
     return sealed(docs).select(low.alias("id"), tie.alias("tie"), text.alias("text"), given.alias("given"))
 
 
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, n_bytes, kept: the remaining bytes, spans: (start, end) of the removed runs) of every row."""
     spans = repeated_spans(docs, id_column, text_column)
     texts = _documents(docs, id_column, text_column).join(spans, ["id", "tie"], "left")
-    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie").orderBy("text")))
+    texts = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tie", F.sha2("text", 256)).orderBy("tie")))
     plain = texts.select("given", "text", "copy", "spans")
     schema = plain.selectExpr("given", "0L as n_bytes", "text as kept", "cast(null as array<struct<start:int,end:int>>) as spans").schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -5,12 +5,32 @@ import corpus_pipeline
 from cases import odd
 from test_decontaminate import model as spans_model
 from test_line_runs import model as lines_model
-from test_simhash_anchors import slow_components, slow_print
 
 from edaspark.llm import piece_dropout as P
 from edaspark.llm.queries import QUERIES
 
 
+def near_model(rows):
+    """One row, of the smallest id, of each component of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            both = len(a & b)
+            if (both >= 0.8 * (len(a) + len(b) - both) and both) or not (a or b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [row for k, row in enumerate(rows) if find(k) == k]
+
+
 def test_stages_against_models(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, folder)
@@ -21,11 +41,7 @@ def test_stages_against_models(spark, folder):
     assert 0 < len(rows) < len(all_rows)
 
     rows = [(i, t) for i, t, _, _ in lines_model(rows)]
-    prints = [slow_print(t) for _, t in rows]
-    groups = {}
-    for (i, t), g in zip(rows, slow_components(prints)):
-        groups[g] = min(groups.get(g, (i, t)), (i, t))
-    rows = sorted(groups.values())
+    rows = near_model(sorted(rows))
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     hit = {i for i, _, n, _ in spans_model(rows, items) if n}
     rows = [(i, t) for i, t in rows if i not in hit]
@@ -36,7 +52,7 @@ def test_stages_against_models(spark, folder):
     pieces = P.Pieces(P.read_vocabulary())
     want = []
     for i, t in rows:
-        ids = np.frombuffer(pieces.encode(t, i, 13, 0.1, 4), "<i4").tolist()
+        ids = np.frombuffer(pieces.encode(t, i, 13, 0.1), "<i4").tolist()
         want.append((i, t, all_rows[i].lang, all_rows[i].source, len(t), ids))
     assert got == want
 

@@ -13,8 +13,8 @@ PIECES = P.Pieces(P.read_vocabulary())
 OWN = sentencepiece.SentencePieceProcessor(model_file=P.VOCABULARY)
 
 
-def ids(text, dropout=0.0, id_=1, seed=13, variants=4):
-    return [int.from_bytes(b, "little") for b in zip(*[iter(PIECES.encode(text, id_, seed, dropout, variants))] * 4)]
+def ids(text, dropout=0.0, id_=1, seed=13):
+    return [int.from_bytes(b, "little") for b in zip(*[iter(PIECES.encode(text, id_, seed, dropout))] * 4)]
 
 
 @given(st.text(max_size=60))
@@ -47,10 +47,52 @@ def test_many_as_one_by_one(chunks, key):
 
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [" ".join(f"w{k * j % 97}ing" for k in range(50)) for j in range(20)]
-    plain = P.Pieces(P.read_vocabulary()).encode_many(texts, range(20), 3, 0.2, 4)
+    plain = P.Pieces(P.read_vocabulary()).encode_many(texts, range(20), 3, 0.2)
     monkeypatch.setattr(P, "REMEMBERED", 5)
     pieces = P.Pieces(P.read_vocabulary())
-    assert [pieces.encode(t, i, 3, 0.2, 4) for i, t in enumerate(texts)] == plain
+    assert [pieces.encode(t, i, 3, 0.2) for i, t in enumerate(texts)] == plain
+
+
+def slow_encode(text, id_, seed, dropout):
+    """Merge-dropout stated apart from the module: all adjacent pairs are looked at anew after every merge."""
+    if not text:
+        return []
+    mask, out = (1 << 30) - 1, []
+    chunks = P.CHUNK.findall(" " + text)
+    for chunk, key in zip(chunks, P.keys_of(seed, id_, len(chunks)).tolist()):
+        parts, gone = [(i, c.replace(" ", P.SPACE)) for i, c in enumerate(chunk)], set()
+        while chunk != P.SPACE:
+            pairs = []
+            for (i, a), (j, b) in zip(parts, parts[1:]):
+                known = OWN.piece_to_id(a + b)
+                if known != OWN.unk_id() and OWN.id_to_piece(known) == a + b and (i, a, b) not in gone:
+                    pairs.append((-OWN.get_score(known), i, known, a, b))
+            if not pairs:
+                break
+            _, i, known, a, b = min(pairs)
+            code = (zlib.crc32(b"%d" % known) >> 2) ^ (i * 0x27D4EB2F)
+            if (((key ^ code) & mask) * 0x2C1B3C6D >> 11) & mask < int(dropout * (1 << 30)):
+                gone.add((i, a, b))
+                continue
+            at_ = [p for p, _ in parts].index(i)
+            parts[at_ : at_ + 2] = [(i, a + b)]
+        for _, part in parts:
+            known = OWN.piece_to_id(part)
+            whole = chunk != P.SPACE and known != OWN.unk_id() and OWN.id_to_piece(known) == part
+            out += [known] if whole else [OWN.piece_to_id(f"<0x{b:02X}>") for b in part.encode()]
+    return out
+
+
+@given(st.text(st.sampled_from("abcdefghthe andingé  \n.,ßüñ漢\u2581"), max_size=80), st.integers(0, 9), st.sampled_from([0.0, 0.1, 0.5]))
+@settings(max_examples=300, deadline=None)
+def test_against_slow_dropout(text, id_, dropout):
+    assert ids(text, dropout, id_) == slow_encode(text, id_, 13, dropout)
+
+
+def test_documents_against_slow_dropout(spark, folder):
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(12).collect()
+    for r in rows:
+        assert ids(r.text[:3000], 0.1, r.doc_id) == slow_encode(r.text[:3000], r.doc_id, 13, 0.1)
 
 
 def test_variation():
