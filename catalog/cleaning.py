@@ -339,7 +339,14 @@ def types_of_fills(spark, folder):
     return nulls.NullPlan.fit(df).table(df).select("column", "action", "fill_number")
 
 
-@query("fill_mean", _filled("(select avg({0}) from dirty)"))
+FILLED_BY_MEANS = ", ".join(f"{r(f'coalesce({c}, mean_{c})')} as {c}" for c in ("q", "tax", "price"))
+
+
+@query(
+    "fill_mean",
+    f"""{DIRTY}, means as (select avg(q) as mean_q, avg(tax) as mean_tax, avg(price) as mean_price from dirty)
+    select cast(l_orderkey as double) as l_orderkey, cast(l_linenumber as double) as l_linenumber, {FILLED_BY_MEANS}, flag, l_discount from dirty, means""",
+)
 def fill_mean(spark, folder):
     return rounded(nulls.fill_nulls(dirty(spark, folder), "mean"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edaspark.charts import categories, dashboard, density, histogram, missing, pairs
 from edaspark.common import shared_folder, small_frame
-from edaspark.plans import pipeline, report, sinks
+from edaspark.plans import pipeline, report, reuse, sinks
 
 from .cleaning import HANDLED, _fences
 from .profiles import _describe, corr_sql, top_sql
@@ -272,8 +272,6 @@ FACET_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_part
 FACET_TOP = "select l_linenumber from lineitem group by l_linenumber order by count(*) desc, l_linenumber limit 6"
 FACET_LONG = f"""with kept as (select * from lineitem where l_linenumber in ({FACET_TOP})),
 ln as ({' union all '.join(f"select l_linenumber as category, '{c}' as variable, {c}::double as v from kept" for c in FACET_COLUMNS[:6])})"""
-FACET_TWO = f"""with kept as (select * from lineitem where l_linenumber in ({FACET_TOP})),
-ln as ({' union all '.join(f"select l_linenumber as category, '{c}' as variable, {c}::double as v from kept" for c in FACET_COLUMNS[:2])})"""
 
 
 @query("facet_categories", FACET_TOP)
@@ -297,14 +295,49 @@ def facet_hist(spark, folder):
 
 @query(
     "facet_density",
-    f"""{FACET_TWO}, sized as ({FACET_SIZED}) select category, variable as "Variable", point, {r('x')} as x, {r('density', 9)} as density, {r('density * area', 4)} as y
+    f"""{FACET_LONG}, sized as ({FACET_SIZED}) select category, variable as "Variable", point, {r('x')} as x, {r('density', 9)} as density, {r('density * area', 4)} as y
     from ({_curve('ln', 'sized', ['category', 'variable'], 200, 0)})""",
 )
 def facet_density(spark, folder):
-    found = categories.facet_grid(table(spark, folder, "lineitem"), FACET_COLUMNS[:2], "l_linenumber")["density"]
+    found = categories.facet_grid(table(spark, folder, "lineitem"), FACET_COLUMNS, "l_linenumber")["density"]
     return found.select("category", "Variable", "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"), F.round("y", 4).alias("y"))
 
 
+def _drawn(key):
+    return f"md5(concat_ws('|', '7', cast({key} as varchar)))"
+
+
+@query(
+    "scatter_limited",
+    f"""select l_orderkey, l_linenumber, l_returnflag, l_quantity, l_extendedprice from lineitem qualify
+      row_number() over (partition by l_returnflag order by md5(concat_ws('|', '7', cast(l_orderkey as varchar), cast(l_linenumber as varchar)))) <= 200""",
+)
+def scatter_limited(spark, folder):
+    """C6 with a limit: of each colour, the points with the smallest keyed hashes."""
+    df = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    return pairs.scatter(df, ["l_quantity", "l_extendedprice"], "l_returnflag", max_points=200, key=["l_orderkey", "l_linenumber"], seed=7)
+
+
+@query(
+    "scatter3d_limited",
+    f"select o_orderkey, o_custkey, o_totalprice from orders order by {_drawn('o_orderkey')} limit 300",
+)
+def scatter3d_limited(spark, folder):
+    df = table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    return pairs.scatter(df, ["o_orderkey", "o_custkey", "o_totalprice"], hover=False, max_points=300, key=["o_orderkey"], seed=7)
+
+
+@query(
+    "bubble_limited",
+    f"""with s as (select least(min(c_acctbal), 0) as shift, (max(c_acctbal) - least(min(c_acctbal), 0)) / 3600 as sizeref from customer),
+    few as (select * from customer qualify row_number() over (partition by c_mktsegment order by {_drawn('c_custkey')}) <= 50)
+    select c_custkey, c_nationkey, c_mktsegment, c_name, c_acctbal as size_raw, {r('c_acctbal - shift')} as size, {r('sizeref')} as sizeref from few, s""",
+)
+def bubble_limited(spark, folder):
+    df = table(spark, folder, "customer")
+    return rounded(pairs.bubble(df, "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", max_points=50, key=["c_custkey"], seed=7))
+
+
 @query(
     "bubble",
     f"""with s as (select least(min(c_acctbal), 0) as shift, (max(c_acctbal) - least(min(c_acctbal), 0)) / 3600 as sizeref from customer)
@@ -433,6 +466,23 @@ def stage_tables(spark, folder):
     return small_frame(spark, rows, "stage string, found boolean, rows bigint, found_after_drop boolean")
 
 
+EVENT_COLUMNS = {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text"}
+EVENT_NUMBERS = [c for c, kind in EVENT_COLUMNS.items() if kind == "number"]
+EVENT_ALERTS = " union all ".join(
+    [f"select '{c}' as c, 'unique' as alert from events having count(*) > 1 and count(distinct {c}) = count(*)" for c in EVENT_COLUMNS]
+    + [f"select '{c}', 'constant' from events having count(distinct {c}) = 1" for c in EVENT_COLUMNS]
+    + [f"select '{c}', 'missing' from events having count({c}) < count(*)" for c in EVENT_COLUMNS]
+    + [f"select '{c}', 'high_cardinality' from events having count(distinct {c}) > 50" for c, kind in EVENT_COLUMNS.items() if kind == "text"]
+    + [f"select '{c}', 'zeros' from events having count(*) filter ({c} = 0) > 0.1 * count({c})" for c in EVENT_NUMBERS]
+    + [f"select '{c}', 'skewed' from events having abs(skewness({c}) * (count({c}) - 2) / sqrt(count({c})::double * (count({c}) - 1))) > 2" for c in EVENT_NUMBERS]
+    + [
+        f"select '{c}', 'high_correlation' from events having greatest({', '.join(f'abs(corr({c}, {d}))' for d in EVENT_NUMBERS if d != c)}) > 0.8"
+        for c in EVENT_NUMBERS
+    ]
+    + ["select null, 'duplicates' from (select distinct * from events) having count(*) < (select count(*) from events)"]
+)
+
+
 @query(
     "report_written",
     f"""with sized as (select name, rows from (values ('scalars', 1), ('summary', 4), ('missing', 6), ('correlation', 9), ('variables', 6), ('nullity', 0),
@@ -444,18 +494,49 @@ def stage_tables(spark, folder):
     union all select 'common_values', sum(k) from ({' union all '.join(f"select least(10, count(distinct {c})) as k from events" for c in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props'))})
     union all select 'extremes', sum(k) from ({' union all '.join(f"select 2 * least(5, count(distinct {c})) as k from events" for c in ('event_id', 'user_id', 'value'))})
     union all select 'words_event_type', count(distinct w) from (select unnest(regexp_split_to_array(lower(event_type), '[^\\p{{L}}\\p{{N}}]+')) as w from events) where w <> ''
-    union all select 'words_props', count(distinct w) from (select unnest(regexp_split_to_array(lower(props), '[^\\p{{L}}\\p{{N}}]+')) as w from events) where w <> '')
+    union all select 'words_props', count(distinct w) from (select unnest(regexp_split_to_array(lower(props), '[^\\p{{L}}\\p{{N}}]+')) as w from events) where w <> ''
+    union all select 'alerts', (select count(*) from ({EVENT_ALERTS})))
     select name, cast(rows as bigint) as rows from sized""",
 )
 def report_written(spark, folder):
-    """Write the detailed report, and list what was written; alerts are checked by a query of their own."""
+    """Write the whole detailed report, and list what was written."""
     target = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     tables = report.profile(table(spark, folder, "events"), "detailed")
-    paths = sinks.write_report({k: t for k, t in tables.items() if k != "alerts"}, target)
+    paths = sinks.write_report(tables, target)
     sizes = [(p.rsplit("/", 1)[1], spark.read.parquet(p).count()) for p in paths]
     return spark.createDataFrame(sizes, "name string, rows bigint")
 
 
+@query(
+    "stage_reused",
+    """with t as (select count(*) as n, sum(o_custkey) as total from orders where o_orderkey % 2 = 0)
+    select call, made, n, cast(total as bigint) as total from t, (values ('first', true), ('again', false), ('other', true)) as c(call, made)
+    union all select 'appended', true, 2 * n, cast(2 * total as bigint) from t""",
+)
+def stage_reused(spark, folder):
+    """A stage is made once for the same plan over the same files, and anew when the plan or a file changes."""
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders", "o_orderkey", "o_custkey")
+    orders.write.parquet(f"{at}/raw")
+    store, made, rows = reuse.StageStore(spark, f"{at}/stages"), [], []
+
+    def even(df):
+        made.append(1)
+        return df.filter("o_orderkey % 2 = 0")
+
+    def call(name, *parts):
+        before = len(made)
+        frame = store.get(spark.read.parquet(f"{at}/raw"), "even", even, *parts)
+        rows.append((name, len(made) > before, *frame.selectExpr("count(*)", "sum(o_custkey)").first()))
+
+    call("first")
+    call("again")
+    call("other", "another parameter")
+    orders.write.mode("append").parquet(f"{at}/raw")
+    call("appended")
+    return small_frame(spark, rows, "call string, made boolean, n bigint, total bigint")
+
+
 @query("chart_written", top_sql("events", ("event_type",), 10, percent=False))
 def chart_written(spark, folder):
     """E5: write a chart's table under its name and read it."""

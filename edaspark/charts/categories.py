@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import column, join_group_stats, materialise, nan_to_null, require_columns
-from ..operators.frequencies import top_values, value_counts
+from ..operators.frequencies import top_counts
 from .density import CURVE_POINTS, VIOLIN_POINTS, curves, scaled
 from .facts import VALUE, group_facts, melted
 from .histogram import bin_counts, with_bins
@@ -25,7 +25,7 @@ VIOLIN_CUT = 2.0
 def bars(df: DataFrame, columns: Sequence[str], k: int = TOP_BARS) -> DataFrame:
     """C3. The ten most frequent values of each categorical column, as text, nulls left out."""
     require_columns(df, columns)
-    return top_values(value_counts(df, columns), k).select("column", "rank", "value", "n")
+    return top_counts(df, columns, k)
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

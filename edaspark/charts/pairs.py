@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import aggregate_once, column, literal, nan_to_null, require_columns, small_frame
@@ -26,16 +26,41 @@ def heatmap(df: DataFrame) -> DataFrame:
     """C5. Correlation of every ordered pair of numeric columns; NULL cells are masked."""
     names = columns_with_role(df, NUM)
     if len(names) < 2:
-        raise ValueError("Need at least 2 numeric columns for a correlation heatmap.")
+        raise ValueError("A correlation heatmap takes two numeric columns or more.")
     return correlation_table(df, names)
 
 
-def scatter(df: DataFrame, axes: Sequence[str], color: str | None = None, hover: bool = True) -> DataFrame:
-    """C6, C7. All points: the axes, the colour, and the other columns for the hover text."""
+def thinned(df: DataFrame, max_points: int | None, color: str | None = None, key: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """At most so many points of each colour: those with the smallest keyed hashes, which are the same on any layout of the table.
+
+    ``key`` are the columns that tell points apart (all of them, if none is given); rows alike in them are cut in any order. The limit is applied
+    in every task before the shuffle. None leaves all points.
+    """
+    if max_points is None:
+        return df
+    require_columns(df, key)
+    names = list(key) or df.columns
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(column(c).cast("string"), F.lit("")) for c in names]).cast("binary"))
+    order = "draw"
+    while order in df.columns:
+        order += "_"
+    drawn = df.withColumn(order, draw)
+    if color is None:
+        return drawn.orderBy(order).limit(max_points).drop(order)
+    rank = order + "_rank"
+    within = Window.partitionBy(column(color)).orderBy(order)
+    return drawn.withColumn(rank, F.row_number().over(within)).filter(F.col(rank) <= max_points).drop(order, rank)
+
+
+def scatter(
+    df: DataFrame, axes: Sequence[str], color: str | None = None, hover: bool = True, max_points: int | None = None,
+    key: Sequence[str] = (), seed: int = 0,
+) -> DataFrame:
+    """C6, C7. All points, or ``max_points`` of each colour (see ``thinned``): the axes, the colour, and the other columns for the hover text."""
     wanted = [*axes, *([color] if color else [])]
     require_columns(df, wanted)
     rest = df.columns if hover else []
-    return nan_to_null(df).select(*[column(c) for c in dict.fromkeys([*wanted, *rest])])
+    return thinned(nan_to_null(df), max_points, color, key, seed).select(*[column(c) for c in dict.fromkeys([*wanted, *rest])])
 
 
 def traces(df: DataFrame, color: str) -> DataFrame:
@@ -48,7 +73,7 @@ def joint(df: DataFrame, x: str, y: str, kind: str = "scatter") -> dict[str, Dat
     """C8. Centre and marginal tables of a joint plot over the rows where both are present."""
     require_columns(df, [x, y])
     if kind not in JOINT_KINDS:
-        raise ValueError(f"kind must be one of {JOINT_KINDS}.")
+        raise ValueError(f"No joint plot of kind {kind!r}; there are {', '.join(JOINT_KINDS)}.")
     points = joint_points(df, x, y)
     centre = {"scatter": lambda: points, "kde": lambda: kde2d(points, x, y), "hex": lambda: hexbin(points, x, y)}
     centre["reg"] = lambda: regression(points, x, y)
@@ -138,11 +163,13 @@ def bubble_scale(df: DataFrame, size: str) -> tuple[float, float | None]:
     return shift, float(s["hi"] - shift) / MARKER_PIXELS**2
 
 
-def bubble(df: DataFrame, x: str, y: str, size: str, color: str | None = None) -> DataFrame:
-    """C13. All points with sizes from zero up, and ``sizeref``."""
+def bubble(
+    df: DataFrame, x: str, y: str, size: str, color: str | None = None, max_points: int | None = None, key: Sequence[str] = (), seed: int = 0
+) -> DataFrame:
+    """C13. All points, or ``max_points`` of each colour, with sizes from zero up, and ``sizeref`` (of all points either way)."""
     require_columns(df, [x, y, size, *([color] if color else [])])
     shift, scale = bubble_scale(df, size)
-    df = nan_to_null(df)
+    df = thinned(nan_to_null(df), max_points, color, key, seed)
     shown = dict.fromkeys([x, y, *([color] if color else []), *[c for c in df.columns if c != size]])
     moved = column(size) - F.lit(shift) if shift else column(size)
     return df.select(*[column(c) for c in shown], column(size).alias("size_raw"), moved.alias("size"), F.lit(scale).alias("sizeref"))

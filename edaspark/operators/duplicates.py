@@ -38,12 +38,17 @@ def _repeated_hashes(df: DataFrame) -> tuple[DataFrame | None, int]:
 
 
 def _suspects(df: DataFrame) -> DataFrame | None:
-    """Rows that may have a copy; None when there are none. Hashes too many to broadcast meet the rows by a shuffle."""
+    """Rows that may have a copy; None when there are none. With too many repeated hashes to broadcast, that is all rows.
+
+    A join on the hash would shuffle all rows as well, and all copies of one row to one task. What follows groups
+    rows by their values, where each task first combines the copies it holds.
+    """
     hashes, n = _repeated_hashes(df)
     if n == 0:
         return None
-    few = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
-    return _hashed(df).join(few, _hash_name(df), "left_semi").select(*names_of(df))
+    if n > BROADCAST_HASHES:
+        return df
+    return _hashed(df).join(F.broadcast(hashes), _hash_name(df), "left_semi").select(*names_of(df))
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def remove_duplicates(df: DataFrame, rows: int | None = None) -> DataFrame:
     """P6. Keep one of each group of equal rows.
 
     Rows without a possible copy pass through; only the others are shuffled. Beyond BROADCAST_HASHES repeated
-    values all rows are shuffled by their hash first; where ``rows`` is known to be few, all are compared at once.
+    values, or where ``rows`` is known to be few, all rows are grouped by their values, copies first inside each task.
     """
     df = nan_to_null(df)
     if rows is not None and rows <= SPREAD_ROWS:
@@ -93,9 +98,10 @@ def remove_duplicates(df: DataFrame, rows: int | None = None) -> DataFrame:
     hashes, n = _repeated_hashes(df)
     if n == 0:
         return df
+    if n > BROADCAST_HASHES:
+        return df.distinct()
     name, names = _hash_name(df), names_of(df)
-    hashed = _hashed(df)
-    few = F.broadcast(hashes) if n <= BROADCAST_HASHES else hashes
+    hashed, few = _hashed(df), F.broadcast(hashes)
     alone = hashed.join(few, name, "left_anti").select(*names)
     copied = hashed.join(few, name, "left_semi").select(*names)
     return alone.unionByName(copied.distinct())

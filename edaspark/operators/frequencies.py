@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import FLOAT_TYPES, INTEGER_TYPES, column, quoted
+from ..common import BROADCAST_ROWS, FLOAT_TYPES, INTEGER_TYPES, column, materialise, quoted
 
 
 # Bytes beyond which a text is counted by its digest.
 LONG_TEXT = 64
+# Bytes beyond which a frequent text is, and the characters of it that stand for it in an order; so many bytes are more characters than these.
+LONG_VALUE, HEAD = 256, 64
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -31,6 +33,52 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("slot", "value").agg(F.count("*").alias("n")).select(label.alias("column"), "value", "n")
 
 
+def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(slot, value, head, digest)`` of non-null values as text: a long text has its first characters as head and a digest, another is its own head."""
+    texts = df.select(*[as_text(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    pairs = ", ".join(f"{i}, v{i}" for i in range(len(columns)))
+    long = texts.selectExpr(f"stack({len(columns)}, {pairs}) as (slot, value)").filter("value is not null")
+    beyond = F.octet_length("value") > LONG_VALUE
+    head = F.when(beyond, F.substring("value", 1, HEAD)).otherwise(F.col("value"))
+    return long.select("slot", "value", head.alias("head"), F.when(beyond, F.sha2("value", 256)).otherwise("").alias("digest"))
+
+
+def _labelled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumn("column", F.element_at(F.array(*map(F.lit, columns)), F.col("slot") + 1))
+
+
+def key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, slot, head, digest, n)`` of the distinct non-null values, without shuffling long texts."""
+    counts = _keyed(df, columns).groupBy("slot", "head", "digest").agg(F.count("*").alias("n"))
+    return _labelled(counts, columns).select("column", "slot", "head", "digest", "n")
+
+
+def top_of(df: DataFrame, columns: Sequence[str], counts: DataFrame, k: int) -> DataFrame:
+    """``(column, rank, value, n)``: the k most frequent values of each column, the smaller on ties, from their ``key_counts``.
+
+    Counts and first characters leave the first k, and those that tie with the last of them in both. The whole texts of only these are
+    fetched, by a second pass in which every task first combines its own copies of a text.
+    """
+    near = Window.partitionBy("slot").orderBy(F.desc("n"), F.substring("head", 1, HEAD))
+    order = Window.partitionBy("slot").orderBy(F.desc("n"), F.asc("head"))
+    first = materialise(counts.withColumn("rank", F.rank().over(near)).filter(F.col("rank") <= k).drop("rank"))
+    wanted = first.filter("digest <> ''").select("slot", "digest")
+    n = wanted.count()
+    if n:
+        few = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+        texts = _keyed(df, columns).filter("digest <> ''").join(few, ["slot", "digest"], "left_semi")
+        texts = texts.groupBy("slot", "digest").agg(F.min("value").alias("text"))
+        first = first.join(texts, ["slot", "digest"], "left").withColumn("head", F.coalesce("text", "head"))
+    top = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top.select("column", "rank", F.col("head").alias("value"), "n")
+
+
+def top_counts(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """``(column, rank, value, n)``: the k most frequent values of each column as text, the smaller on ties."""
+    columns = list(columns)
+    return top_of(df, columns, key_counts(df, columns), k)
+
+
 def distinct_counts(df: DataFrame) -> dict[str, tuple[int, int]]:
     """Distinct non-null values, and how many of them occur once, for every column.
 

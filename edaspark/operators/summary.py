@@ -18,12 +18,13 @@ from ..common import (
     aggregate_once,
     column,
     fields_of,
+    materialise_table,
     nan_to_null,
     numeric_columns,
     small_frame,
 )
 from .duplicates import duplicate_count
-from .frequencies import value_counts
+from .frequencies import key_counts, top_of
 from .moments import Facts, column_facts
 from .quantiles import column_quantiles
 
@@ -98,11 +99,12 @@ def describe_category(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     df = nan_to_null(df)
     others = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)]
     names = others if columns is None else list(columns)
-    counts = value_counts(df, names)
-    best = F.min_by(F.struct("value", "n"), F.struct(-F.col("n"), "value"))
-    stats = counts.groupBy("column").agg(
-        F.sum("n").alias("count"), F.count("*").alias("unique"), best["value"].alias("top"), best["n"].alias("freq")
-    )
+    if not names:
+        return small_frame(df.sparkSession, [], "ordinal int, column string, count bigint, unique bigint, top string, freq bigint")
+    counts = materialise_table(key_counts(df, names))
+    stats = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count("*").alias("unique"))
+    best = top_of(df, names, counts, 1).select(F.col("column").alias("of"), F.col("value").alias("top"), F.col("n").alias("freq"))
+    stats = stats.join(F.broadcast(best), F.col("column") == F.col("of")).drop("of")
     order = small_frame(df.sparkSession, list(enumerate(names)), "ordinal int, column string")
     full = order.join(F.broadcast(stats), "column", "left")
     zero = F.lit(0).cast("bigint")
