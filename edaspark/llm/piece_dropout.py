@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -37,6 +39,7 @@ CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
 # Merges that a remembered chunk's letters allow at most.
 MERGES = 44
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 # Rows encoded or decoded at a time.
 ROWS = 256
 # Chunks segmented together, and texts whose chunks are.
@@ -57,6 +60,13 @@ def skipped(keys: np.ndarray, codes: np.ndarray, threshold: int) -> np.ndarray:
     return (((keys ^ codes) & 0x3FFFFFFF) * 0x2C1B3C6D >> 11 & 0x3FFFFFFF) < threshold
 
 
+def spelling(piece: str) -> int:
+    value = 0
+    for letter in piece:
+        value = (value * int(HASH_BASE) + ord(letter) + 1) & ((1 << 64) - 1)
+    return value
+
+
 class Remembered:
     """Chunks with the codes of all merges that their letters allow, and ids by chunk and the set of those merges that is skipped."""
 
@@ -65,15 +75,15 @@ class Remembered:
         self.ids: dict[int, bytes] = {}
         self.codes, self.ends = np.empty(1 << 16, np.int64), np.zeros(1 << 12, np.int64)
 
-    def add(self, chunks: list[str], codes: list[list[int]]) -> None:
-        flat, first = np.array([c for own in codes for c in own], np.int64), len(self.places)
+    def add(self, chunks: list[str], codes: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.places)
         start = int(self.ends[first])
-        while start + len(flat) > len(self.codes):
+        while start + len(codes) > len(self.codes):
             self.codes = np.concatenate((self.codes, np.empty_like(self.codes)))
         while first + len(chunks) >= len(self.ends):
             self.ends = np.concatenate((self.ends, np.empty_like(self.ends)))
-        self.codes[start : start + len(flat)] = flat
-        self.ends[first + 1 : first + 1 + len(chunks)] = start + np.cumsum([len(own) for own in codes])
+        self.codes[start : start + len(codes)] = codes
+        self.ends[first + 1 : first + 1 + len(chunks)] = start + np.cumsum(sizes)
         self.places.update(zip(chunks, range(first, first + len(chunks))))
 
     def drawn(self, places: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
@@ -129,9 +139,11 @@ class Pieces:
         self.merges, self.merged = Table(keys), ids
         self.order = np.unique(scores, return_inverse=True)[1].astype(np.int32)
         self.salts = np.array(self.salt)
+        # Pieces that merges make, by a hash of their letters (a wrong hit would be one more merge to draw, of no effect).
         results = set(ids.tolist())
-        self.salt_of = {piece: self.salt[i] for piece, (_, i) in self.rank.items() if i in results}
-        self.longest = max(map(len, self.salt_of))
+        made = {spelling(piece): self.salt[i] for piece, (_, i) in self.rank.items() if i in results}
+        self.spelt, self.spelt_salts = Table(np.array(list(made), np.uint64).view(np.int64)), np.array(list(made.values()))
+        self.longest = max(len(piece) for piece, (_, i) in self.rank.items() if i in results)
 
     def segment(self, chunk: str, key: int, threshold: int) -> list[int]:
         """Ids of a chunk; spaces in it stand for SPACE, and a chunk that is SPACE itself becomes bytes.
@@ -229,41 +241,68 @@ class Pieces:
             out[row] = np.array(self.segment(chunks[row], int(keys[row]), threshold), "<i4").tobytes()
         return out
 
-    def _merges_of(self, chunk: str) -> list[int]:
-        """Codes of every merge that some order of merging could reach."""
-        text, salt, longest = chunk.replace(" ", SPACE), self.salt_of, self.longest
-        n = len(text)
-        return [
-            (salt[text[i:j]] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
-            for i in range(n - 1)
-            for j in range(i + 2, min(n, i + longest) + 1)
-            if text[i:j] in salt
-        ]
+    def _merges_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of every merge that some order of merging could reach, chunk after chunk, and how many each chunk has."""
+        width = max(map(len, chunks))
+        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width).astype(np.uint64)
+        points[points == ord(" ")] = ord(SPACE)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        window, rows, codes = points + np.uint64(1), [], []
+        for n in range(2, min(width, self.longest) + 1):
+            window = window[:, :-1] * HASH_BASE + (points[:, n - 1 :] + np.uint64(1))
+            row, i = np.nonzero(np.arange(window.shape[1]) <= (lengths - n)[:, None])
+            place = self.spelt.find(window[row, i].view(np.int64))
+            hit = place >= 0
+            rows.append(row[hit])
+            codes.append((self.spelt_salts[place[hit]] ^ i[hit] * 0x27D4EB2F) & 0x3FFFFFFF)
+        if not rows:
+            return np.empty(0, np.int64), np.zeros(len(chunks), np.int64)
+        rows, codes = np.concatenate(rows), np.concatenate(codes)
+        return codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(chunks))
 
     def _segmented(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
         """Ids of chunks as bytes. What a chunk becomes depends on its letters and the merges skipped alone, so each such pair is segmented once."""
-        out = [b""] * len(chunks)
+        out = np.empty(len(chunks), object)
         if max(len(self.remembered.places), len(self.remembered.ids) // 2) >= REMEMBERED:
             self.remembered = Remembered()
         memory = self.remembered
-        unknown = {c for c in chunks if len(c) <= REMEMBERED_LENGTH and c != SPACE}.difference(memory.places)
-        new = [(c, codes) for c in sorted(unknown) if len(codes := self._merges_of(c)) <= MERGES]
-        memory.add([c for c, _ in new], [codes for _, codes in new])
-        places = np.fromiter((memory.places.get(c, -1) for c in chunks), np.int64, len(chunks))
-        for k in np.flatnonzero(places < 0).tolist():
-            out[k] = np.array(self.segment(chunks[k], int(keys[k]), threshold), "<i4").tobytes()
+        # A chunk is remembered when it comes twice among these; others new here are segmented as they are.
+        twice = [c for c, n in Counter(chunks).items() if n > 1 and c not in memory.places and len(c) <= REMEMBERED_LENGTH and c != SPACE]
+        twice.sort(key=len)
+        for start in range(0, len(twice), TOGETHER):
+            part = twice[start : start + TOGETHER]
+            codes, sizes = self._merges_of(part)
+            few = sizes <= MERGES
+            memory.add([c for c, x in zip(part, few.tolist()) if x], codes[np.repeat(few, sizes)], sizes[few])
+        places = np.fromiter(map(memory.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+
+        def segmented(rows: np.ndarray) -> np.ndarray:
+            """Ids of the chunks in these rows, each with its own key; short ones many at a time, of about one length."""
+            ids, order = np.empty(len(rows), object), np.argsort(lengths[rows], kind="stable")
+            n_short = int(np.searchsorted(lengths[rows][order], REMEMBERED_LENGTH, "right"))
+            for start in range(0, n_short, TOGETHER):
+                part = order[start : min(start + TOGETHER, n_short)]
+                own = rows[part]
+                ids[part] = self.segment_many([chunks[k] for k in own.tolist()], keys[own], threshold)
+            for k in order[n_short:].tolist():
+                ids[k] = np.array(self.segment(chunks[rows[k]], int(keys[rows[k]]), threshold), "<i4").tobytes()
+            return ids
+
+        for k in [k for k in np.flatnonzero((places < 0) & (lengths == 1)).tolist() if chunks[k] == SPACE]:
+            out[k], places[k] = np.array(self.segment(SPACE, 0, 0), "<i4").tobytes(), -2
+        rest = np.flatnonzero(places == -1)
+        out[rest] = segmented(rest)
         at_ = np.flatnonzero(places >= 0)
         drawn, first, of = np.unique(memory.drawn(places[at_], keys[at_], threshold), return_index=True, return_inverse=True)
-        found = [memory.ids.get(d) for d in drawn.tolist()]
-        left = sorted((k for k, x in enumerate(found) if x is None), key=lambda k: len(chunks[at_[first[k]]]))
-        for start in range(0, len(left), TOGETHER):
-            part = left[start : start + TOGETHER]
-            own = at_[first[part]]
-            for k, ids in zip(part, self.segment_many([chunks[i] for i in own.tolist()], keys[own], threshold)):
-                found[k] = memory.ids[int(drawn[k])] = ids
-        for k, n in zip(at_.tolist(), of.tolist()):
-            out[k] = found[n]
-        return out
+        numbers = drawn.tolist()
+        found = np.empty(len(numbers), object)
+        found[:] = list(map(memory.ids.get, numbers))
+        left = np.flatnonzero(np.equal(found, None))
+        found[left] = segmented(at_[first[left]])
+        memory.ids.update(zip(drawn[left].tolist(), found[left].tolist()))
+        out[at_] = found[of]
+        return out.tolist()
 
     def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float) -> list[bytes | None]:
         """The texts' ids as little-endian 32-bit integers; every occurrence is drawn."""
