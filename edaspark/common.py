@@ -20,6 +20,8 @@ BROADCAST_KEY_BYTES = 32 << 20
 HOT_SHARE = 1000
 # Rows up to which a frame is spread over all slots before heavy work.
 SPREAD_ROWS = 5_000_000
+# Bytes, as the planner estimates them, up to which the same is done without a count.
+SPREAD_BYTES = 64 << 20
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
@@ -149,6 +151,12 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if rows <= SPREAD_ROWS else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """``spread`` by the planner's estimate of a frame's bytes, for heavy expressions over a table that is one split or few."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if estimate <= SPREAD_BYTES else df
+
+
 class GroupSizes(NamedTuple):
     """Measures of a one-row-per-group table."""
 

@@ -104,15 +104,19 @@ def looks_boolean(c: Column) -> Column:
     return c.isin(*TRUE_TOKENS, *FALSE_TOKENS)
 
 
-def date_form(c: Column) -> Column:
-    """What a text looks like: digits as 9, letters of three and more together as a, all else as it is; NULL where no date layout fits.
+# Longer texts are no date in any layout.
+DATE_LENGTH = 40
 
-    There are as many forms as the layouts have, whatever the texts.
-    """
-    any_layout = "|".join(shape for shape, _ in DATE_LAYOUTS)
+
+def digits_as_nines(c: Column) -> Column:
+    """A text that may be a date with 9 for every digit; NULL beyond DATE_LENGTH."""
+    return F.when(F.length(c) <= DATE_LENGTH, F.translate(c, "012345678", "999999999"))
+
+
+def date_form(digits: Column) -> Column:
+    """Of ``digits_as_nines``: letters of three and more together as a, so that names of months are alike."""
     letters = "(?<=[A-Za-z]{2})[A-Za-z]|(?<=[A-Za-z])[A-Za-z](?=[A-Za-z])|[A-Za-z](?=[A-Za-z]{2})"
-    form = F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), letters, "a")
-    return F.when((F.length(c) <= 40) & c.rlike(any_layout), form)
+    return F.regexp_replace(digits, letters, "a")
 
 
 def parsed_time(c: Column, shape: str, layout: str) -> Column:

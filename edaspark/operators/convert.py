@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import aggregate_once, column, fields_of, nan_to_null, quoted
-from ..functions.text import DATE_LAYOUTS, date_form, parsed_time, strip
+from ..common import aggregate_once, column, fields_of, materialise, nan_to_null, quoted, spread_small
+from ..functions.text import DATE_LAYOUTS, date_form, digits_as_nines, parsed_time, strip
 
 # Type names a user may give, besides Spark's own.
 TYPE_NAMES = {
@@ -53,7 +53,7 @@ def cast_columns(df: DataFrame, schema: Mapping[str, str | T.DataType]) -> DataF
 
 @dataclass(frozen=True)
 class TextForm:
-    """Texts of one form (see ``date_form``), with the least and greatest number at each place; None is the form of all that is no date."""
+    """Texts of one form (see ``date_form``), with the least and greatest number at each place; None is the form of all long texts."""
 
     form: str | None
     low: list[int]
@@ -80,16 +80,29 @@ class TextForm:
 DATE_NUMBERS = 9
 
 
-def _text_forms(df: DataFrame, names: list[str]) -> DataFrame:
-    """(k: place of the column, form, low, high) of the non-null texts, counted together in one pass."""
+# Forms a layout has at most, and more: a column with more of them is no date.
+MOST_FORMS = 1000
+
+
+def _text_forms(df: DataFrame, names: list[str]) -> dict[str, list[TextForm]]:
+    """The forms of the non-null texts of each column, counted together in one pass; none of a column with more than MOST_FORMS.
+
+    Texts are grouped with 9 for every digit first, which is cheap; names of months are made alike on what is left.
+    """
     pairs = ", ".join(f"{i}, {quoted(c)}" for i, c in enumerate(names))
     long = df.selectExpr(f"stack({len(names)}, {pairs}) as (k, v)").filter("v is not null")
-    long = long.select("k", date_form(F.col("v")).alias("form"), F.regexp_extract_all("v", F.lit("([0-9]+)")).alias("w"))
+    long = long.select("k", digits_as_nines(F.col("v")).alias("form"), F.split("v", "[^0-9]+").alias("w"))
     numbers = [F.when(F.col("form").isNotNull(), F.get("w", F.lit(i)).try_cast("int")).alias(f"n{i}") for i in range(DATE_NUMBERS)]
-    found = long.select("k", "form", *numbers).groupBy("k", "form")
-    found = found.agg(*[f(f"n{i}").alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(DATE_NUMBERS)])
+    ends = [(f, f"{f.__name__}{i}", i) for f in (F.min, F.max) for i in range(DATE_NUMBERS)]
+    found = long.select("k", "form", *numbers).groupBy("k", "form").agg(*[f(f"n{i}").alias(a) for f, a, i in ends])
+    found = found.groupBy("k", date_form(F.col("form")).alias("form")).agg(*[f(a).alias(a) for f, a, _ in ends])
+    found = materialise(found)
+    few = [k for k, n in found.groupBy("k").count().collect() if n <= MOST_FORMS]
     sides = [F.array_compact(F.array(*[f"{f}{i}" for i in range(DATE_NUMBERS)])).alias(x) for f, x in (("min", "low"), ("max", "high"))]
-    return found.select("k", "form", *sides)
+    out: dict[str, list[TextForm]] = {c: [] for c in names}
+    for row in found.filter(F.col("k").isin(few)).select("k", "form", *sides).collect():
+        out[names[row["k"]]].append(TextForm(row["form"], row["low"], row["high"]))
+    return out
 
 
 @dataclass(frozen=True)
@@ -108,9 +121,8 @@ class DatePlan:
         able = [c for c in texts if heads[c] is not None and any(re.match(shape, heads[c]) for shape, _ in DATE_LAYOUTS)]
         if not able:
             return cls(())
-        forms: dict[str, list[TextForm]] = {c: [] for c in able}
-        for row in _text_forms(df, able).collect():
-            forms[able[row["k"]]].append(TextForm(row["form"], row["low"], row["high"]))
+        spread_ = spread_small(df.select(*[column(c) for c in able]))
+        forms = _text_forms(spread_, able)
         found, doubtful = {}, {}
         for c, own in forms.items():
             fitting = [(shape, x) for shape, x in DATE_LAYOUTS if own and all(f.fits(shape) for f in own)]
@@ -123,7 +135,7 @@ class DatePlan:
         for c, fitting in doubtful.items():
             for shape, layout in fitting:
                 exprs[c, layout] = F.count_if(column(c).isNotNull() & parsed_time(column(c), shape, layout).isNull())
-        failed = aggregate_once(df, exprs)
+        failed = aggregate_once(spread_, exprs)
         for c, fitting in doubtful.items():
             full = [(shape, x) for shape, x in fitting if failed[c, x] == 0]
             if full:
@@ -132,7 +144,7 @@ class DatePlan:
 
     def apply(self, df: DataFrame) -> DataFrame:
         found = {c: (shape, layout) for c, shape, layout in self.layouts}
-        return df.select(
+        return (spread_small(df) if found else df).select(
             *[parsed_time(column(c), *found[c]).alias(c) if c in found else column(c) for c in df.columns]
         )
 

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from edaspark.functions.text import DATE_LAYOUTS, date_form, parsed_time
+from edaspark.functions.text import DATE_LAYOUTS, parsed_time
 from edaspark.operators import convert
 
 FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%m/%d/%Y", "%d/%m/%Y", "%d/%m/%y %H:%M", "%Y%m%d", "%d %b %Y", "%B %d, %Y", "%m/%d/%Y %I:%M %p", "%Y-%m-%dT%H:%M:%S.%f"]
@@ -40,11 +40,14 @@ def test_same_layouts_as_by_parsing_all(spark, seed):
     assert convert.DatePlan.fit(df).layouts == slow_plan(df)
 
 
-def test_forms_are_few(spark):
-    texts = [f"{m}/{d}/20{y:02}" for m in range(1, 13) for d in range(1, 29) for y in (1, 30)] + ["some words", "x" * 50, "Ab 3 2020"]
+def test_forms_are_few(spark, monkeypatch):
+    texts = [f"{m}/{d}/20{y:02}" for m in range(1, 13) for d in range(1, 29) for y in (1, 30)] + ["some words", "x" * 50, "Ab 3 2020", "May 3", "Jun 4"]
     frame = spark.createDataFrame([(t,) for t in texts], "v string")
-    forms = {r[0] for r in rows(frame.select(date_form(frame.v)).distinct())}
-    assert forms == {"9/9/9999", "99/9/9999", "9/99/9999", "99/99/9999", None}
+    forms = {f.form: (f.low, f.high) for f in convert._text_forms(frame, ["v"])["v"]}
+    assert set(forms) == {"9/9/9999", "99/9/9999", "9/99/9999", "99/99/9999", "aaaa aaaaa", "Ab 9 9999", "aaa 9", None}
+    assert forms["99/99/9999"] == ([10, 10, 2001], [12, 28, 2030]) and forms["aaa 9"] == ([3], [4])
+    monkeypatch.setattr(convert, "MOST_FORMS", 7)
+    assert convert._text_forms(frame, ["v"]) == {"v": []}
 
 
 def test_two_scans_and_no_parse_unless_needed(spark, monkeypatch):
