@@ -39,6 +39,7 @@ def test_near_copies_on_documents(spark):
 def test_families_with_common_bands(spark, monkeypatch):
     """Texts that share most words with all others, near copies of some: all are found, in parts and rounds."""
     monkeypatch.setattr(N, "MEMBERS", 3)
+    monkeypatch.setattr(N, "HOT", 6)
     rng = random.Random(3)
     common = [f"c{k}" for k in range(170)]
     rows = []
@@ -58,3 +59,60 @@ def test_below_the_limit_nothing_goes(spark):
     assert similarity(rows[0][1], rows[1][1]) < 0.8
     assert sorted(r.doc_id for r in S.keep_one_of_each(odd(spark, rows)).collect()) == [1, 2, 3, 5]
     assert np.isclose(N.similarity_of(*(N.shingles(t.encode().split()) for _, t in rows[:2])), similarity(rows[0][1], rows[1][1]))
+
+
+def test_chains_are_one_component(spark):
+    """Neighbours of a chain are near copies, its ends are not: one row stays of each chain, of the smallest id."""
+    rows = []
+    for chain in range(40):
+        words = [f"c{chain}w{k}" for k in range(120)]
+        for step in range(8):
+            rows.append((len(rows), " ".join([*(f"c{chain}s{k}" for k in range(step * 8)), *words[step * 8 :]])))
+    text = dict(rows)
+    assert all(similarity(text[k], text[k + 1]) >= 0.8 > similarity(text[k], text[(k + 2) % 8]) for k in range(6))
+    random.Random(5).shuffle(rows)
+    assert sorted(r.doc_id for r in S.keep_one_of_each(odd(spark, rows)).collect()) == list(range(0, 320, 8))
+
+
+def test_pairs_grow_with_the_members(spark, monkeypatch):
+    """Texts that share 60 % of their shingles with all others: pairs at most double with them, none is dropped."""
+    seen = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    counts = []
+    for n in (100, 200, 400):
+        common = [f"c{k}" for k in range(200)]
+        rows = [(i, " ".join([*common, *(f"t{i}x{k}" for k in range(60))])) for i in range(n)]
+        assert 0.55 < similarity(rows[0][1], rows[1][1]) < 0.65
+        seen.clear()
+        assert S.keep_one_of_each(odd(spark, rows)).count() == n
+        counts.append(sum(seen))
+    assert counts[0] and counts[2] <= 2.2 * counts[1] <= 2.2 * 2.2 * counts[0] and counts[2] < 24 * 400
+
+
+def test_families_and_strays(spark, monkeypatch):
+    """A family in parts and rows of random similarity to it: components as those of all pairs."""
+    monkeypatch.setattr(N, "HOT", 16)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.sample(range(200), rng.choice([0, 1, 2, 3, 8, 12])):
+            words[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = {i: N.shingles(t.encode().split()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in sets:
+        for i in range(j):
+            if N.similarity_of(sets[i], sets[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = [i for i in sets if find(i) == i]
+    assert 5 < len(want) < 120
+    assert sorted(r.doc_id for r in S.keep_one_of_each(odd(spark, rows)).collect()) == want
