@@ -7,21 +7,28 @@ are added on top. No task sees more than one slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import (
+    HOT_SHARE,
     GroupSizes,
+    aggregate_once,
     column,
+    discard,
     group_sizes,
     join_group_stats,
     materialise_table,
     nan_to_null,
     numeric_columns,
     small_frame,
+    table_path,
 )
 from .frequencies import as_text, distinct_counts
 from .moments import Facts, Moments
@@ -32,6 +39,10 @@ from .validate import count_missing
 SLICE_ROWS = 1_000_000
 # Ranks (two numbers each) that may be broadcast.
 BROADCAST_RANKS = 1_000_000
+# Ranks of columns with gaps (one for each value and each column beside it) that may be broadcast.
+RANK_NUMBERS = 1 << 23
+# Tasks that share the rows of a slice where rows themselves are sorted.
+SLICE_PARTS = 4
 
 
 def average_ranks(df: DataFrame, name: str, slice_rows: int = SLICE_ROWS, rows: int | None = None) -> DataFrame:
@@ -114,20 +125,239 @@ def _with_sides(cells: DataFrame, margins: DataFrame, measure: str) -> DataFrame
 
 
 def _gappy_correlations(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], rows: int) -> list[float | None]:
-    values = df.select(F.array(*[column(c).cast("double") + F.lit(0.0) for c in names]).alias("v"))
-    cells = _pair_cells(values, names, pairs)
-    margins = materialise_table(_side_counts(cells))
-    ranks = ranks_by_slot(margins.select("slot", "value", "n"), rows * len(pairs))
-    ranks = ranks.select("slot", "value", (F.col("rank") - F.col("middle")).alias("rank"), "n").join(margins.select("slot", "value", "cells"), ["slot", "value"])
-    ranks = materialise_table(ranks)
-    spread = {r["slot"]: (r["s"], r["d"]) for r in ranks.groupBy("slot").agg(F.sum(F.col("n") * F.col("rank") ** 2).alias("s"), F.count("*").alias("d")).collect()}
-    together = _with_sides(cells, ranks.drop("n"), "rank").groupBy("p").agg(F.sum(F.col("n") * F.col("ma") * F.col("mb")).alias("s"))
-    products = dict(together.collect())
+    """Rank correlations of pairs with gaps, from a table of ranks per column instead of cells per pair.
+
+    A value's rank beside another column counts the rows where that one is present, so a value has one rank for each name. Columns of few
+    values are looked up in a broadcast table (at most RANK_NUMBERS ranks in all). The others are sorted one after the other: a row carries its
+    ranks only until the partner's turn, when their product is added up. So a row is shuffled once per such column, not per pair.
+    """
+    values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(names)])
+    wanted = [(names.index(a), names.index(b)) for a, b in pairs]
+    estimates = aggregate_once(values, {i: F.approx_count_distinct(f"v{i}", 0.02) for i in range(len(names))})
+    small, room = [], RANK_NUMBERS
+    for i in sorted(estimates, key=lambda i: (estimates[i], i)):
+        room -= int(1.1 * estimates[i] + 1) * len(names)
+        if room < 0:
+            break
+        small.append(i)
+    large = [i for i in range(len(names)) if i not in small]
+    sums = PairSums({}, {}, {})
+    tables = {i: RankTable.build(*x) for i, x in _counts_beside(values, small).items()}
+    for i, t in tables.items():
+        sums.spread.update({(i, j): t.spread[j] for j in range(len(names))})
+        sums.several.update({(i, j): bool(t.several[j]) for j in range(len(names))})
+    _add_small_products(values, tables, wanted, sums)
+    if large:
+        _add_large_products(values, tables, large, rows, sums)
     out = []
-    for p in range(len(pairs)):
-        (sa, da), (sb, db) = spread.get(2 * p, (0, 0)), spread.get(2 * p + 1, (0, 0))
+    for i, j in wanted:
         # One distinct value makes a constant column.
-        out.append(products[p] / (sa * sb) ** 0.5 if da > 1 and db > 1 else None)
+        varied = sums.several.get((i, j)) and sums.several.get((j, i))
+        product = sums.spread[i, i] if i == j and varied else sums.product.get((i, j), sums.product.get((j, i), 0.0))
+        out.append(float(product / (sums.spread[i, j] * sums.spread[j, i]) ** 0.5) if varied else None)
+    return out
+
+
+class PairSums(NamedTuple):
+    """By (column, partner), over the rows where both are present; ranks are less their mean."""
+
+    product: dict[tuple[int, int], float]
+    spread: dict[tuple[int, int], float]  # sum of the column's squared ranks
+    several: dict[tuple[int, int], bool]  # whether the column has more than one value
+
+
+class RankTable(NamedTuple):
+    """A column's sorted values, and by value and partner: rows where both are present, and the rank less its mean."""
+
+    values: np.ndarray
+    counts: np.ndarray
+    ranks: np.ndarray
+    spread: np.ndarray
+    several: np.ndarray
+
+    @classmethod
+    def build(cls, values: np.ndarray, counts: np.ndarray) -> RankTable:
+        sort = np.argsort(values)
+        values, counts = values[sort], counts[sort]
+        ranks = np.cumsum(counts, 0) - (counts - 1) / 2.0 - (counts.sum(0) + 1) / 2.0
+        return cls(values, counts, ranks, (counts * ranks * ranks).sum(0), (counts > 0).sum(0) > 1)
+
+    def beside(self, x: np.ndarray, partner: int) -> np.ndarray:
+        """Ranks of values (NaN: absent, rank 0)."""
+        out = np.zeros(len(x))
+        some = ~np.isnan(x)
+        out[some] = self.ranks[np.searchsorted(self.values, x[some]), partner]
+        return out
+
+
+def _counts_beside(values: DataFrame, slots: Sequence[int], only: DataFrame | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By slot: its distinct values (of those in ``only``), and how often each occurs where each column is present."""
+    width = len(values.columns)
+    if not slots:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"v{i}").alias("value")) for i in slots])
+    long = values.select(F.inline(cells).alias("slot", "value"), *values.columns).filter("value is not null")
+    if only is not None:
+        long = long.join(F.broadcast(only), ["slot", "value"], "left_semi")
+    counts = [F.count(f"v{j}").alias(f"n{j}") for j in range(width)]
+    found = long.groupBy("slot", "value").agg(*counts).toArrow()
+    slot, value = found.column("slot").to_numpy(), found.column("value").to_numpy()
+    n = np.column_stack([found.column(f"n{j}").to_numpy() for j in range(width)]) if len(slot) else np.empty((0, width), np.int64)
+    return {i: (value[slot == i], n[slot == i]) for i in slots}
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    """Columns of doubles side by side; NaN where absent."""
+    return np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+
+
+def _add_small_products(values: DataFrame, tables: dict[int, RankTable], pairs: Sequence[tuple[int, int]], sums: PairSums) -> None:
+    pairs = [(i, j) for i, j in pairs if i in tables and j in tables and i != j]
+    if not pairs:
+        return
+    shared = values.sparkSession.sparkContext.broadcast(tables)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, tables = np.zeros(len(pairs)), shared.value
+        for batch in batches:
+            m = _matrix(batch)
+            both = ~np.isnan(m)
+            at = {i: np.searchsorted(t.values, np.where(both[:, i], m[:, i], t.values[0])) for i, t in tables.items() if len(t.values)}
+            for p, (i, j) in enumerate(pairs):
+                if i in at and j in at:
+                    products = tables[i].ranks[at[i], j] * tables[j].ranks[at[j], i]
+                    found[p] += products[both[:, i] & both[:, j]].sum()
+        yield pa.record_batch([pa.array(np.arange(len(pairs))), pa.array(found)], names=["p", "s"])
+
+    for p, s in values.mapInArrow(rows, "p long, s double").groupBy("p").agg(F.sum("s")).collect():
+        sums.product[pairs[p]] = s
+
+
+def _add_large_products(values: DataFrame, tables: dict[int, RankTable], large: Sequence[int], rows: int, sums: PairSums) -> None:
+    """Products of all pairs with a column of ``large``, each of which is sorted in turn.
+
+    Values that may make up more than 1 row in HOT_SHARE are told by the quantiles and counted beforehand. Rows of such a value may then lie in
+    any slice. Slices rank their rows by themselves; the rows of the slices before, known afterwards, are added where ranks are used.
+    """
+    spark, width = values.sparkSession, len(values.columns)
+    points = [k / HOT_SHARE for k in range(HOT_SHARE + 1)]
+    quantiles = aggregate_once(values, {i: F.percentile_approx(f"v{i}", points, 10 * HOT_SHARE) for i in large})
+    often = [(i, v) for i in large for v, w in zip(quantiles[i] or [], (quantiles[i] or [])[1:]) if v == w]
+    often = spark.createDataFrame(list(dict.fromkeys(often)), "slot int, value double")
+    hot = {i: RankTable.build(*x) for i, x in _counts_beside(values, large, often).items()}
+    now, paths = values, []
+    for at, x in enumerate(large):
+        later, done = large[at + 1 :], large[:at]
+        path = table_path(spark)
+        found = materialise_table(_ranked_slices(now, tables, hot[x], x, later, done, often.filter(F.col("slot") == x).drop("slot"), rows), path)
+        parts = found.filter("slice is not null and a is not null").select("slice", "a", "b", "n", "ties", "groups").orderBy("slice").collect()
+        n = np.array([r["n"] for r in parts]).reshape(len(parts), width)
+        total = n.sum(0) + hot[x].counts.sum(0)
+        shift = np.cumsum(n, 0) - n - (total + 1) / 2.0
+        ties = sum((np.array(r["ties"]) for r in parts), (hot[x].counts.astype(np.float64) ** 3 - hot[x].counts).sum(0))
+        groups = sum((np.array(r["groups"]) for r in parts), (hot[x].counts > 0).sum(0))
+        for j in range(width):
+            sums.spread[x, j] = ((float(total[j]) ** 3 - float(total[j])) - float(ties[j])) / 12
+            sums.several[x, j] = bool(groups[j] > 1)
+        for j in [*tables, *done]:
+            sums.product[x, j] = float(sum(r["a"][j] + s[j] * r["b"][j] for r, s in zip(parts, shift)))
+        if not later:
+            break
+        offsets = small_frame(spark, [(r["slice"], *map(float, s[later])) for r, s in zip(parts, shift)], ", ".join(["slice int", *(f"o{k} double" for k in later)]))
+        carried = found.filter("a is null").join(F.broadcast(offsets), "slice", "left")
+        kept = [c for c in found.columns if c[0] in "vr" and c not in {f"r{x}_{k}" for k in later}]
+        now = carried.select(*kept, *[(F.col(f"r{x}_{k}") + F.col(f"o{k}")).alias(f"r{x}_{k}") for k in later])
+        paths.append(path)
+        if len(paths) > 1:
+            discard(spark, paths.pop(0))
+    for path in [*paths, path]:
+        discard(spark, path)
+
+
+def _ranked_slices(
+    now: DataFrame, tables: dict[int, RankTable], hot: RankTable, x: int, later: Sequence[int], done: Sequence[int], often: DataFrame, rows: int
+) -> DataFrame:
+    """One row per slice with its sums, and every row without column x, with its ranks in x beside the later columns.
+
+    ``now`` has v<k>, the values of columns not yet ranked, and r<j>_<k>, the rank in j beside a column k not yet ranked, less its mean.
+    """
+    width = len(tables) + len(later) + len(done) + 1
+    kept = [c for c in now.columns if c != f"v{x}" and not c.endswith(f"_{x}")]
+    new = [f"r{x}_{k}" for k in later]
+    # What tells whether a column is present.
+    sides = {k: f"v{k}" for k in [*tables, *later, x]} | {j: f"r{j}_{x}" for j in done}
+    order = now.columns
+    place = {k: order.index(c) for k, c in sides.items()}
+    present = now.filter(f"v{x} is not null").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    present = present.join(F.broadcast(often), F.col(f"v{x}") == F.col("value"), "left")
+    present = present.withColumn("salt", F.when(F.col("value").isNotNull(), F.col("salt")).otherwise(0)).select(*order, "salt")
+    slices = max(1, -(-rows // SLICE_ROWS)) * SLICE_PARTS
+    ranged = present.repartitionByRange(slices, f"v{x}", "salt").sortWithinPartitions(f"v{x}").select(*order)
+    shared = now.sparkSession.sparkContext.broadcast((tables, hot))
+    sums_of = ("a", "b", "n", "ties", "groups")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, hot = shared.value
+        part = TaskContext.get().partitionId()
+        below = np.vstack((np.zeros((1, width)), np.cumsum(hot.counts, 0)))
+        a, b, ties = np.zeros(width), np.zeros(width), np.zeros(width)
+        n, groups = np.zeros(width, np.int64), np.zeros(width, np.int64)
+        held = np.empty((0, len(order)))
+
+        def ranked(m):
+            own = m[:, place[x]]
+            there = np.column_stack([~np.isnan(m[:, place[k]]) for k in range(width)])
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))
+            spot = np.searchsorted(hot.values, own[starts])
+            known = np.zeros(len(starts), bool)
+            inside = spot < len(hot.values)
+            known[inside] = hot.values[spot[inside]] == own[starts][inside]
+            counts = np.add.reduceat(there.astype(np.int64), starts, 0)
+            counts[known] = 0
+            size = counts.copy()
+            size[known] = hot.counts[spot[known]]
+            ranks = n + np.cumsum(counts, 0) - counts + below[spot] + (size + 1) / 2.0
+            n[:] += counts.sum(0)
+            ties[:] += (counts.astype(np.float64) ** 3 - counts).sum(0)
+            groups[:] += (counts > 0).sum(0)
+            ranks = ranks[group]
+            for k in [*tables, *done]:
+                other = tables[k].beside(np.where(there[:, k], m[:, place[k]], np.nan), x) if k in tables else np.where(there[:, k], m[:, place[k]], 0.0)
+                a[k] += (ranks[:, k] * other).sum()
+                b[k] += other.sum()
+            if later:
+                columns = [m[:, order.index(c)] for c in kept] + [np.where(there[:, k], ranks[:, k], np.nan) for k in later]
+                for start in range(0, len(m), 1 << 14):
+                    size = min(1 << 14, len(m) - start)
+                    cells = [pa.array(c[start : start + size], from_pandas=True) for c in columns]
+                    nothing = [pa.nulls(size, f.type) for f in schema_arrow[-len(sums_of) :]]
+                    yield pa.record_batch([*cells, pa.array(np.full(size, part), pa.int32()), *nothing], schema=pa.schema(schema_arrow))
+
+        kinds = [pa.list_(pa.float64())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+        schema_arrow = [pa.field(c, pa.float64()) for c in [*kept, *new]] + [pa.field("slice", pa.int32())] + [pa.field(c, t) for c, t in zip(sums_of, kinds)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.vstack((held, _matrix(batch)))
+            # The last value may go on in the next batch; one that is known to be frequent needn't be whole.
+            last = m[-1, place[x]]
+            spot = np.searchsorted(hot.values, last)
+            whole = spot < len(hot.values) and hot.values[spot] == last
+            cut = len(m) if whole else int(np.searchsorted(m[:, place[x]], last, "left"))
+            if cut:
+                yield from ranked(m[:cut])
+            held = m[cut:]
+        if len(held):
+            yield from ranked(held)
+        sums = [pa.array([v.tolist()], t) for v, t in zip((a, b, n, ties, groups), kinds)]
+        yield pa.record_batch([*(pa.nulls(1, pa.float64()) for _ in [*kept, *new]), pa.array([part], pa.int32()), *sums], schema=pa.schema(schema_arrow))
+
+    schema = [f"{c} double" for c in [*kept, *new]] + ["slice int", "a array<double>", "b array<double>", "n array<long>", "ties array<double>", "groups array<long>"]
+    out = ranged.mapInArrow(rank, ", ".join(schema))
+    if later:
+        gap = now.filter(f"v{x} is null").select(*kept, *[F.lit(None).cast("double").alias(c) for c in new], F.lit(None).cast("int").alias("slice"))
+        out = out.unionByName(gap, allowMissingColumns=True)
     return out
 
 

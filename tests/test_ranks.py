@@ -49,6 +49,30 @@ def test_gappy_pairs_against_model(spark, monkeypatch, slice_rows):
             assert got[f"c{i}", f"c{j}"] == pytest.approx(slow_spearman(data, i, j), abs=1e-12)
 
 
+@pytest.mark.parametrize("numbers, share", [(0, 10), (60, 2), (150, 1000)])
+def test_gappy_columns_too_large_to_broadcast(spark, monkeypatch, numbers, share):
+    monkeypatch.setattr(ranks, "SLICE_ROWS", 40)
+    monkeypatch.setattr(ranks, "RANK_NUMBERS", numbers)
+    monkeypatch.setattr(ranks, "HOT_SHARE", share)
+    rng = random.Random(share)
+    cells = [(lambda: float(rng.randrange(3))), (lambda: rng.random()), (lambda: rng.choice([0.0, rng.random()])), (lambda: float(rng.randrange(40))), (lambda: rng.choice([float("inf"), -1.5]))]
+    gaps = [0.3, 0.1, 0.2, 0.0, 0.5]
+    data = [tuple(None if rng.random() < g else c() for c, g in zip(cells, gaps)) for _ in range(150)]
+    df = spark.createDataFrame(data, ", ".join(f"c{k} double" for k in range(5))).repartition(3)
+    got = {(x, y): r for x, y, r in rows(ranks.spearman(df))}
+    for i in range(5):
+        for j in range(5):
+            assert got[f"c{i}", f"c{j}"] == pytest.approx(slow_spearman(data, i, j), abs=1e-12), (i, j)
+
+
+def test_pairs_with_gaps_do_not_shuffle_rows_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "_pair_cells", None)  # cells of all pairs took a row's place once for each pair
+    df = table(spark, 6, 80, 5)
+    data = rows(df)
+    got = {(x, y): r for x, y, r in rows(ranks.spearman(df))}
+    assert got["c1", "c4"] == pytest.approx(slow_spearman(data, 1, 4), abs=1e-12)
+
+
 def test_odd_columns(spark):
     df = spark.createDataFrame([(1.0, None, None, 3.0), (2.0, None, 4.0, 3.0), (None, None, 5.0, 3.0)], "a double, nothing double, b double, same double")
     got = {(x, y): r for x, y, r in rows(ranks.spearman(df))}
