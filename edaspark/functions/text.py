@@ -108,15 +108,9 @@ def looks_boolean(c: Column) -> Column:
 DATE_LENGTH = 40
 
 
-def digits_as_nines(c: Column) -> Column:
-    """A text that may be a date with 9 for every digit; NULL beyond DATE_LENGTH."""
-    return F.when(F.length(c) <= DATE_LENGTH, F.translate(c, "012345678", "999999999"))
-
-
-def date_form(digits: Column) -> Column:
-    """Of ``digits_as_nines``: letters of three and more together as a, so that names of months are alike."""
-    letters = "(?<=[A-Za-z]{2})[A-Za-z]|(?<=[A-Za-z])[A-Za-z](?=[A-Za-z])|[A-Za-z](?=[A-Za-z]{2})"
-    return F.regexp_replace(digits, letters, "a")
+def date_form(digits: str) -> str:
+    """Of a text with 9 for every digit: letters of three and more together as a, so that names of months are alike."""
+    return re.sub("(?<=[A-Za-z]{2})[A-Za-z]|(?<=[A-Za-z])[A-Za-z](?=[A-Za-z])|[A-Za-z](?=[A-Za-z]{2})", "a", digits)
 
 
 def parsed_time(c: Column, shape: str, layout: str) -> Column:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..common import aggregate_once, column, fields_of, materialise, nan_to_null, quoted, spread_small
-from ..functions.text import DATE_LAYOUTS, date_form, digits_as_nines, parsed_time, strip
+from ..functions.text import DATE_LAYOUTS, DATE_LENGTH, date_form, parsed_time, strip
 
 # Type names a user may give, besides Spark's own.
 TYPE_NAMES = {
@@ -67,40 +70,91 @@ class TextForm:
         places = iter(numbers)
         return re.sub("9+", lambda m: str(next(places)).zfill(len(m[0])), self.form)
 
-    def surely_valid(self, layout: str) -> bool:
-        """Whether fitting the layout's shape is enough: no names, no day beyond the 28th, no year zero."""
+    def valid_but_for_days(self, layout: str) -> bool:
+        """Whether fitting the layout's shape is enough up to the 28th: no names, no year zero, no zone beyond 18 hours."""
         parts = re.findall(r"([A-Za-z])\1*", re.sub("'[^']*'", "", layout))
-        if "MMM" in layout or "X" in parts or len(set(parts) - {"a"}) != len(re.findall("9+", self.form or "")):
+        numbers = [p for p in dict.fromkeys(parts) if p not in "aX"]
+        zone = self.high[len(numbers) :]
+        if "MMM" in layout or len(zone) not in ((0, 2) if "X" in parts else (0,)) or len(self.high) < len(numbers):
             return False
-        numbers = [p for p in dict.fromkeys(parts) if p != "a"]
-        return ("d" not in numbers or self.high[numbers.index("d")] <= 28) and self.low[numbers.index("y")] > 0
-
+        return self.low[numbers.index("y")] > 0 and (not zone or (zone[0] < 18 and zone[1] < 60))
 
-# Numbers a date layout has at most: six, a fraction and a zone of two.
-DATE_NUMBERS = 9
+    def surely_valid(self, layout: str) -> bool:
+        """Whether fitting the layout's shape is enough: no names, no day beyond the 28th, no year zero."""
+        numbers = dict.fromkeys(re.findall(r"([A-Za-z])\1*", re.sub("'[^']*'", "", layout)))
+        return self.valid_but_for_days(layout) and ("d" not in numbers or self.high[list(numbers).index("d")] <= 28)
 
 
+# Numbers a text of DATE_LENGTH has at most.
+DATE_NUMBERS = DATE_LENGTH // 2
 # Forms a layout has at most, and more: a column with more of them is no date.
 MOST_FORMS = 1000
+# A number that may be a day which not every month has.
+LATE_DAY = "(?<![0-9])(29|30|31)(?![0-9])"
+
+
+def _alike(texts: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts of one length (rows of bytes) by their form with 9 for every digit."""
+    forms = np.where((texts >= 48) & (texts <= 57), np.uint8(57), texts)
+    for _ in range(16):  # a column of dates has few forms of a length
+        same = (forms == forms[0]).all(1)
+        yield bytes(forms[0]).decode(errors="replace"), texts[same]
+        texts, forms = texts[~same], forms[~same]
+        if not len(texts):
+            return
+    found, place = np.unique(np.ascontiguousarray(forms).view(f"V{forms.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    for form, own in zip(found, np.split(order, np.cumsum(np.bincount(place))[:-1])):
+        yield bytes(form).decode(errors="replace"), texts[own]
+
+
+def _forms_of(texts: pa.Array) -> Iterator[tuple[str | None, np.ndarray, np.ndarray]]:
+    """(form, least, greatest number at each place) of non-null texts; None is the form of those beyond DATE_LENGTH."""
+    short = texts.filter(pc.less_equal(pc.utf8_length(texts), DATE_LENGTH))
+    if len(short) < len(texts):
+        yield None, np.empty(0, np.int64), np.empty(0, np.int64)
+    if not len(short):
+        return
+    short = pa.concat_arrays([short.cast(pa.large_binary())])
+    ends = np.frombuffer(short.buffers()[1], np.int64)[short.offset : short.offset + len(short) + 1]
+    data = np.frombuffer(short.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    for size in np.unique(sizes).tolist():
+        if not size:
+            yield "", np.empty(0, np.int64), np.empty(0, np.int64)
+            continue
+        for form, own in _alike(data[ends[:-1][sizes == size][:, None] + np.arange(size)]):
+            runs = [m.span() for m in re.finditer(b"9+", form.encode())]
+            numbers = [(own[:, max(a, b - 18) : b].astype(np.int64) - 48) @ 10 ** np.arange(min(b - a, 18) - 1, -1, -1) for a, b in runs]
+            yield form, *(np.array([f(x) for x in numbers], np.int64) for f in (np.min, np.max))
 
 
 def _text_forms(df: DataFrame, names: list[str]) -> dict[str, list[TextForm]]:
     """The forms of the non-null texts of each column, counted together in one pass; none of a column with more than MOST_FORMS.
 
-    Texts are grouped with 9 for every digit first, which is cheap; names of months are made alike on what is left.
+    Texts of a length and form stand in one matrix of bytes, whose columns make the numbers; names of months are made alike on forms.
     """
-    pairs = ", ".join(f"{i}, {quoted(c)}" for i, c in enumerate(names))
-    long = df.selectExpr(f"stack({len(names)}, {pairs}) as (k, v)").filter("v is not null")
-    long = long.select("k", digits_as_nines(F.col("v")).alias("form"), F.split("v", "[^0-9]+").alias("w"))
-    numbers = [F.when(F.col("form").isNotNull(), F.get("w", F.lit(i)).try_cast("int")).alias(f"n{i}") for i in range(DATE_NUMBERS)]
-    ends = [(f, f"{f.__name__}{i}", i) for f in (F.min, F.max) for i in range(DATE_NUMBERS)]
-    found = long.select("k", "form", *numbers).groupBy("k", "form").agg(*[f(f"n{i}").alias(a) for f, a, i in ends])
-    found = found.groupBy("k", date_form(F.col("form")).alias("form")).agg(*[f(a).alias(a) for f, a, _ in ends])
-    found = materialise(found)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = [{} for _ in names]
+        for batch in batches:
+            for own, cells in zip(found, batch.columns):
+                if len(own) > MOST_FORMS:
+                    continue
+                for form, low, high in _forms_of(cells.drop_null()):
+                    form = None if form is None else date_form(form)
+                    known = own.get(form)
+                    own[form] = (low, high) if known is None else (np.minimum(low, known[0]), np.maximum(high, known[1]))
+        for k, own in enumerate(found):
+            sides = [pa.array([x[side].tolist() for x in own.values()], pa.list_(pa.int64())) for side in (0, 1)]
+            yield pa.record_batch([pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.string()), *sides], names=["k", "form", "low", "high"])
+
+    found = df.select(*[column(c).alias(f"v{i}") for i, c in enumerate(names)]).mapInArrow(rows, "k int, form string, low array<long>, high array<long>")
+    ends = [[f(F.get(x, F.lit(i))) for i in range(DATE_NUMBERS)] for f, x in ((F.min, "low"), (F.max, "high"))]
+    found = materialise(found.groupBy("k", "form").agg(*[F.array_compact(F.array(*e)).alias(x) for e, x in zip(ends, ("low", "high"))]))
     few = [k for k, n in found.groupBy("k").count().collect() if n <= MOST_FORMS]
-    sides = [F.array_compact(F.array(*[f"{f}{i}" for i in range(DATE_NUMBERS)])).alias(x) for f, x in (("min", "low"), ("max", "high"))]
     out: dict[str, list[TextForm]] = {c: [] for c in names}
-    for row in found.filter(F.col("k").isin(few)).select("k", "form", *sides).collect():
+    for row in found.filter(F.col("k").isin(few)).collect():
         out[names[row["k"]]].append(TextForm(row["form"], row["low"], row["high"]))
     return out
 
@@ -134,7 +188,9 @@ class DatePlan:
         exprs = {}
         for c, fitting in doubtful.items():
             for shape, layout in fitting:
-                exprs[c, layout] = F.count_if(column(c).isNotNull() & parsed_time(column(c), shape, layout).isNull())
+                only_days = all(f.valid_but_for_days(layout) for f in forms[c])
+                asked = column(c).rlike(LATE_DAY) if only_days else column(c).isNotNull()
+                exprs[c, layout] = F.count_if(asked & parsed_time(column(c), shape, layout).isNull())
         failed = aggregate_once(spread_, exprs)
         for c, fitting in doubtful.items():
             full = [(shape, x) for shape, x in fitting if failed[c, x] == 0]

@@ -68,3 +68,20 @@ def test_shapes_hold_independent_numbers():
             for part in re.findall(r"\(0\?\[1-9\]\|1\[0-2\]\)|\(0\?\[1-9\]\|\[12\]\[0-9\]\|3\[01\]\)|\(\[01\]\?\[0-9\]\|2\[0-3\]\)", shape):
                 fits = [k for k in range(10**width) if re.fullmatch(part, str(k).zfill(width))]
                 assert fits == list(range(fits[0], fits[-1] + 1))
+
+
+def test_zones_and_long_numbers_need_no_parse(spark, monkeypatch):
+    parsed = []
+    monkeypatch.setattr(convert, "parsed_time", lambda c, shape, layout: parsed.append(layout) or parsed_time(c, shape, layout))
+    texts = [("2020-01-05T10:00:00+02:00", "2020", "2020-01-05T10:00:00Z"), ("2021-11-28T23:59:59-17:30", "99999999999", "2020-02-07 01:02:03+01:00")]
+    df = spark.createDataFrame(texts, "a string, b string, c string")
+    zoned = "yyyy-M-d['T'][ ]H:mm:ssXXX"
+    assert [(c, x) for c, _, x in convert.DatePlan.fit(df).layouts] == [("a", zoned), ("c", zoned)] and not parsed
+    wide = spark.createDataFrame([("2020-01-05T10:00:00+02:00",), ("2020-01-05T10:00:00+19:00",)], "a string")
+    assert convert.DatePlan.fit(wide).layouts == () and parsed == [zoned]
+
+
+def test_only_late_days_are_parsed(spark):
+    texts = ["2020-01-05", "2020-02-29", None, "2020-10-31"]
+    assert convert.DatePlan.fit(spark.createDataFrame([(t,) for t in texts], "v string")).layouts
+    assert not convert.DatePlan.fit(spark.createDataFrame([(t,) for t in [*texts, "2021-02-29"]], "v string")).layouts
