@@ -6,7 +6,7 @@ band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8. A link is a
 distinct shingles (by 64-bit hashes) have at least ``similarity``; nothing is dropped without one. Components of links are whole:
 of each, one row stays. Links between two nodes that are joined already aren't looked for, as they change nothing.
 
-Families first, in two waves (the first few bands, then the others): the nodes of a band value, in order of size, meet the
+Pairs that the caller names come first (the pipeline's: families of near SimHash fingerprints). Then families, in two waves (the first few bands, then the others): the nodes of a band value, in order of size, meet the
 smallest node, and the first that is too large for it takes over, so each node is compared once per band value at most, and not
 at all with one it is joined to. Band values of more than HOT nodes are dealt in parts, whose leaders meet afterwards.
 
@@ -21,7 +21,7 @@ No word at all (null, empty, blank) is one node too. The row that stays is that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialise_table
-from .common import LOWER, components, identified
+from .common import LOWER, components, identified, majority_bits
 
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
@@ -88,22 +88,22 @@ def _words(text: bytes | None) -> tuple[int, list[bytes]]:
 
 
 def _nodes(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(node, o: what orders nodes, and names the row to be kept, m: number of shingles, keys: band values)."""
+    """(node, o: what orders nodes, and names the row to be kept, m: number of shingles, fp: SimHash fingerprint, keys: band values)."""
     texts = identified(docs, id_column, text_column).select("_id", "_digest", "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 node, words = _words(text)
                 hashes = shingles(words, shingle)
-                nodes.append(node), sizes.append(len(hashes)), keys.append(bands(hashes) if len(hashes) else [])
-            out = [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(out, names=["_id", "_digest", "node", "m", "keys"])
+                nodes.append(node), sizes.append(len(hashes)), prints.append(majority_bits(hashes)), keys.append(bands(hashes) if len(hashes) else [])
+            out = [*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.record_batch([*out, pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_digest", "node", "m", "fp", "keys"])
 
-    schema = texts.selectExpr("_id", "_digest", "0L as node", "0 as m", "array(0L) as keys").schema
+    schema = texts.selectExpr("_id", "_digest", "0L as node", "0 as m", "0L as fp", "array(0L) as keys").schema
     order = F.struct(F.col("_id").isNull().alias("x"), "_id", "_digest", "node")
-    found = texts.mapInArrow(rows, schema).groupBy("node").agg(F.min(order).alias("o"), F.first("m").alias("m"), F.first("keys").alias("keys"))
+    found = texts.mapInArrow(rows, schema).groupBy("node").agg(F.min(order).alias("o"), *[F.first(c).alias(c) for c in ("m", "fp", "keys")])
     return materialise_table(found)
 
 
@@ -284,8 +284,14 @@ def _open_nodes(nodes: DataFrame) -> DataFrame:
     return materialise_table(visits.join(keys, "key", "left_semi").select("node").distinct())
 
 
-def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(_id, _digest) of one row of each component: of the smallest id, a null id only where there is no other."""
+def near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
+    first: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(_id, _digest) of one row of each component: of the smallest id, a null id only where there is no other.
+
+    ``first`` may name pairs (a, b) of nodes (node, m, fp) to be compared before any others; what they join is compared no more.
+    """
     nodes = _nodes(docs, id_column, text_column, shingle)
 
     def rooted(roots: DataFrame | None) -> DataFrame:
@@ -308,6 +314,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     found: list[DataFrame] = []
     roots = None
+    if first and linked(first(nodes.select("node", "m", "fp"))):
+        roots = components(reduce(DataFrame.unionAll, found))
     for start, stop in WAVES:
         if linked(_family_pairs(rooted(roots), start, stop, similarity)):
             roots = components(reduce(DataFrame.unionAll, found))

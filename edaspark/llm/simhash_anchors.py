@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialise_table
-from .common import LOWER, at, components, identified, sealed
+from .common import LOWER, at, components, identified, majority_bits, sealed
 from .near_copies import SHINGLE, SIMILARITY, near_copies
 
 SEED = 42
@@ -52,11 +52,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(h), 1 << 16):
-        bits = np.unpackbits(h[part : part + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return majority_bits(h)
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
@@ -218,11 +214,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return found.toDF(id_column, "fingerprint", "component_id")
 
 
+def near_families(nodes: DataFrame) -> DataFrame:
+    """(a, b) to be compared, of nodes (node, m, fp): the first by size of each component of near fingerprints, with all others of it."""
+    roots = components(near_links(materialise_table(nodes.select("fp").distinct())))
+    named = nodes.join(roots.toDF("_fp", "_root"), F.col("fp") == F.col("_fp"), "left").withColumn("root", F.coalesce("_root", "fp"))
+    named = materialise_table(named.select("root", "node", "m"))
+    leads = named.groupBy("root").agg(F.min_by("node", F.struct("m", "node")).alias("a"), F.count("*").alias("n")).filter("n > 1").select("root", "a")
+    return named.join(leads, "root").filter("node <> a").select("a", F.col("node").alias("b"))
+
+
 def keep_one_of_each(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """All columns of one row of each component of verified near copies: of the smallest id, a null id only where there is no other."""
-    keep = near_copies(docs, id_column, text_column, shingle, similarity)
+    """All columns of one row of each component of verified near copies: of the smallest id, a null id only where there is no other.
+
+    Candidates are families of near fingerprints over ``shingle`` words, found through the anchors, and then what is similar without
+    near fingerprints, found by ``near_copies``. Nothing is dropped unless the shingles themselves have the similarity.
+    """
+    keep = near_copies(docs, id_column, text_column, shingle, similarity, near_families)
     id_, digest = at(docs, id_column), F.xxhash64(at(docs, text_column).cast("string"))
     kept = sealed(docs).withColumn("_of", digest).join(keep, id_.eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")))
     return kept.drop("_id", "_digest").dropDuplicates([f"c{docs.columns.index(id_column)}", "_of"]).drop("_of").toDF(*docs.columns)

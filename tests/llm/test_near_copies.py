@@ -116,3 +116,18 @@ def test_families_and_strays(spark, monkeypatch):
     want = [i for i in sets if find(i) == i]
     assert 5 < len(want) < 120
     assert sorted(r.doc_id for r in S.keep_one_of_each(odd(spark, rows)).collect()) == want
+
+
+def test_families_of_near_fingerprints_come_first(spark, monkeypatch):
+    """Near texts are paired through the anchors of their fingerprints; a pair below the similarity stays two."""
+    asked = []
+    families = S.near_families
+    monkeypatch.setattr(S, "near_families", lambda nodes: asked.append(1) or families(nodes))
+    words = [f"w{k}" for k in range(2000)]
+    near = [*words[:700], "new", *words[701:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"x{k}" for k in range(2000))), (4, "a b c d e f g"), (5, None)]
+    nodes = N._nodes(odd(spark, rows), "doc_id", "text", 5)
+    found = S.near_families(nodes).collect()
+    assert len(found) == 1 and {r.node for r in nodes.collect()} > {found[0].a, found[0].b}
+    asked.clear()
+    assert sorted(r.doc_id for r in S.keep_one_of_each(odd(spark, rows)).collect()) == [1, 3, 4, 5] and asked
