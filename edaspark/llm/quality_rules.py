@@ -6,9 +6,8 @@ both are smoothed by ``alpha`` per bucket, so a bucket too rare to be expected i
 document's ratio is the mean over its n-grams of log(target / raw), and it is kept when it passes the plain
 rules and its ratio is at least ``threshold``: every document, by the same fixed number.
 
-Trusted documents are the at most ``max_trusted`` ids with the smallest hashes among those that the
-labels trust (a bounded sample, so their ids are broadcast); raw counts cover every document.
-Without trusted documents the plain rules decide alone.
+Trusted documents are all that the labels trust, and raw counts cover every document. Up to BROADCAST trusted ids are
+broadcast; more of them meet the texts in a shuffled join. Without trusted documents the plain rules decide alone.
 
 A null or blank text has no words and fails. Repeated rows are judged each. Other columns are left alone.
 """
@@ -23,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import materialise_table
 from .common import SPACES, at, identified, sealed
 
 BUCKET_BITS = 16
@@ -30,6 +30,8 @@ BUCKETS = 1 << BUCKET_BITS
 # Fixed value: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+# Trusted ids that may be broadcast.
+BROADCAST = 1_000_000
 
 
 def numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +78,15 @@ def base_counts(text: bytes, words: list[bytes], ids: np.ndarray) -> tuple[int,
 
 
 def count_ngrams(
-    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_trusted: int = 16384
+    docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast: int = BROADCAST
 ) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of all documents, and of the trusted ones (quality 1 and, if told, not toxic, in all their labels)."""
     toxic = at(labels, "toxic").cast("int") if "toxic" in labels.columns else F.lit(0)
     known = sealed(labels).select(at(labels, id_column).alias("_id"), at(labels, "quality").cast("int").alias("q"), toxic.alias("t"))
     known = known.filter("_id is not null").groupBy("_id").agg(F.min(F.coalesce("q", F.lit(0))).alias("q"), F.max(F.coalesce("t", F.lit(0))).alias("t"))
-    trusted = known.filter("q = 1 and t = 0").orderBy(F.xxhash64("_id"), "_id").limit(max_trusted).select("_id", F.lit(True).alias("_trusted"))
-    texts = identified(docs, id_column, text_column).join(F.broadcast(trusted), "_id", "left").select("_text", "_trusted")
+    trusted = materialise_table(known.filter("q = 1 and t = 0").select("_id", F.lit(True).alias("_trusted")))
+    few = F.broadcast(trusted) if trusted.count() <= broadcast else trusted
+    texts = identified(docs, id_column, text_column).join(few, "_id", "left").select("_text", "_trusted")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)

@@ -96,3 +96,14 @@ def test_query(spark):
     passed = found[~found.base_failed].join(labels, how="inner")
     assert passed[passed.quality == 1].kept.mean() > 0.99
     assert passed[passed.quality == 0].kept.mean() < 0.2
+
+
+def test_all_trusted_documents_teach(spark):
+    """More trusted ids than any sample held, and as many by the shuffled join."""
+    n = 17_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    raw, target = Q.count_ngrams(docs, labels)
+    assert raw.sum() == target.sum() == n
+    again = Q.count_ngrams(docs, labels, broadcast=0)
+    assert (again[0] == raw).all() and (again[1] == target).all()
