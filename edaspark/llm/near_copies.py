@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialise_table
-from .common import LOWER, components, identified, majority_bits
+from .common import LOWER, components, identified, let_go, majority_bits
 
 SEED = 42
 SHINGLE, SIMILARITY = 5, 0.8
@@ -92,6 +92,7 @@ def _nodes(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> D
     texts = identified(docs, id_column, text_column).select("_id", "_digest", "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             nodes, sizes, prints, keys = [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():

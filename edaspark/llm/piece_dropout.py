@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, at, sealed
+from .common import Table, at, kept, sealed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -324,15 +324,9 @@ class Pieces:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
 
-_PIECES: dict[bytes, Pieces] = {}
-
-
 def pieces_of(model: bytes) -> Pieces:
     """One table per worker process, kept between tasks."""
-    key = hashlib.blake2b(model, digest_size=16).digest()
-    if key not in _PIECES:
-        _PIECES[key] = Pieces(model)
-    return _PIECES[key]
+    return kept(hashlib.blake2b(model, digest_size=16).digest(), lambda: Pieces(model))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:

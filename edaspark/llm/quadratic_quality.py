@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, at, identified, sealed
+from .common import SPACES, at, identified, let_go, sealed
 
 FEATURES = (
     "words", "word_length", "symbols", "capitals", "digits", "marks", "bars",
@@ -41,6 +41,8 @@ def _byte_classes() -> np.ndarray:
 
 
 CLASSES = _byte_classes()
+# Texts judged at a time: each takes 2 KB of byte counts.
+ROWS = 1024
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -136,8 +138,10 @@ def score_quality(docs: DataFrame, model: Quadratic | None, text_column: str = "
     schema = plain.withColumn("s", F.lit(None).cast("double")).schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        let_go()
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
                 texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
                 yield pa.record_batch([*batch.columns, pa.array(model.score(features(texts)))], names=schema.names)
 

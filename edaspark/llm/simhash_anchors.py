@@ -35,8 +35,8 @@ BLOCK = 31
 THRESHOLD = 3
 # Homes of an anchor that one task holds; those of a fuller one are split.
 HOMES = 4096
-# Visitors held before they are compared, and pairs compared at a time.
-HELD, PAIRS = 1 << 20, 1 << 22
+# Visitors held before they are compared, and pairs compared at a time (some ten arrays of them, 2 MB each).
+HELD, PAIRS = 1 << 20, 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from cases import ROWS, odd, rows_of
 
+from edaspark.llm import common
 from edaspark.llm import simhash_anchors as S
 from edaspark.llm.queries import QUERIES
 
@@ -105,3 +106,28 @@ def test_parts_of_neighbouring_anchors():
     rows = {"key": [7, 7, 8, 8], "part": [31, 31, 0, 0], "fp": [a, ~a, b, b ^ 1], "home": [True, False, True, False]}
     found = [x for batch in S._compare(iter([S.pa.record_batch(rows)])) for x in zip(*(c.to_pylist() for c in batch.columns))]
     assert found == [(b, b ^ 1)]
+
+
+def test_memory_of_a_full_anchor():
+    """The pairs of one full anchor are compared in blocks of a few MB, not 32 MB an array."""
+    import tracemalloc
+
+    n, rng = 3000, np.random.default_rng(5)
+    home = np.arange(n) < 1500
+    fp = rng.integers(0, 1 << 60, n)
+    fp[-1] = fp[0] ^ 1
+    tracemalloc.start()
+    a, b = S._links(np.zeros(n, np.int64), np.zeros(n, np.int32), fp, home)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted((a[0], b[0])) == sorted((fp[0], fp[-1])) and len(a) == 1
+    assert peak < 48 << 20
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+    assert common.kept("x", lambda: made.append("x") or "tables") == common.kept("x", list) == "tables"
+    assert common.kept("y", lambda: made.append("y") or "others") == "others"
+    assert list(common._KEPT) == ["y"] and made == ["x", "y"]
+    common.let_go()
+    assert not common._KEPT
