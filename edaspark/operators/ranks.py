@@ -41,6 +41,8 @@ SLICE_ROWS = 1_000_000
 BROADCAST_RANKS = 1_000_000
 # Ranks of columns with gaps (one for each value and each column beside it) that may be broadcast.
 RANK_NUMBERS = 1 << 23
+# Columns of many values and without gaps up to which rows are sorted by each: a row carries a rank for each partner that is still to come.
+SORTED = 8
 # Tasks that share the rows of a slice where rows themselves are sorted.
 SLICE_PARTS = 4
 
@@ -79,17 +81,20 @@ def ranks_by_slot(counts: DataFrame, rows: int, slice_rows: int = SLICE_ROWS) ->
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D7. Rank correlation ``(x, y, r)`` of every pair; ranks are over the rows where both are present.
 
-    Columns without gaps share their ranks. All pairs with a gap are ranked together, each over its own rows. Jobs depend
-    neither on the pairs nor, while ranks can be broadcast, on the columns.
+    All pairs are ranked together, each over its own rows, which are sorted once per column of many values. Only where more than SORTED such
+    columns have no gaps, columns without gaps share their ranks, and rows are joined to these. Jobs depend neither on the pairs nor, while ranks can be broadcast, on the columns.
     """
     df = nan_to_null(df)
     names = numeric_columns(df) if columns is None else list(columns)
     rows, missing = count_missing(df.select(*[column(c) for c in names]))
     whole = [c for c in names if not missing[c]]
-    found = _rank_correlations(df, whole, rows) if whole else {}
-    gappy = [(a, b) for i, a in enumerate(names) for b in names[: i + 1] if missing[a] or missing[b]]
-    if gappy:
-        for (a, b), r in zip(gappy, _gappy_correlations(df, names, gappy, rows)):
+    values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(names)])
+    small = _few_valued(values) if rows else list(range(len(names)))
+    joined = whole if sum(names.index(c) not in small for c in whole) > SORTED else []
+    found = _rank_correlations(df, joined, rows) if joined else {}
+    rest = [(a, b) for i, a in enumerate(names) for b in names[: i + 1] if a not in joined or b not in joined]
+    if rest:
+        for (a, b), r in zip(rest, _sorted_correlations(values, names, rest, rows, small)):
             found[a, b] = found[b, a] = r
     return small_frame(df.sparkSession, [(a, b, found[a, b]) for a in names for b in names], "x string, y string, r double")
 
@@ -124,22 +129,27 @@ def _with_sides(cells: DataFrame, margins: DataFrame, measure: str) -> DataFrame
     return cells
 
 
-def _gappy_correlations(df: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], rows: int) -> list[float | None]:
-    """Rank correlations of pairs with gaps, from a table of ranks per column instead of cells per pair.
-
-    A value's rank beside another column counts the rows where that one is present, so a value has one rank for each name. Columns of few
-    values are looked up in a broadcast table (at most RANK_NUMBERS ranks in all). The others are sorted one after the other: a row carries its
-    ranks only until the partner's turn, when their product is added up. So a row is shuffled once per such column, not per pair.
-    """
-    values = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(names)])
-    wanted = [(names.index(a), names.index(b)) for a, b in pairs]
-    estimates = aggregate_once(values, {i: F.approx_count_distinct(f"v{i}", 0.02) for i in range(len(names))})
+def _few_valued(values: DataFrame) -> list[int]:
+    """Which of the columns v0, v1, ... have so few values that their ranks beside every column may be broadcast."""
+    width = len(values.columns)
+    estimates = aggregate_once(values, {i: F.approx_count_distinct(f"v{i}", 0.02) for i in range(width)})
     small, room = [], RANK_NUMBERS
     for i in sorted(estimates, key=lambda i: (estimates[i], i)):
-        room -= int(1.1 * estimates[i] + 1) * len(names)
+        room -= int(1.1 * estimates[i] + 1) * width
         if room < 0:
             break
         small.append(i)
+    return small
+
+
+def _sorted_correlations(values: DataFrame, names: Sequence[str], pairs: Sequence[tuple[str, str]], rows: int, small: Sequence[int]) -> list[float | None]:
+    """Rank correlations of pairs from a table of ranks per column instead of cells per pair.
+
+    A value's rank beside another column counts the rows where that one is present, so a value has one rank for each name. Columns of few
+    values (``small``) are looked up in a broadcast table (at most RANK_NUMBERS ranks in all). The others are sorted one after the other: a row
+    carries its ranks only until the partner's turn, when their product is added up. So a row is shuffled once per such column, not per pair.
+    """
+    wanted = [(names.index(a), names.index(b)) for a, b in pairs]
     large = [i for i in range(len(names)) if i not in small]
     sums = PairSums({}, {}, {})
     tables = {i: RankTable.build(*x) for i, x in _counts_beside(values, small).items()}
