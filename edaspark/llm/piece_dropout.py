@@ -7,8 +7,9 @@ a literal U+2581, become byte pieces, so decoding gives back every text.
 
 The key of a chunk is a keyed hash of the seed, the document's id and the chunk's place, so every occurrence of
 a word draws its own merges, and a run can be repeated exactly. What becomes of a chunk depends only on which of
-the merges that its letters allow are skipped: tasks list these merges once per short chunk, draw all of them in one step for
-every occurrence, and remember the ids by chunk and set of skipped merges, in a table of bounded size.
+the merges that come up are skipped: tasks remember, for short chunks, the merges that come up when certain steps of the
+agenda are skipped and no later one, with the ids that this gives. Every occurrence draws the merges of its chunk in one step; the
+first one skipped leads to the next such course, until none is. These courses are kept in a table of bounded size.
 
 A null text has null ids, an empty one none. A null id is keyed as the text "null". Repeated rows are alike.
 The vocabulary file is read once by the driver and sent to the executors: its size is that of a tokenizer.
@@ -20,30 +21,33 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import count, repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, at, kept, sealed
+from .common import at, kept, sealed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # No piece has a space after another character, so chunks of spaces and what follows are apart from each other.
 CHUNK = re.compile(" *[^ \n▁]+| +|\n|▁")
-# Chunks that a task remembers (and twice as many results), and the longest chunk that is remembered.
+# Chunks that a task remembers (courses: twice as many before it starts anew, four times at most), and the longest chunk that is remembered.
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 32
-# Merges that a remembered chunk's letters allow at most.
-MERGES = 44
-HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+# Steps of an agenda whose skips are remembered; a chunk that skips a later one is segmented by itself.
+STEPS = 62
 # Rows encoded or decoded at a time.
 ROWS = 256
 # Chunks segmented together, and texts whose chunks are.
-TOGETHER, TEXTS = 4096, 256
+TOGETHER, TEXTS = 2048, 256
+# A candidate merge as one number, the lowest first: order of the merge, place in the chunk, id of what it makes.
+PLACE_AT, ORDER_AT = 24, 32
+NO_MERGE = np.int64((1 << 62) - 1)
 
 
 def keys_of(seed: int, id_: object, n: int) -> np.ndarray:
@@ -60,44 +64,77 @@ def skipped(keys: np.ndarray, codes: np.ndarray, threshold: int) -> np.ndarray:
     return (((keys ^ codes) & 0x3FFFFFFF) * 0x2C1B3C6D >> 11 & 0x3FFFFFFF) < threshold
 
 
-def spelling(piece: str) -> int:
-    value = 0
-    for letter in piece:
-        value = (value * int(HASH_BASE) + ord(letter) + 1) & ((1 << 64) - 1)
-    return value
+class Merges:
+    """Pairs of ids to numbers, one place to look at for each: rows of the sparse matrix of pairs lie shifted over each other in one array."""
+
+    def __init__(self, lefts: np.ndarray, rights: np.ndarray, numbers: np.ndarray, n_ids: int):
+        order = np.lexsort((rights, lefts))
+        lefts, rights, numbers = lefts[order], rights[order], numbers[order]
+        firsts = np.flatnonzero(np.diff(lefts, prepend=-1))
+        sizes = np.diff(firsts, append=len(lefts))
+        room, tries = 4 * len(lefts) + n_ids, np.random.default_rng(0)
+        free = np.ones(room + n_ids, bool)
+        # Ids without pairs on their right look at places of others.
+        self.shift = np.zeros(n_ids, np.int64)
+        for row in np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 1)].tolist():  # the longest row first, while there is room
+            own, tried = rights[firsts[row] : firsts[row] + sizes[row]], 0
+            while not len(fits := np.flatnonzero(free[(shifts := tries.integers(0, room, 64))[:, None] + own].all(1))):
+                tried += 1
+                if tried % 8 == 0:
+                    free, room = np.append(free, np.ones(room, bool)), 2 * room
+            self.shift[lefts[firsts[row]]] = shifts[fits[0]]
+            free[shifts[fits[0]] + own] = False
+        alone = firsts[sizes == 1]
+        self.shift[lefts[alone]] = np.flatnonzero(free[n_ids:])[: len(alone)] + n_ids - rights[alone]
+        places = self.shift[lefts] + rights
+        self.left, self.number = np.full(len(free), -1, np.int32), np.full(len(free), NO_MERGE)
+        self.left[places], self.number[places] = lefts, numbers
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pairs' numbers, NO_MERGE for others."""
+        at_ = self.shift.take(left)
+        at_ += right
+        return np.where(self.left.take(at_) == left, self.number.take(at_), NO_MERGE)
 
 
 class Remembered:
-    """Chunks with the codes of all merges that their letters allow, and ids by chunk and the set of those merges that is skipped."""
+    """Courses of chunks' agendas: which steps are skipped, the codes of the merges that come up after the last of these, and the ids if none of those is."""
 
     def __init__(self) -> None:
         self.places: dict[str, int] = {}
-        self.ids: dict[int, bytes] = {}
-        self.codes, self.ends = np.empty(1 << 16, np.int64), np.zeros(1 << 12, np.int64)
-
-    def add(self, chunks: list[str], codes: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.places)
+        self.next: dict[int, int] = {}
+        self.chunks: list[str] = []
+        self.ids, self.skips = np.empty(1 << 12, object), np.zeros(1 << 12, np.int64)
+        self.steps, self.ends = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.codes = np.empty(1 << 16, np.int64)
+
+    def add(self, chunks: list[str], skips: np.ndarray, steps: np.ndarray, ids: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new courses; ``steps`` come before the codes."""
+        first, end = len(self.chunks), len(self.chunks) + len(chunks)
         start = int(self.ends[first])
         while start + len(codes) > len(self.codes):
             self.codes = np.concatenate((self.codes, np.empty_like(self.codes)))
-        while first + len(chunks) >= len(self.ends):
-            self.ends = np.concatenate((self.ends, np.empty_like(self.ends)))
+        while end >= len(self.ends):
+            self.ids, self.skips, self.steps, self.ends = (np.concatenate((x, np.empty_like(x))) for x in (self.ids, self.skips, self.steps, self.ends))
         self.codes[start : start + len(codes)] = codes
-        self.ends[first + 1 : first + 1 + len(chunks)] = start + np.cumsum(sizes)
-        self.places.update(zip(chunks, range(first, first + len(chunks))))
-
-    def drawn(self, places: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
-        """For chunks of these keys, their place and the set of merges skipped, as one number."""
-        sizes = self.ends[places + 1] - self.ends[places]
-        of = np.repeat(np.arange(len(places)), sizes)
-        number = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = skipped(keys[of], self.codes[self.ends[places][of] + number], threshold)
-        of, number = of[out], number[out]
-        sets = np.zeros(len(places), np.int64)
+        self.ids[first:end], self.skips[first:end], self.steps[first:end] = ids, skips, steps
+        self.ends[first + 1 : end + 1] = start + np.cumsum(sizes)
+        self.chunks += chunks
+        return np.arange(first, end)
+
+    def first_skipped(self, courses: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
+        """For chunks of these keys on these courses, the number of the first of its codes that is skipped, or -1."""
+        starts = self.ends[courses]
+        sizes = self.ends[courses + 1] - starts
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(courses)), sizes)
+        shift = starts - (ends - sizes)
+        out = np.flatnonzero(skipped(keys[of], self.codes[np.arange(len(of)) + shift[of]], threshold))
+        of = of[out]
         first = np.flatnonzero(np.diff(of, prepend=-1))
-        if len(of):
-            sets[of[first]] = np.bitwise_or.reduceat(np.int64(1) << number, first)
-        return (places << MERGES) | sets
+        found = np.full(len(courses), -1)
+        found[of[first]] = out[first] - (ends - sizes)[of[first]]
+        return found
 
 
 class Pieces:
@@ -122,28 +159,26 @@ class Pieces:
                     raise ValueError("a piece has a space after another character")
                 self.rank[piece] = (-known.get_score(i), i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
+        self.parts = pa.array(self.bytes_of, pa.binary())
         self.salt = [crc32(b"%d" % i) >> 2 for i in range(known.vocab_size())]
         self.remembered = Remembered()
         # The same as arrays: pieces of one character by code point, and merges of two pieces by both ids.
         self.none = known.vocab_size()
         self.characters = np.full(0x110000, self.none, np.int64)
-        merges = []
+        lefts, rights, scores, ids = [], [], [], []
         for piece, (score, i) in self.rank.items():
             if len(piece) == 1:
                 self.characters[ord(piece)] = i
             for cut in range(1, len(piece)):
                 left, right = self.rank.get(piece[:cut]), self.rank.get(piece[cut:])
                 if left and right:
-                    merges.append((left[1] * (self.none + 1) + right[1], score, i))
-        keys, scores, ids = (np.array(x) for x in zip(*sorted(merges)))
-        self.merges, self.merged = Table(keys), ids
-        self.order = np.unique(scores, return_inverse=True)[1].astype(np.int32)
+                    lefts.append(left[1])
+                    rights.append(right[1])
+                    scores.append(score)
+                    ids.append(i)
+        order = np.unique(scores, return_inverse=True)[1].astype(np.int64)
+        self.merges = Merges(np.array(lefts), np.array(rights), order << ORDER_AT | np.array(ids), self.none + 1)
         self.salts = np.array(self.salt)
-        # Pieces that merges make, by a hash of their letters (a wrong hit would be one more merge to draw, of no effect).
-        results = set(ids.tolist())
-        made = {spelling(piece): self.salt[i] for piece, (_, i) in self.rank.items() if i in results}
-        self.spelt, self.spelt_salts = Table(np.array(list(made), np.uint64).view(np.int64)), np.array(list(made.values()))
-        self.longest = max(len(piece) for piece, (_, i) in self.rank.items() if i in results)
 
     def segment(self, chunk: str, key: int, threshold: int) -> list[int]:
         """Ids of a chunk; spaces in it stand for SPACE, and a chunk that is SPACE itself becomes bytes.
@@ -196,114 +231,116 @@ class Pieces:
         return out
 
     def segment_many(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """``segment`` of many short chunks, each step of their agendas taken together; ids as bytes."""
-        width = max(map(len, chunks))
-        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width)
+        """``segment`` of many short chunks, ids as bytes."""
+        return self._agendas(chunks, lambda rows, codes, step: skipped(keys[rows], codes, threshold))
+
+    def _agendas(self, chunks: list[str], skips: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> list[bytes]:
+        """Ids of many short chunks as bytes, each step of their agendas taken together; ``skips`` tells for chunks and codes whether the merge is skipped."""
+        n, width = len(chunks), max(map(len, chunks))
+        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(n, width).T
         points = np.where(points == ord(" "), ord(SPACE), points)
-        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        places = np.arange(width + 1)
-        ids = np.full((len(chunks), width + 1), self.none)
-        ids[:, :-1] = np.where(places[:-1] < lengths[:, None], self.characters[points], self.none)
-        after, before = np.tile(places + 1, (len(chunks), 1)), np.tile(places - 1, (len(chunks), 1))
-        held = places[:-1] < lengths[:, None]
-        far = np.int32(len(self.order))
-
-        def pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at_ = self.merges.find(left * (self.none + 1) + right)
-            return np.where(at_ >= 0, self.order[at_], far), self.merged[at_]
-
-        best, piece = (x.reshape(len(chunks), width) for x in pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
-        rows = np.arange(len(chunks))
-        while len(rows):
-            own = best[rows]
-            i = own.argmin(1)
-            some = own[np.arange(len(rows)), i] < far
-            rows, i = rows[some], i[some]
-            now = piece[rows, i]
-            codes = (self.salts[now] ^ i * 0x27D4EB2F) & 0x3FFFFFFF
-            take = ~skipped(keys[rows], codes, threshold)
-            best[rows[~take], i[~take]] = far
-            r, i, now = rows[take], i[take], now[take]
-            j = after[r, i]
-            k = after[r, j]
-            ids[r, i] = now
-            held[r, j] = False
-            best[r, j] = far
-            after[r, i], before[r, np.minimum(k, width)] = k, i
-            best[r, i], piece[r, i] = pairs(now, ids[r, np.minimum(k, width)])
-            h = before[r, i]
-            r, h, now = r[h >= 0], h[h >= 0], now[h >= 0]
-            best[r, h], piece[r, h] = pairs(ids[r, h], now)
-        flat = ids[:, :-1][held].astype("<i4").tobytes()
-        ends = np.cumsum(held.sum(1)).tolist()
-        out = [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends)]
-        for row in np.flatnonzero((held & (ids[:, :-1] == self.none)).any(1)).tolist():  # bytes for unknown characters
-            out[row] = np.array(self.segment(chunks[row], int(keys[row]), threshold), "<i4").tobytes()
+        held = np.arange(width)[:, None] < np.fromiter(map(len, chunks), np.int64, n)
+        # A row for each place, and one before and after them; below, a number stands for a place of a chunk, row by row.
+        ids = np.full((width + 2, n), self.none)
+        ids[1:-1] = np.where(held, self.characters[points], self.none)
+        best = np.full((width + 2, n), NO_MERGE)
+        found = self.merges.find(ids[1:-2], ids[2:-1])
+        best[1:-2] = np.where(found < NO_MERGE, found | (np.arange(1, width) << PLACE_AT)[:, None], NO_MERGE)
+        after = np.arange(n, (width + 3) * n)
+        before = after - 2 * n
+        flat_ids, flat_best, flat_held = ids.reshape(-1), best.reshape(-1), held.reshape(-1)
+        for step in count():
+            own = best.min(0)
+            rows = np.flatnonzero(own < NO_MERGE)
+            if not len(rows):
+                break
+            own = own[rows]
+            now, i = own & ((1 << PLACE_AT) - 1), (own >> PLACE_AT) & ((1 << ORDER_AT - PLACE_AT) - 1)
+            here = i * n + rows
+            skip = skips(rows, (self.salts.take(now) ^ (i - 1) * 0x27D4EB2F) & 0x3FFFFFFF, step)
+            flat_best[here[skip]] = NO_MERGE
+            here, now = here[~skip], now[~skip]
+            j = after.take(here)
+            k, h = after.take(j), before.take(here)
+            flat_ids[here] = now
+            flat_held[j - n] = False
+            flat_best[j] = NO_MERGE
+            after[here], before[k] = k, here
+            places = np.concatenate((here, h))
+            found = self.merges.find(np.concatenate((now, flat_ids.take(h))), np.concatenate((flat_ids.take(k), now)))
+            flat_best[places] = np.where(found < NO_MERGE, found | places // n << PLACE_AT, NO_MERGE)
+        ids, held = ids[1:-1].T, held.T
+        flat = ids[held].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(held.sum(1))).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for row in np.flatnonzero((held & (ids == self.none)).any(1)).tolist():  # bytes for unknown characters
+            letters, own = chunks[row].replace(" ", SPACE), []
+            for i in np.flatnonzero(held[row]).tolist():
+                own += [ids[row, i]] if ids[row, i] != self.none else [self.byte_ids[b] for b in letters[i].encode()]
+            out[row] = np.array(own, "<i4").tobytes()
         return out
 
-    def _merges_of(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of every merge that some order of merging could reach, chunk after chunk, and how many each chunk has."""
-        width = max(map(len, chunks))
-        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width).astype(np.uint64)
-        points[points == ord(" ")] = ord(SPACE)
-        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        window, rows, codes = points + np.uint64(1), [], []
-        for n in range(2, min(width, self.longest) + 1):
-            window = window[:, :-1] * HASH_BASE + (points[:, n - 1 :] + np.uint64(1))
-            row, i = np.nonzero(np.arange(window.shape[1]) <= (lengths - n)[:, None])
-            place = self.spelt.find(window[row, i].view(np.int64))
-            hit = place >= 0
-            rows.append(row[hit])
-            codes.append((self.spelt_salts[place[hit]] ^ i[hit] * 0x27D4EB2F) & 0x3FFFFFFF)
-        if not rows:
-            return np.empty(0, np.int64), np.zeros(len(chunks), np.int64)
-        rows, codes = np.concatenate(rows), np.concatenate(codes)
-        return codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(chunks))
-
     def _segmented(self, chunks: list[str], keys: np.ndarray, threshold: int) -> list[bytes]:
-        """Ids of chunks as bytes. What a chunk becomes depends on its letters and the merges skipped alone, so each such pair is segmented once."""
-        out = np.empty(len(chunks), object)
-        if max(len(self.remembered.places), len(self.remembered.ids) // 2) >= REMEMBERED:
+        """Ids of chunks as bytes, those of short chunks that come more than once by courses remembered."""
+        if max(len(self.remembered.places), len(self.remembered.chunks) // 2) >= REMEMBERED:
             self.remembered = Remembered()
         memory = self.remembered
+        courses = np.fromiter(map(memory.places.get, chunks, repeat(-1)), np.int64, len(chunks))
         # A chunk is remembered when it comes twice among these; others new here are segmented as they are.
-        twice = [c for c, n in Counter(chunks).items() if n > 1 and c not in memory.places and len(c) <= REMEMBERED_LENGTH and c != SPACE]
-        twice.sort(key=len)
-        for start in range(0, len(twice), TOGETHER):
-            part = twice[start : start + TOGETHER]
-            codes, sizes = self._merges_of(part)
-            few = sizes <= MERGES
-            memory.add([c for c, x in zip(part, few.tolist()) if x], codes[np.repeat(few, sizes)], sizes[few])
-        places = np.fromiter(map(memory.places.get, chunks, repeat(-1)), np.int64, len(chunks))
-        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-
-        def segmented(rows: np.ndarray) -> np.ndarray:
-            """Ids of the chunks in these rows, each with its own key; short ones many at a time, of about one length."""
-            ids, order = np.empty(len(rows), object), np.argsort(lengths[rows], kind="stable")
-            n_short = int(np.searchsorted(lengths[rows][order], REMEMBERED_LENGTH, "right"))
-            for start in range(0, n_short, TOGETHER):
-                part = order[start : min(start + TOGETHER, n_short)]
-                own = rows[part]
-                ids[part] = self.segment_many([chunks[k] for k in own.tolist()], keys[own], threshold)
-            for k in order[n_short:].tolist():
-                ids[k] = np.array(self.segment(chunks[rows[k]], int(keys[rows[k]]), threshold), "<i4").tobytes()
-            return ids
-
-        for k in [k for k in np.flatnonzero((places < 0) & (lengths == 1)).tolist() if chunks[k] == SPACE]:
-            out[k], places[k] = np.array(self.segment(SPACE, 0, 0), "<i4").tobytes(), -2
-        rest = np.flatnonzero(places == -1)
-        out[rest] = segmented(rest)
-        at_ = np.flatnonzero(places >= 0)
-        drawn, first, of = np.unique(memory.drawn(places[at_], keys[at_], threshold), return_index=True, return_inverse=True)
-        numbers = drawn.tolist()
-        found = np.empty(len(numbers), object)
-        found[:] = list(map(memory.ids.get, numbers))
-        left = np.flatnonzero(np.equal(found, None))
-        found[left] = segmented(at_[first[left]])
-        memory.ids.update(zip(drawn[left].tolist(), found[left].tolist()))
-        out[at_] = found[of]
+        new = np.flatnonzero(courses < 0)
+        names = [chunks[k] for k in new.tolist()]
+        twice = [c for c, n in Counter(names).items() if n > 1 and len(c) <= REMEMBERED_LENGTH and c != SPACE][:REMEMBERED]
+        memory.places.update(zip(twice, self._courses(twice, np.zeros(len(twice), np.int64), np.zeros(len(twice), np.int64)).tolist()))
+        courses[new] = np.fromiter(map(memory.places.get, names, repeat(-1)), np.int64, len(names))
+        left = np.flatnonzero(courses >= 0)
+        while threshold and len(left):
+            step = memory.first_skipped(courses[left], keys[left], threshold)
+            left, step = left[step >= 0], step[step >= 0]
+            step += memory.steps[courses[left]]
+            courses[left[step >= STEPS]] = -1
+            left, step = left[step < STEPS], step[step < STEPS]
+            wanted, first, of = np.unique(courses[left] << 6 | step, return_index=True, return_inverse=True)
+            found = np.fromiter(map(memory.next.get, wanted.tolist(), repeat(-1)), np.int64, len(wanted))
+            absent = np.flatnonzero(found < 0)[: max(0, 4 * REMEMBERED - len(memory.chunks))]
+            before, step = courses[left[first[absent]]], step[first[absent]]
+            found[absent] = self._courses([memory.chunks[k] for k in before.tolist()], memory.skips[before] | np.int64(1) << step, step + 1)
+            memory.next.update(zip(wanted[absent].tolist(), found[absent].tolist()))
+            courses[left] = found[of]
+            left = left[courses[left] >= 0]
+        rest = np.flatnonzero(courses < 0)
+        out = memory.ids[courses]
+        # Short ones many at a time, of about one length.
+        names = [chunks[k] for k in rest.tolist()]
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(lengths, kind="stable")
+        rest, names = rest[order], [names[k] for k in order.tolist()]
+        n_short = int(np.searchsorted(lengths[order], REMEMBERED_LENGTH, "right"))
+        for start in range(0, n_short, TOGETHER):
+            own = rest[start : min(start + TOGETHER, n_short)]
+            out[own] = self.segment_many(names[start : start + len(own)], keys[own], threshold)
+        for k, name in zip(rest.tolist(), names):
+            if len(name) > REMEMBERED_LENGTH or name == SPACE:
+                out[k] = np.array(self.segment(name, int(keys[k]), threshold), "<i4").tobytes()
         return out.tolist()
 
+    def _courses(self, chunks: list[str], skips: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Numbers of new courses of chunks: these steps are skipped, the last of them just before ``steps``."""
+        numbers = np.empty(len(chunks), np.int64)
+        order = np.argsort(np.fromiter(map(len, chunks), np.int64, len(chunks)), kind="stable")
+        for start in range(0, len(chunks), TOGETHER):
+            part = order[start : start + TOGETHER]
+            own, own_skips, own_steps, came = [chunks[k] for k in part.tolist()], skips[part], steps[part], []
+
+            def skip(rows: np.ndarray, codes: np.ndarray, step: int) -> np.ndarray:
+                later = own_steps[rows] <= step
+                came.append((rows[later], codes[later]))
+                return own_skips[rows] >> min(step, 63) & 1 > 0
+
+            ids = self._agendas(own, skip)
+            rows, codes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*came) if came else ((), ())))
+            numbers[part] = self.remembered.add(own, own_skips, own_steps, ids, codes[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(own)))
+        return numbers
+
     def encode_many(self, texts: list[str | None], ids: list, seed: int, dropout: float) -> list[bytes | None]:
         """The texts' ids as little-endian 32-bit integers; every occurrence is drawn."""
         threshold = int(dropout * (1 << 30))
@@ -323,6 +360,18 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
+    def decode_many(self, lists: pa.ListArray) -> pa.Array:
+        """``decode`` of many lists; null for null."""
+        ids = lists.flatten()
+        if ids.null_count:
+            raise ValueError("a null id stands for no piece")
+        parts = self.parts.take(ids)
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_numpy()])
+        offsets = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1) if len(parts) else np.zeros(1, np.int32)
+        texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets[ends]), parts.buffers()[2])
+        texts.validate(full=True)
+        return pc.if_else(lists.is_valid(), pc.utf8_slice_codeunits(texts, 1), None)
+
 
 def pieces_of(model: bytes) -> Pieces:
     """One table per worker process, kept between tasks."""
@@ -378,10 +427,6 @@ def decode(tokens: DataFrame, ids_column: str = "ids", text_column: str = "decod
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                texts = []
-                for ids in part.column(at_ids):
-                    values = ids.values
-                    texts.append(None if values is None else pieces.decode(values.to_numpy(zero_copy_only=False).tolist()))
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=schema.names)
+                yield pa.record_batch([*part.columns, pieces.decode_many(part.column(at_ids))], names=schema.names)
 
     return plain.mapInArrow(rows, schema).toDF(*names, text_column)

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 from cases import ROWS, odd
 from hypothesis import given, settings
@@ -145,3 +147,57 @@ def test_every_occurrence_draws():
     assert len(set(want)) > 20
     assert found[1:] == [None, b""]
     assert pieces.encode_many(texts, [7, 8, 9], 13, 0.3) == found
+
+
+def test_merges_that_never_come_up_are_not_told_apart(monkeypatch):
+    """Occurrences that skip other merges, but none that comes up, are segmented once (1706 were here before)."""
+    word, pieces, seen = " understanding", P.Pieces(P.read_vocabulary()), []
+    name = "_agendas" if hasattr(pieces, "_agendas") else "segment_many"
+    plain = getattr(pieces, name)
+    monkeypatch.setattr(pieces, name, lambda chunks, *rest: seen.extend(chunks) or plain(chunks, *rest))
+    found = pieces.encode(word[1:] + word * 1999, 7, 13, 0.1)
+    want = [i for key in P.keys_of(13, 7, 2000) for i in pieces.segment(word, int(key), int(0.1 * (1 << 30)))]
+    assert np.frombuffer(found, "<i4").tolist() == want
+    assert len(seen) < 500
+
+
+def test_unknown_characters_many_at_a_time(monkeypatch):
+    """Short chunks with characters outside the vocabulary are not segmented one by one."""
+    text = "\U0001f600the\U0001f601 \u0378x and\U0001f600 " * 3
+    want = slow_encode(text, 1, 13, 0.3)
+    monkeypatch.setattr(P.Pieces, "segment", None)
+    assert ids(text, 0.3) == want
+
+
+@pytest.mark.parametrize("name, value", [("STEPS", 2), ("REMEMBERED", 1), ("REMEMBERED_LENGTH", 3), ("TOGETHER", 3)])
+def test_limits_change_nothing(monkeypatch, name, value):
+    monkeypatch.setattr(P, name, value)
+    texts = [" ".join(f"understanding w{k * j % 7}ing a the" for k in range(20)) for j in range(4)]
+    for dropout in (0.1, 0.6, 1.0):
+        found = P.Pieces(P.read_vocabulary()).encode_many(texts, range(4), 3, dropout)
+        assert [np.frombuffer(x, "<i4").tolist() for x in found] == [slow_encode(t, i, 3, dropout) for i, t in enumerate(texts)]
+
+
+def test_pairs_of_the_table():
+    """Every pair has its number and no other has one, also where long rows leave little room."""
+    random = np.random.default_rng(1)
+    for n, share in ((40, 0.9), (300, 0.1), (7, 0.0)):
+        table = random.random((n, n)) < share
+        left, right = np.nonzero(table)
+        merges = P.Merges(left, right, left * n + right, n + 1)
+        a, b = (x.ravel() for x in np.indices((n + 1, n + 1)))
+        known = np.zeros((n + 1, n + 1), bool)
+        known[:n, :n] = table
+        assert merges.find(a, b).tolist() == np.where(known.ravel(), a * n + b, P.NO_MERGE).tolist()
+
+
+def test_decode_many():
+    texts = ["a the  \u2581\U0001f600", None, "", "\n\u00e9", " b", None]
+    lists = pa.array([None if t is None else ids(t, 0.5) for t in texts], pa.list_(pa.int32()))
+    for start in range(len(texts) + 1):
+        for length in range(len(texts) - start + 1):
+            assert PIECES.decode_many(lists.slice(start, length)).to_pylist() == texts[start : start + length]
+    with pytest.raises(ValueError):
+        PIECES.decode_many(pa.array([[5, None]], pa.list_(pa.int32())))
+    with pytest.raises(pa.ArrowInvalid):  # bytes that are no text
+        PIECES.decode_many(pa.array([[5, PIECES.byte_ids[0xFF]]], pa.list_(pa.int32())))
