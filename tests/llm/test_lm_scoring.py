@@ -173,3 +173,40 @@ def test_counted_grams_are_added_up_after_the_shuffle_only(spark):
     assert "Aggregate" not in below
     counts = {bytes(r.word): r.n for r in M.count_corpus(docs, "text", 2).filter("word is not null").collect()}
     assert counts == {b"a": 2, b"cat": 2, b"sat": 1, b"\n": 3}
+
+
+@pytest.mark.parametrize("order,held", [(3, 0), (6, 40), (4, 1 << 20)])
+def test_rare_grams_are_not_forgotten(spark, monkeypatch, order, held):
+    """By default every gram of the training texts is known, however few are held by the workers, and others escape step by step."""
+    monkeypatch.setattr(M, "ASKED", held)
+    rng = random.Random(2)
+    rows = [r if r[0] != 6 else (6, r[1][:3000]) for r in ROWS]
+    rows += [(100 + k, " ".join(rng.choice(("The", "cat", "sät", "on", "mat", "\x00", "x" * 70, f"w{k}")) for _ in range(30))) for k in range(12)]
+    taught = lambda i: i is not None and i % 3 != 0
+    found = M.score_documents(odd(spark, rows), M.F.col("_id") % 3 != 0, order=order, held=held)
+    same(rows_of(found), model(rows, order, 1 << 40, taught))
+
+
+def test_a_large_corpus_keeps_the_rare_grams(spark):
+    """Contexts that stand once in millions of bytes are known like any other."""
+    rows = [(1, "quartz"), (2, "quartz"), *((k, "ab " * 1_000_000) for k in (4, 5))]
+    found = {r.doc_id: r.score for r in M.score_documents(odd(spark, rows), M.F.col("_id") != 2).collect()}
+    # One of three texts begins like this, and goes on like this only.
+    assert math.isclose(found[1], math.log10(0.5 / 3) + 6 * math.log10(0.5), rel_tol=1e-9) and found[2] == found[1]
+
+
+def test_no_more_grams_than_asked_are_held(spark):
+    likely = spark.createDataFrame([(k, 1 + k // 10, -1.0) for k in range(100)], "gram long, times long, log10 double")
+    for held in (0, 5, 10, 33, 100):
+        (_, grams, _), others = M._frequent(likely, 2, held)
+        assert len(grams) <= held and len(grams) + others.count() == 100
+        assert not len(grams) or min(grams) > max([-1, *(r.gram for r in others.collect())])
+    assert len(grams) == 100
+
+
+def test_other_texts_grams_are_counted_apart(spark):
+    docs = spark.createDataFrame([("ab", True), ("ab", None), ("ac", False), ("ac", False)], "text string, t boolean")
+    found = {r.gram: (r.n, r.others) for r in M.count_corpus(docs, "text", 1, M.F.col("t")).filter("gram is not null").collect()}
+    pair = lambda x: x[0] << 8 | x[1]
+    assert found == {pair(b"\na"): (1, 3), pair(b"ab"): (1, 1), pair(b"b\n"): (1, 1), pair(b"ac"): (0, 2), pair(b"c\n"): (0, 2)}
+    assert {bytes(r.word): (r.n, r.others) for r in M.count_corpus(docs, "text", 1, M.F.col("t")).filter("word is not null").collect()} == {b"ab": (1, 0), b"\n": (1, 0)}
